@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.operators.ordered import with_row_index
+from murmur.operators.topk import top_k_per_group
 
 DEFAULT_KEEP_N = 100_000
 
@@ -114,15 +115,18 @@ def tfidf(bow: DataFrame, kept: DataFrame, n_docs: Column | int, id_col: str = "
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
     b = doc2bow(bow, kept, broadcast_vocab)
     raw = b.withColumn("_w", F.col("tf") * F.log2(n / F.col("df"))).filter(F.col("_w") != 0)
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    out = raw.withColumn("weight", F.col("_w") / norm).filter(F.abs("weight") > eps)
+    # per-document norm as an aggregate (partial, map side) joined back: a
+    # very long document is split by AQE's skew-join handling, which a
+    # per-document window could not do
+    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    out = raw.join(norms, id_col).withColumn("weight", F.col("_w") / F.col("_norm")) \
+        .filter(F.abs("weight") > eps)
     return out.select(id_col, "token_id", "token", "tf", "weight")
 
 
 def top_terms(weights: DataFrame, k: int = 5, id_col: str = "doc_id") -> DataFrame:
     """The ``k`` highest-weight terms of each document (ties by token)."""
-    w = Window.partitionBy(id_col).orderBy(F.col("weight").desc(), F.col("token"))
-    return (weights.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    return top_k_per_group(weights, [id_col], [F.col("weight").desc(), F.col("token")], k,
+                           salt_cols=["token"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from murmur.functions.text import (normalize_format, normalize_punctuation, split_words,
@@ -69,7 +70,8 @@ def vocab_df(spark, sf):
 
 def _kept(spark, sf):
     docs = views.doc_tokens(spark, sf, STOP)
-    bow = V.bag_of_words(docs)
+    # the bag feeds the vocabulary, the TF-IDF join and the norms: keep it
+    bow = V.bag_of_words(docs).persist(StorageLevel.MEMORY_AND_DISK)
     kept = V.filter_extremes(V.vocabulary(bow), V.count_docs(docs), views.BOW_NO_BELOW,
                              views.BOW_NO_ABOVE, views.BOW_KEEP_N)
     return docs, bow, kept
