@@ -270,3 +270,20 @@ def libsvm_line(label01: Column, features: Column) -> Column:
 def word_vector_line(word: Column, vec: Column) -> Column:
     """``word,%.8f,%.8f,...``"""
     return F.concat_ws(",", word, F.array_join(F.transform(vec, lambda x: F.format_string("%.8f", x)), ","))
+
+
+def nested_feature_sets(blocks: DataFrame, experiment_nums: list[int] | None = None,
+                        id_col: str = "doc_id") -> DataFrame:
+    """Nested feature sets over message-vector blocks: the set named ``n``
+    holds every column from 0 up to the end of block ``n`` (blocks ordered by
+    their two-digit prefix), optionally only for the listed prefixes.
+    ``(doc_id, feature_set, n_features, l2)`` per message and set."""
+    b = blocks.withColumn("_ord", F.substring("block", 1, 2).cast("int"))
+    names = b.select(F.col("block").alias("feature_set"), F.col("_ord").alias("_set_ord")).distinct()
+    if experiment_nums is not None:
+        names = names.filter(F.col("_set_ord").isin(list(experiment_nums)))
+    # one row per block name: a bounded table
+    per = b.groupBy(id_col, "_ord").agg(F.count(F.lit(1)).alias("_k"), F.sum(F.col("value") * F.col("value")).alias("_ss"))
+    joined = per.join(F.broadcast(names), F.col("_ord") <= F.col("_set_ord"))
+    return joined.groupBy(id_col, "feature_set").agg(
+        F.sum("_k").cast("long").alias("n_features"), F.sqrt(F.sum("_ss")).alias("l2"))

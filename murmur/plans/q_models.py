@@ -138,3 +138,17 @@ def grid_search(spark, sf):
 @query("oof_predictions")
 def oof_predictions(spark, sf):
     return ML.out_of_fold(_bow_features(spark, sf), "lr", n_cv=5)
+
+
+@query("w2v_message_blocks")
+def w2v_message_blocks(spark, sf):
+    """Embedding features end to end: word2vec on the messages, each
+    message's known-word vectors, then the statistics blocks (M4)."""
+    docs = views.doc_tokens(spark, sf)
+    model = ML.train_word2vec(docs, size=32, window=10, min_count=2, max_iter=1,
+                              partitions=spark.sparkContext.defaultParallelism)
+    wv = ML.word_vectors(model).checkpoint()
+    toks = V.tokens_long(docs).withColumnRenamed("token", "word")
+    tv = toks.join(wv, "word").select("doc_id", "pos", "vector")
+    from murmur.operators.vectors import message_vector_blocks
+    return message_vector_blocks(tv, docs.select("doc_id"), d0=1, d1=5, size=32)

@@ -150,3 +150,25 @@ def cluster_info_rows(spark, sf):
     out = size.join(words, "label")
     return out.select(F.col("label").alias("cluster"),
                       F.format_string("%2d, %5d,   : %s", "label", "size", "words").alias("line"))
+
+
+_BLOCKS_RAW = "WITH " + _TV + """base AS (SELECT doc_id, unnest(range(len(v)))::BIGINT AS dim, unnest(v) AS x FROM tv),
+d AS (SELECT doc_id, s.i, unnest(range(len(v)))::BIGINT AS dim,
+  unnest(list_transform(v, lambda x, j: x - v[((j - 1 - s.i) % len(v) + len(v)) % len(v) + 1])) AS x
+  FROM tv, (SELECT unnest(range(1, 5)) AS i) s),
+blocks AS (SELECT doc_id, '00_avg' AS block, dim, median(x) AS value FROM base GROUP BY doc_id, dim
+  UNION ALL SELECT doc_id, '01_std', dim, stddev_pop(x) FROM base GROUP BY doc_id, dim
+  UNION ALL SELECT doc_id, printf('%02d_diff1_%d', 2 * i, i), dim, median(x) FROM d GROUP BY doc_id, i, dim
+  UNION ALL SELECT doc_id, printf('%02d_diff1_std_%d', 2 * i + 1, i), dim, stddev_pop(x) FROM d GROUP BY doc_id, i, dim),
+per AS (SELECT doc_id, substr(block, 1, 2)::INT AS o, count(*) AS k, sum(value * value) AS ss FROM blocks GROUP BY ALL),
+names AS (SELECT DISTINCT block AS feature_set, substr(block, 1, 2)::INT AS so FROM blocks)
+"""
+
+
+@query("nested_feature_sets", _BLOCKS_RAW + "SELECT doc_id, feature_set, sum(k)::BIGINT AS n_features, "
+       "round(sqrt(sum(ss)), 6) AS l2 FROM per JOIN names ON o <= so GROUP BY doc_id, feature_set")
+def nested_feature_sets(spark, sf):
+    tv = views.token_vectors(spark, sf)
+    blocks = VX.message_vector_blocks(tv, d0=1, d1=5)
+    sets = VX.nested_feature_sets(blocks)
+    return sets.select("doc_id", "feature_set", "n_features", _r("l2"))
