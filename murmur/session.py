@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -78,5 +79,8 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+        # persisted, because Catalyst pushes filters below a repartition:
+        # a filter on tokens would otherwise run the text rules in the one
+        # scan task.  Only small single-split inputs take this branch.
+        return df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
     return df
