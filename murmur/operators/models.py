@@ -212,3 +212,18 @@ def grid_search(data: DataFrame, reg_params=(0.001, 0.01, 0.1, 1.0), n_cv: int =
                          seed=seed, parallelism=4).fit(data)
     rows = [(float(g[lr.regParam]), float(m)) for g, m in zip(grid, cvm.avgMetrics)]
     return data.sparkSession.createDataFrame(rows, "reg_param double, accuracy double")
+
+
+def train_test_scores(data: DataFrame, clf_name: str = "lr", p: float = 0.8, seed: int = 0,
+                      label: str = "label", id_col: str = "doc_id") -> DataFrame:
+    """One seeded exact split, one distributed fit, five test metrics."""
+    from murmur.operators.sampling import exact_split
+    data = data.withColumn(label, F.col(label).cast("double"))
+    split = exact_split(data, id_col, p, seed).persist()
+    train = split.filter(F.col("in_sample"))
+    test = split.filter(~F.col("in_sample"))
+    n = train.count()
+    model = classifier(clf_name, n).setLabelCol(label).setFeaturesCol("features").fit(train)
+    s = _fold_scores(model.transform(test), label)
+    return data.sparkSession.createDataFrame([s], "accuracy double, precision double, recall double, "
+                                                  "f1 double, roc_auc double")

@@ -287,3 +287,28 @@ def nested_feature_sets(blocks: DataFrame, experiment_nums: list[int] | None = N
     joined = per.join(F.broadcast(names), F.col("_ord") <= F.col("_set_ord"))
     return joined.groupBy(id_col, "feature_set").agg(
         F.sum("_k").cast("long").alias("n_features"), F.sqrt(F.sum("_ss")).alias("l2"))
+
+
+def nearest_to_vectors(words: DataFrame, queries: list[tuple[int, list[float]]], topn: int,
+                       word_col: str = "word", vec_col: str = "vector") -> DataFrame:
+    """``(query, rank, word, sim)``: cosine top-``topn`` words for each of a
+    bounded set of query vectors (e.g. cluster centres), scored in one scan
+    with the queries inlined; salted top-k per query."""
+    qs = F.array(*[F.struct(F.lit(int(q)).alias("q"),
+                            F.array(*[F.lit(float(x)) for x in _unit_np(v)]).alias("c")) for q, v in queries])
+    u = words.select(word_col, unit(F.col(vec_col)).alias("_u"))
+    scored = u.select(word_col, F.explode(F.transform(qs, lambda s: F.struct(
+        s["q"].alias("query"), dot(F.col("_u"), s["c"]).alias("sim")))).alias("_s")) \
+        .select("_s.query", word_col, "_s.sim")
+    return top_k_per_group(scored, ["query"], [F.col("sim").desc(), F.col(word_col)], topn, salt_cols=[word_col])
+
+
+def group_centres(df: DataFrame, group_col: str, vec_col: str = "vector", max_groups: int = 10_000):
+    """Mean vector per group, collected as the (bounded) model."""
+    cells = df.select(group_col, F.posexplode(vec_col).alias("dim", "x"))
+    means = cells.groupBy(group_col, "dim").agg(F.avg("x").alias("m"))
+    per = means.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("_p"))
+    rows = per.limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise ValueError("too many groups for inlined centres")
+    return [(r[group_col], [s["m"] for s in r["_p"]]) for r in rows]

@@ -152,3 +152,8 @@ def w2v_message_blocks(spark, sf):
     tv = toks.join(wv, "word").select("doc_id", "pos", "vector")
     from murmur.operators.vectors import message_vector_blocks
     return message_vector_blocks(tv, docs.select("doc_id"), d0=1, d1=5, size=32)
+
+
+@query("train_test_scores")
+def train_test_scores(spark, sf):
+    return ML.train_test_scores(_bow_features(spark, sf), "lr", p=0.8, seed=0)

@@ -172,3 +172,20 @@ def nested_feature_sets(spark, sf):
     blocks = VX.message_vector_blocks(tv, d0=1, d1=5)
     sets = VX.nested_feature_sets(blocks)
     return sets.select("doc_id", "feature_set", "n_features", _r("l2"))
+
+
+@query("cluster_center_words", """WITH wv AS (SELECT 'w' || vec_id AS word, label, embedding::DOUBLE[] AS v FROM embeddings),
+cd AS (SELECT label, d, avg(x) AS x FROM (SELECT label, unnest(range(len(v))) AS d, unnest(v) AS x FROM wv) GROUP BY ALL),
+c AS (SELECT label, list(x ORDER BY d) AS c FROM cd GROUP BY label),
+cn AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c),
+u AS (SELECT word, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM wv),
+sc AS (SELECT cn.label AS cluster, u.word, list_dot_product(u.u, cn.c) AS sim FROM cn, u)
+SELECT cluster, rank, word, round(sim, 6) AS sim FROM (
+  SELECT *, (row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, word))::BIGINT AS rank FROM sc) WHERE rank <= 20""")
+def cluster_center_words(spark, sf):
+    emb = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), "label",
+        F.col("embedding").cast("array<double>").alias("vector"))
+    centres = VX.group_centres(emb, "label")
+    top = VX.nearest_to_vectors(emb.select("word", "vector"), centres, 20)
+    return top.select(F.col("query").cast("int").alias("cluster"), "rank", "word", _r("sim"))

@@ -5,6 +5,7 @@ Each has a DuckDB twin in :mod:`murmur.plans.sqlviews` with the same text.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def doc_tokens(spark: SparkSession, sf: str, stop=DEFAULT_STOPWORDS) -> DataFrame:
     """``(doc_id, tokens)``: cleaned, validated tokens of every document."""
     docs = documents(spark, sf)
-    return docs.select("doc_id", clean_and_tokenize(normalize_format("text"), stop).alias("tokens"))
+    toks = docs.select("doc_id", clean_and_tokenize(normalize_format("text"), stop).alias("tokens"))
+    # token arrays feed several branches (vocabulary, pairs, counts, joins):
+    # run the text rules once and keep the (smaller) token table
+    return toks.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
