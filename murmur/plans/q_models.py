@@ -157,3 +157,13 @@ def w2v_message_blocks(spark, sf):
 @query("train_test_scores")
 def train_test_scores(spark, sf):
     return ML.train_test_scores(_bow_features(spark, sf), "lr", p=0.8, seed=0)
+
+
+@query("dpgmm_clusters")
+def dpgmm_clusters(spark, sf):
+    """Dirichlet-process mixture (diagonal, alpha 5, at most 30 components)
+    on the standardised word vectors; cluster sizes and first words."""
+    from murmur.operators.mixture import DPGaussianMixture
+    w = _scaled_words(spark, sf)
+    model = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=100, tol=1e-4).fit(w)
+    return model.predict(w).select("word", "cluster")
