@@ -14,6 +14,8 @@ remaining chain length, so the number of rounds is logarithmic in the depth.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +55,19 @@ def topic_similarity(tw: DataFrame, eps: float = 1e-12) -> DataFrame:
             .groupBy("ti", "tj").agg(F.sum(F.col("xi") * F.col("xj")).alias("sim")))
 
 
-def _roots(parent: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _roots(parent: DataFrame, n_nodes: int) -> DataFrame:
     """``(node, root)`` by pointer jumping over ``(node, ptr)`` (ptr = node
-    for roots)."""
+    for roots).  After ``r`` rounds every pointer has jumped ``2**r`` steps;
+    a chain has fewer than ``n_nodes`` links, so ``ceil(log2 n) + 1`` rounds
+    reach every root.  Each round reads the previous one twice, so each is
+    checkpointed (else the plan would double every round)."""
     cur = parent
-    for r in range(max_rounds):
-        nxt = (cur.alias("a").join(cur.alias("b"), F.col("a.ptr") == F.col("b.node"), "left")
+    rounds = max(1, math.ceil(math.log2(max(n_nodes, 2)))) + 1
+    for r in range(rounds):
+        cur = (cur.alias("a").join(cur.alias("b"), F.col("a.ptr") == F.col("b.node"), "left")
                .select(F.col("a.node").alias("node"),
                        F.coalesce(F.col("b.ptr"), F.col("a.ptr")).alias("ptr")))
-        if r % 4 == 3:
-            nxt = nxt.checkpoint()  # cut lineage in the shared checkpoint folder
-        changed = (nxt.alias("n").join(cur.alias("c"), "node")
-                   .filter(F.col("n.ptr") != F.col("c.ptr")).limit(1).count())
-        cur = nxt
-        if changed == 0:
-            break
+        cur = cur.checkpoint()  # cut lineage in the shared checkpoint folder
     return cur.select("node", F.col("ptr").alias("root"))
 
 
@@ -78,10 +78,10 @@ def threshold_groups(sim: DataFrame, topics: DataFrame, thresh: float = 0.15,
     ``mode='scan'`` is the reference's order-dependent grouping;
     ``mode='components'`` gives connected components instead."""
     e = sim.filter(F.col("sim") > thresh).select(F.col("ti").alias("i"), F.col("tj").alias("j"))
-    # the edge and node tables are small (topics x topics at most); cut
-    # their lineage once so every round of the loop below starts from them
+    # the edge table is small (topics x topics at most); cut its lineage
+    # once so the rounds below start from it
     e = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().checkpoint()
-    nodes = topics.select(F.col("topic").alias("node")).distinct().checkpoint()
+    nodes = topics.select(F.col("topic").alias("node")).distinct()
     if mode == "components":
         lab = nodes.withColumn("root", F.col("node"))
         for _ in range(64):
@@ -97,8 +97,8 @@ def threshold_groups(sim: DataFrame, topics: DataFrame, thresh: float = 0.15,
         g = lab.select(F.col("node").alias("topic"), F.col("root").alias("_g"))
     else:
         par = e.filter(F.col("j") < F.col("i")).groupBy(F.col("i").alias("node")).agg(F.max("j").alias("p"))
-        ptr = nodes.join(par, "node", "left").select("node", F.coalesce("p", "node").alias("ptr")).checkpoint()
-        roots = _roots(ptr)
+        ptr = nodes.join(par, "node", "left").select("node", F.coalesce("p", "node").alias("ptr"))
+        roots = _roots(ptr, nodes.count())
         maxnb = e.groupBy(F.col("j").alias("node")).agg(F.max("i").alias("m"))
         g = (nodes.join(maxnb, "node", "left")
              .withColumn("_src", F.coalesce("m", "node"))
