@@ -112,3 +112,48 @@ def stratified_folds(spark, sf):
 def exact_split(spark, sf):
     docs = views.documents(spark, sf).select("doc_id")
     return S.exact_split(docs, "doc_id", 0.3, seed=3).select("doc_id", "in_sample")
+
+
+_LOG_ROWS = """, g AS (SELECT lang, source, count(*) AS n,
+    sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS ok,
+    sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS tp,
+    sum(CASE WHEN prediction = 1 THEN 1 ELSE 0 END) AS pp,
+    sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS ap FROM predictions GROUP BY lang, source),
+m AS (SELECT *, CASE WHEN pp = 0 THEN 0.0 ELSE tp / pp END AS prec, CASE WHEN ap = 0 THEN 0.0 ELSE tp / ap END AS rec FROM g),
+log AS (SELECT (dense_rank() OVER (ORDER BY source) - 1) AS n_trial, (dense_rank() OVER (ORDER BY lang) - 1) AS i,
+    lang AS name, n AS size, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.5 END AS p, 0.3 AS thresh,
+    CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END AS f1 FROM m),
+ids AS (SELECT name, dense_rank() OVER (ORDER BY min(n_trial * 1000 + i)) AS name_id FROM log GROUP BY name),
+fixed AS (SELECT log.*, ids.name_id, CASE WHEN p = 1 THEN 0.0 ELSE thresh END AS t2 FROM log JOIN ids USING (name))
+"""
+
+
+@query("score_log_scan", PRED + _LOG_ROWS +
+       "SELECT name_id::BIGINT AS name_id, round(t2, 6) AS thresh, round(100.0 * (p + t2 - p * t2), 6) AS share, "
+       "count(*) AS n, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std FROM fixed GROUP BY name_id, t2, p")
+def score_log_scan(spark, sf):
+    """The score log written with the append sink, read back with the
+    score-log reader (names numbered by first appearance), ``thresh``
+    rewritten where all labelled data is used, summarised per condition."""
+    import uuid
+    from pyspark.sql import Window
+    from murmur.functions.plotdata import corpus_share, rewrite_threshold
+    from murmur.session import scratch_path
+    from murmur.sources import io as IO
+    m = M.binary_metrics(views.predictions(spark, sf), keys=["lang", "source"])
+    log = m.select(
+        (F.dense_rank().over(Window.orderBy("source")) - 1).alias("n_trial"),
+        (F.dense_rank().over(Window.orderBy("lang")) - 1).alias("i"),
+        F.col("lang").alias("name"), F.col("n").cast("int").alias("size"),
+        F.when(F.col("lang") == "en", 1.0).otherwise(0.5).alias("p"), F.lit(0.3).alias("thresh"),
+        F.col("n").cast("int").alias("n_rows"), F.lit(None).cast("double").alias("corpus_size"),
+        "accuracy", "precision", "recall", "f1", F.lit(None).cast("double").alias("roc_auc"),
+        F.lit(0).alias("n_components"), F.lit("rule").alias("clf_base"))
+    log = log.withColumn("corpus_size", corpus_share("p", "thresh"))
+    path = scratch_path(spark, f"scores-{uuid.uuid4().hex}")
+    log.select(*[f.name for f in IO.SCORE_LOG_SCHEMA.fields]).write.mode("append").csv(path)
+    back = rewrite_threshold(IO.read_score_log(spark, path), 0.0)
+    out = back.groupBy("name_id", "thresh", "p").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"))
+    return out.select("name_id", _r("thresh"), F.round(corpus_share("p", "thresh"), 6).alias("share"), "n",
+                      _r("f1_mean"), _r("f1_std"))
