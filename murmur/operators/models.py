@@ -25,6 +25,18 @@ from murmur.operators.sampling import stratified_folds
 from murmur.operators.vectors import unit
 
 MAX_VOCAB = 1_000_000  # vocabularies handed to CountVectorizerModel are bounded
+# Fitting sets below this many rows are gathered into one partition: an
+# iterative solver runs one Spark job per iteration, and on a tiny set the
+# per-task overhead of many partitions is the whole cost.  Larger sets keep
+# their partitioning (and the fits their parallelism).
+SMALL_FIT_ROWS = 100_000
+
+
+def _fit_layout(data: DataFrame) -> tuple[DataFrame, int]:
+    n = data.count()
+    if n < SMALL_FIT_ROWS:
+        data = data.coalesce(1)
+    return data.persist(), n
 
 
 # ---- word vectors -----------------------------------------------------------
@@ -163,11 +175,11 @@ def cv_scores(data: DataFrame, clf_name: str = "lr", n_trials: int = 10, n_cv: i
     recall, f1, roc_auc)``.  Each fit is distributed; up to ``parallelism``
     fits run at once.  The per-trial seed changes the fold assignment."""
     spark = data.sparkSession
-    data = data.withColumn(label, F.col(label).cast("double")).persist()
-    n = data.count()
+    data, n = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
     jobs = []
     for trial in range(n_trials):
-        folded = stratified_folds(data, label, id_col, n_cv, seed=trial).persist()
+        folded = stratified_folds(data, label, id_col, n_cv, seed=trial)
+        folded = (folded.coalesce(1) if n < SMALL_FIT_ROWS else folded).persist()
         for fold in range(n_cv):
             jobs.append((trial, fold, folded))
 
@@ -189,9 +201,9 @@ def out_of_fold(data: DataFrame, clf_name: str = "lr", n_cv: int = 5, label: str
                 id_col: str = "doc_id", seed: int = 0) -> DataFrame:
     """``(doc_id, label, prediction)`` where every row is predicted by the
     model of the fold that left it out."""
-    data = data.withColumn(label, F.col(label).cast("double"))
-    folded = stratified_folds(data, label, id_col, n_cv, seed=seed).persist()
-    n = folded.count()
+    data, n = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
+    folded = stratified_folds(data, label, id_col, n_cv, seed=seed)
+    folded = (folded.coalesce(1) if n < SMALL_FIT_ROWS else folded).persist()
     out = None
     for fold in range(n_cv):
         est = classifier(clf_name, int(n * (n_cv - 1) / n_cv)).setLabelCol(label).setFeaturesCol("features")
@@ -204,7 +216,7 @@ def out_of_fold(data: DataFrame, clf_name: str = "lr", n_cv: int = 5, label: str
 def grid_search(data: DataFrame, reg_params=(0.001, 0.01, 0.1, 1.0), n_cv: int = 2, label: str = "label",
                 seed: int = 0) -> DataFrame:
     """``(reg_param, accuracy)``: 2-fold cross-validated accuracy per setting."""
-    data = data.withColumn(label, F.col(label).cast("double"))
+    data, _ = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
     lr = LogisticRegression(maxIter=100, standardization=False, labelCol=label, featuresCol="features")
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
@@ -218,8 +230,9 @@ def train_test_scores(data: DataFrame, clf_name: str = "lr", p: float = 0.8, see
                       label: str = "label", id_col: str = "doc_id") -> DataFrame:
     """One seeded exact split, one distributed fit, five test metrics."""
     from murmur.operators.sampling import exact_split
-    data = data.withColumn(label, F.col(label).cast("double"))
-    split = exact_split(data, id_col, p, seed).persist()
+    data, n_all = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
+    split = exact_split(data, id_col, p, seed)
+    split = (split.coalesce(1) if n_all < SMALL_FIT_ROWS else split).persist()
     train = split.filter(F.col("in_sample"))
     test = split.filter(~F.col("in_sample"))
     n = train.count()
@@ -227,3 +240,27 @@ def train_test_scores(data: DataFrame, clf_name: str = "lr", p: float = 0.8, see
     s = _fold_scores(model.transform(test), label)
     return data.sparkSession.createDataFrame([s], "accuracy double, precision double, recall double, "
                                                   "f1 double, roc_auc double")
+
+
+def cluster_vocabulary(kept: DataFrame, vectors: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
+    """Words eligible for clustering: in the kept vocabulary, longer than one
+    character, with a vector, not a stop word; ``(word, vector)``.  The kept
+    vocabulary is bounded by ``keep_n`` and is the broadcast side."""
+    v = kept.select(F.col("token").alias("word")).filter(F.length("word") > 1)
+    if stopwords:
+        v = v.filter(~F.col("word").isin(list(stopwords)))
+    return vectors.join(F.broadcast(v), "word")
+
+
+def doc_cluster_counts(tokens_long: DataFrame, assigned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, cluster, n)``: how many of a message's words fall in each
+    cluster (words without a cluster are skipped)."""
+    return (tokens_long.join(assigned.select(F.col("word").alias("token"), "cluster"), "token")
+            .groupBy(id_col, "cluster").agg(F.count(F.lit(1)).alias("n")))
+
+
+def doc_mean_vectors(model, docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+    """Message vector as the mean of its words' vectors (Word2VecModel.transform)."""
+    m = model.copy()
+    m.setInputCol(tokens_col).setOutputCol("_dv")
+    return m.transform(docs).select(id_col, vector_to_array("_dv").alias("vector"))

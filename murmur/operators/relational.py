@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.wordlists import MAX_INLINE_WORDS
+from murmur.operators.ordered import with_row_index
 
 
 def keyword_filter(docs: DataFrame, keywords: Iterable[str], tokens_col: str = "tokens") -> DataFrame:
@@ -101,9 +102,10 @@ def union_corpora(*frames: tuple[str, DataFrame]) -> DataFrame:
 def label_encode(df: DataFrame, col: str, out: str = "label_id") -> DataFrame:
     """Index of the value among the sorted distinct values (0-based).
 
-    Distinct values are aggregated first (partial aggregation); the ranking
-    window then runs over the distinct values only.
+    Distinct values are aggregated first (partial aggregation) and numbered
+    by the distributed ordered scan, so even a high-cardinality column never
+    meets a single-partition window.  Nulls keep a null index.
     """
-    vals = df.select(col).distinct()
-    vals = vals.withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("long"))
-    return df.join(vals, col)
+    vals = df.select(col).distinct().filter(F.col(col).isNotNull())
+    vals = with_row_index(vals, [col], out)
+    return df.join(vals, col, "left")

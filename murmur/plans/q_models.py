@@ -167,3 +167,34 @@ def dpgmm_clusters(spark, sf):
     w = _scaled_words(spark, sf)
     model = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=100, tol=1e-4).fit(w)
     return model.predict(w).select("word", "cluster")
+
+
+def _w2v_small(spark, sf):
+    docs = views.doc_tokens(spark, sf)
+    model = ML.train_word2vec(docs, size=32, window=10, min_count=2, max_iter=1,
+                              partitions=spark.sparkContext.defaultParallelism)
+    return docs, model
+
+
+@query("doc_vectors")
+def doc_vectors(spark, sf):
+    """Per-message vectors (mean of word vectors) keyed by message id."""
+    docs, model = _w2v_small(spark, sf)
+    return ML.doc_mean_vectors(model, docs).select("doc_id", F.size("vector").cast("long").alias("dims"))
+
+
+@query("dpgmm_doc_cluster_counts")
+def dpgmm_doc_cluster_counts(spark, sf):
+    """Word clusters end to end: eligible vocabulary (no_below 8, no_above
+    0.9, at most 9000 words, with a vector, no stop words), standardised,
+    Dirichlet-process mixture, then cluster counts per message."""
+    from murmur.functions.wordlists import DEFAULT_STOPWORDS
+    from murmur.operators.mixture import DPGaussianMixture
+    docs, model = _w2v_small(spark, sf)
+    bow = V.bag_of_words(docs)
+    kept = V.filter_extremes(V.vocabulary(bow), V.count_docs(docs), 8, 0.9, 9000)
+    words = ML.cluster_vocabulary(kept, ML.word_vectors(model), DEFAULT_STOPWORDS).checkpoint()
+    scaled = Standardizer.fit(words, "vector").transform(words, "vector")
+    dp = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=50, tol=1e-4).fit(scaled)
+    assigned = dp.predict(scaled)
+    return ML.doc_cluster_counts(V.tokens_long(docs), assigned)
