@@ -20,7 +20,7 @@ BOW_KEEP_N = 100_000
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 def doc_tokens(spark: SparkSession, sf: str, stop=DEFAULT_STOPWORDS) -> DataFrame:
