@@ -68,14 +68,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core.
 
     A scan of one large row group yields one task; CPU-heavy text rules would
     then run on a single core.  Scans that already have enough partitions (any
     cluster-sized input) are returned unchanged, so this never adds a shuffle
-    at scale.  With ``keys`` the rows are hash-partitioned on them, so later
-    per-key windows and aggregates find the data already co-located.
+    at scale.
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
@@ -83,6 +82,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         # persisted, because Catalyst pushes filters below a repartition:
         # a filter on tokens would otherwise run the text rules in the one
         # scan task.  Only small single-split inputs take this branch.
-        parts = df.repartition(want, *keys) if keys else df.repartition(want)
-        return parts.persist(StorageLevel.MEMORY_AND_DISK)
+        return df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
     return df
