@@ -39,7 +39,7 @@ PUNCTUATION = [
 # Tags that replace links and user names, and the token always dropped.
 URL_TAG = "URL"
 USER_TAG = "USER"
-RETWEET_TOKEN = "rt"
+REPOST_TOKEN = "rt"
 # --- end of fixed values ----------------------------------------------------
 
 # White space as Python's unicode ``split()``/``strip()`` sees it.  Written
@@ -137,7 +137,7 @@ def valid_tokens(tokens: Column | str, stoplist: Iterable[str] | None = None,
     """
     if keep_all:
         return _c(tokens)
-    stop = list(dict.fromkeys(list(stoplist or []) + [RETWEET_TOKEN]))
+    stop = list(dict.fromkeys(list(stoplist or []) + [REPOST_TOKEN]))
     return F.filter(_c(tokens), lambda t: (F.length(t) > 1) & ~t.isin(stop))
 
 

@@ -25,11 +25,14 @@ TOPIC_WORDS = 20
 
 
 def topic_words(rows: DataFrame, topic_col: str = "topic", word_col: str = "token",
-                n: int = TOPIC_WORDS) -> DataFrame:
+                n: int = TOPIC_WORDS, count_col: str | None = None) -> DataFrame:
     """``(topic, word, weight)``: the ``n`` most frequent words of each topic,
-    weight = count / total count of those ``n`` words.  Counting is a partial
-    aggregate and the top-n is salted, so a dominant topic is no hot spot."""
-    counts = rows.groupBy(topic_col, word_col).agg(F.count(F.lit(1)).alias("cnt"))
+    weight = count / total count of those ``n`` words.  ``rows`` are single
+    occurrences, or pre-counted ones when ``count_col`` is given (e.g. a bag
+    of words).  Counting is a partial aggregate and the top-n is salted, so a
+    dominant topic is no hot spot."""
+    cnt = F.sum(count_col) if count_col else F.count(F.lit(1))
+    counts = rows.groupBy(topic_col, word_col).agg(cnt.alias("cnt"))
     top = top_k_per_group(counts, [topic_col], [F.col("cnt").desc(), F.col(word_col)], n,
                           salt_cols=[word_col])
     tot = top.groupBy(topic_col).agg(F.sum("cnt").alias("_tot"))

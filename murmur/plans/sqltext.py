@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from murmur.functions.text import (PUNCT_PATTERN, RT_PATTERN_RE2, STRIP_PATTERN, URL_PATTERN_RE2,
-                                   USER_PATTERN_RE2, URL_TAG, USER_TAG, WS_CLASS, RETWEET_TOKEN)
+                                   USER_PATTERN_RE2, URL_TAG, USER_TAG, WS_CLASS, REPOST_TOKEN)
 
 
 def lit(s: str) -> str:
@@ -37,7 +37,7 @@ def split_words(expr: str) -> str:
 
 
 def valid(expr: str, stop: list[str] | None) -> str:
-    words = list(dict.fromkeys(list(stop or []) + [RETWEET_TOKEN]))
+    words = list(dict.fromkeys(list(stop or []) + [REPOST_TOKEN]))
     inlist = ", ".join(lit(w) for w in words)
     return f"list_filter({expr}, lambda t: length(t) > 1 AND t NOT IN ({inlist}))"
 
