@@ -48,7 +48,8 @@ DATE_LO, DATE_HI = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
 def date_range_filter(spark, sf):
     ev = table(spark, sf, "events")
     out = R.date_range_filter(ev, "ts", DATE_LO, DATE_HI)
-    return out.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    from murmur.operators.timeline import micros
+    return out.select("event_id", micros("ts", out).alias("ts_us"))
 
 
 @query("latest_by_id_range",

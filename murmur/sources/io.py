@@ -57,12 +57,13 @@ def read_messages(spark: SparkSession, path: str, fields: list[str] | None = Non
            .options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE",
                     columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8")
            .csv(path))
-    good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    # A query may not reference the corrupt-record column alone (column
+    # pruning would leave only it, e.g. under count()); both branches also
+    # test the first field with a condition the optimizer cannot drop.
+    touch = F.length(F.coalesce(F.col(head[0]), F.lit(""))) >= 0
+    good = raw.filter(F.col(CORRUPT).isNull() & touch).drop(CORRUPT)
     if repair:
-        # (a query may not reference the corrupt-record column alone, so the
-        # first field is referenced too, as an empty prefix)
-        keep = F.substring(F.coalesce(F.col(head[0]), F.lit("")), 1, 0)
-        bad = raw.filter(F.col(CORRUPT).isNotNull()).select(F.concat(keep, F.col(CORRUPT)).alias(CORRUPT))
+        bad = raw.filter(F.col(CORRUPT).isNotNull() & touch).select(CORRUPT)
         ddl = ", ".join(f"`{c}` STRING" for c in head)
         pieces = bad.select(F.explode(F.slice(F.split(CORRUPT, "\r?\n"), 1, 2)).alias("_l")) \
             .filter(F.length("_l") > 0)

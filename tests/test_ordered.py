@@ -127,3 +127,17 @@ def test_threshold_groups_random(spark):
         n = 9
         edges = {(i, j) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.25}
         assert groups_of(spark, n, edges) == sequential_groups(n, edges)
+
+
+def test_time_bins_do_not_depend_on_session_zone(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    sf = "/root/testdata/sf0.001"
+    before = sorted(map(tuple, q["bin_topic_histogram"](spark, sf).collect()))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        after = sorted(map(tuple, q["bin_topic_histogram"](spark, sf).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert before == after
