@@ -264,3 +264,16 @@ def doc_mean_vectors(model, docs: DataFrame, id_col: str = "doc_id", tokens_col:
     m = model.copy()
     m.setInputCol(tokens_col).setOutputCol("_dv")
     return m.transform(docs).select(id_col, vector_to_array("_dv").alias("vector"))
+
+
+def sweep(grid: list[dict], run) -> DataFrame:
+    """Run ``run(params) -> DataFrame`` for every parameter combination and
+    stack the results with the parameters as columns: one long score table
+    (each run is itself distributed; the grid is a handful of settings)."""
+    out = None
+    for params in grid:
+        df = run(params)
+        for k, v in params.items():
+            df = df.withColumn(k, F.lit(v))
+        out = df if out is None else out.unionByName(df)
+    return out

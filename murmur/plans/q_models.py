@@ -198,3 +198,12 @@ def dpgmm_doc_cluster_counts(spark, sf):
     dp = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=50, tol=1e-4).fit(scaled)
     assigned = dp.predict(scaled)
     return ML.doc_cluster_counts(V.tokens_long(docs), assigned)
+
+
+@query("label_fraction_sweep")
+def label_fraction_sweep(spark, sf):
+    """Score table over labelled-data fractions and trials (train/test split
+    by the seeded exact split)."""
+    feats = _bow_features(spark, sf).persist()
+    grid = [{"p": p, "n_trial": t, "clf_base": "lr"} for p in (0.3, 0.6) for t in (0,)]
+    return ML.sweep(grid, lambda g: ML.train_test_scores(feats, g["clf_base"], p=g["p"], seed=g["n_trial"]))

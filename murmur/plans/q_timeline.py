@@ -50,3 +50,22 @@ def bin_share_log10(spark, sf):
     s = TL.bin_shares(_hist(spark, sf))
     return s.select(F.col("topic").cast("long").alias("topic"), "bin", F.round("log_total", 6).alias("log_total"),
                     F.round("share", 6).alias("share"))
+
+
+@query("histogram_artifacts", "WITH " + SPAN + "SELECT topic, count(*) AS n_bins, round(sum(weight), 6) AS weight FROM hist GROUP BY topic")
+def histogram_artifacts(spark, sf):
+    """Histogram written as a topic artefact, read back, pivoted to the dense
+    topic x bin form and summarised per topic."""
+    import uuid
+    from murmur.session import scratch_path
+    from murmur.sources import io as IO
+    h = _hist(spark, sf).select(F.col("topic").cast("long").alias("topic"), "bin", "bin_low_us", "weight")
+    base = scratch_path(spark, f"topics-{uuid.uuid4().hex}")
+    defs = h.select("topic", F.lit(1).alias("rank"), F.lit("").alias("word"), F.lit(0.0).alias("weight")).limit(0)
+    IO.write_topic_artifacts(base, defs, h)
+    back = IO.read_topic_artifacts(spark, base)["histogram"]
+    wide = TL.histogram_wide(back, TL.N_BINS + 1)
+    bins = [c for c in wide.columns if c != "topic"]
+    nonzero = sum((F.col(f"`{c}`") != 0).cast("long") for c in bins)
+    total = sum(F.col(f"`{c}`") for c in bins)
+    return wide.select("topic", nonzero.alias("n_bins"), F.round(total, 6).alias("weight"))

@@ -167,3 +167,25 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     except Exception:  # noqa: BLE001 - not written yet
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
+
+
+def write_topic_artifacts(base: str, definitions: DataFrame, histogram: DataFrame,
+                          labels: DataFrame | None = None) -> None:
+    """Topic definitions ``(topic, rank, word, weight)``, the histogram long
+    table ``(topic, bin, bin_low_us, weight)`` and, optionally, topic labels
+    ``(topic, label)`` as parquet under ``base``."""
+    definitions.write.mode("overwrite").parquet(f"{base}/definitions")
+    histogram.write.mode("overwrite").parquet(f"{base}/histogram")
+    if labels is not None:
+        labels.write.mode("overwrite").parquet(f"{base}/labels")
+
+
+def read_topic_artifacts(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The tables of :func:`write_topic_artifacts`, by name."""
+    out = {}
+    for name in ("definitions", "histogram", "labels"):
+        try:
+            out[name] = spark.read.parquet(f"{base}/{name}")
+        except Exception:  # noqa: BLE001 - optional table not written
+            continue
+    return out
