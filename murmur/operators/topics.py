@@ -61,16 +61,22 @@ def topic_similarity(tw: DataFrame, eps: float = 1e-12) -> DataFrame:
 def _roots(parent: DataFrame, n_nodes: int) -> DataFrame:
     """``(node, root)`` by pointer jumping over ``(node, ptr)`` (ptr = node
     for roots).  After ``r`` rounds every pointer has jumped ``2**r`` steps;
-    a chain has fewer than ``n_nodes`` links, so ``ceil(log2 n) + 1`` rounds
-    reach every root.  Each round reads the previous one twice, so each is
+    a chain has fewer than ``n_nodes`` links, so at most ``ceil(log2 n) + 1``
+    rounds are needed, and the loop stops earlier once a round changes no
+    pointer.  Each round reads the previous one twice, so each is
     checkpointed (else the plan would double every round)."""
-    cur = parent
+    cur = parent.checkpoint()
     rounds = max(1, math.ceil(math.log2(max(n_nodes, 2)))) + 1
-    for r in range(rounds):
-        cur = (cur.alias("a").join(cur.alias("b"), F.col("a.ptr") == F.col("b.node"), "left")
+    for _ in range(rounds):
+        nxt = (cur.alias("a").join(cur.alias("b"), F.col("a.ptr") == F.col("b.node"), "left")
                .select(F.col("a.node").alias("node"),
-                       F.coalesce(F.col("b.ptr"), F.col("a.ptr")).alias("ptr")))
-        cur = cur.checkpoint()  # cut lineage in the shared checkpoint folder
+                       F.coalesce(F.col("b.ptr"), F.col("a.ptr")).alias("ptr"),
+                       (F.coalesce(F.col("b.ptr"), F.col("a.ptr")) != F.col("a.ptr")).alias("_moved")))
+        nxt = nxt.checkpoint()  # cut lineage in the shared checkpoint folder
+        moved = nxt.filter("_moved").limit(1).count() > 0
+        cur = nxt.drop("_moved")
+        if not moved:
+            break
     return cur.select("node", F.col("ptr").alias("root"))
 
 
