@@ -4,21 +4,51 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from murmur.llm import sp_bpe, token_count
+from murmur.llm import langid, packing, sp_bpe, token_count, toxicity
 from murmur.llm.common import documents
+from murmur.session import table
+
+
+def remainder():
+    """crc32 of the id as text, modulo 5: the fold of a document."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def held_out():
+    return F.coalesce(remainder() == 0, F.lit(False)).alias("held_out")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    network = langid.train(docs.where(remainder() != 0))
+    return langid.identify(docs, network).select("doc_id", held_out(), "lang_pred", "score")
+
+
+def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, with_ids=False)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    machine = toxicity.train(docs.where(remainder() != 0), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine).select("doc_id", held_out(), "score", "predicted")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_curve_packing": op3_curve_packing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_toxicity": op5_toxicity,
     "op8_token_counts": op8_token_counts,
 }
 ORACLE: dict[str, str] = {}

@@ -35,7 +35,7 @@ from murmur.llm.wordtable import Remembered, in_worker
 SPAN, DECAY = 5, 0.6
 #: Bounds of the training sample: toxic and clean documents, strings of each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_STRINGS = 1200, 1800, 1500
-LANDMARKS, ROUNDS = 200, 4
+LANDMARKS, ROUNDS = 200, 6
 #: Standard errors by which a string's share of toxic bags must lie above its
 #: share of clean ones to count as toxic wherever it stands.
 SURE = 6.0
@@ -175,7 +175,7 @@ def fit(toxic: list[list[str]], clean: list[list[str]], seed: int = 1) -> Machin
                 if turn or z[best] > 1.5:
                     picks[best] += 1
                 # besides the pick: strings that toxic bags hold far more often
-                picks.update(w for w in open_ if w != best and z[w] >= SURE and in_clean[w] / nc < 0.1 * in_toxic[w] / nt)
+                picks.update(w for w in open_ if w != best and surprise(in_toxic[w], in_clean[w]) >= SURE and in_clean[w] / nc < 0.1 * in_toxic[w] / nt)
         if not picks:
             return None
         positives = sorted(picks)
