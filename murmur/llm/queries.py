@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import langid, packing, sp_bpe, token_count, toxicity
+from murmur.llm import langid, packing, sp_bpe, suffix_tree, token_count, toxicity
 from murmur.llm.common import documents
 from murmur.session import table
 
@@ -44,11 +44,39 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_tree.dedup(documents(spark, sf_dir), 20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+starts AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS i FROM w),
+keyed AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM starts),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM keyed WHERE nth > 1),
+word AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (
+  SELECT word.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY word.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_curve_packing": op3_curve_packing,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+ORACLE: dict[str, str] = {
+    "op10_substring_dedup": OP10_SQL,
 }
-ORACLE: dict[str, str] = {}
