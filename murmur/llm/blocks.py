@@ -79,6 +79,11 @@ class BlockWords:
         return grams(self.hash, n), grams(other, n)
 
 
+def as_ids(cell) -> np.ndarray:
+    """Ids as numbers; null goes before all others."""
+    return np.array([np.iinfo(np.int64).min if x is None else x for x in cell], np.int64)
+
+
 def sliding(x: np.ndarray, n: int, op) -> np.ndarray:
     """``op`` (idempotent) over every ``n`` consecutive entries, by doubling."""
     if len(x) < n:

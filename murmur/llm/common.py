@@ -49,7 +49,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (cuts the lineage;
     a lost executor costs a re-read, not a recomputation)."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -113,10 +113,10 @@ def words(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np
     return codes, distinct, off
 
 
-def hash64(values: pa.Array) -> np.ndarray:
+def hash64(values: pa.Array | list[str]) -> np.ndarray:
     """64-bit hash of each string."""
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(s) for s in values.to_pylist()), U, len(values))
+    values = values if isinstance(values, list) else values.to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values), U, len(values))
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,8 +74,20 @@ def curve_keys(codes: np.ndarray, hashes: np.ndarray, off: np.ndarray, matrix: n
     return hilbert(cell * (1 << BITS) // 4096)
 
 
+#: Words that the library is given in one string.
+JOINED = 2_000
+#: ASCII marks but the apostrophe, which pre-tokenisers treat in ways of its own.
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
 def ids_of(path: str):
-    """Function from words to their ids (little-endian bytes), once a process."""
+    """Function from words to their ids (little-endian bytes), once a process.
+
+    Words go to the library many at a time, with one of its special strings
+    between them, and the ids are parted at that string's id; this saves the
+    library's cost of a call a word.  Words that hold such a string, and all
+    words if the vocabulary has none, go one by one.
+    """
     def load():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -82,8 +95,48 @@ def ids_of(path: str):
         t.no_truncation()
         t.no_padding()
         kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
-        encode = getattr(t, "encode_batch_fast", t.encode_batch)
-        return kind, Remembered(lambda xs: [np.array(e.ids, kind).tobytes() for e in encode(xs, add_special_tokens=False)])
+        special = {i: x.content for i, x in t.get_added_tokens_decoder().items() if x.special}
+        mark = max(special) if special else None
+        one_by_one = getattr(t, "encode_batch_fast", t.encode_batch)
+        # may words be lower-cased and trimmed?  Only if the vocabulary lower-cases and parts letters from marks
+        probe = lambda w: one_by_one([w], add_special_tokens=False)[0].ids
+        trims = probe("Abc") == probe("abc") and all(probe("abc" + m * 2) == probe("abc") + probe(m * 2) for m in _MARKS)
+
+        def single(words_: list[str]) -> list[bytes]:
+            return [np.array(e.ids, kind).tobytes() for e in one_by_one(words_, add_special_tokens=False)]
+
+        def encode(words_: list[str]) -> list[bytes]:
+            if mark is None:
+                return single(words_)
+            out: list = [None] * len(words_)
+            odd = [i for i, w in enumerate(words_) if any(s in w for s in special.values())]
+            for i, x in zip(odd, single([words_[i] for i in odd]), strict=True):
+                out[i] = x
+            plain = [i for i, x in enumerate(out) if x is None]
+            parts = [plain[k:k + JOINED] for k in range(0, len(plain), JOINED)]
+            between = f" {special[mark]} "
+            for part, e in zip(parts, one_by_one([between.join(words_[i] for i in part) for part in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, kind)
+                cut = np.flatnonzero(ids == mark)
+                raw, width = ids.tobytes(), ids.itemsize
+                lo = [0, *((cut + 1) * width).tolist()]
+                hi = [*(cut * width).tolist(), len(raw)]
+                for i, a, b in zip(part, lo, hi, strict=True):
+                    out[i] = raw[a:b]
+            return out
+
+        core = Remembered(encode)
+
+        def trimmed(words_: list[str]) -> list[bytes]:
+            """Letters and the ASCII marks after them are pre-tokens of their own:
+            ``word``, ``word,`` and ``word.`` share the ids of ``word``."""
+            base = [w.rstrip(_MARKS) for w in words_]
+            base = [b if len(b) < len(w) and b.isalpha() else w for b, w in zip(base, words_, strict=True)]
+            ask = list(dict.fromkeys([*base, *(w[len(b):] for b, w in zip(base, words_, strict=True) if len(b) < len(w))]))
+            ids = dict(zip(ask, core.get(ask), strict=True))
+            return [ids[b] if len(b) == len(w) else ids[b] + ids[w[len(b):]] for b, w in zip(base, words_, strict=True)]
+
+        return kind, Remembered(trimmed if trims else encode), [x.lower() for x in special.values()] if trims else None
     return in_worker(("ids", path), load)
 
 
@@ -95,15 +148,18 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     with word ends does; then the ids of a text are those of its words.
     """
     def task():
-        kind, table = ids_of(path)
+        kind, table, special = ids_of(path)
         matrix = projection()
         pid, seen = TaskContext.get().partitionId(), 0
         width, end = np.dtype(kind).itemsize, np.array([end_id], kind).tobytes()
 
         def part(batch):
             nonlocal seen
-            codes, distinct, off = words(texts(batch))
-            made = table.get(distinct.to_pylist())
+            text = texts(batch)
+            plain = special is not None and not any(pc.any(pc.match_substring(text, s, ignore_case=True)).as_py() for s in special)
+            codes, distinct, off = words(text, lower=plain)
+            distinct = distinct.to_pylist()
+            made = table.get(distinct)
             flat = np.frombuffer(b"".join(made), kind)
             lengths = np.array([len(x) // width for x in made], np.int64)
             starts = np.cumsum(lengths) - lengths

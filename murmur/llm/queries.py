@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import langid, packing, sp_bpe, suffix_tree, token_count, toxicity
+from murmur.llm import langid, packing, sp_bpe, suffix_array, suffix_tree, token_count, toxicity
 from murmur.llm.common import documents
 from murmur.session import table
 
@@ -44,6 +44,30 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_spans(documents(spark, sf_dir), 50)
+
+
+OP2_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+starts AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) AS i FROM w),
+hashed AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM starts),
+keyed AS (
+  SELECT doc_id, i, row_number() OVER p AS nth, first_value(doc_id) OVER p AS origin
+  FROM hashed WINDOW p AS (PARTITION BY k ORDER BY doc_id, i)),
+later AS (
+  SELECT doc_id, i, origin, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM keyed WHERE nth > 1),
+runs AS (
+  SELECT doc_id, i, origin, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM later)
+SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS span_start, CAST(max(i) + 50 - min(i) AS BIGINT) AS span_words,
+       arg_min(origin, i) AS earlier_doc_id
+FROM runs GROUP BY doc_id, run
+"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_tree.dedup(documents(spark, sf_dir), 20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -71,6 +95,7 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_array": op2_suffix_array,
     "op3_curve_packing": op3_curve_packing,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
@@ -78,5 +103,6 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE: dict[str, str] = {
+    "op2_suffix_array": OP2_SQL,
     "op10_substring_dedup": OP10_SQL,
 }

@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.blocks import BlockWords, group_count, marks_of, member, minimisers, repeated_marks, unpack, write_blocks
+from murmur.llm.blocks import BlockWords, as_ids, group_count, marks_of, member, minimisers, repeated_marks, unpack, write_blocks
 from murmur.llm.common import U, grams, runs, written
 
 #: Prefix lengths in words, bins of their hashes that are counted, and the
 #: suffixes that a group holds at most where prefixes allow.
 PREFIXES, BINS, CAPACITY = (1, 2, 4, 8), 1 << 12, 1_000_000
 GRAM = 6
-_NEVER = np.iinfo(np.int64).min
 
 
 def prefix_bins(b: BlockWords, window: int) -> np.ndarray:
@@ -105,11 +104,6 @@ def firsts(b: BlockWords, ids: np.ndarray, places: np.ndarray, window: int):
     return one, two, first
 
 
-def as_ids(cell) -> np.ndarray:
-    """Ids as numbers; null goes before all others."""
-    return np.array([_NEVER if x is None else x for x in cell], np.int64)
-
-
 def repeats(blocks: DataFrame, marks: DataFrame, deal: Prefixes, window: int) -> DataFrame:
     """``(block, later array<binary>)``: the places (numbers of words in the
     block) whose window also starts earlier, as little-endian 32-bit numbers."""

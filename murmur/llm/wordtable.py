@@ -12,28 +12,45 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Strings that a worker remembers at most, and the longest it remembers.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+#: Strings in each of the two generations that a worker remembers, and the
+#: longest string that is remembered.
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
 
 
 class Remembered:
-    """``get(strings)``: ``encode`` of each, through a bounded dictionary."""
+    """``get(strings)``: ``encode`` of each, through bounded dictionaries.
+
+    There are two generations: when the younger is full it becomes the older
+    one, and what is asked for again moves up, so frequent strings stay.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list], first: dict | None = None):
-        self.encode, self.first, self.seen = encode, first or {}, {}
+        self.encode, self.first, self.young, self.old = encode, first or {}, {}, {}
 
     def get(self, strings: list[str]) -> list:
-        first, seen = self.first, self.seen
-        out = [first[s] if s in first else seen.get(s) for s in strings]
-        miss = [i for i, x in enumerate(out) if x is None]
+        first, young, old = self.first.get, self.young, self.old
+        out, miss = [None] * len(strings), []
+        for i, s in enumerate(strings):
+            x = first(s)
+            if x is None:
+                x = young.get(s)
+                if x is None:
+                    x = old.get(s)
+                    if x is None:
+                        miss.append(i)
+                        continue
+                    young[s] = x
+            out[i] = x
         if miss:
-            made = self.encode([strings[i] for i in miss])
-            if len(seen) + len(miss) > CACHE_ENTRIES:
-                seen.clear()
-            for i, x in zip(miss, made, strict=True):
+            for i, x in zip(miss, self.encode([strings[i] for i in miss]), strict=True):
                 out[i] = x
-                if len(strings[i]) <= CACHE_CHARS and len(seen) < CACHE_ENTRIES:
-                    seen[strings[i]] = x
+                if len(strings[i]) <= CACHE_CHARS:
+                    young[strings[i]] = x
+                    if len(young) >= CACHE_ENTRIES:
+                        self.old, self.young = young, {}
+                        young = self.young
+        if len(young) >= CACHE_ENTRIES:
+            self.old, self.young = young, {}
         return out
 
 
