@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import langid, packing, sp_bpe, suffix_array, suffix_tree, token_count, toxicity
+from murmur.llm import jaccard_tree, langid, packing, sp_bpe, suffix_array, suffix_tree, token_count, toxicity
 from murmur.llm.common import documents
 from murmur.session import table
 
@@ -40,6 +40,28 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", held_out(), "score", "predicted")
 
 
+def op7_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.join(documents(spark, sf_dir), 4, 85)
+
+
+OP7_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(a, b) AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
@@ -99,10 +121,12 @@ QUERIES = {
     "op3_curve_packing": op3_curve_packing,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
+    "op7_jaccard_tree": op7_jaccard_tree,
     "op8_token_counts": op8_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE: dict[str, str] = {
     "op2_suffix_array": OP2_SQL,
+    "op7_jaccard_tree": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
