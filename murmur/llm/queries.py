@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import jaccard_tree, langid, packing, sp_bpe, suffix_array, suffix_tree, token_count, toxicity
-from murmur.llm.common import documents
+from murmur.llm import adaptive_scan, grid_join, jaccard_tree, langid, packing, sp_bpe, suffix_array, suffix_tree, token_count, toxicity
+from murmur.llm.common import documents, on_workers
 from murmur.session import table
 
 
@@ -40,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", held_out(), "score", "predicted")
 
 
+def op6_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.search(table(on_workers(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_tree.join(documents(spark, sf_dir), 4, 85)
 
@@ -90,6 +94,27 @@ FROM runs GROUP BY doc_id, run
 """
 
 
+def op9_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(table(on_workers(spark), sf_dir, "embeddings"), 0.95)
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+low AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
+"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_tree.dedup(documents(spark, sf_dir), 20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -121,12 +146,15 @@ QUERIES = {
     "op3_curve_packing": op3_curve_packing,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
+    "op6_adaptive_scan": op6_adaptive_scan,
     "op7_jaccard_tree": op7_jaccard_tree,
     "op8_token_counts": op8_token_counts,
+    "op9_grid_join": op9_grid_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE: dict[str, str] = {
     "op2_suffix_array": OP2_SQL,
     "op7_jaccard_tree": OP7_SQL,
+    "op9_grid_join": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
