@@ -26,7 +26,7 @@ from murmur.llm.vectors import matrix, moments, usable
 #: Vectors that centroids are fitted on, share of lists that a query probes,
 #: columns in a block, the test's width, vectors in a part of a list, queries
 #: that scan it together.
-SAMPLE, PROBE, COLUMNS, WIDTH, PART, TOGETHER = 10_000, 0.8, 16, 2.1, 4096, 1024
+SAMPLE, PROBE, COLUMNS, WIDTH, PART, TOGETHER = 10_000, 0.85, 16, 2.1, 4096, 1024
 
 
 def rotation(d: int, seed: int = 29) -> np.ndarray:
@@ -94,7 +94,7 @@ def search(table: DataFrame, queries, k: int = 20, column: str = "embedding", pr
     rows = written(usable(table, column), "vectors")
     _, most = moments(rows, "v")
     n = rows.count()
-    lists = int(np.clip(round(np.sqrt(n) / 8), 1, 4096))
+    lists = int(np.clip(round(np.sqrt(n) / 8), 16, 4096))
     share = (F.xxhash64("vec_id", F.lit(3)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < 1.2 * sample / max(1, n)
     some = [r.v for r in rows.where(share).orderBy("vec_id").limit(sample).collect()] or [r.v for r in rows.limit(sample).collect()]
     if not some:

@@ -20,29 +20,34 @@ from murmur.llm.common import U, grams, hash64, mix, on_workers, scratch, shuffl
 BLOCK_BYTES = 4 << 20
 
 
-def write_blocks(docs: DataFrame, extra=None, limit: int = BLOCK_BYTES) -> DataFrame:
+def write_blocks(docs: DataFrame, extra=None, limit: int = BLOCK_BYTES, carry: bool = False, lower: bool = False) -> DataFrame:
     """Table ``(block, doc_id array<long>, size binary, body binary, extra
-    binary)``.  ``extra(words of the block)`` may add a summary.  Null texts are
-    empty texts.  Ids must be castable to long; null ids stay null."""
+    binary, rest binary)``.  ``extra(words of the block)`` may add a summary
+    (``lower``: of lower-cased words); ``carry`` keeps the other columns of the
+    rows, as Arrow bytes, for :func:`rows_of`.  Null texts are empty texts.  Ids
+    must be castable to long; null ids stay null."""
     spark = on_workers(docs.sparkSession)
-    schema = "block long, doc_id array<bigint>, size binary, body binary, extra binary"
+    schema = "block long, doc_id array<bigint>, size binary, body binary, extra binary, rest binary"
 
     def run(batches):
         pid, n = TaskContext.get().partitionId(), 0
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for piece in slices(batch, "text", limit):
-                text = texts(piece)
+            for piece in slices(batch, "_llm_text", limit):
+                text = texts(piece, "_llm_text")
                 raw = [t.encode() for t in text.to_pylist()]
                 size = np.array([len(x) for x in raw], "<i8")
-                more = extra(BlockWords(text)) if extra else b""
+                more = extra(BlockWords(text, lower)) if extra else b""
+                rest = press.compress(stream(piece.drop_columns(["_llm_text", "_llm_id"]))) if carry else b""
+                one = lambda x: pa.array([x], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(pid << 32) + n]), pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                     pa.array([size.tobytes()], pa.binary()), pa.array([press.compress(b"".join(raw))], pa.binary()), pa.array([more], pa.binary())],
-                    ["block", "doc_id", "size", "body", "extra"])
+                    [pa.array([(pid << 32) + n]), pa.array([piece.column("_llm_id").to_pylist()], pa.list_(pa.int64())),
+                     one(size.tobytes()), one(press.compress(b"".join(raw))), one(more), one(rest)],
+                    ["block", "doc_id", "size", "body", "extra", "rest"])
                 n += 1
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keep = [c for c in docs.columns if c != "text"] if carry else []
+    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("_llm_id"), F.col("text").cast("string").alias("_llm_text"))
     path = scratch(spark, "blocks")
     name = "llm_blocks_" + path.rsplit("-", 1)[-1]
     (rows.mapInArrow(run, schema).write.bucketBy(shuffle_partitions(spark), "block").option("path", path)
@@ -50,6 +55,18 @@ def write_blocks(docs: DataFrame, extra=None, limit: int = BLOCK_BYTES) -> DataF
     return spark.table(name)
 
 
+def stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def rows_of(rest: bytes) -> pa.Table:
+    """The other columns of a block's rows."""
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(rest)).read_all()
+
+
 def unpack(size: bytes, body: bytes) -> pa.Array:
     """The texts of a block."""
     n = np.frombuffer(size, "<i8")
@@ -62,8 +79,8 @@ class BlockWords:
     """Words of the texts of a block, one after the other: their codes, the
     distinct words, a 64-bit hash and the text of each."""
 
-    def __init__(self, text: pa.Array):
-        self.codes, self.distinct, self.off = words(text)
+    def __init__(self, text: pa.Array, lower: bool = False):
+        self.codes, self.distinct, self.off = words(text, lower)
         self.hash = hash64(self.distinct)[self.codes] if len(self.codes) else np.empty(0, U)
         self.doc = np.repeat(np.arange(len(text)), np.diff(self.off))
 

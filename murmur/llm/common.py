@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from murmur.session import scratch_path, table
 
@@ -53,6 +54,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_id(docs: DataFrame, columns: str) -> T.StructType:
+    """Schema of an operator's rows: ``doc_id`` as it came, then ``columns``."""
+    return T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(columns).fields])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,7 +78,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         lo = hi
 
 
-def map_slices(df: DataFrame, text: str, schema: str, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+def map_slices(df: DataFrame, text: str, schema: str | T.StructType, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
                limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over text-bounded slices; ``fn`` is called once a task
     and returns the function of a slice (a batch, or an iterable of them)."""

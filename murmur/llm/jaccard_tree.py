@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.blocks import BlockWords, packed, unpack, write_blocks
+from murmur.llm.blocks import BlockWords, packed, rows_of, unpack, write_blocks
 from murmur.llm.common import U, grams, shuffle_partitions, written
 from murmur.llm.components import components
 
@@ -308,7 +308,7 @@ def verified(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     def fetch(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                s = Sets(BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py())), shingle)
+                s = Sets(BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()), True), shingle)
                 at = {x: k for k, x in enumerate(s.id.tolist())}
                 ids = batch.column("need")[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.row(at[x]).tobytes() for x in ids], pa.binary())], ["id", "set"])
@@ -351,20 +351,11 @@ def often(shingle: int):
     return count
 
 
-def join(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row: its set's size and
-    the smallest id that links reach (the row's own included).  Two rows link if
-    ``100 * |A and B| >= percent * |A or B|``; words are lower-cased (A-Z).
-
-    Null and empty texts have the empty set and link with nothing.  Rows with
-    equal sets link.  Null ids are ignored in the smallest id unless alone.
-    Further columns are ignored, an empty table gives an empty result, texts of
-    any length are taken whole.  Shingles and sets are told apart by 64-bit
-    hashes.
-    """
+def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """The blocks of the documents and ``(block, at, doc, n, comp)`` of every
+    row: its place in the block, id, set size and class (null: empty set)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
-    blocks = write_blocks(docs, often(shingle))
+    blocks = write_blocks(docs, often(shingle), carry=carry, lower=True)
     buckets = shuffle_partitions(spark)
     text = blocks.select("block", "doc_id", "size", "body")
     rows = blocks.select(F.size("doc_id").alias("n")).agg(F.sum("n")).first()[0] or 0
@@ -372,7 +363,7 @@ def join(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
 
     def each(batch):
         for i in range(batch.num_rows):
-            b = BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()))
+            b = BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()), True)
             s = Sets(b, shingle, sent.value)
             _, nodes = np.unique(np.where(s.size > 0, s.id, -1), return_index=True)
             yield i, batch.column("block")[i].as_py(), s, nodes[s.size[nodes] > 0]
@@ -397,8 +388,8 @@ def join(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
                                                  [*out.schema.names, "doc", "own", "head", "n"])
 
     sketch = written(text.mapInArrow(first_round, ENTRY + ", doc array<bigint>, own array<bigint>, head array<bigint>, n array<bigint>"), "first")
-    members = (sketch.where(F.col("doc").isNotNull()).select("block", F.explode(F.arrays_zip("doc", "own", "head", "n")).alias("r"))
-               .select("block", "r.doc", "r.own", "r.head", "r.n"))
+    members = (sketch.where(F.col("doc").isNotNull()).select("block", F.posexplode(F.arrays_zip("doc", "own", "head", "n")).alias("at", "r"))
+               .select("block", "at", "r.doc", "r.own", "r.head", "r.n"))
     columns = [c.split()[0] for c in ENTRY.split(", ")]
     pairs = sketch.where(F.col("bucket").isNotNull()).select(*columns).groupBy("bucket").applyInArrow(meeting(percent, True), PAIR)
     links = verified(text, pairs, shingle, percent)
@@ -460,6 +451,42 @@ def join(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
     comps = components(links.unionByName(written(verified(text, pairs, shingle, percent), "links")))
 
     rows_ = members.join(comps.withColumnRenamed("node", "own"), "own", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "own")).alias("comp"))
-    least = rows_.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return rows_.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "block", "at", "doc", "n", F.when(F.col("n") > 0, F.coalesce("label", "own")).alias("comp"))
+    return blocks, rows_
+
+
+def join(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row: its set's size and
+    the smallest id that links reach (the row's own included).  Two rows link if
+    ``100 * |A and B| >= percent * |A or B|``; words are lower-cased (A-Z).
+
+    Null and empty texts have the empty set and link with nothing.  Rows with
+    equal sets link.  Null ids are ignored in the smallest id unless alone.
+    Further columns are ignored, an empty table gives an empty result, texts of
+    any length are taken whole.  Shingles and sets are told apart by 64-bit
+    hashes.
+    """
+    _, rows = classes(docs, shingle, percent, False)
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("component_id"))
+    return rows.join(least, "comp", "left").select(
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first in their
+    group (smallest id, null before all, then as they lie in the input).  Rows
+    with an empty set stay."""
+    blocks, rows = classes(docs, shingle, percent, True)
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc", "block", "at")).alias("f")).select("f.block", "f.at")
+    keep = first.unionByName(rows.where("comp is null").select("block", "at")).groupBy("block").agg(F.collect_list("at").alias("keep"))
+    order = docs.columns
+
+    def apply(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = pa.array(sorted(batch.column("keep")[i].as_py()), pa.int64())
+                text = unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py())
+                yield from rows_of(batch.column("rest")[i].as_py()).append_column("text", text).select(order).take(at).to_batches()
+
+    return (blocks.select("block", "size", "body", "rest").join(written(keep, "kept"), "block")
+            .mapInArrow(apply, docs.withColumn("text", F.col("text").cast("string")).schema))

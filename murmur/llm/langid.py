@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import map_slices, on_workers, texts
+from murmur.llm.common import map_slices, on_workers, texts, with_id
 
 #: Bytes in a span, hidden units a direction, spans side by side.
 SPAN, HIDDEN, SIDE = 128, 8, 2048
@@ -223,5 +223,14 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
         return part
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, "text", f"doc_id {kind}, lang_pred string, score double", task)
+    return map_slices(docs, "text", with_id(docs, "lang_pred string, score double"), task)
+
+
+def kept(docs: DataFrame, network: Network | None, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`identify` gives
+    a language with a score of ``least`` or more.  Without a network all rows
+    with a letter stay."""
+    if network is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    named = identify(docs.select(F.struct("*").alias("doc_id"), "text"), network)
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id.*")

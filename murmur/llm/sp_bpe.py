@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from murmur.llm.common import map_slices, on_workers, texts
+from murmur.llm.common import map_slices, on_workers, texts, with_id
 from murmur.llm.wordtable import Remembered, in_worker, ragged
 
 MARK = "\u2581"
@@ -210,5 +210,4 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 def _over(docs: DataFrame, text: str, columns: str, task) -> DataFrame:
     on_workers(docs.sparkSession)
     docs = docs.select("doc_id", docs[text].cast("string").alias(text))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, text, f"doc_id {kind}, {columns}", task)
+    return map_slices(docs, text, with_id(docs, columns), task)

@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.blocks import BlockWords, as_ids, group_count, marks_of, member, minimisers, repeated_marks, unpack, write_blocks
+from murmur.llm.blocks import BlockWords, as_ids, group_count, marks_of, member, minimisers, repeated_marks, rows_of, unpack, write_blocks
 from murmur.llm.common import U, grams, runs, written
 
 #: Prefix lengths in words, bins of their hashes that are counted, and the
@@ -147,6 +148,36 @@ def repeats(blocks: DataFrame, marks: DataFrame, deal: Prefixes, window: int) ->
     return back.groupBy("block").agg(F.collect_list("later").alias("later"))
 
 
+def found(docs: DataFrame, window: int, capacity: int, carry: bool) -> DataFrame:
+    """Blocks of the documents with the marks and repeats of each."""
+    if window < GRAM:
+        raise ValueError(f"window must be {GRAM} words at least")
+    blocks = write_blocks(docs, prefix_counts(window), carry=carry)
+    deal, n = prefixes(blocks, capacity)
+    least = lambda b: grams(b.hash, GRAM)[minimisers(b, window, GRAM)[2]]
+    marks = written(repeated_marks(blocks, least, group_count(n // 4, blocks.sparkSession, capacity)), "marks")
+    later = written(repeats(blocks, marks, deal, window), "repeats")
+    return blocks.drop("extra").join(marks, "block", "left").join(later, "block", "left")
+
+
+def gone_words(batch: pa.RecordBatch, i: int, window: int) -> tuple[BlockWords, np.ndarray]:
+    """The words of a block and the mask of those that are removed."""
+    b = BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()))
+    gone = np.zeros(len(b.codes) + 1, np.int64)
+    marked = batch.column("found")[i].as_py()
+    if marked:
+        places = candidates(b, marks_of(marked), window)
+        _, _, first = firsts(b, as_ids(batch.column("doc_id")[i].as_py()), places, window)
+        late = np.zeros(len(b.codes) + 1, bool)
+        for x in batch.column("later")[i].as_py() or ():
+            late[np.frombuffer(x, "<i4")] = True
+        late[places[first != np.arange(len(places))]] = True  # an equal window of this block comes first
+        at = np.flatnonzero(late)
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + window, -1)
+    return b, np.cumsum(gone)[:-1] > 0
+
+
 def dedup(docs: DataFrame, window: int = 20, capacity: int = CAPACITY) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept, spans)`` of every row: words that
     lie in a window of ``window`` words that also starts earlier (smaller id, or
@@ -160,40 +191,38 @@ def dedup(docs: DataFrame, window: int = 20, capacity: int = CAPACITY) -> DataFr
     Windows are judged on the input, not on what is left.  ``window`` is at
     least GRAM.
     """
-    if window < GRAM:
-        raise ValueError(f"window must be {GRAM} words at least")
-    blocks = write_blocks(docs, prefix_counts(window))
-    deal, n = prefixes(blocks, capacity)
-    least = lambda b: grams(b.hash, GRAM)[minimisers(b, window, GRAM)[2]]
-    marks = written(repeated_marks(blocks, least, group_count(n // 4, blocks.sparkSession, capacity)), "marks")
-    later = written(repeats(blocks, marks, deal, window), "repeats")
     schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,length:long>>"
 
     def apply(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                b = BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()))
-                cell = batch.column("doc_id")[i].as_py()
-                gone = np.zeros(len(b.codes) + 1, np.int64)
-                marked = batch.column("found")[i].as_py()
-                if marked:
-                    places = candidates(b, marks_of(marked), window)
-                    _, _, first = firsts(b, as_ids(cell), places, window)
-                    late = np.zeros(len(b.codes) + 1, bool)
-                    for x in batch.column("later")[i].as_py() or ():
-                        late[np.frombuffer(x, "<i4")] = True
-                    late[places[first != np.arange(len(places))]] = True  # an equal window of this block comes first
-                    at = np.flatnonzero(late)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                yield removed(b, cell, gone)
-
-    joined = blocks.select("block", "doc_id", "size", "body").join(marks, "block", "left").join(later, "block", "left")
-    return joined.mapInArrow(apply, schema)
-
-
-def removed(b: BlockWords, ids: list, gone: np.ndarray) -> pa.RecordBatch:
+                yield removed(*gone_words(batch, i, window), batch.column("doc_id")[i].as_py())
+
+    return found(docs, window, capacity, False).mapInArrow(apply, schema)
+
+
+def without_repeats(docs: DataFrame, window: int = 20, capacity: int = CAPACITY) -> DataFrame:
+    """``docs`` with repeats taken out as by :func:`dedup`; all columns stay.
+    The text of a row that loses no word is unchanged; rows that lose all their
+    words go; ``n_chars``, if there, is counted anew."""
+    order = docs.columns
+
+    def apply(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b, gone = gone_words(batch, i, window)
+                out = removed(b, gone, batch.column("doc_id")[i].as_py())
+                text = unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py())
+                cut, n = (out.column(c).to_numpy() for c in ("n_removed", "n_words"))
+                new = pc.if_else(pa.array(cut > 0), out.column("kept"), text)
+                rows = rows_of(batch.column("rest")[i].as_py()).append_column("text", new).select(order)
+                yield from rows.filter(pa.array((cut < n) | (n == 0))).to_batches()
+
+    clean = found(docs, window, capacity, True).mapInArrow(apply, docs.withColumn("text", F.col("text").cast("string")).schema)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in order else clean
+
+
+def removed(b: BlockWords, gone: np.ndarray, ids: list) -> pa.RecordBatch:
     """Rows of a block, given the mask of removed words."""
     n = len(b.off) - 1
     cut = np.bincount(b.doc[gone], minlength=n)

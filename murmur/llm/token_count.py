@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import map_slices, on_workers, texts
+from murmur.llm.common import map_slices, on_workers, texts, with_id
 from murmur.llm.wordtable import Remembered, in_worker
 
 #: Documents looked at for tier 1, and its entries: together its size bound
@@ -124,5 +124,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, sample_docs: int
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"])
         return part
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, "text", f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean", task)
+    return map_slices(docs, "text", with_id(docs, "n_bytes long, n_tokens long, over_limit boolean"), task)

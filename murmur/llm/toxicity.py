@@ -20,6 +20,7 @@ the decision value that parts the training bags best.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -29,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import map_slices, on_workers, texts, words
+from murmur.llm.common import map_slices, on_workers, texts, with_id, words
 from murmur.llm.wordtable import Remembered, in_worker
 
 SPAN, DECAY = 5, 0.6
 #: Bounds of the training sample: toxic and clean documents, strings of each.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_STRINGS = 1200, 1800, 1500
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_STRINGS = 1000, 1500, 800
 LANDMARKS, ROUNDS = 200, 6
 #: Standard errors by which a string's share of toxic bags must lie above its
 #: share of clean ones to count as toxic wherever it stands.
@@ -90,8 +91,12 @@ class Machine:
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
 
     def decide(self, strings: list[str]) -> np.ndarray:
-        own, sub, weight = subsequences(strings)
-        return np.bincount(own, weight * self.weights[sub], len(strings)) + self.bias
+        out = [np.empty(0)]
+        for k in range(0, len(strings), 8_000):  # a part at a time bounds the memory
+            part = strings[k:k + 8_000]
+            own, sub, weight = subsequences(part)
+            out.append(np.bincount(own, weight * self.weights[sub], len(part)) + self.bias)
+        return np.concatenate(out)
 
     def raw(self, word_list: list[str]) -> list[float]:
         return self.decide([cleaned(w) for w in word_list]).tolist()
@@ -150,12 +155,13 @@ def fit(toxic: list[list[str]], clean: list[list[str]], seed: int = 1) -> Machin
     nt, nc = len(toxic), len(clean)
     in_clean = Counter(w for bag in clean for w in bag)
     in_toxic = Counter(w for bag in toxic for w in bag)
-    gram_clean: Counter = Counter()
-    for bag in clean:
-        gram_clean.update(set().union(*map(grams, bag)) if bag else ())
     gram_toxic: Counter = Counter()
     for bag in toxic:
-        gram_toxic.update(set().union(*map(grams, bag)) if bag else ())
+        gram_toxic.update(set().union(*map(grams, bag)))
+    gram_toxic = Counter({x: n for x, n in gram_toxic.items() if n > 1})
+    gram_clean: Counter = Counter()
+    for bag in clean:
+        gram_clean.update(x for x in set().union(*map(grams, bag)) if x in gram_toxic)
 
     def surprise(t: int, c: int) -> float:
         p = (t + c + 1) / (nt + nc + 2)
@@ -273,9 +279,11 @@ def training_bags(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC,
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.list_(pa.string()))], ["toxic", "bag"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("toxic", "text").mapInArrow(bags, "toxic int, bag array<string>").collect()
-    got = sorted((r.toxic, tuple(r.bag)) for r in got)
-    return [list(b) for k, b in got if k == 1], [list(b) for k, b in got if k == 0]
+    got = rows.select("toxic", "text").mapInArrow(bags, "toxic int, bag array<string>")
+    out: tuple[list, list] = ([], [])
+    for r in got.toLocalIterator():
+        out[r.toxic != 1].append(tuple(sys.intern(w) for w in r.bag))
+    return sorted(out[0]), sorted(out[1])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
@@ -318,5 +326,11 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
         return part
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, "text", f"doc_id {kind}, score double, predicted int", task)
+    return map_slices(docs, "text", with_id(docs, "score double, predicted int"), task)
+
+
+def kept(docs: DataFrame, machine: Machine | None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`score` does not
+    predict to be toxic."""
+    scored = score(docs.select(F.struct("*").alias("doc_id"), "text"), machine)
+    return scored.where("predicted = 0").select("doc_id.*")
