@@ -91,6 +91,7 @@ def ids_of(path: str):
     def load():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
@@ -105,24 +106,40 @@ def ids_of(path: str):
         def single(words_: list[str]) -> list[bytes]:
             return [np.array(e.ids, kind).tobytes() for e in one_by_one(words_, add_special_tokens=False)]
 
+        def together(words_: list[str], call, sign: str, sign_id: int) -> list[bytes]:
+            parts = [words_[k:k + JOINED] for k in range(0, len(words_), JOINED)]
+            out: list[bytes] = []
+            for e in call([f" {sign} ".join(part) for part in parts], add_special_tokens=False):
+                ids = np.array(e.ids, kind)
+                cut = np.flatnonzero(ids == sign_id)
+                raw, width = ids.tobytes(), ids.itemsize
+                out.extend(raw[a:b] for a, b in zip([0, *((cut + 1) * width).tolist()], [*(cut * width).tolist(), len(raw)], strict=True))
+            return out
+
+        # lower-case Latin words are left as they are by the normaliser and are one
+        # pre-token, so the same model without those two steps gives the same ids
+        short, short_sign = None, None
+        if trims and mark is not None:
+            short = Tokenizer(t.model)
+            short.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            short.add_special_tokens([special[mark]])
+            short_sign = short.token_to_id(special[mark])
+            probes = ["abc", "überraß", "élève", "x" * 40]
+            if [x.ids for x in short.encode_batch(probes)] != [probe(x) for x in probes]:
+                short = None
+
         def encode(words_: list[str]) -> list[bytes]:
             if mark is None:
                 return single(words_)
+            kinds = [2 if any(s in w for s in special.values()) else 0 if short is not None and w.isalpha() and max(w) < "\u0250" and w == w.lower() else 1
+                     for w in words_]
             out: list = [None] * len(words_)
-            odd = [i for i, w in enumerate(words_) if any(s in w for s in special.values())]
-            for i, x in zip(odd, single([words_[i] for i in odd]), strict=True):
-                out[i] = x
-            plain = [i for i, x in enumerate(out) if x is None]
-            parts = [plain[k:k + JOINED] for k in range(0, len(plain), JOINED)]
-            between = f" {special[mark]} "
-            for part, e in zip(parts, one_by_one([between.join(words_[i] for i in part) for part in parts], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, kind)
-                cut = np.flatnonzero(ids == mark)
-                raw, width = ids.tobytes(), ids.itemsize
-                lo = [0, *((cut + 1) * width).tolist()]
-                hi = [*(cut * width).tolist(), len(raw)]
-                for i, a, b in zip(part, lo, hi, strict=True):
-                    out[i] = raw[a:b]
+            for k in set(kinds):
+                at = [i for i, x in enumerate(kinds) if x == k]
+                own = [words_[i] for i in at]
+                made = single(own) if k == 2 else together(own, one_by_one, special[mark], mark) if k else together(own, getattr(short, "encode_batch_fast", short.encode_batch), special[mark], short_sign)
+                for i, x in zip(at, made, strict=True):
+                    out[i] = x
             return out
 
         core = Remembered(encode)
@@ -178,7 +195,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     on_workers(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs, "text", f"rid long, doc_id {kind}, key long, n long, ids binary", task)
+    # larger slices hold fewer distinct words an input byte
+    return map_slices(docs, "text", f"rid long, doc_id {kind}, key long, n long, ids binary", task, 9 << 20)
 
 
 def placed(rows: DataFrame) -> DataFrame:

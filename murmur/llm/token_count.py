@@ -72,13 +72,13 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
     """Tier 1 as compressed bytes: the most frequent spaced pre-tokens of at
     most ``sample_docs`` documents (lowest hash of the text) and their lengths.
     Counting is done by Spark; the driver receives ``entries`` rows at most."""
-    some = docs.where(F.col("text").isNotNull()).select(F.substring("text", 1, 20_000).alias("text"))
+    some = docs.where(F.col("text").isNotNull()).select("text")
     share = F.xxhash64("text", F.lit(7)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     some = some.where(share < sample_docs / max(1, docs.count())).limit(2 * sample_docs)
     piece = F.explode(F.split("text", " ")).alias("piece")
     top = (some.select(piece).where((F.length("piece") > 0) & (F.length("piece") < FREQUENT_CHARS))
            .groupBy("piece").count().orderBy(F.desc("count"), "piece").limit(entries))
-    pieces = [" " + r.piece for r in top.collect()]
+    pieces = [" " + r.piece for r in top.collect() if "\x00" not in r.piece]  # that sign parts the entries
     lengths = library(path)[0](pieces) if pieces else []
     return zlib.compress("\x00".join(pieces).encode() + b"\x00\x00" + bytes(min(n, 255) for n in lengths))
 
