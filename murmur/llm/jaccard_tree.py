@@ -14,8 +14,8 @@ keeps frequent lines and passages out of the prefixes.  Large groups of near
 copies are not compared pair by pair:
 
 1. documents of a block link among themselves, and one of each local group goes
-   to the shingles of least rank, where a spanning forest of the surviving
-   pairs is verified; components follow;
+   to its few shingles of least hash, where a spanning forest of the surviving
+   pairs, those that may be most alike first, is verified; components follow;
 2. every prefix shingle learns which components hold it (one entry a block and
    component), and those that meet only one component are done;
 3. at the others, every surviving pair of documents of different components is
@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.blocks import BlockWords, packed, rows_of, unpack, write_blocks
+from murmur.llm.blocks import BlockWords, by_block, packed, rows_of, unpack, write_blocks
 from murmur.llm.common import U, grams, shuffle_partitions, written
 from murmur.llm.components import components
 
 #: Groups of the count vector, points in a leaf, children of a node.
-GROUPS, LEAF, FANOUT = 16, 32, 8
-#: Shingles of least rank that the first round looks at.
+GROUPS, LEAF, FANOUT = 64, 32, 8
+#: Groups of the second, finer count vector of a pair.
+FINE = 512
+#: Shingles of least hash that the first round looks at.
 FIRST = 6
 #: A shingle counts as frequent from this share of documents on.  As there are
 #: no more shingles than places for them, at most (mean set size) / SHARE
@@ -48,19 +50,18 @@ class Sets:
     """Shingle sets of the texts of a block: sorted hashes, offsets, set ids."""
 
     def __init__(self, b: BlockWords, shingle: int, frequent: np.ndarray | None = None):
-        n = np.diff(b.off)
-        g, ok = grams(b.hash, shingle), b.starts(shingle)
-        doc, value = b.doc[: len(g)][ok], g[ok]
-        short = np.flatnonzero((n > 0) & (n < shingle))
-        if len(short):  # the whole sequence is the one shingle
-            whole = [U(xxhash.xxh3_64_intdigest(b.hash[b.off[i]:b.off[i + 1]].tobytes(), seed=int(n[i]))) for i in short]
-            doc, value = np.concatenate([doc, short]), np.concatenate([value, np.array(whole, U)])
-        order = np.lexsort((value, doc))
-        doc, value = doc[order], value[order]
-        fresh = np.ones(len(doc), bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-        self.doc, self.value = doc[fresh], value[fresh]
-        self.size = np.bincount(self.doc, minlength=len(n)).astype(np.int64)
+        g = grams(b.hash, shingle)
+        sets = []
+        for lo, hi in zip(b.off.tolist(), b.off[1:].tolist(), strict=False):
+            if hi - lo >= shingle:
+                sets.append(np.unique(g[lo:hi - shingle + 1]))
+            elif hi > lo:  # the whole sequence is the one shingle
+                sets.append(np.array([xxhash.xxh3_64_intdigest(b.hash[lo:hi].tobytes(), seed=hi - lo)], U))
+            else:
+                sets.append(g[:0])
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.value = np.concatenate(sets) if sets else g[:0]
+        self.doc = np.repeat(np.arange(len(sets)), self.size)
         self.off = np.concatenate([[0], np.cumsum(self.size)])
         self.id = np.array([xxhash.xxh3_64_intdigest(self.value[a:b_].tobytes(), seed=1) >> 1 for a, b_ in zip(self.off, self.off[1:], strict=False)], np.int64)
         self.frequent = frequent
@@ -72,18 +73,26 @@ class Sets:
         group = (self.value >> U(40)).astype(np.int64) % GROUPS
         return np.bincount(self.doc * GROUPS + group, minlength=len(self.size) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
-    def prefixes(self, use: np.ndarray, percent: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def lowest(self, use: np.ndarray, most: int = FIRST) -> tuple[np.ndarray, np.ndarray]:
+        """Document and shingle of the few of least hash, of the documents
+        ``use``.  (Those are a fair sample of a set, frequent shingles included:
+        near copies share them even where a whole crowd of copies makes all
+        their common shingles frequent.)"""
+        n = np.minimum(self.size[use], most)
+        doc = np.repeat(use, n)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        return doc, self.value[self.off[doc] + at]
+
+    def prefixes(self, use: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Document and shingle of the prefixes of the documents ``use``."""
-        last = np.zeros(len(self.value), bool)
+        last = np.zeros(len(self.value), np.int64)
         if self.frequent is not None and len(self.frequent):
-            last = self.frequent[np.minimum(np.searchsorted(self.frequent, self.value), len(self.frequent) - 1)] == self.value
-        order = np.lexsort((self.value, last, self.doc))
-        length = self.size - -(-percent * self.size // 100) + 1
-        length = np.where(self.size > 0, length if most is None else np.minimum(length, most), 0)
-        at = np.arange(len(order)) - self.off[self.doc]
+            last += self.frequent[np.minimum(np.searchsorted(self.frequent, self.value), len(self.frequent) - 1)] == self.value
+        order = np.argsort(2 * self.doc + last, kind="stable")
+        length = np.where(self.size > 0, self.size - -(-percent * self.size // 100) + 1, 0)
         mask = np.zeros(len(self.size), bool)
         mask[use] = True
-        keep = (at < length[self.doc]) & mask[self.doc]
+        keep = (np.arange(len(order)) - self.off[self.doc] < length[self.doc]) & mask[self.doc]
         return self.doc[keep], self.value[order][keep]
 
 
@@ -203,7 +212,11 @@ def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec:
     a, b = a[ok], b[ok]
     ok = survives(size[a], vec[a], size[b], vec[b], percent)
     forest = Forest(len(size)) if spanning else None
-    take(a[ok], b[ok], forest, comp, lefts, rights)
+    a, b = a[ok], b[ok]
+    if spanning and len(a):
+        alike = np.argsort(-np.minimum(vec[a], vec[b]).sum(1) / (size[a] + size[b]), kind="stable")
+        a, b = a[alike], b[alike]
+    take(a, b, forest, comp, lefts, rights)
     seen = set()
     for at, c in zip(edge[:-1][count > LEAF], count[count > LEAF], strict=True):
         own = node[at:at + c]
@@ -223,7 +236,8 @@ def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec:
 
 def take(a, b, forest, comp, lefts, rights) -> None:
     """Keep pairs; with a forest, those that join two of its trees, and number
-    the trees anew in ``comp`` (equal numbers: same tree or component)."""
+    the trees anew in ``comp`` (equal numbers: same tree or component).  Pairs
+    that may be most alike come first, so that the forest holds few others."""
     if forest is None:
         lefts.append(a)
         rights.append(b)
@@ -243,8 +257,8 @@ def take(a, b, forest, comp, lefts, rights) -> None:
 def local_groups(s: Sets, nodes: np.ndarray, vec: np.ndarray, percent: int) -> np.ndarray:
     """For each of ``nodes`` (documents of a block with different sets), the
     place in ``nodes`` of its group's first: links are found at the shingles of
-    least rank and verified."""
-    doc, token = s.prefixes(nodes, percent, FIRST)
+    least hash and verified."""
+    doc, token = s.lowest(nodes)
     place = np.full(len(s.size), -1)
     place[nodes] = np.arange(len(nodes))
     verified = Forest(len(nodes))
@@ -258,15 +272,15 @@ def local_groups(s: Sets, nodes: np.ndarray, vec: np.ndarray, percent: int) -> n
 ENTRY = "bucket int, block long, tokens binary, nodes binary, ids binary, sizes binary, vecs binary, comps binary"
 
 
-def entries(block: int, token: np.ndarray, doc: np.ndarray, s: Sets, vec: np.ndarray, comp: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Prefix entries by bucket of the shingle; a document's id, size, vector
-    and component (``comp``, by document) travel once a bucket."""
+def entries(block: int, token: np.ndarray, doc: np.ndarray, ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries by bucket of the shingle; a document's id, size, vector and
+    component travel once a bucket."""
     rows = packed(np.arange(len(token)), ((token >> U(12)) % U(buckets)).astype(np.int64), buckets)
     cols: list[list] = [[] for _ in range(6)]
     for _, raw in rows:
         at = np.frombuffer(raw, np.int64)
         own, node = np.unique(doc[at], return_inverse=True)
-        for col, x in zip(cols, (token[at], node.astype("<i4"), s.id[own], s.size[own], vec[own], comp[own]), strict=True):
+        for col, x in zip(cols, (token[at], node.astype("<i4"), ids[own], size[own], vec[own], comp[own]), strict=True):
             col.append(np.ascontiguousarray(x).tobytes())
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)],
                                       ["bucket", "block", "tokens", "nodes", "ids", "sizes", "vecs", "comps"])
@@ -300,7 +314,8 @@ PAIR = "a long, b long, block_a long, block_b long"
 
 def verified(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link.  Only the sets that some pair names are
-    made again, each once."""
+    made again, each once.  Pairs first meet counts in ``FINE`` groups, which
+    rule out most of those that do not link; only the rest meet the sets."""
     pairs = written(pairs.dropDuplicates(["a", "b"]), "pairs")
     need = (pairs.select(F.col("block_a").alias("block"), F.col("a").alias("id")).unionByName(pairs.select(F.col("block_b").alias("block"), F.col("b").alias("id")))
             .groupBy("id").agg(F.min("block").alias("block")).groupBy("block").agg(F.collect_list("id").alias("need")))
@@ -311,24 +326,32 @@ def verified(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
                 s = Sets(BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()), True), shingle)
                 at = {x: k for k, x in enumerate(s.id.tolist())}
                 ids = batch.column("need")[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.row(at[x]).tobytes() for x in ids], pa.binary())], ["id", "set"])
+                rows = [s.row(at[x]) for x in ids]
+                counts = [np.bincount((r >> U(30)).astype(np.int64) % FINE, minlength=FINE).astype("<u4").tobytes() for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                                                 ["id", "counts", "set"])
+
+    sets = written(blocks.select("block", "size", "body").join(need, "block").mapInArrow(fetch, "id long, counts binary, set binary"), "sets")
 
-    sets = written(blocks.select("block", "size", "body").join(need, "block").mapInArrow(fetch, "id long, set binary"), "sets")
+    def bounded(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64)
+        return bool(survives(x.sum(), x, y.sum(), y, percent))
 
-    def check(batches):
-        for t in batches:
-            x, y = t.column("x").to_pylist(), t.column("y").to_pylist()
-            ok = [linked(np.frombuffer(p, U), np.frombuffer(q, U), percent) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def meet(pairs_: DataFrame, column: str, test) -> DataFrame:
+        def check(batches):
+            for t in batches:
+                ok = [test(p, q) for p, q in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        x, y = (sets.select(F.col("id").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        return pairs_.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-    x = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    left = written(meet(pairs.select("a", "b"), "counts", bounded), "bounded")
+    return meet(left, "set", lambda x, y: linked(np.frombuffer(x, U), np.frombuffer(y, U), percent))
 
 
 def frequent_shingles(blocks: DataFrame, rows: int) -> np.ndarray:
-    """Sorted shingles that a SHARE of the documents hold at least, judged by
-    the blocks that have them often.  The order of prefixes rests on them, never
+    """Sorted shingles that stand as often as a SHARE of the documents at least,
+    judged by the blocks that have them often.  The order of prefixes rests on them, never
     a result."""
     def spread(batches):
         for b in batches:
@@ -342,11 +365,10 @@ def frequent_shingles(blocks: DataFrame, rows: int) -> np.ndarray:
 
 
 def often(shingle: int):
-    """Summary of a block: shingles that many of its documents hold."""
+    """Summary of a block: shingles that stand in it often."""
     def count(b: BlockWords) -> bytes:
-        s = Sets(b, shingle)
-        value, n = np.unique(s.value, return_counts=True)
-        keep = n >= max(3, SHARE * len(s.size))
+        value, n = np.unique(grams(b.hash, shingle)[b.starts(shingle)], return_counts=True)
+        keep = n >= max(3, SHARE * (len(b.off) - 1))
         return value[keep].astype("<u8").tobytes() + n[keep].astype("<i4").tobytes()
     return count
 
@@ -379,15 +401,18 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
                 same = dict(zip(s.id[nodes].tolist(), group.tolist(), strict=True))
                 head = np.array([s.id[nodes[same[x]]] if n else -1 for x, n in zip(s.id.tolist(), s.size.tolist(), strict=True)], np.int64)
                 firsts = nodes[np.unique(group)] if len(nodes) else nodes
-                doc, token = s.prefixes(firsts, percent, FIRST)
-                out = entries(block, token, doc, s, vec, s.id, buckets)
-                empty = pa.nulls(out.num_rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*out.columns, empty, empty, empty, empty], [*out.schema.names, "doc", "own", "head", "n"])
+                doc, token = s.lowest(firsts)
+                out = entries(block, token, doc, s.id, s.size, vec, s.id, buckets)
+                yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(out.num_rows, t) for t in (*[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3))],
+                                                 [*out.schema.names, *kept_names])
+                doc, token = s.prefixes(nodes, percent)
                 lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, s.id.tolist(), head.tolist(), s.size.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([block]), *(pa.nulls(1, pa.binary()) for _ in range(6)), *lists],
-                                                 [*out.schema.names, "doc", "own", "head", "n"])
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (doc.astype("<i4"), token, vec)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([block]), *(pa.nulls(1, pa.binary()) for _ in range(6)), *lists, *blobs],
+                                                 [*out.schema.names, *kept_names])
 
-    sketch = written(text.mapInArrow(first_round, ENTRY + ", doc array<bigint>, own array<bigint>, head array<bigint>, n array<bigint>"), "first")
+    kept_names = ["doc", "own", "head", "n", "prefix_doc", "prefix", "vec"]
+    sketch = by_block(text.mapInArrow(first_round, ENTRY + ", doc array<bigint>, own array<bigint>, head array<bigint>, n array<bigint>, prefix_doc binary, prefix binary, vec binary"))
     members = (sketch.where(F.col("doc").isNotNull()).select("block", F.posexplode(F.arrays_zip("doc", "own", "head", "n")).alias("at", "r"))
                .select("block", "at", "r.doc", "r.own", "r.head", "r.n"))
     columns = [c.split()[0] for c in ENTRY.split(", ")]
@@ -403,17 +428,20 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
                 .select("block", F.col("both.own").alias("own"), F.col("both.label").alias("label")))
     of_block = written(of_block, "comps")
 
-    def comp_of(s: Sets, batch, i) -> np.ndarray:
-        known = dict(zip(batch.column("own")[i].as_py() or (), batch.column("label")[i].as_py() or (), strict=True))
-        return np.array([known.get(x, x) for x in s.id.tolist()], np.int64)
+    def known(batch):
+        """Of each block: its ids, sizes, prefixes and components, by document."""
+        for i in range(batch.num_rows):
+            ids, size = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("own", "n"))
+            label = dict(zip(batch.column("had")[i].as_py() or (), batch.column("label")[i].as_py() or (), strict=True))
+            comp = np.array([label.get(x, x) for x in ids.tolist()], np.int64)
+            doc, token = np.frombuffer(batch.column("prefix_doc")[i].as_py(), "<i4"), np.frombuffer(batch.column("prefix")[i].as_py(), U)
+            yield i, batch.column("block")[i].as_py(), ids, size, doc, token, comp
 
     def contested(batches):
         for batch in batches:
-            for i, block, s, nodes in each(batch):
-                comp = comp_of(s, batch, i)
-                doc, token = s.prefixes(nodes, percent)
+            for _, block, _, _, doc, token, comp in known(batch):
                 both = np.unique(np.stack([token.view(np.int64), comp[doc]], 1), axis=0)
-                rows_ = packed(np.arange(len(both)), ((both[:, 0].view(U) >> U(12)) % U(buckets)).astype(np.int64), buckets)
+                rows_ = packed(np.arange(len(both)), ((both[:, 0].copy().view(U) >> U(12)) % U(buckets)).astype(np.int64), buckets)
                 at = [np.frombuffer(x, np.int64) for _, x in rows_]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in rows_], pa.int32()), pa.array([block] * len(rows_), pa.int64()),
@@ -434,18 +462,19 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
         keep = [i for i, x in enumerate(out) if x]
         return pa.table({"block": table.column("block").take(pa.array(keep, pa.int64())), "hot": pa.array([out[i] for i in keep], pa.binary())})
 
-    labelled = text.join(of_block, "block", "left")
-    hot = (labelled.mapInArrow(contested, "bucket int, block long, tokens binary, comps binary").groupBy("bucket")
+    labelled = (sketch.where(F.col("doc").isNotNull()).select("block", "own", "n", "prefix_doc", "prefix", "vec")
+                .join(of_block.withColumnRenamed("own", "had"), "block", "left"))
+    hot = (labelled.drop("vec").mapInArrow(contested, "bucket int, block long, tokens binary, comps binary").groupBy("bucket")
            .applyInArrow(several, "block long, hot binary").groupBy("block").agg(F.collect_list("hot").alias("hot")))
     hot = written(hot, "contested")
 
     def last_round(batches):
         for batch in batches:
-            for i, block, s, nodes in each(batch):
-                own = np.sort(np.concatenate([np.frombuffer(x, "<i8") for x in batch.column("hot")[i].as_py()])).view(np.int64)
-                doc, token = s.prefixes(nodes, percent)
+            for i, block, ids, size, doc, token, comp in known(batch):
+                own = np.sort(np.concatenate([np.frombuffer(x, "<i8") for x in batch.column("hot")[i].as_py()]))
                 hit = own[np.minimum(np.searchsorted(own, token.view(np.int64)), len(own) - 1)] == token.view(np.int64)
-                yield entries(block, token[hit], doc[hit], s, s.vectors(), comp_of(s, batch, i), buckets)
+                vec = np.frombuffer(batch.column("vec")[i].as_py(), "<i4").reshape(-1, GROUPS)
+                yield entries(block, token[hit], doc[hit], ids, size, vec, comp, buckets)
 
     pairs = labelled.join(hot, "block").mapInArrow(last_round, ENTRY).groupBy("bucket").applyInArrow(meeting(percent, False), PAIR)
     comps = components(links.unionByName(written(verified(text, pairs, shingle, percent), "links")))
