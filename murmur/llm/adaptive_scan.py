@@ -57,27 +57,43 @@ def raised(v: np.ndarray, most: float, turn: np.ndarray) -> np.ndarray:
     return np.hstack([v, rest[:, None]]) @ turn
 
 
-def scan(q: np.ndarray, q_turned: np.ndarray, x: np.ndarray, turned: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best k of a part of a list for one query: places, inner products."""
+def scan(q: np.ndarray, q_turned: np.ndarray, q_ids: np.ndarray, x: np.ndarray, turned: np.ndarray, ids: np.ndarray, k: int):
+    """The best k of a part of a list for each of some queries, as three arrays:
+    place of the query, id found, inner product.  A candidate is alive for a
+    query until a test gives it up; one that no query holds on to is dropped."""
+    order = np.argsort(ids, kind="stable")
+    x, turned, ids = x[order], turned[order], ids[order]
     d = turned.shape[1]
-    alive = np.arange(len(x))
-    part = np.zeros(len(x))
-    bound = np.inf
+    alive = q_ids[:, None] != ids
+    part = np.zeros(alive.shape)
+    bound = None
     for lo in range(0, d, COLUMNS):
         hi = min(d, lo + COLUMNS)
-        diff = turned[alive, lo:hi] - q_turned[lo:hi]
-        part = part + np.einsum("ij,ij->i", diff, diff)
-        if lo == 0 and len(alive) > 4 * k:
-            # the candidates nearest so far give the first k-th best distance
-            first = np.argpartition(part, 2 * k)[:2 * k]
-            full = ((turned[first] - q_turned) ** 2).sum(1)
-            bound = np.partition(full, k - 1)[k - 1]
-        if hi < d and np.isfinite(bound):
-            keep = part * (d / hi) <= bound * (1 + WIDTH / np.sqrt(hi)) ** 2
-            alive, part = alive[keep], part[keep]
-    score = x[alive] @ q
-    best = np.lexsort((ids[alive], -score))[:k]
-    return alive[best], score[best]
+        a, b = q_turned[:, lo:hi], turned[:, lo:hi]
+        part += (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+        if lo == 0 and len(ids) > 4 * k:
+            # the candidates nearest so far give a first k-th best distance
+            guess = np.where(alive, part, np.inf)
+            first = np.argpartition(guess, 2 * k, axis=1)[:, :2 * k]
+            full = ((turned[first] - q_turned[:, None, :]) ** 2).sum(2)
+            full[~np.take_along_axis(alive, first, 1)] = np.inf
+            bound = np.partition(full, k - 1, axis=1)[:, k - 1:k]
+        if hi < d and bound is not None:
+            alive &= part * (d / hi) <= bound * (1 + WIDTH / np.sqrt(hi)) ** 2
+            some = alive.any(0)
+            if some.mean() < 0.7:
+                alive, part, turned, x, ids = alive[:, some], part[:, some], turned[some], x[some], ids[some]
+    score = np.where(alive, q @ x.T, -np.inf)
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k][:, None]
+        alive &= score >= least
+    row, col = np.nonzero(alive)
+    value = score[row, col]
+    order = np.lexsort((ids[col], -value, row))
+    row, col, value = row[order], col[order], value[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = nth < k
+    return row[keep], ids[col[keep]], value[keep]
 
 
 def search(table: DataFrame, queries, k: int = 20, column: str = "embedding", probe: float = PROBE, sample: int = SAMPLE) -> DataFrame:
@@ -148,15 +164,10 @@ def search(table: DataFrame, queries, k: int = 20, column: str = "embedding", pr
                 x, q = np.frombuffer(raw("x")).reshape(len(ids), -1), np.frombuffer(raw("q")).reshape(len(q_ids), -1)
                 turned = np.frombuffer(raw("turned")).reshape(len(ids), -1)
                 q_turned = np.hstack([q, np.zeros((len(q), 1))]) @ turn
-                a, b, s = [], [], []
-                for i in range(len(q)):
-                    at, score = scan(q[i], q_turned[i], x, turned, ids, k + 1)
-                    other = ids[at] != q_ids[i]
-                    at, score = at[other][:k], score[other][:k]
-                    a.append(np.full(len(at), q_ids[i]))
-                    b.append(ids[at])
-                    s.append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b, s)], ["query_id", "vec_id", "score"])
+                for k0 in range(0, len(q), 256):
+                    at = slice(k0, k0 + 256)
+                    row, other, score = scan(q[at], q_turned[at], q_ids[at], x, turned, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at][row]), pa.array(other), pa.array(score)], ["query_id", "vec_id", "score"])
 
     found = asked.join(parts, "list").mapInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

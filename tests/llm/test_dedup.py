@@ -12,6 +12,7 @@ from murmur.llm.common import U
 from murmur.llm.components import components
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 
 def kept_words(table, n):
@@ -161,7 +162,7 @@ def test_adaptive_scan(spark, probe, least):
     table = spark.createDataFrame(rows, SCHEMA).repartition(4)
     x = np.array([r[1] for r in rows[:n]])
     got = {}
-    for r in adaptive_scan.search(table, table["vec_id"] % 20 == 0, 20, probe=probe).collect():
+    for r in adaptive_scan.search(table, F.col("vec_id") % 20 == 0, 20, probe=probe).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     hits = total = 0
     for q in range(0, n, 20):
@@ -177,6 +178,6 @@ def test_adaptive_scan(spark, probe, least):
 
 def test_adaptive_scan_edges(spark):
     few = spark.createDataFrame([(i, [1.0, float(i % 2)], 1, "x") for i in range(7)], SCHEMA)
-    got = sorted(tuple(r) for r in adaptive_scan.search(few, few["vec_id"] % 20 == 0, 20, probe=1.0).collect())
+    got = sorted(tuple(r) for r in adaptive_scan.search(few, F.col("vec_id") % 20 == 0, 20, probe=1.0).collect())
     assert [(g[1], g[2], g[3]) for g in got] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0), (5, 5, 1.0), (6, 6, 1.0)]
-    assert adaptive_scan.search(few.limit(0), few["vec_id"] == 0).count() == 0
+    assert adaptive_scan.search(few.limit(0), F.col("vec_id") == 0).count() == 0
