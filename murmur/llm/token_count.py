@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, sample_docs: int
 
     def task():
         count, special = library(path)
-        table = in_worker(("tier2", path, sent.value[:64]), lambda: Remembered(count, unpacked(sent.value)))
+        table = in_worker(("count-tables", path, zlib.crc32(sent.value)), lambda: Remembered(count, unpacked(sent.value)))
 
         def part(batch):
             text = texts(batch)

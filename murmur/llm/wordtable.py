@@ -57,9 +57,16 @@ class Remembered:
 _WORKER: dict = {}
 
 
-def in_worker(key, make: Callable[[], object]):
-    """One object a Python worker process, kept across tasks."""
+def in_worker(key: tuple, make: Callable[[], object]):
+    """One object a Python worker process, kept across tasks.  A worker keeps
+    the objects of one operator at a time (what stands before a dash in the
+    key's name), and of each name the last, so a chain of operators does not
+    pile up tables."""
     if key not in _WORKER:
+        name = key[0]
+        for old in list(_WORKER):
+            if old[0] == name or old[0].split("-")[0] != name.split("-")[0]:
+                del _WORKER[old]
         _WORKER[key] = make()
     return _WORKER[key]
 
