@@ -37,6 +37,20 @@ def legend_lines(words: DataFrame, key: str, order: str, word: str = "word", wid
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, word))), lambda s: s[word]), " ").alias("text"))
 
 
+def rows_where(df: DataFrame, conditions: dict) -> DataFrame:
+    """Rows in which every named column equals its value (a list: one of the
+    values); a null value asks for nulls."""
+    for name, value in conditions.items():
+        c = F.col(name)
+        df = df.filter(c.isin(list(value)) if isinstance(value, (list, tuple, set)) else c.isNull() if value is None else c == F.lit(value))
+    return df
+
+
+def one_series(df: DataFrame, name: str, x: str, y: str, name_col: str = "name") -> DataFrame:
+    """``(x, y)`` of one named series."""
+    return df.filter(F.col(name_col) == name).select(F.col(x).alias("x"), F.col(y).alias("y"))
+
+
 def series_stats(df: DataFrame, series: str, x: str, y: str) -> DataFrame:
     """Mean, population std and count of ``y`` per ``(series, x)``."""
     return df.groupBy(series, x).agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"),

@@ -25,29 +25,28 @@ from murmur.operators.sampling import stratified_folds
 from murmur.operators.vectors import unit
 
 MAX_VOCAB = 1_000_000  # vocabularies handed to CountVectorizerModel are bounded
-# Fitting sets below this many rows are gathered into one partition: an
-# iterative solver runs one Spark job per iteration, and on a tiny set the
-# per-task overhead of many partitions is the whole cost.  Larger sets keep
-# their partitioning (and the fits their parallelism).
-SMALL_FIT_ROWS = 100_000
 
 
 def _fit_layout(data: DataFrame) -> tuple[DataFrame, int]:
-    n = data.count()
-    if n < SMALL_FIT_ROWS:
-        data = data.coalesce(1)
-    return data.persist(), n
+    """The data persisted for an iterative solver, and its rows (the solver's
+    regularisation is a share of them).  The layout is the same at every size."""
+    data = data.persist()
+    return data, data.count()
 
 
 # ---- word vectors -----------------------------------------------------------
 
 def train_word2vec(docs: DataFrame, size: int = 100, window: int = 10, min_count: int = 2,
-                   max_iter: int = 20, step: float = 0.05, seed: int = 1, partitions: int = 1,
+                   max_iter: int = 20, step: float = 0.05, seed: int = 1, partitions: int | None = None,
                    tokens_col: str = "tokens"):
-    """Skip-gram with hierarchical softmax (Spark's Word2Vec)."""
+    """Skip-gram with hierarchical softmax (Spark's Word2Vec), ``max_iter``
+    epochs on as many partitions as the cluster runs at once.  Messages are
+    never cut."""
+    partitions = partitions or docs.sparkSession.sparkContext.defaultParallelism
+    longest = docs.agg(F.max(F.size(tokens_col))).first()[0] or 1
     w2v = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=max_iter,
                    stepSize=step, seed=seed, numPartitions=partitions, inputCol=tokens_col,
-                   outputCol="_w2v", maxSentenceLength=100_000)
+                   outputCol="_w2v", maxSentenceLength=max(1000, int(longest)))
     return w2v.fit(docs.select(tokens_col))
 
 
@@ -79,12 +78,12 @@ def tfidf_vectors(docs: DataFrame, kept: DataFrame, n_docs: int, tokens_col: str
 
 # ---- topics ---------------------------------------------------------------------
 
-def fit_lda(features: DataFrame, k: int = 10, max_iter: int = 20, seed: int = 1,
+def fit_lda(features: DataFrame, k: int = 10, max_iter: int = 5, seed: int = 1,
             features_col: str = "features"):
     """Online variational LDA: decay 0.5, eta 0.1, document concentration
-    optimised (asymmetric alpha)."""
+    optimised (asymmetric alpha).  Each iteration is a pass over all messages."""
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", learningDecay=0.5,
-              topicConcentration=0.1, optimizeDocConcentration=True, featuresCol=features_col,
+              topicConcentration=0.1, optimizeDocConcentration=True, subsamplingRate=1.0, featuresCol=features_col,
               topicDistributionCol="topicDistribution")
     return lda.fit(features)
 
@@ -163,11 +162,18 @@ def classifier(name: str = "lr", n_train: int = 1, c: float = 1.0):
 def _fold_scores(pred: DataFrame, label: str) -> dict:
     m = M.binary_metrics(pred, label, "prediction").first()
     auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                        metricName="areaUnderROC").evaluate(pred)
+                                        metricName="areaUnderROC", numBins=0).evaluate(pred)  # 0: exact
     return {"accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"],
             "f1": m["f1"], "roc_auc": auc}
 
 
+def _folded(data: DataFrame, label: str, id_col: str, k: int, seed: int) -> DataFrame:
+    """``data`` with its stratified fold; only ids and labels pass through the
+    ordered scan, the features are joined back."""
+    folds = stratified_folds(data.select(id_col, label), label, id_col, k, seed=seed)
+    return data.join(folds.select(id_col, "fold"), id_col)
+
+
 def cv_scores(data: DataFrame, clf_name: str = "lr", n_trials: int = 10, n_cv: int = 3,
               label: str = "label", id_col: str = "doc_id", c: float = 1.0,
               parallelism: int = 8) -> DataFrame:
@@ -178,8 +184,7 @@ def cv_scores(data: DataFrame, clf_name: str = "lr", n_trials: int = 10, n_cv: i
     data, n = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
     jobs = []
     for trial in range(n_trials):
-        folded = stratified_folds(data, label, id_col, n_cv, seed=trial)
-        folded = (folded.coalesce(1) if n < SMALL_FIT_ROWS else folded).persist()
+        folded = _folded(data, label, id_col, n_cv, trial)
         for fold in range(n_cv):
             jobs.append((trial, fold, folded))
 
@@ -202,8 +207,7 @@ def out_of_fold(data: DataFrame, clf_name: str = "lr", n_cv: int = 5, label: str
     """``(doc_id, label, prediction)`` where every row is predicted by the
     model of the fold that left it out."""
     data, n = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
-    folded = stratified_folds(data, label, id_col, n_cv, seed=seed)
-    folded = (folded.coalesce(1) if n < SMALL_FIT_ROWS else folded).persist()
+    folded = _folded(data, label, id_col, n_cv, seed)
     out = None
     for fold in range(n_cv):
         est = classifier(clf_name, int(n * (n_cv - 1) / n_cv)).setLabelCol(label).setFeaturesCol("features")
@@ -214,25 +218,29 @@ def out_of_fold(data: DataFrame, clf_name: str = "lr", n_cv: int = 5, label: str
 
 
 def grid_search(data: DataFrame, reg_params=(0.001, 0.01, 0.1, 1.0), n_cv: int = 2, label: str = "label",
-                seed: int = 0) -> DataFrame:
-    """``(reg_param, accuracy)``: 2-fold cross-validated accuracy per setting."""
+                seed: int = 0, id_col: str = "doc_id") -> DataFrame:
+    """``(reg_param, accuracy, best)``: cross-validated accuracy per setting over
+    stratified folds; ``best`` marks the setting that wins."""
     data, _ = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
+    folded = _folded(data, label, id_col, n_cv, seed).withColumn("fold", F.col("fold").cast("int"))
     lr = LogisticRegression(maxIter=100, standardization=False, labelCol=label, featuresCol="features")
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     cvm = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=n_cv,
-                         seed=seed, parallelism=4).fit(data)
-    rows = [(float(g[lr.regParam]), float(m)) for g, m in zip(grid, cvm.avgMetrics)]
-    return data.sparkSession.createDataFrame(rows, "reg_param double, accuracy double")
+                         seed=seed, parallelism=4, foldCol="fold").fit(folded)
+    best = max(cvm.avgMetrics)
+    won = next(i for i, m in enumerate(cvm.avgMetrics) if m == best)
+    rows = [(float(g[lr.regParam]), float(m), i == won) for i, (g, m) in enumerate(zip(grid, cvm.avgMetrics))]
+    return data.sparkSession.createDataFrame(rows, "reg_param double, accuracy double, best boolean")
 
 
 def train_test_scores(data: DataFrame, clf_name: str = "lr", p: float = 0.8, seed: int = 0,
                       label: str = "label", id_col: str = "doc_id") -> DataFrame:
     """One seeded exact split, one distributed fit, five test metrics."""
     from murmur.operators.sampling import exact_split
-    data, n_all = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
-    split = exact_split(data, id_col, p, seed)
-    split = (split.coalesce(1) if n_all < SMALL_FIT_ROWS else split).persist()
+    data, _ = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
+    # only ids pass through the ordered scan; features are joined back
+    split = data.join(exact_split(data.select(id_col), id_col, p, seed), id_col).persist()
     train = split.filter(F.col("in_sample"))
     test = split.filter(~F.col("in_sample"))
     n = train.count()

@@ -2,26 +2,25 @@
 
 ``row_number() OVER (ORDER BY k)`` and running aggregates over a *global*
 order make Spark move every row into one task.  ``ordered_scan`` computes
-the same values in three distributed steps:
+the same values in three distributed steps, all of them JVM expressions (so
+every column keeps its type and its nulls):
 
-1. range-partition on the order key and sort inside each partition;
-2. one pass per partition (Arrow batches, numpy) that numbers the rows and
-   folds the running aggregate locally;
+1. range-partition on the order key and sort inside each partition; the
+   built-in increasing id then holds the partition and the place in it;
+2. a window per partition folds the running aggregate there;
 3. a per-partition summary (one row per partition, a proven bound) turned
    into offsets/carries by a tiny window and broadcast back.
 
-The scanned partitions are persisted so both uses of them see the same
-range bounds and row numbers; if an executor is lost the blocks are rebuilt
-from lineage with the same shuffle dependency.
+The sorted partitions are persisted so both uses of them see the same range
+bounds and row numbers; if an executor is lost the blocks are rebuilt from
+lineage with the same shuffle dependency.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
@@ -37,66 +36,42 @@ def ordered_scan(df: DataFrame, order_cols: list[str], value: str | None = None,
     order, and optionally the inclusive running ``op`` (``sum``/``min``) of
     ``value`` (of ``value - index`` when ``minus_index``) as ``acc_col``.
 
-    ``order_cols`` must be a total order (add a unique tie-break column).
+    ``order_cols`` must be a total order (add a unique tie-break column).  A
+    NULL value takes a place in the order and is left out of the running
+    aggregate; no other row is touched by it.
     """
     if op not in ("sum", "min"):
         raise ValueError("op must be 'sum' or 'min'")
     p = _partitions(df, partitions)
+    at = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols)
-    fields = list(df.schema.fields) + [
-        T.StructField("_pid", T.IntegerType(), False),
-        T.StructField("_j", T.LongType(), False),
-    ]
-    if value is not None:
-        fields.append(T.StructField("_lacc", T.DoubleType(), True))
-    schema = T.StructType(fields)
-    use_min = op == "min"
-
-    def scan(batches):
-        pid = TaskContext.get().partitionId()
-        j0 = 0
-        carry = None
-        for pdf in batches:
-            n = len(pdf)
-            j = np.arange(j0, j0 + n, dtype=np.int64)
-            pdf["_pid"] = np.int32(pid)
-            pdf["_j"] = j
-            if value is not None:
-                v = pdf[value].to_numpy(dtype=np.float64)
-                if minus_index:
-                    v = v - j
-                loc = np.minimum.accumulate(v) if use_min else np.cumsum(v)
-                if carry is not None and n:
-                    loc = np.minimum(loc, carry) if use_min else loc + carry
-                if n:
-                    carry = loc[-1]
-                pdf["_lacc"] = loc
-            j0 += n
-            yield pdf
-
-    scanned = ranged.mapInPandas(scan, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    scanned = (ranged.withColumn("_at", at).persist(StorageLevel.MEMORY_AND_DISK)
+               .withColumn("_pid", F.shiftright("_at", 33))
+               .withColumn("_j", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"))
+    fold = F.min if op == "min" else F.sum
     aggs = [F.count(F.lit(1)).alias("_n")]
     if value is not None:
-        aggs.append(F.max_by("_lacc", "_j").alias("_last"))
+        local = F.col(value) - F.col("_j") if minus_index else F.col(value)
+        aggs.append(fold(local).alias("_last"))
     # one row per partition: the window below runs over at most `p` rows
     stats = scanned.groupBy("_pid").agg(*aggs)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if value is not None:
-        if use_min:
-            part_min = F.col("_last") - F.col("_off") if minus_index else F.col("_last")
-            stats = stats.withColumn("_carry", F.min(part_min).over(before))
-        else:
-            stats = stats.withColumn("_carry", F.coalesce(F.sum("_last").over(before), F.lit(0.0)))
+        part = F.col("_last") - F.col("_off") if minus_index else F.col("_last")
+        stats = stats.withColumn("_carry", fold(part).over(before))
+        # one partition of the order is one group: no larger than it was
+        here = Window.partitionBy("_pid").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+        scanned = scanned.withColumn("_lacc", fold(local).over(here))
     out = scanned.join(F.broadcast(stats.drop("_n", "_last")), "_pid")
     out = out.withColumn(index_col, F.col("_off") + F.col("_j"))
     if value is not None:
-        if use_min:
-            local = F.col("_lacc") - F.col("_off") if minus_index else F.col("_lacc")
-            out = out.withColumn(acc_col, F.least(F.col("_carry"), local))
+        near = F.col("_lacc") - F.col("_off") if minus_index else F.col("_lacc")
+        if op == "min":
+            acc = F.least(F.col("_carry"), near)
         else:
-            out = out.withColumn(acc_col, F.col("_carry") + F.col("_lacc"))
-        out = out.drop("_lacc", "_carry")
+            acc = F.coalesce(F.col("_carry") + near, near, F.col("_carry"))
+        out = out.withColumn(acc_col, acc).drop("_lacc", "_carry")
     return out.drop("_pid", "_j", "_off")
 
 

@@ -12,10 +12,14 @@ from murmur.operators.ordered import with_row_index
 
 
 def keyword_filter(docs: DataFrame, keywords: Iterable[str], tokens_col: str = "tokens") -> DataFrame:
-    """Rows whose tokens contain any keyword (``IN`` list -> hash set)."""
+    """Rows whose tokens contain any keyword (``IN`` list -> hash set).  A list
+    too long to inline is matched as a table; nulls never match."""
     kw = list(dict.fromkeys(keywords))
     if len(kw) > MAX_INLINE_WORDS:
-        raise ValueError("keyword list too long to inline; use keyword_semi_join")
+        rows = docs.withColumn("_row", F.monotonically_increasing_id()).persist()
+        words = docs.sparkSession.createDataFrame([(k,) for k in kw], "token string")
+        tokens = rows.select("_row", F.explode(tokens_col).alias("token"))
+        return rows.join(keyword_semi_join(tokens, words, "_row"), "_row", "left_semi").drop("_row")
     return docs.filter(F.exists(tokens_col, lambda t: t.isin(kw)))
 
 
@@ -74,20 +78,30 @@ def latest_by_id_range(df: DataFrame, id_col: str, since_id: int | None = None,
     return top.withColumn("page", (rn / page_size).cast("long"))
 
 
+def backfill(search, max_id: int | None = None, id_col: str = "id"):
+    """Walk newest-first pages to the end: yields each batch that ``search(max_id)``
+    returns and goes on below its oldest id until a batch is empty.  One row of
+    each batch (its oldest id, which may be stored as the cursor) reaches the
+    driver."""
+    while True:
+        batch = search(max_id)
+        oldest = next_cursor(batch, id_col).first()["oldest_id"]
+        if oldest is None:
+            return
+        yield batch
+        max_id = oldest - 1
+
+
 def next_cursor(page: DataFrame, id_col: str) -> DataFrame:
     """The oldest id of a batch: the next ``max_id`` (exclusive: ``min - 1``)."""
     return page.agg(F.min(id_col).alias("oldest_id"))
 
 
-def stopword_anti(tokens_long: DataFrame, stopwords: DataFrame, max_words: int = MAX_INLINE_WORDS) -> DataFrame:
-    """Drop stop words from a long token table with a broadcast anti-join.
-
-    A stop list is a word-list file; its size is checked before it is
-    broadcast, larger tables use a shuffle anti-join.
-    """
+def stopword_anti(tokens_long: DataFrame, stopwords: DataFrame) -> DataFrame:
+    """Drop stop words from a long token table with an anti-join; AQE
+    broadcasts a list that is small at run time."""
     stop = stopwords.select(F.col(stopwords.columns[0]).alias("token")).distinct()
-    small = stop.limit(max_words + 1).count() <= max_words
-    return tokens_long.join(F.broadcast(stop) if small else stop, "token", "left_anti")
+    return tokens_long.join(stop, "token", "left_anti")
 
 
 def union_corpora(*frames: tuple[str, DataFrame]) -> DataFrame:

@@ -92,17 +92,19 @@ def threshold_groups(sim: DataFrame, topics: DataFrame, thresh: float = 0.15,
     e = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().checkpoint()
     nodes = topics.select(F.col("topic").alias("node")).distinct()
     if mode == "components":
+        # labels spread one link and then jump to their label's label, until a
+        # round changes nothing: rounds grow with the logarithm of a chain
         lab = nodes.withColumn("root", F.col("node"))
-        for _ in range(64):
+        changed = True
+        while changed:
             m = (e.join(lab.select(F.col("node").alias("j"), F.col("root").alias("rj")), "j")
                  .groupBy(F.col("i").alias("node")).agg(F.min("rj").alias("m")))
-            nxt = (lab.join(m, "node", "left")
-                   .select("node", F.least("root", F.coalesce("m", "root")).alias("root")).checkpoint())
-            changed = nxt.join(lab.withColumnRenamed("root", "old"), "node") \
-                .filter(F.col("root") != F.col("old")).limit(1).count()
-            lab = nxt
-            if changed == 0:
-                break
+            near = (lab.join(m, "node", "left")
+                    .select("node", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root")))
+            far = lab.select(F.col("node").alias("root"), F.col("root").alias("_far"))
+            nxt = near.join(far, "root").select("node", "old", F.least("root", "_far").alias("root")).checkpoint()
+            changed = nxt.filter(F.col("root") != F.col("old")).limit(1).count() > 0
+            lab = nxt.drop("old")
         g = lab.select(F.col("node").alias("topic"), F.col("root").alias("_g"))
     else:
         par = e.filter(F.col("j") < F.col("i")).groupBy(F.col("i").alias("node")).agg(F.max("j").alias("p"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,56 +78,39 @@ def message_vector_blocks(token_vectors: DataFrame, messages: DataFrame | None =
     """``(doc_id, block, dim, value)`` for every block of :func:`block_names`.
 
     ``token_vectors`` holds the vectors of a message's known words in token
-    order.  Vectors are gathered once per message (a message is bounded by
-    its text); every derived row is built with array functions and reduced
-    by ``median``/``stddev_pop`` grouped on ``(doc_id, ...)``, which needs no
-    second shuffle because the rows are already partitioned by ``doc_id``.
-    Messages of ``messages`` without any known word get zero blocks.
+    order.  Vectors are gathered once per message (a message is bounded by its
+    text) and reduced by numpy in one pass over the gathered matrix; no row per
+    token and dimension is made.  Messages of ``messages`` without any known
+    word get zero blocks.
     """
     g = token_vectors.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(vec_col).alias("v")))).alias("_pv"))
-    g = g.select(id_col, F.transform("_pv", lambda s: s["v"]).alias("_m"))
-    g = g.withColumn("_n", F.size("_m"))
-    m, n = F.col("_m"), F.col("_n")
-    sz = F.size(F.get(m, 0))
-    parts = [F.transform(m, lambda v: F.struct(F.lit("base").alias("kind"), F.lit(0).alias("shift"), v.alias("v")))]
-    # (PySpark lambdas must have exactly the element/index parameters, so
-    # the shift is bound by a factory, not by a default argument)
-    def dim_shift(i):
-        return lambda v: F.struct(
-            F.lit("diff1").alias("kind"), F.lit(i).alias("shift"),
-            F.transform(v, lambda x, k: x - F.get(v, F.pmod(k - i, sz))).alias("v"))
-
-    def token_shift(i):
-        def row(t):
-            a = F.zip_with(F.get(m, t + 1), F.get(m, F.pmod(t + 1 - i, n)), lambda x, y: x - y)
-            b = F.zip_with(F.get(m, t), F.get(m, F.pmod(t - i, n)), lambda x, y: x - y)
-            return F.struct(F.lit("diff0").alias("kind"), F.lit(i).alias("shift"),
-                            F.zip_with(a, b, lambda x, y: x - y).alias("v"))
-        return row
-
-    for i in range(1, d1):
-        parts.append(F.transform(m, dim_shift(i)))
-    for i in range(1, d0):
-        row = token_shift(i)
-        # too short for the shift: one zero row, whose std is the zero block
-        zero = F.array(F.struct(F.lit("diff0").alias("kind"), F.lit(i).alias("shift"),
-                                F.array_repeat(F.lit(0.0), sz).alias("v")))
-        parts.append(F.when(n > i, F.transform(F.sequence(F.lit(0), n - 2), row)).otherwise(zero))
-    rows = g.select(id_col, F.explode_outer(F.concat(*parts)).alias("r")).filter(F.col("r").isNotNull())
-    cells = rows.select(id_col, "r.kind", "r.shift", F.posexplode_outer("r.v").alias("dim", "x")) \
-        .filter(F.col("dim").isNotNull())
-    stats = cells.groupBy(id_col, "kind", "shift", "dim").agg(
-        F.median("x").alias("median"), F.stddev_pop("x").alias("std"))
+    g = g.select(id_col, F.flatten(F.transform("_pv", lambda s: s["v"])).alias("_x"), F.size("_pv").alias("_n"))
     names = block_names(d0, d1)
-    pick = None
-    for kind, shift in dict.fromkeys((k, sh) for _, k, _, sh in names):
-        items = F.array(*[F.struct(F.lit(nm).alias("block"), F.col(stat).alias("value"))
-                          for nm, k, stat, sh in names if (k, sh) == (kind, shift)])
-        cond = (F.col("kind") == kind) & (F.col("shift") == shift)
-        pick = F.when(cond, items) if pick is None else pick.when(cond, items)
-    out = stats.select(id_col, F.col("dim").cast("long").alias("dim"), F.explode(pick).alias("b")) \
-        .select(id_col, "b.block", "dim", "b.value")
+
+    def reduce(batches):
+        for b in batches:
+            at, block, values = [], [], []
+            for r, n in enumerate(b.column("_n").to_pylist()):
+                m = b.column("_x")[r].values.to_numpy(zero_copy_only=False).reshape(n, -1)
+                for name, kind, stat, shift in names:
+                    d = m
+                    if kind == "diff1":
+                        d = m - np.roll(m, shift, axis=1)
+                    elif kind == "diff0":
+                        # too short for the shift: one zero row, whose std is the zero block
+                        d = np.diff(m - np.roll(m, shift, axis=0), axis=0) if n > shift else np.zeros((1, m.shape[1]))
+                    at.append(r)
+                    block.append(name)
+                    values.append(np.median(d, axis=0) if stat == "median" else d.std(axis=0))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(id_col).take(pa.array(at, pa.int64())), pa.array(block, pa.string()), pa.array(values, pa.list_(pa.float64()))],
+                [id_col, "block", "_v"])
+
+    schema = T.StructType([g.schema[id_col], T.StructField("block", T.StringType()), T.StructField("_v", T.ArrayType(T.DoubleType()))])
+    out = (g.mapInArrow(reduce, schema).select(id_col, "block", F.posexplode_outer("_v").alias("dim", "value"))
+           .filter(F.col("dim").isNotNull()).withColumn("dim", F.col("dim").cast("long")))
+    out = out.select(id_col, "block", "dim", "value")
     if messages is not None:
         if size is None:
             raise ValueError("size is needed to fill messages without vectors")

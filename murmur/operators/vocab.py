@@ -15,9 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.operators.ordered import with_row_index
-from murmur.operators.topk import top_k_per_group
-
-DEFAULT_KEEP_N = 100_000
 
 
 def with_token_counts(docs: DataFrame, tokens_col: str = "tokens", out: str = "_bag") -> DataFrame:
@@ -83,9 +80,9 @@ def count_docs(docs: DataFrame) -> Column:
 
 
 def filter_extremes(vocab: DataFrame, n_docs: Column | int, no_below: int = 5,
-                    no_above: float = 0.5, keep_n: int | None = DEFAULT_KEEP_N) -> DataFrame:
+                    no_above: float = 0.5, keep_n: int | None = None) -> DataFrame:
     """Keep ``no_below <= df <= floor(no_above * n_docs)``, then the ``keep_n``
-    tokens of highest df (ties by token).  Adds ``token_id``: ids follow first
+    tokens of highest df (ties by token; None: all).  Adds ``token_id``: ids follow first
     appearance (first document, then token order), renumbered densely.
     """
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
@@ -98,10 +95,12 @@ def filter_extremes(vocab: DataFrame, n_docs: Column | int, no_below: int = 5,
     return with_row_index(kept, ["first_doc", "token"], "token_id")
 
 
-def doc2bow(bow: DataFrame, kept: DataFrame, broadcast_vocab: bool = True) -> DataFrame:
+def doc2bow(bow: DataFrame, kept: DataFrame, broadcast_vocab: bool = False) -> DataFrame:
     """``(doc_id, token_id, token, tf)`` restricted to the kept vocabulary.
 
-    The kept vocabulary is bounded by ``keep_n``; it is broadcast only then.
+    A vocabulary without ``keep_n`` has no bound, so the join carries no hint
+    (AQE broadcasts it if it is small at run time); set ``broadcast_vocab`` for
+    one that ``keep_n`` bounds.
     """
     v = kept.select("token", "token_id", "df")
     v = F.broadcast(v) if broadcast_vocab else v
@@ -109,7 +108,7 @@ def doc2bow(bow: DataFrame, kept: DataFrame, broadcast_vocab: bool = True) -> Da
 
 
 def tfidf(bow: DataFrame, kept: DataFrame, n_docs: Column | int, id_col: str = "doc_id",
-          eps: float = 1e-12, broadcast_vocab: bool = True) -> DataFrame:
+          eps: float = 1e-12, broadcast_vocab: bool = False) -> DataFrame:
     """``(doc_id, token_id, token, tf, weight)``: ``tf * log2(N / df)``,
     L2-normalised per document; zero-idf terms and ``|w| <= eps`` dropped."""
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
@@ -126,7 +125,8 @@ def tfidf(bow: DataFrame, kept: DataFrame, n_docs: Column | int, id_col: str = "
 
 def top_terms(weights: DataFrame, k: int = 5, id_col: str = "doc_id") -> DataFrame:
     """The ``k`` highest-weight terms of each document (ties by token)."""
-    return top_k_per_group(weights, [id_col], [F.col("weight").desc(), F.col("token")], k,
-                           salt_cols=["token"])
+    # a document's distinct terms are a small group: one window, no salt
+    w = Window.partitionBy(id_col).orderBy(F.col("weight").desc(), F.col("token"))
+    return weights.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 

@@ -28,6 +28,24 @@ def csv_roundtrip(spark, sf):
     return back
 
 
+_CSV_TEXT = "regexp_replace(text, '[^A-Za-z0-9]+', '_'{g})"
+_CSV_G = _CSV_TEXT.format(g=", 'g'")
+
+
+@query("csv_repair", f"""SELECT doc_id::VARCHAR AS id_str,
+    {_CSV_G} AS text, CASE WHEN doc_id % 10 = 7 THEN NULL ELSE lang END AS label FROM documents""")
+def csv_repair(spark, sf):
+    """Messages written as raw lines, some with an unclosed quote (which glues
+    everything after it) and some too short, read back without a loss."""
+    path = scratch_path(spark, f"broken-{uuid.uuid4().hex}")
+    docs = table(spark, sf, "documents").select("doc_id", F.expr(_CSV_TEXT.format(g="")).alias("t"), "lang")
+    quote = F.when(F.col("doc_id") % 10 == 3, F.lit('"')).otherwise(F.lit(""))
+    label = F.when(F.col("doc_id") % 10 == 7, F.lit("")).otherwise(F.concat(F.lit(","), F.col("lang")))
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(","), quote, "t", label)
+    docs.select(line.alias("value")).write.text(path)
+    return IO.read_messages(spark, path, ["id_str", "text", "label"], header_fields=["id_str", "text", "label"], header=False)
+
+
 @query("na_projection", "SELECT " + ", ".join(
     [f"coalesce({c}::VARCHAR, 'NA') AS {c}" for c in EVENT_FIELDS[:-1]] + ["'NA' AS lang"]) + " FROM events")
 def na_projection(spark, sf):

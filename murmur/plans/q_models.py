@@ -29,7 +29,7 @@ def _lda_inputs(spark, sf):
 def _lda(spark, sf):
     feats, kept = _lda_inputs(spark, sf)
     feats = feats.persist()
-    return ML.fit_lda(feats, k=10, max_iter=20, seed=1), feats, kept
+    return ML.fit_lda(feats, k=10, max_iter=5, seed=1), feats, kept
 
 
 @query("word2vec_fit")
@@ -82,12 +82,12 @@ def recluster(spark, sf):
     return ML.recluster(a, k=10, thresh=60).select("word", "cluster", "subcluster")
 
 
-@query("cluster_counts", "SELECT vec_id % 50 AS doc_id, label AS cluster, count(*) AS n FROM embeddings GROUP BY ALL")
+@query("cluster_counts", "SELECT vec_id // 10 AS doc_id, label AS cluster, count(*) AS n FROM embeddings GROUP BY ALL")
 def cluster_counts(spark, sf):
     emb = table(spark, sf, "embeddings")
-    tw = emb.select((F.col("vec_id") % 50).alias("doc_id"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"))
+    tw = emb.select(F.expr("vec_id div 10").alias("doc_id"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("token"))
     clusters = emb.select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.col("label").alias("cluster"))
-    return tw.join(clusters, "word").groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return ML.doc_cluster_counts(tw, clusters)
 
 
 @query("topic_vector_sum", """WITH e AS (SELECT label, unnest(range(len(embedding)))::BIGINT AS dim, unnest(embedding)::DOUBLE AS x FROM
@@ -205,5 +205,5 @@ def label_fraction_sweep(spark, sf):
     """Score table over labelled-data fractions and trials (train/test split
     by the seeded exact split)."""
     feats = _bow_features(spark, sf).persist()
-    grid = [{"p": p, "n_trial": t, "clf_base": "lr"} for p in (0.3, 0.6) for t in (0,)]
+    grid = [{"p": p, "n_trial": t, "clf_base": "lr"} for p in (0.3, 0.6) for t in range(5)]
     return ML.sweep(grid, lambda g: ML.train_test_scores(feats, g["clf_base"], p=g["p"], seed=g["n_trial"]))

@@ -12,7 +12,7 @@ from murmur.operators import vocab as V
 from murmur.plans import sqltext as st
 from murmur.plans import views
 from murmur.plans.registry import query
-from murmur.plans.sqlviews import TEXT_CTES, TFIDF, with_
+from murmur.plans.sqlviews import TEXT_CTES, TEXT_CTES_ALL, TFIDF, with_
 from murmur.session import table
 
 STOP = DEFAULT_STOPWORDS
@@ -68,27 +68,27 @@ def vocab_df(spark, sf):
     return V.vocabulary(bow).select("token", "df", "cf")
 
 
-def _kept(spark, sf):
+def _kept(spark, sf, keep_n=None):
     docs = views.doc_tokens(spark, sf, STOP)
     # the bag feeds the vocabulary, the TF-IDF join and the norms: keep it
     bow = V.bag_of_words(docs).persist(StorageLevel.MEMORY_AND_DISK)
     kept = V.filter_extremes(V.vocabulary(bow), V.count_docs(docs), views.BOW_NO_BELOW,
-                             views.BOW_NO_ABOVE, views.BOW_KEEP_N)
+                             views.BOW_NO_ABOVE, keep_n)
     return docs, bow, kept
 
 
 @query("vocab_filter_extremes", with_(*TEXT_CTES) + "SELECT token, token_id, df FROM kept")
 def vocab_filter_extremes(spark, sf):
-    return _kept(spark, sf)[2].select("token", "token_id", "df")
+    return _kept(spark, sf, views.BOW_KEEP_N)[2].select("token", "token_id", "df")
 
 
-@query("doc2bow", with_(*TEXT_CTES) + "SELECT b.doc_id, k.token_id, b.tf FROM bow b JOIN kept k USING (token)")
+@query("doc2bow", with_(*TEXT_CTES_ALL) + "SELECT b.doc_id, k.token_id, b.tf FROM bow b JOIN kept k USING (token)")
 def doc2bow(spark, sf):
     _, bow, kept = _kept(spark, sf)
     return V.doc2bow(bow, kept).select("doc_id", "token_id", "tf")
 
 
-@query("tfidf", with_(*TEXT_CTES, ("tfidf", TFIDF))
+@query("tfidf", with_(*TEXT_CTES_ALL, ("tfidf", TFIDF))
        + "SELECT doc_id, token_id, round(weight, 6) AS weight FROM tfidf WHERE abs(weight) > 1e-12")
 def tfidf(spark, sf):
     docs, bow, kept = _kept(spark, sf)
@@ -104,7 +104,7 @@ def tfidf_top_terms_df(spark, sf, k=5):
                       F.round("weight", 6).alias("weight"))
 
 
-@query("tfidf_top_terms", with_(*TEXT_CTES, ("tfidf", TFIDF))
+@query("tfidf_top_terms", with_(*TEXT_CTES_ALL, ("tfidf", TFIDF))
        + "SELECT doc_id, rank, token, round(weight, 6) AS weight FROM ("
          "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token)::BIGINT AS rank "
          "FROM tfidf WHERE abs(weight) > 1e-12) WHERE rank <= 5")

@@ -36,7 +36,7 @@ def standardize(spark, sf):
         "vec_id", F.col("dim").cast("long").alias("dim"), _r("z"))
 
 
-_TV = ("tv AS (SELECT vec_id % 50 AS doc_id, vec_id AS pos, embedding::DOUBLE[] AS v FROM embeddings), "
+_TV = ("tv AS (SELECT vec_id // 10 AS doc_id, vec_id AS pos, embedding::DOUBLE[] AS v FROM embeddings), "
        "m AS (SELECT doc_id, list(v ORDER BY pos) AS vs, count(*) AS n FROM tv GROUP BY doc_id), ")
 
 
@@ -105,7 +105,7 @@ def cosmul(spark, sf):
     return c.select("rank", "word", _r("score"))
 
 
-@query("augment_text", "WITH " + _U + f"""tw AS (SELECT vec_id % 50 AS doc_id, 'w' || vec_id AS word FROM embeddings),
+@query("augment_text", "WITH " + _U + f"""tw AS (SELECT vec_id // 10 AS doc_id, 'w' || vec_id AS word FROM embeddings),
 dq AS (SELECT doc_id, d, avg(x) AS x FROM (SELECT doc_id, unnest(range(len(u))) AS d, unnest(u) AS x FROM tw JOIN u USING (word)) GROUP BY doc_id, d),
 q AS (SELECT doc_id, list(x ORDER BY d) AS q FROM dq GROUP BY doc_id),
 qn AS (SELECT doc_id, list_transform(q, lambda x: x / sqrt(list_dot_product(q, q))) AS q FROM q),
@@ -115,7 +115,7 @@ SELECT doc_id, rank, regexp_replace(word, '[^A-Za-z0-9_]', '_', 'g') AS word, ro
   SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, word))::BIGINT AS rank FROM sc) WHERE rank <= {TOPN}""")
 def augment_text(spark, sf):
     emb = table(spark, sf, "embeddings")
-    tw = emb.select((F.col("vec_id") % 50).alias("doc_id"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"))
+    tw = emb.select(F.expr("vec_id div 10").alias("doc_id"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"))
     a = VX.augment_with_neighbours(tw, views.word_vectors(spark, sf), TOPN)
     return a.select("doc_id", "rank", word_to_identifier("word").alias("word"), _r("sim"))
 

@@ -13,6 +13,9 @@ VOCAB = ("SELECT token, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, min(doc_i
 KEPT = ("SELECT *, (row_number() OVER (ORDER BY first_doc, token) - 1)::BIGINT AS token_id FROM ("
         "SELECT * FROM vocab WHERE df >= 2 AND df <= floor(0.9 * (SELECT count(*) FROM documents)) "
         "ORDER BY df DESC, token LIMIT 100000)")
+# the same bounds without a limit on the number of terms
+KEPT_ALL = ("SELECT *, (row_number() OVER (ORDER BY first_doc, token) - 1)::BIGINT AS token_id FROM vocab "
+            "WHERE df >= 2 AND df <= floor(0.9 * (SELECT count(*) FROM documents))")
 TFIDF = ("SELECT doc_id, token_id, token, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight "
          "FROM (SELECT b.doc_id, k.token_id, b.token, b.tf, "
          "b.tf * log2((SELECT count(*) FROM documents) / k.df) AS w "
@@ -21,7 +24,7 @@ LABELLED = ("SELECT d.*, l.quality AS label FROM documents d JOIN labels l USING
 PREDICTIONS = ("SELECT *, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS prediction, "
                "n_chars::DOUBLE AS score FROM labelled")
 WORD_VECTORS = "SELECT 'w' || vec_id AS word, embedding::DOUBLE[] AS vector FROM embeddings"
-TOKEN_VECTORS = "SELECT vec_id % 50 AS doc_id, vec_id AS pos, embedding::DOUBLE[] AS vector FROM embeddings"
+TOKEN_VECTORS = "SELECT vec_id // 10 AS doc_id, vec_id AS pos, embedding::DOUBLE[] AS vector FROM embeddings"
 
 
 def with_(*ctes: tuple[str, str]) -> str:
@@ -29,3 +32,4 @@ def with_(*ctes: tuple[str, str]) -> str:
 
 
 TEXT_CTES = [("toks", TOKENS), ("bow", BOW), ("vocab", VOCAB), ("kept", KEPT)]
+TEXT_CTES_ALL = [*TEXT_CTES[:3], ("kept", KEPT_ALL)]

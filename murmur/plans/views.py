@@ -16,7 +16,7 @@ from murmur.session import spread, table
 # BOW settings of the reference transformer (no_below=2, no_above=0.9)
 BOW_NO_BELOW = 2
 BOW_NO_ABOVE = 0.9
-BOW_KEEP_N = 100_000
+BOW_KEEP_N = 100_000  # the feature of vocab_filter_extremes and of vector models
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +53,7 @@ def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """``(doc_id, pos, vector)``: embeddings laid out as 50 messages."""
+    """``(doc_id, pos, vector)``: embeddings laid out as messages of ten tokens."""
     emb = table(spark, sf, "embeddings")
-    return emb.select((F.col("vec_id") % 50).alias("doc_id"), F.col("vec_id").alias("pos"),
+    return emb.select(F.expr("vec_id div 10").alias("doc_id"), F.col("vec_id").alias("pos"),
                       F.col("embedding").cast("array<double>").alias("vector"))

@@ -7,6 +7,7 @@ targets should be shared storage on a cluster (for scratch output use
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from murmur.functions.text import normalize_format
 
 MESSAGE_FIELDS = ["id_str", "text", "created_at", "label"]
 CORRUPT = "_corrupt"
+ID_FIELDS = ("id_str", "id")
 
 # Score-log columns in the order the experiment writes them (fixed values).
 SCORE_LOG_SCHEMA = T.StructType([
@@ -37,14 +39,18 @@ def parse_created_at(x: Column) -> Column:
 
 
 def read_messages(spark: SparkSession, path: str, fields: list[str] | None = None,
-                  header_fields: list[str] | None = None, repair: bool = True) -> DataFrame:
+                  header_fields: list[str] | None = None, repair: bool = True,
+                  header: bool = True) -> DataFrame:
     """CSV message scan with a header (UTF-8, bad bytes -> U+FFFD, doubled
     quotes, quoted line breaks).  Keeps the named fields (a missing one
     raises), trims ids, normalises line breaks in text and parses dates.
 
     Rows whose cell count is wrong are repaired: their raw text is split on
-    line breaks and the first two pieces are parsed again as records (two
-    records glued by a stray quote); pieces still short keep NULLs.
+    line breaks and every piece is parsed again as a record (a stray quote can
+    glue any number of records, up to the end of the file), without a quote
+    that has no partner in its line; pieces still short keep NULLs.  In a file
+    whose first field is the id, a row with lines inside that start with an id
+    and hold enough cells is taken for glued records, too.
     """
     fields = fields or MESSAGE_FIELDS
     head = header_fields or spark.read.option("header", True).csv(path).columns
@@ -54,7 +60,7 @@ def read_messages(spark: SparkSession, path: str, fields: list[str] | None = Non
     schema = T.StructType([T.StructField(c, T.StringType()) for c in head]
                           + [T.StructField(CORRUPT, T.StringType())])
     raw = (spark.read.schema(schema)
-           .options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE",
+           .options(header=header, multiLine=True, quote='"', escape='"', mode="PERMISSIVE",
                     columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8")
            .csv(path))
     # A query may not reference the corrupt-record column alone (column
@@ -63,11 +69,22 @@ def read_messages(spark: SparkSession, path: str, fields: list[str] | None = Non
     touch = F.length(F.coalesce(F.col(head[0]), F.lit(""))) >= 0
     good = raw.filter(F.col(CORRUPT).isNull() & touch).drop(CORRUPT)
     if repair:
-        bad = raw.filter(F.col(CORRUPT).isNotNull() & touch).select(CORRUPT)
+        bad = raw.filter(F.col(CORRUPT).isNotNull() & touch).select(F.col(CORRUPT).alias("_raw"))
+        if head[0] in ID_FIELDS:
+            # a stray quote closed by a later one gives a row of the right
+            # size; what it swallowed are lines that start with an id
+            whole = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in head])
+            lines = F.split(whole, "\r?\n")
+            swallowed = F.exists(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(2))),
+                                 lambda x: x.rlike(r'^\s*"?\d+"?,') & (F.size(F.split(x, ",")) >= len(head)))
+            bad = bad.unionByName(good.filter(swallowed).select(whole.alias("_raw")))
+            good = good.filter(~swallowed)
         ddl = ", ".join(f"`{c}` STRING" for c in head)
-        pieces = bad.select(F.explode(F.slice(F.split(CORRUPT, "\r?\n"), 1, 2)).alias("_l")) \
-            .filter(F.length("_l") > 0)
-        fixed = pieces.select(F.from_csv("_l", ddl, {"quote": '"', "escape": '"'}).alias("_r")).select("_r.*")
+        pieces = bad.select(F.explode(F.split("_raw", "\r?\n")).alias("_l")).filter(F.length("_l") > 0)
+        # within one line an odd quote is a stray one
+        stray = F.length(F.regexp_replace("_l", '[^"]', "")) % 2 == 1
+        line = F.when(stray, F.regexp_replace("_l", '"', "")).otherwise(F.col("_l"))
+        fixed = pieces.select(F.from_csv(line, ddl, {"quote": '"', "escape": '"'}).alias("_r")).select("_r.*")
         good = good.unionByName(fixed)
     return clean_messages(good.select(*fields))
 
@@ -75,7 +92,7 @@ def read_messages(spark: SparkSession, path: str, fields: list[str] | None = Non
 def clean_messages(df: DataFrame) -> DataFrame:
     out = df
     if "id_str" in df.columns:
-        out = out.withColumn("id_str", F.regexp_replace("id_str", r"^\s+|\s+$", ""))
+        out = out.withColumn("id_str", F.regexp_replace("id_str", r"(?U)^\s+|\s+$", ""))
     if "text" in df.columns:
         out = out.withColumn("text", normalize_format("text"))
     if "created_at" in df.columns:
@@ -102,11 +119,12 @@ def read_probe_words(spark: SparkSession, path: str) -> DataFrame:
 def read_score_log(spark: SparkSession, path: str) -> DataFrame:
     """Score log CSV with an explicit schema; ``name_id`` numbers names from 1
     in order of first appearance (by ``n_trial, i``)."""
-    log = spark.read.schema(SCORE_LOG_SCHEMA).option("header", False).csv(path)
+    log = spark.read.schema(SCORE_LOG_SCHEMA).option("header", False).csv(path).withColumn("name", F.trim("name"))
     first = log.groupBy("name").agg(F.min(F.struct("n_trial", "i")).alias("_f"))
     from pyspark.sql import Window
-    ids = first.withColumn("name_id", F.dense_rank().over(Window.orderBy("_f")).cast("long")).drop("_f")
-    return log.join(ids, "name").withColumn("name", F.trim("name"))
+    # one row a name, i.e. an experiment; names that start together go by name
+    ids = first.withColumn("name_id", F.row_number().over(Window.orderBy("_f", "name")).cast("long")).drop("_f")
+    return log.join(ids, "name")
 
 
 def read_text_corpus(spark: SparkSession, path: str, prefix: str | None = None) -> DataFrame:
@@ -159,14 +177,39 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write a table once and read it back (reuse if it exists)."""
-    spark = df.sparkSession
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or None if nothing is there.  Any other
+    error (no permission, store not reachable) is the caller's to see."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not written yet
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write a table once and read it back (reuse if it exists).  A table that
+    exists is never overwritten."""
+    spark = df.sparkSession
+    there = read_if_there(spark, path)
+    if there is None:
+        df.write.mode("errorifexists").parquet(path)
+        there = spark.read.parquet(path)
+    return there
+
+
+def load_or_fit(path: str, load, fit):
+    """The saved model at ``path`` (``load(path)``), or what ``fit()`` returns,
+    saved there.  Only a model that is absent is fitted: other errors of the
+    store are raised."""
+    spark = SparkSession.active()
+    if read_if_there(spark, f"{path}/_fitted") is None:
+        model = fit()
+        model.write().save(f"{path}/model")
+        # written last: a fit that was cut short leaves no mark and is done anew
+        spark.range(1).write.parquet(f"{path}/_fitted")
+    return load(f"{path}/model")
 
 
 def write_topic_artifacts(base: str, definitions: DataFrame, histogram: DataFrame,
@@ -184,8 +227,7 @@ def read_topic_artifacts(spark: SparkSession, base: str) -> dict[str, DataFrame]
     """The tables of :func:`write_topic_artifacts`, by name."""
     out = {}
     for name in ("definitions", "histogram", "labels"):
-        try:
-            out[name] = spark.read.parquet(f"{base}/{name}")
-        except Exception:  # noqa: BLE001 - optional table not written
-            continue
+        there = read_if_there(spark, f"{base}/{name}")
+        if there is not None:
+            out[name] = there
     return out

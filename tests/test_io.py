@@ -42,3 +42,59 @@ def test_missing_field_raises(spark):
     except ValueError:
         return
     raise AssertionError("expected ValueError")
+
+
+def test_every_glued_record_is_kept(spark):
+    tmp = tempfile.mkdtemp(prefix="murmur-test-")
+    p = write(tmp, "d.csv", b'id_str,text\n1,a "b,x\n2,"open,y\n3,ok,z\n4,ok\n5,ok\n')
+    got = {r["id_str"] for r in read_messages(spark, p, ["id_str", "text"]).collect()}
+    assert got == {"1", "2", "3", "4", "5"}
+
+
+def test_score_log_numbers_trimmed_names(spark):
+    from murmur.sources.io import read_score_log
+    tmp = tempfile.mkdtemp(prefix="murmur-test-")
+    row = "{t},{i},{n},1,1.0,0.3,1,1.0,1.0,1.0,1.0,1.0,1.0,0,lr\n"
+    p = write(tmp, "log.csv", "".join(row.format(t=t, i=i, n=n) for t, i, n in
+                                      ((0, 1, "a"), (1, 0, " a"), (0, 0, "b"), (0, 0, "c"))).encode())
+    got = {(r["name"], r["name_id"]) for r in read_score_log(spark, p).collect()}
+    assert got == {("b", 1), ("c", 2), ("a", 3)}
+
+
+def test_materialize_keeps_what_is_there(spark):
+    from murmur.sources.io import load_or_fit, materialize
+    path = os.path.join(tempfile.mkdtemp(prefix="murmur-test-"), "t")
+    assert materialize(spark.range(3), path).count() == 3
+    assert materialize(spark.range(5), path).count() == 3
+    from pyspark.ml.feature import StandardScaler, StandardScalerModel
+    from pyspark.ml.linalg import Vectors
+    fits = []
+
+    def fit():
+        fits.append(1)
+        return StandardScaler(inputCol="v", outputCol="z").fit(spark.createDataFrame([(Vectors.dense([1.0]),), (Vectors.dense([3.0]),)], ["v"]))
+    a, b = (load_or_fit(path + "-model", StandardScalerModel.load, fit) for _ in range(2))
+    assert len(fits) == 1 and a.std == b.std
+
+
+def test_written_but_unread_formats(spark):
+    from murmur.functions.plotdata import date_label, legend_lines, one_series, rows_where
+    from murmur.sources import io as IO
+    from pyspark.sql import functions as F
+    tmp = tempfile.mkdtemp(prefix="murmur-test-")
+    words = IO.read_word_list(spark, write(tmp, "w.txt", b" one \n\ntwo\n"))
+    assert [r[0] for r in words.collect()] == ["one", "two"]
+    probe = IO.read_probe_words(spark, write(tmp, "p.txt", b"a b : c\nd\n")).collect()
+    assert [(r.positive, r.negative) for r in probe] == [(["a", "b"], ["c"]), (["d"], [])]
+    write(tmp, "x_1.doc", b"hello\nthere")
+    assert [r.text for r in IO.read_text_corpus(spark, tmp, "x_").collect()] == ["hello\nthere"]
+    IO.write_json(spark.createDataFrame([(1, "a")], "k long, v string"), f"{tmp}/j")
+    assert spark.read.json(f"{tmp}/j").first().v == "a"
+    lab = IO.labelled_for_output(spark.createDataFrame([("1", "x", 1), ("2", "y", 0)], "id_str string, text string, label int"))
+    assert [r.label for r in lab.collect()] == ["T", "F"]
+    s = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 3.0), ("a", None, 4.0)], "name string, x int, y double")
+    assert one_series(s, "a", "x", "y").count() == 2
+    assert rows_where(s, {"name": ["a", "b"], "x": 1}).count() == 2 and rows_where(s, {"x": None}).count() == 1
+    assert s.select(date_label(F.lit("2024-03-05").cast("timestamp")).alias("d")).first().d == "03-05"
+    lines = legend_lines(spark.createDataFrame([("g", i, "w" * 40) for i in range(5)], "k string, o int, word string"), "k", "o")
+    assert lines.count() == 2

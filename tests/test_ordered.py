@@ -141,3 +141,42 @@ def test_time_bins_do_not_depend_on_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert before == after
+
+
+def test_scan_keeps_nullable_big_ids(spark):
+    from murmur.operators.sampling import exact_split
+    rows = [(946684800123456789, 1), (None, 2), (946684800123456791, 3)]
+    got = exact_split(spark.createDataFrame(rows, "big long, doc_id long"), "doc_id", 0.5, seed=1)
+    assert sorted((r.big or 0) for r in got.collect()) == [0, 946684800123456789, 946684800123456791]
+
+
+def test_undated_rows_touch_no_other(spark):
+    from pyspark.sql import functions as F
+    from murmur.operators.timeline import with_lagged_bins
+    df = spark.range(20).withColumn("ts", F.timestamp_seconds(F.col("id") * 60)).withColumnRenamed("id", "doc_id")
+    plain = {r.doc_id: r.bin for r in with_lagged_bins(df, "ts", "doc_id", 5).collect()}
+    more = df.unionByName(spark.createDataFrame([(99, None)], "doc_id long, ts timestamp"))
+    got = {r.doc_id: r.bin for r in with_lagged_bins(more, "ts", "doc_id", 5).collect()}
+    assert got == plain | {99: None}
+
+
+def test_components_of_a_long_chain(spark):
+    from murmur.operators.topics import threshold_groups
+    sim = spark.createDataFrame([(i, i + 1, 0.9) for i in range(70)], "ti long, tj long, sim double")
+    topics = spark.range(72).withColumnRenamed("id", "topic")
+    got = {r.topic: r.grp for r in threshold_groups(sim, topics, 0.5, mode="components").collect()}
+    assert got == {i: 0 for i in range(71)} | {71: 1}
+
+
+def test_backfill_reads_to_the_end(spark):
+    from murmur.operators.relational import backfill, latest_by_id_range
+    df = spark.range(1, 26)
+    batches = [b.count() for b in backfill(lambda m: latest_by_id_range(df, "id", max_id=m, page_size=5, max_pages=2))]
+    assert batches == [10, 10, 5]
+
+
+def test_long_keyword_list_is_joined(spark, monkeypatch):
+    import murmur.operators.relational as R
+    monkeypatch.setattr(R, "MAX_INLINE_WORDS", 2)
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["z"]), (3, []), (4, None)], "doc_id long, tokens array<string>")
+    assert [r.doc_id for r in R.keyword_filter(df, ["b", "c", "d"]).collect()] == [1]
