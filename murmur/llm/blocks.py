@@ -48,16 +48,16 @@ def write_blocks(docs: DataFrame, extra=None, limit: int = BLOCK_BYTES, carry: b
 
     keep = [c for c in docs.columns if c != "text"] if carry else []
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("_llm_id"), F.col("text").cast("string").alias("_llm_text"))
-    return by_block(rows.mapInArrow(run, schema))
+    return by_block(rows.mapInArrow(run, schema), "none")  # bodies are compressed already
 
 
-def by_block(df: DataFrame) -> DataFrame:
+def by_block(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder, bucketed by its column ``block``:
     joins on it need not move its rows."""
     spark = df.sparkSession
     path = scratch(spark, "blocks")
     name = "llm_blocks_" + path.rsplit("-", 1)[-1]
-    df.write.bucketBy(shuffle_partitions(spark), "block").option("path", path).option("compression", "none").saveAsTable(name)
+    df.write.bucketBy(shuffle_partitions(spark), "block").option("path", path).option("compression", compression).saveAsTable(name)
     return spark.table(name)
 
 

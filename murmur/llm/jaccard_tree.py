@@ -34,10 +34,11 @@ from murmur.llm.blocks import BlockWords, by_block, packed, rows_of, unpack, wri
 from murmur.llm.common import U, grams, shuffle_partitions, written
 from murmur.llm.components import components
 
-#: Groups of the count vector, points in a leaf, children of a node.
-GROUPS, LEAF, FANOUT = 64, 32, 8
-#: Groups of the second, finer count vector of a pair.
-FINE = 512
+#: Groups of the count vector; of its coarse form, in which neighbouring groups
+#: are one (the tree's points and boxes); points in a leaf, children of a node.
+GROUPS, COARSE, LEAF, FANOUT = 512, 64, 32, 8
+#: Pairs whose counts are compared at a time.
+STEP = 20_000
 #: Shingles of least hash that the first round looks at.
 FIRST = 6
 #: A shingle counts as frequent from this share of documents on.  As there are
@@ -96,6 +97,21 @@ class Sets:
         return self.doc[keep], self.value[order][keep]
 
 
+def coarse(vec: np.ndarray) -> np.ndarray:
+    return vec.reshape(len(vec), -1, vec.shape[1] // COARSE).sum(2, dtype=np.int32) if len(vec) else vec[:, :COARSE]
+
+
+def shrunk(vec: np.ndarray) -> bytes:
+    """Counts as bytes of the least width that holds them all."""
+    most = int(vec.max(initial=0))
+    return vec.astype("<u1" if most < 256 else "<u2" if most < 65536 else "<u4").tobytes()
+
+
+def grown(raw: bytes, rows: int, groups: int) -> np.ndarray:
+    width = len(raw) // max(1, rows * groups)
+    return np.frombuffer(raw, {0: "<u1", 1: "<u1", 2: "<u2", 4: "<u4"}[width]).reshape(rows, groups).astype(np.int32)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -126,6 +142,15 @@ def survives(sa, va, sb, vb, percent: int) -> np.ndarray:
     return (100 + percent) * np.minimum(va, vb).sum(-1, dtype=np.int64) >= percent * (sa + sb)
 
 
+def near(size: np.ndarray, vec: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Mask of the pairs of points that survive the bound, a step at a time."""
+    out = [np.zeros(0, bool)]
+    for k in range(0, len(a), STEP):
+        x, y = a[k:k + STEP], b[k:k + STEP]
+        out.append(survives(size[x], vec[x], size[y], vec[y], percent))
+    return np.concatenate(out)
+
+
 class Tree:
     """R-tree over count vectors, packed bottom up: points are sorted by size
     and, within slabs of like size, by the count that varies most."""
@@ -176,23 +201,25 @@ class Tree:
         n = len(self.size)
         left, right = self.leaf_pairs(percent)
         step = np.arange(LEAF)
-        for k in range(0, len(left), 256):
-            a = (left[k:k + 256, None] * LEAF + np.repeat(step, LEAF)).ravel()
-            b = (right[k:k + 256, None] * LEAF + np.tile(step, LEAF)).ravel()
+        for k in range(0, len(left), 64):
+            a = (left[k:k + 64, None] * LEAF + np.repeat(step, LEAF)).ravel()
+            b = (right[k:k + 64, None] * LEAF + np.tile(step, LEAF)).ravel()
             ok = (a < b) & (b < n)
             a, b = a[ok], b[ok]
             ok = comp[self.order[a]] != comp[self.order[b]]
             a, b = a[ok], b[ok]
             ok = (100 * np.minimum(self.size[a], self.size[b]) >= percent * np.maximum(self.size[a], self.size[b]))
             a, b = a[ok], b[ok]
-            ok = survives(self.size[a], self.vec[a], self.size[b], self.vec[b], percent)
+            ok = near(self.size, self.vec, a, b, percent)
             if ok.any():
                 yield self.order[a[ok]], self.order[b[ok]]
 
 
 def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int, spanning: bool):
     """Pairs of nodes that share a token, lie in different components and
-    survive the bound; as arrays.  ``spanning``: only a forest of them."""
+    survive the bound on coarse counts and on ``vec``; as arrays.  ``spanning``:
+    only a forest of them."""
+    fine, vec = vec, coarse(vec) if vec.shape[1] > COARSE else vec
     order = np.lexsort((node, token))
     token, node = token[order], node[order]
     edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
@@ -210,9 +237,12 @@ def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec:
     a, b = key // max(1, len(size)), key % max(1, len(size))
     ok = (comp[a] != comp[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
     a, b = a[ok], b[ok]
-    ok = survives(size[a], vec[a], size[b], vec[b], percent)
+    ok = near(size, vec, a, b, percent)
     forest = Forest(len(size)) if spanning else None
     a, b = a[ok], b[ok]
+    if fine is not vec:
+        ok = near(size, fine, a, b, percent)
+        a, b = a[ok], b[ok]
     if spanning and len(a):
         alike = np.argsort(-np.minimum(vec[a], vec[b]).sum(1) / (size[a] + size[b]), kind="stable")
         a, b = a[alike], b[alike]
@@ -226,7 +256,8 @@ def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec:
         seen.add(hash(name))
         part = comp[own]
         for x, y in Tree(size[own], vec[own]).pairs(percent, part):
-            take(own[x], own[y], forest, comp, lefts, rights)
+            ok = near(size, fine, own[x], own[y], percent) if fine is not vec else np.ones(len(x), bool)
+            take(own[x[ok]], own[y[ok]], forest, comp, lefts, rights)
             if spanning:
                 part[:] = comp[own]
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (lefts, rights))
@@ -280,13 +311,13 @@ def entries(block: int, token: np.ndarray, doc: np.ndarray, ids: np.ndarray, siz
     for _, raw in rows:
         at = np.frombuffer(raw, np.int64)
         own, node = np.unique(doc[at], return_inverse=True)
-        for col, x in zip(cols, (token[at], node.astype("<i4"), ids[own], size[own], vec[own], comp[own]), strict=True):
-            col.append(np.ascontiguousarray(x).tobytes())
+        for col, x in zip(cols, (token[at], node.astype("<i4"), ids[own], size[own], shrunk(vec[own]), comp[own]), strict=True):
+            col.append(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)],
                                       ["bucket", "block", "tokens", "nodes", "ids", "sizes", "vecs", "comps"])
 
 
-def meeting(percent: int, spanning: bool):
+def meeting(percent: int, groups: int, spanning: bool):
     """Function of a bucket of entries: candidate pairs with the blocks that
     hold the two sets."""
     def meet(table: pa.Table) -> pa.Table:
@@ -301,7 +332,7 @@ def meeting(percent: int, spanning: bool):
         both = np.unique(np.stack([token.view(np.int64), node], 1), axis=0)
         token, node = both[:, 0].view(U), both[:, 1]
         size = np.concatenate(get("sizes", "<i8"))[first]
-        vec = np.concatenate(get("vecs", "<i4")).reshape(-1, GROUPS)[first]
+        vec = np.concatenate([grown(x, len(n), groups) for x, n in zip(table.column("vecs").to_pylist(), ids, strict=True)])[first]
         _, comp = np.unique(np.concatenate(get("comps", "<i8"))[first], return_inverse=True)
         a, b = candidate_pairs(token, node, size, vec, comp, percent, spanning)
         where = block[first]
@@ -314,8 +345,7 @@ PAIR = "a long, b long, block_a long, block_b long"
 
 def verified(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link.  Only the sets that some pair names are
-    made again, each once.  Pairs first meet counts in ``FINE`` groups, which
-    rule out most of those that do not link; only the rest meet the sets."""
+    made again, each once."""
     pairs = written(pairs.dropDuplicates(["a", "b"]), "pairs")
     need = (pairs.select(F.col("block_a").alias("block"), F.col("a").alias("id")).unionByName(pairs.select(F.col("block_b").alias("block"), F.col("b").alias("id")))
             .groupBy("id").agg(F.min("block").alias("block")).groupBy("block").agg(F.collect_list("id").alias("need")))
@@ -326,27 +356,17 @@ def verified(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
                 s = Sets(BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()), True), shingle)
                 at = {x: k for k, x in enumerate(s.id.tolist())}
                 ids = batch.column("need")[i].as_py()
-                rows = [s.row(at[x]) for x in ids]
-                counts = [np.bincount((r >> U(30)).astype(np.int64) % FINE, minlength=FINE).astype("<u4").tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())],
-                                                 ["id", "counts", "set"])
-
-    sets = written(blocks.select("block", "size", "body").join(need, "block").mapInArrow(fetch, "id long, counts binary, set binary"), "sets")
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.row(at[x]).tobytes() for x in ids], pa.binary())], ["id", "set"])
 
-    def bounded(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64)
-        return bool(survives(x.sum(), x, y.sum(), y, percent))
+    sets = written(blocks.select("block", "size", "body").join(need, "block").mapInArrow(fetch, "id long, set binary"), "sets")
 
-    def meet(pairs_: DataFrame, column: str, test) -> DataFrame:
-        def check(batches):
-            for t in batches:
-                ok = [test(p, q) for p, q in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-        x, y = (sets.select(F.col("id").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        return pairs_.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    def check(batches):
+        for t in batches:
+            ok = [linked(np.frombuffer(p, U), np.frombuffer(q, U), percent) for p, q in zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = written(meet(pairs.select("a", "b"), "counts", bounded), "bounded")
-    return meet(left, "set", lambda x, y: linked(np.frombuffer(x, U), np.frombuffer(y, U), percent))
+    x, y = (sets.select(F.col("id").alias(k), F.col("set").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def frequent_shingles(blocks: DataFrame, rows: int) -> np.ndarray:
@@ -394,7 +414,8 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
         for batch in batches:
             for i, block, s, nodes in each(batch):
                 vec = s.vectors()
-                group = local_groups(s, nodes, vec, percent)
+                small = coarse(vec)
+                group = local_groups(s, nodes, small, percent)
                 ids = batch.column("doc_id")[i].as_py()
                 where = np.full(len(s.size), -1)
                 where[nodes] = np.arange(len(nodes))
@@ -402,12 +423,12 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
                 head = np.array([s.id[nodes[same[x]]] if n else -1 for x, n in zip(s.id.tolist(), s.size.tolist(), strict=True)], np.int64)
                 firsts = nodes[np.unique(group)] if len(nodes) else nodes
                 doc, token = s.lowest(firsts)
-                out = entries(block, token, doc, s.id, s.size, vec, s.id, buckets)
+                out = entries(block, token, doc, s.id, s.size, small, s.id, buckets)
                 yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(out.num_rows, t) for t in (*[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3))],
                                                  [*out.schema.names, *kept_names])
                 doc, token = s.prefixes(nodes, percent)
                 lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, s.id.tolist(), head.tolist(), s.size.tolist())]
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (doc.astype("<i4"), token, vec)]
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (doc.astype("<i4"), token)] + [pa.array([shrunk(vec)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([block]), *(pa.nulls(1, pa.binary()) for _ in range(6)), *lists, *blobs],
                                                  [*out.schema.names, *kept_names])
 
@@ -416,7 +437,7 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
     members = (sketch.where(F.col("doc").isNotNull()).select("block", F.posexplode(F.arrays_zip("doc", "own", "head", "n")).alias("at", "r"))
                .select("block", "at", "r.doc", "r.own", "r.head", "r.n"))
     columns = [c.split()[0] for c in ENTRY.split(", ")]
-    pairs = sketch.where(F.col("bucket").isNotNull()).select(*columns).groupBy("bucket").applyInArrow(meeting(percent, True), PAIR)
+    pairs = sketch.where(F.col("bucket").isNotNull()).select(*columns).groupBy("bucket").applyInArrow(meeting(percent, COARSE, True), PAIR)
     links = verified(text, pairs, shingle, percent)
     local = members.where("n > 0 and own <> head").select(F.col("own").alias("a"), F.col("head").alias("b")).distinct()
     links = written(links.unionByName(local), "links")
@@ -473,10 +494,10 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
             for i, block, ids, size, doc, token, comp in known(batch):
                 own = np.sort(np.concatenate([np.frombuffer(x, "<i8") for x in batch.column("hot")[i].as_py()]))
                 hit = own[np.minimum(np.searchsorted(own, token.view(np.int64)), len(own) - 1)] == token.view(np.int64)
-                vec = np.frombuffer(batch.column("vec")[i].as_py(), "<i4").reshape(-1, GROUPS)
+                vec = grown(batch.column("vec")[i].as_py(), len(ids), GROUPS)
                 yield entries(block, token[hit], doc[hit], ids, size, vec, comp, buckets)
 
-    pairs = labelled.join(hot, "block").mapInArrow(last_round, ENTRY).groupBy("bucket").applyInArrow(meeting(percent, False), PAIR)
+    pairs = labelled.join(hot, "block").mapInArrow(last_round, ENTRY).groupBy("bucket").applyInArrow(meeting(percent, GROUPS, False), PAIR)
     comps = components(links.unionByName(written(verified(text, pairs, shingle, percent), "links")))
 
     rows_ = members.join(comps.withColumnRenamed("node", "own"), "own", "left").select(
