@@ -142,21 +142,35 @@ def ids_of(path: str):
                     out[i] = x
             return out
 
-        core = Remembered(encode)
-
-        def trimmed(words_: list[str]) -> list[bytes]:
-            """Letters and the ASCII marks after them are pre-tokens of their own:
-            ``word``, ``word,`` and ``word.`` share the ids of ``word``."""
-            base = [w.rstrip(_MARKS) for w in words_]
-            base = [b if len(b) < len(w) and b.isalpha() else w for b, w in zip(base, words_, strict=True)]
-            ask = list(dict.fromkeys([*base, *(w[len(b):] for b, w in zip(base, words_, strict=True) if len(b) < len(w))]))
-            ids = dict(zip(ask, core.get(ask), strict=True))
-            return [ids[b] if len(b) == len(w) else ids[b] + ids[w[len(b):]] for b, w in zip(base, words_, strict=True)]
-
-        return kind, Remembered(trimmed if trims else encode), [x.lower() for x in special.values()] if trims else None
+        return kind, Remembered(encode), [x.lower() for x in special.values()] if trims else None
     return in_worker(("ids", path), load)
 
 
+def parted(distinct: pa.Array, trims: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Strings to encode, and for each distinct word the numbers of its letters
+    and of the ASCII marks after them.  Letters and such marks are pre-tokens of
+    their own, so ``word``, ``word,`` and ``word.`` share the ids of ``word``.
+    Other words are one string; the empty string stands for no marks."""
+    if not trims:
+        return [*distinct.to_pylist(), ""], np.arange(len(distinct)), np.full(len(distinct), len(distinct))
+    base = pc.utf8_rtrim(distinct, characters=_MARKS)
+    cut = pc.and_(pc.utf8_is_alpha(base), pc.not_equal(base, distinct))
+    coded = pc.if_else(cut, base, distinct).dictionary_encode()
+    strings, own = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    marks = {"": len(strings)}
+    strings.append("")
+    tail = np.full(len(distinct), marks[""])
+    at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+    whole = distinct.take(pa.array(at)).to_pylist()
+    for i, w in zip(at.tolist(), whole, strict=True):
+        t = w[len(strings[own[i]]):]
+        if t not in marks:
+            marks[t] = len(strings)
+            strings.append(t)
+        tail[i] = marks[t]
+    return strings, own, tail
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """``(rid, doc_id, key, n, ids binary)``: the ids of each document with the
     end id, its curve key and a row number that is unique in the table.
@@ -175,14 +189,18 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             text = texts(batch)
             plain = special is not None and not any(pc.any(pc.match_substring(text, s, ignore_case=True)).as_py() for s in special)
             codes, distinct, off = words(text, lower=plain)
-            distinct = distinct.to_pylist()
+            distinct, own, tail = parted(distinct, special is not None)
             made = table.get(distinct)
             flat = np.frombuffer(b"".join(made), kind)
             lengths = np.array([len(x) // width for x in made], np.int64)
             starts = np.cumsum(lengths) - lengths
+            # ids of a word: those of its letters, then those of its marks
+            both = np.stack([own, tail], 1).ravel() if len(own) else own
+            flat, lengths = ragged(both, starts, lengths, flat), lengths[both].reshape(-1, 2).sum(1)
+            starts = np.cumsum(lengths) - lengths
             ids = ragged(codes, starts, lengths, flat)
             cut = np.concatenate([[0], np.cumsum(lengths[codes])])[off]
-            keys = curve_keys(codes, hash64(distinct), off, matrix)
+            keys = curve_keys(codes, hash64(distinct)[own], off, matrix)
             rows = batch.num_rows
             rid = (np.int64(pid) << 36) + seen + np.arange(rows)
             seen += rows
