@@ -1,6 +1,6 @@
 """Word lists: stop words, keywords, probe words.
 
-Lists are read from text files with :mod:`murmur.sources.wordlists`.  The
+Lists are read from text files with :func:`murmur.sources.io.read_word_list`.  The
 default stop list below is our own short list of function words of the four
 corpus languages; it is a parameter, not a value the rules depend on.
 """

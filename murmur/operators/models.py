@@ -178,30 +178,35 @@ def cv_scores(data: DataFrame, clf_name: str = "lr", n_trials: int = 10, n_cv: i
               label: str = "label", id_col: str = "doc_id", c: float = 1.0,
               parallelism: int = 8) -> DataFrame:
     """Repeated stratified k-fold: ``(n_trial, fold, accuracy, precision,
-    recall, f1, roc_auc)``.  Each fit is distributed; up to ``parallelism``
-    fits run at once.  The per-trial seed changes the fold assignment."""
+    recall, f1, roc_auc)``.  Each fit is distributed; the folds of a trial run
+    at once.  The per-trial seed changes the fold assignment."""
     spark = data.sparkSession
     data, n = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
-    jobs = []
-    for trial in range(n_trials):
-        folded = _folded(data, label, id_col, n_cv, trial)
-        for fold in range(n_cv):
-            jobs.append((trial, fold, folded))
-
-    def run(job):
-        trial, fold, folded = job
+
+    def run(trial, fold, folded):
         train = folded.filter(F.col("fold") != fold)
         test = folded.filter(F.col("fold") == fold)
         est = classifier(clf_name, int(n * (n_cv - 1) / n_cv), c).setLabelCol(label).setFeaturesCol("features")
         pred = est.fit(train).transform(test)
         return {"n_trial": trial, "fold": fold, **_fold_scores(pred, label)}
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = list(pool.map(run, jobs))
+    rows = []
+    with ThreadPoolExecutor(max_workers=min(parallelism, n_cv)) as pool:
+        for trial in range(n_trials):
+            folded = _folded(data, label, id_col, n_cv, trial).persist()  # one trial's copy at a time
+            rows += pool.map(lambda fold: run(trial, fold, folded), range(n_cv))  # noqa: B023
+            folded.unpersist()
+    data.unpersist()
     return spark.createDataFrame(rows, "n_trial long, fold long, accuracy double, precision double, "
                                        "recall double, f1 double, roc_auc double")
 
 
+def mean_scores(scores: DataFrame) -> DataFrame:
+    """One row: each metric's mean over folds and trials, and how many there were."""
+    metrics = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+    return scores.agg(F.countDistinct("n_trial").alias("n_trials"), F.count(F.lit(1)).alias("n_fits"), *[F.avg(m).alias(m) for m in metrics])
+
+
 def out_of_fold(data: DataFrame, clf_name: str = "lr", n_cv: int = 5, label: str = "label",
                 id_col: str = "doc_id", seed: int = 0) -> DataFrame:
     """``(doc_id, label, prediction)`` where every row is predicted by the

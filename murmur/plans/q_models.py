@@ -3,15 +3,17 @@ and topic vector sums)."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from murmur.operators import models as ML
 from murmur.operators import timeline as TL
 from murmur.operators import vocab as V
-from murmur.operators.vectors import Standardizer
+from murmur.operators.vectors import Standardizer, block_names, message_vector_blocks
 from murmur.plans import views
 from murmur.plans.registry import query
-from murmur.session import table
+from murmur.session import scratch_path, table
+from murmur.sources import io as IO
 
 T2024_US = 1704067200000000
 
@@ -32,11 +34,20 @@ def _lda(spark, sf):
     return ML.fit_lda(feats, k=10, max_iter=5, seed=1), feats, kept
 
 
+def _w2v(spark, sf):
+    """Tokens and the word2vec model of the documents (size 100, window 10, 20
+    epochs), fitted once per content and loaded by every later query."""
+    from pyspark.ml.feature import Word2VecModel
+    docs = views.doc_tokens(spark, sf)
+    mark = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id", "text")).alias("h")).first()
+    path = scratch_path(spark, f"w2v-100-20-{mark.n}-{(mark.h or 0) & (1 << 63) - 1:x}")
+    model = IO.load_or_fit(path, Word2VecModel.load, lambda: ML.train_word2vec(docs, size=100, window=10, min_count=2, max_iter=20))
+    return docs, model
+
+
 @query("word2vec_fit")
 def word2vec_fit(spark, sf):
-    model = ML.train_word2vec(views.doc_tokens(spark, sf), size=100, window=10, min_count=2, max_iter=5,
-                              partitions=spark.sparkContext.defaultParallelism)
-    wv = ML.word_vectors(model)
+    wv = ML.word_vectors(_w2v(spark, sf)[1])
     return wv.select("word", F.size("vector").cast("long").alias("dims"),
                      F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
@@ -140,18 +151,38 @@ def oof_predictions(spark, sf):
     return ML.out_of_fold(_bow_features(spark, sf), "lr", n_cv=5)
 
 
-@query("w2v_message_blocks")
-def w2v_message_blocks(spark, sf):
-    """Embedding features end to end: word2vec on the messages, each
-    message's known-word vectors, then the statistics blocks (M4)."""
-    docs = views.doc_tokens(spark, sf)
-    model = ML.train_word2vec(docs, size=32, window=10, min_count=2, max_iter=1,
-                              partitions=spark.sparkContext.defaultParallelism)
+def _message_blocks(spark, sf):
+    docs, model = _w2v(spark, sf)
     wv = ML.word_vectors(model).checkpoint()
     toks = V.tokens_long(docs).withColumnRenamed("token", "word")
     tv = toks.join(wv, "word").select("doc_id", "pos", "vector")
-    from murmur.operators.vectors import message_vector_blocks
-    return message_vector_blocks(tv, docs.select("doc_id"), d0=1, d1=5, size=32)
+    return message_vector_blocks(tv, docs.select("doc_id"), d0=1, d1=5, size=100)
+
+
+@query("w2v_message_blocks")
+def w2v_message_blocks(spark, sf):
+    """Embedding features: word2vec on the messages, each message's known-word
+    vectors, then the statistics blocks (M4)."""
+    return _message_blocks(spark, sf)
+
+
+@query("embedding_experiment")
+def embedding_experiment(spark, sf):
+    """Embedding classification end to end: word2vec, message blocks, scaler,
+    nested feature sets, repeated stratified cross-validation; one row of mean
+    scores per feature set, as the score log holds it."""
+    blocks = _message_blocks(spark, sf)
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "dim", "value"))).alias("_c"))
+    feats = rows.select("doc_id", F.transform("_c", lambda c: c["value"]).alias("x")).join(lab, "doc_id").persist()
+    feats = Standardizer.fit(feats, "x").transform(feats, "x")
+    names = [n for n, *_ in block_names(1, 5)]
+    out = None
+    for i in (0, 1, len(names) - 1):  # the first block, the first two, all
+        cut = feats.select("doc_id", "label", array_to_vector(F.slice("x", 1, 100 * (i + 1))).alias("features"))
+        scores = ML.mean_scores(ML.cv_scores(cut, "lr", n_trials=10, n_cv=3)).withColumn("name", F.lit(names[i])).withColumn("i", F.lit(i))
+        out = scores if out is None else out.unionByName(scores)
+    return out
 
 
 @query("train_test_scores")
@@ -165,21 +196,14 @@ def dpgmm_clusters(spark, sf):
     on the standardised word vectors; cluster sizes and first words."""
     from murmur.operators.mixture import DPGaussianMixture
     w = _scaled_words(spark, sf)
-    model = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=100, tol=1e-4).fit(w)
+    model = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=1000, tol=1e-4).fit(w)
     return model.predict(w).select("word", "cluster")
 
 
-def _w2v_small(spark, sf):
-    docs = views.doc_tokens(spark, sf)
-    model = ML.train_word2vec(docs, size=32, window=10, min_count=2, max_iter=1,
-                              partitions=spark.sparkContext.defaultParallelism)
-    return docs, model
-
-
 @query("doc_vectors")
 def doc_vectors(spark, sf):
     """Per-message vectors (mean of word vectors) keyed by message id."""
-    docs, model = _w2v_small(spark, sf)
+    docs, model = _w2v(spark, sf)
     return ML.doc_mean_vectors(model, docs).select("doc_id", F.size("vector").cast("long").alias("dims"))
 
 
@@ -190,12 +214,12 @@ def dpgmm_doc_cluster_counts(spark, sf):
     Dirichlet-process mixture, then cluster counts per message."""
     from murmur.functions.wordlists import DEFAULT_STOPWORDS
     from murmur.operators.mixture import DPGaussianMixture
-    docs, model = _w2v_small(spark, sf)
+    docs, model = _w2v(spark, sf)
     bow = V.bag_of_words(docs)
     kept = V.filter_extremes(V.vocabulary(bow), V.count_docs(docs), 8, 0.9, 9000)
     words = ML.cluster_vocabulary(kept, ML.word_vectors(model), DEFAULT_STOPWORDS).checkpoint()
     scaled = Standardizer.fit(words, "vector").transform(words, "vector")
-    dp = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=50, tol=1e-4).fit(scaled)
+    dp = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=1000, tol=1e-4).fit(scaled)
     assigned = dp.predict(scaled)
     return ML.doc_cluster_counts(V.tokens_long(docs), assigned)
 

@@ -26,3 +26,52 @@ def test_dp_mixture_separates_clusters(spark):
     assert not (ca & cb)            # no component mixes the two groups
     assert len(ca | cb) <= 6
     assert math.isclose(model.weights.sum(), 1.0, rel_tol=1e-9)
+
+
+def test_lda_distributions_and_determinism(spark):
+    from pyspark.ml.linalg import Vectors
+    from murmur.operators import models as ML
+    rows = [(i, Vectors.dense([9.0, 8.0, 0.0, 1.0] if i % 2 else [0.0, 1.0, 9.0, 8.0])) for i in range(40)]
+    df = spark.createDataFrame(rows, ["doc_id", "features"]).coalesce(1)
+    weights = []
+    for _ in range(2):
+        w = ML.doc_topic_weights(ML.fit_lda(df, k=2, max_iter=5, seed=3), df, min_prob=0.0).collect()
+        weights.append({(r.doc_id, r.topic): round(r.weight, 9) for r in w})
+    assert weights[0] == weights[1]
+    for i in range(40):
+        assert math.isclose(sum(v for (d, _), v in weights[0].items() if d == i), 1.0, rel_tol=1e-6)
+
+
+def labelled(spark, n=120):
+    from pyspark.ml.linalg import Vectors
+    rnd = np.random.default_rng(1)
+    rows = [(i, Vectors.dense((rnd.normal(size=3) + (1.5 if i % 3 == 0 else 0)).tolist()), int(i % 3 == 0)) for i in range(n)]
+    return spark.createDataFrame(rows, ["doc_id", "features", "label"]).coalesce(2)
+
+
+def test_cross_validation_beats_the_majority(spark):
+    from murmur.operators import models as ML
+    scores = ML.cv_scores(labelled(spark), "lr", n_trials=2, n_cv=3)
+    assert scores.count() == 6
+    mean = ML.mean_scores(scores).first()
+    assert mean.accuracy > 2 / 3 and mean.n_trials == 2 and mean.n_fits == 6 and 0.5 < mean.roc_auc <= 1
+    grid = ML.grid_search(labelled(spark), reg_params=(0.01, 100.0)).collect()
+    assert [r.best for r in sorted(grid, key=lambda r: -r.accuracy)] == [True, False]
+
+
+def test_auc_is_exact(spark):
+    from murmur.operators import metrics as M
+    from murmur.operators import models as ML
+    from pyspark.ml.linalg import Vectors
+    rnd = np.random.default_rng(2)
+    score, label = rnd.normal(size=3000), rnd.integers(0, 2, 3000)
+    df = spark.createDataFrame([(float(l), 1.0 if s > 0 else 0.0, Vectors.dense([-s, s]), float(s)) for s, l in zip(score.tolist(), label.tolist())],
+                               ["label", "prediction", "rawPrediction", "score"])
+    assert math.isclose(ML._fold_scores(df, "label")["roc_auc"], M.roc_auc(df).first().roc_auc, rel_tol=1e-9)
+
+
+def test_word_vectors_have_unit_length(spark):
+    from murmur.operators import models as ML
+    docs = spark.createDataFrame([(i, ["a", "b", "c", "d"]) for i in range(30)], "doc_id long, tokens array<string>")
+    vectors = ML.word_vectors(ML.train_word2vec(docs, size=4, max_iter=2, min_count=1)).collect()
+    assert len(vectors) == 4 and all(math.isclose(math.sqrt(sum(x * x for x in r.vector)), 1.0, rel_tol=1e-5) for r in vectors)
