@@ -16,10 +16,13 @@ copies are not compared pair by pair:
 1. documents of a block link among themselves, and one of each local group goes
    to its few shingles of least hash, where a spanning forest of the surviving
    pairs, those that may be most alike first, is verified; components follow;
-2. every prefix shingle learns which components hold it (one entry a block and
-   component), and those that meet only one component are done;
-3. at the others, every surviving pair of documents of different components is
-   verified, so no link is lost.
+2. every prefix shingle learns which components hold it, at which set sizes (one
+   entry a block, component and size); where none meets another component at a
+   size within reach, it is done;
+3. at the others, pairs of documents of different components that survive the
+   tree and finer counts are verified, so no link is lost.  The finer counts
+   are nearly exact for sets of common size, so hardly a pair leaves its task
+   that does not link.
 """
 
 from __future__ import annotations
@@ -30,13 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.blocks import BlockWords, by_block, packed, rows_of, unpack, write_blocks
-from murmur.llm.common import U, grams, shuffle_partitions, written
+from murmur.llm.blocks import BlockWords, by_block, member, packed, rows_of, unpack, write_blocks
+from murmur.llm.common import U, grams, mix, shuffle_partitions, written
 from murmur.llm.components import components
 
-#: Groups of the count vector; of its coarse form, in which neighbouring groups
-#: are one (the tree's points and boxes); points in a leaf, children of a node.
-GROUPS, COARSE, LEAF, FANOUT = 512, 64, 32, 8
+#: Groups of the count vectors that make the tree's points and boxes; points in
+#: a leaf, children of a node.
+COARSE, LEAF, FANOUT = 64, 32, 8
+#: Groups of the finer counts that a pair meets after the tree: those of sets up
+#: to SPARSE shingles are kept as the sorted groups of the shingles, others as a
+#: vector of counts.
+FINE, GROUPS, SPARSE = 1 << 16, 512, 512
 #: Pairs whose counts are compared at a time.
 STEP = 20_000
 #: Shingles of least hash that the first round looks at.
@@ -71,8 +78,17 @@ class Sets:
         return self.value[self.off[i]:self.off[i + 1]]
 
     def vectors(self) -> np.ndarray:
-        group = (self.value >> U(40)).astype(np.int64) % GROUPS
-        return np.bincount(self.doc * GROUPS + group, minlength=len(self.size) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+        group = (self.value >> U(40)).astype(np.int64) % COARSE
+        return np.bincount(self.doc * COARSE + group, minlength=len(self.size) * COARSE).reshape(-1, COARSE).astype(np.int32)
+
+    def details(self) -> list[bytes]:
+        """The finer counts of each set."""
+        group = ((self.value >> U(20)) % U(FINE)).astype("<u2")
+        out = []
+        for lo, hi in zip(self.off.tolist(), self.off[1:].tolist(), strict=False):
+            own = group[lo:hi]
+            out.append(np.sort(own).tobytes() if hi - lo <= SPARSE else shrunk(np.bincount(own % GROUPS, minlength=GROUPS)))
+        return out
 
     def lowest(self, use: np.ndarray, most: int = FIRST) -> tuple[np.ndarray, np.ndarray]:
         """Document and shingle of the few of least hash, of the documents
@@ -97,10 +113,6 @@ class Sets:
         return self.doc[keep], self.value[order][keep]
 
 
-def coarse(vec: np.ndarray) -> np.ndarray:
-    return vec.reshape(len(vec), -1, vec.shape[1] // COARSE).sum(2, dtype=np.int32) if len(vec) else vec[:, :COARSE]
-
-
 def shrunk(vec: np.ndarray) -> bytes:
     """Counts as bytes of the least width that holds them all."""
     most = int(vec.max(initial=0))
@@ -112,6 +124,45 @@ def grown(raw: bytes, rows: int, groups: int) -> np.ndarray:
     return np.frombuffer(raw, {0: "<u1", 1: "<u1", 2: "<u2", 4: "<u4"}[width]).reshape(rows, groups).astype(np.int32)
 
 
+def overlap(x: bytes, n: int, y: bytes, m: int) -> int:
+    """Most shingles that two sets of ``n`` and ``m`` can share, by their finer
+    counts: the summed minima over the groups."""
+    if n <= SPARSE and m <= SPARSE:
+        p, q = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+        both = np.sort(np.concatenate([unlike(p), unlike(q)]))
+        return int((both[1:] == both[:-1]).sum())
+    return int(np.minimum(counts(x, n), counts(y, m)).sum())
+
+
+def overlaps(detail: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`overlap` of pairs of sets up to SPARSE shingles, side by side: the
+    groups that two of their documents hold at least are columns of a matrix."""
+    docs, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    rows = [unlike(np.frombuffer(detail[i], "<u2")) for i in docs.tolist()]
+    value, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    keep = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    own = np.repeat(np.arange(len(docs)), [len(r) for r in rows])[keep]
+    matrix = np.zeros((len(docs), int((count > 1).sum())), np.float32)
+    matrix[own, number[column[keep]]] = 1
+    x, y = at[:len(a)], at[len(a):]
+    if len(docs) <= 512:
+        return (matrix @ matrix.T)[x, y].astype(np.int64)
+    return np.concatenate([np.einsum("ij,ij->i", matrix[x[k:k + 64]], matrix[y[k:k + 64]]) for k in range(0, len(x), 64)]).astype(np.int64)
+
+
+def unlike(groups: np.ndarray) -> np.ndarray:
+    """Sorted groups as distinct numbers: the k-th of a group differs from its others."""
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], groups[1:] != groups[:-1]]), np.arange(len(groups)), 0)) if len(groups) else groups
+    return groups.astype(np.int64) * (SPARSE + 1) + np.arange(len(groups)) - start
+
+
+def counts(raw: bytes, n: int) -> np.ndarray:
+    if n <= SPARSE:
+        return np.bincount(np.frombuffer(raw, "<u2") % GROUPS, minlength=GROUPS)
+    return grown(raw, 1, GROUPS)[0]
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -215,11 +266,24 @@ class Tree:
                 yield self.order[a[ok]], self.order[b[ok]]
 
 
-def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int, spanning: bool):
+def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int, spanning: bool, detail: list[bytes] | None = None):
     """Pairs of nodes that share a token, lie in different components and
-    survive the bound on coarse counts and on ``vec``; as arrays.  ``spanning``:
-    only a forest of them."""
-    fine, vec = vec, coarse(vec) if vec.shape[1] > COARSE else vec
+    survive the bound on ``vec`` and on the finer counts, if given; as arrays.
+    ``spanning``: only a forest of them."""
+    def closer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if detail is None:
+            return np.ones(len(a), bool)
+        shared = np.empty(len(a), np.int64)
+        small = (size[a] <= SPARSE) & (size[b] <= SPARSE)
+        for i in np.flatnonzero(~small):
+            x, y = a[i], b[i]
+            shared[i] = overlap(detail[x], size[x], detail[y], size[y])
+        at = np.flatnonzero(small)
+        for k in range(0, len(at), 2048):  # neighbouring pairs have few documents
+            part = at[k:k + 2048]
+            shared[part] = overlaps(detail, a[part], b[part])
+        return (100 + percent) * shared >= percent * (size[a] + size[b])
+
     order = np.lexsort((node, token))
     token, node = token[order], node[order]
     edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
@@ -240,9 +304,9 @@ def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec:
     ok = near(size, vec, a, b, percent)
     forest = Forest(len(size)) if spanning else None
     a, b = a[ok], b[ok]
-    if fine is not vec:
-        ok = near(size, fine, a, b, percent)
-        a, b = a[ok], b[ok]
+    done = key
+    ok = closer(a, b)
+    a, b = a[ok], b[ok]
     if spanning and len(a):
         alike = np.argsort(-np.minimum(vec[a], vec[b]).sum(1) / (size[a] + size[b]), kind="stable")
         a, b = a[alike], b[alike]
@@ -256,7 +320,11 @@ def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec:
         seen.add(hash(name))
         part = comp[own]
         for x, y in Tree(size[own], vec[own]).pairs(percent, part):
-            ok = near(size, fine, own[x], own[y], percent) if fine is not vec else np.ones(len(x), bool)
+            if detail is not None:  # pairs meet at many shingles and are looked at once
+                key = np.minimum(own[x], own[y]) * len(size) + np.maximum(own[x], own[y])
+                new = ~member(key, done)
+                x, y, done = x[new], y[new], np.union1d(done, key[new])
+            ok = closer(own[x], own[y])
             take(own[x[ok]], own[y[ok]], forest, comp, lefts, rights)
             if spanning:
                 part[:] = comp[own]
@@ -300,24 +368,26 @@ def local_groups(s: Sets, nodes: np.ndarray, vec: np.ndarray, percent: int) -> n
     return np.array([verified.root(i) for i in range(len(nodes))], np.int64)
 
 
-ENTRY = "bucket int, block long, tokens binary, nodes binary, ids binary, sizes binary, vecs binary, comps binary"
+ENTRY = "bucket int, block long, tokens binary, nodes binary, ids binary, sizes binary, vecs binary, comps binary, details array<binary>"
 
 
-def entries(block: int, token: np.ndarray, doc: np.ndarray, ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Entries by bucket of the shingle; a document's id, size, vector and
-    component travel once a bucket."""
+def entries(block: int, token: np.ndarray, doc: np.ndarray, ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, buckets: int, detail: list[bytes] | None = None) -> pa.RecordBatch:
+    """Entries by bucket of the shingle; a document's id, size, vector,
+    component and finer counts travel once a bucket."""
     rows = packed(np.arange(len(token)), ((token >> U(12)) % U(buckets)).astype(np.int64), buckets)
     cols: list[list] = [[] for _ in range(6)]
+    more = []
     for _, raw in rows:
         at = np.frombuffer(raw, np.int64)
         own, node = np.unique(doc[at], return_inverse=True)
         for col, x in zip(cols, (token[at], node.astype("<i4"), ids[own], size[own], shrunk(vec[own]), comp[own]), strict=True):
             col.append(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)],
-                                      ["bucket", "block", "tokens", "nodes", "ids", "sizes", "vecs", "comps"])
+        more.append(None if detail is None else [detail[i] for i in own.tolist()])
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in cols), pa.array(more, pa.list_(pa.binary()))],
+                                      ["bucket", "block", "tokens", "nodes", "ids", "sizes", "vecs", "comps", "details"])
 
 
-def meeting(percent: int, groups: int, spanning: bool):
+def meeting(percent: int, spanning: bool):
     """Function of a bucket of entries: candidate pairs with the blocks that
     hold the two sets."""
     def meet(table: pa.Table) -> pa.Table:
@@ -332,9 +402,10 @@ def meeting(percent: int, groups: int, spanning: bool):
         both = np.unique(np.stack([token.view(np.int64), node], 1), axis=0)
         token, node = both[:, 0].view(U), both[:, 1]
         size = np.concatenate(get("sizes", "<i8"))[first]
-        vec = np.concatenate([grown(x, len(n), groups) for x, n in zip(table.column("vecs").to_pylist(), ids, strict=True)])[first]
+        vec = np.concatenate([grown(x, len(n), COARSE) for x, n in zip(table.column("vecs").to_pylist(), ids, strict=True)])[first]
         _, comp = np.unique(np.concatenate(get("comps", "<i8"))[first], return_inverse=True)
-        a, b = candidate_pairs(token, node, size, vec, comp, percent, spanning)
+        detail = None if spanning else [y for x in table.column("details").to_pylist() for y in x]
+        a, b = candidate_pairs(token, node, size, vec, comp, percent, spanning, detail and [detail[i] for i in first.tolist()])
         where = block[first]
         return pa.table({"a": one[a], "b": one[b], "block_a": where[a], "block_b": where[b]})
     return meet
@@ -414,8 +485,7 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
         for batch in batches:
             for i, block, s, nodes in each(batch):
                 vec = s.vectors()
-                small = coarse(vec)
-                group = local_groups(s, nodes, small, percent)
+                group = local_groups(s, nodes, vec, percent)
                 ids = batch.column("doc_id")[i].as_py()
                 where = np.full(len(s.size), -1)
                 where[nodes] = np.arange(len(nodes))
@@ -423,21 +493,21 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
                 head = np.array([s.id[nodes[same[x]]] if n else -1 for x, n in zip(s.id.tolist(), s.size.tolist(), strict=True)], np.int64)
                 firsts = nodes[np.unique(group)] if len(nodes) else nodes
                 doc, token = s.lowest(firsts)
-                out = entries(block, token, doc, s.id, s.size, small, s.id, buckets)
-                yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(out.num_rows, t) for t in (*[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3))],
+                out = entries(block, token, doc, s.id, s.size, vec, s.id, buckets)
+                yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(out.num_rows, t) for t in (*[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3, pa.list_(pa.binary())))],
                                                  [*out.schema.names, *kept_names])
                 doc, token = s.prefixes(nodes, percent)
                 lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, s.id.tolist(), head.tolist(), s.size.tolist())]
                 blobs = [pa.array([x.tobytes()], pa.binary()) for x in (doc.astype("<i4"), token)] + [pa.array([shrunk(vec)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([block]), *(pa.nulls(1, pa.binary()) for _ in range(6)), *lists, *blobs],
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([block]), *(pa.nulls(1, pa.binary()) for _ in range(6)), pa.nulls(1, pa.list_(pa.binary())), *lists, *blobs, pa.array([s.details()], pa.list_(pa.binary()))],
                                                  [*out.schema.names, *kept_names])
 
-    kept_names = ["doc", "own", "head", "n", "prefix_doc", "prefix", "vec"]
-    sketch = by_block(text.mapInArrow(first_round, ENTRY + ", doc array<bigint>, own array<bigint>, head array<bigint>, n array<bigint>, prefix_doc binary, prefix binary, vec binary"))
+    kept_names = ["doc", "own", "head", "n", "prefix_doc", "prefix", "vec", "detail"]
+    sketch = by_block(text.mapInArrow(first_round, ENTRY + ", doc array<bigint>, own array<bigint>, head array<bigint>, n array<bigint>, prefix_doc binary, prefix binary, vec binary, detail array<binary>"))
     members = (sketch.where(F.col("doc").isNotNull()).select("block", F.posexplode(F.arrays_zip("doc", "own", "head", "n")).alias("at", "r"))
                .select("block", "at", "r.doc", "r.own", "r.head", "r.n"))
     columns = [c.split()[0] for c in ENTRY.split(", ")]
-    pairs = sketch.where(F.col("bucket").isNotNull()).select(*columns).groupBy("bucket").applyInArrow(meeting(percent, COARSE, True), PAIR)
+    pairs = sketch.where(F.col("bucket").isNotNull()).select(*columns).groupBy("bucket").applyInArrow(meeting(percent, True), PAIR)
     links = verified(text, pairs, shingle, percent)
     local = members.where("n > 0 and own <> head").select(F.col("own").alias("a"), F.col("head").alias("b")).distinct()
     links = written(links.unionByName(local), "links")
@@ -460,44 +530,53 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
 
     def contested(batches):
         for batch in batches:
-            for _, block, _, _, doc, token, comp in known(batch):
-                both = np.unique(np.stack([token.view(np.int64), comp[doc]], 1), axis=0)
+            for _, block, _, size, doc, token, comp in known(batch):
+                both = np.unique(np.stack([token.view(np.int64), size[doc], comp[doc]], 1), axis=0)
                 rows_ = packed(np.arange(len(both)), ((both[:, 0].copy().view(U) >> U(12)) % U(buckets)).astype(np.int64), buckets)
                 at = [np.frombuffer(x, np.int64) for _, x in rows_]
+                part = lambda k, t: pa.array([both[x, k].astype(t).tobytes() for x in at], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in rows_], pa.int32()), pa.array([block] * len(rows_), pa.int64()),
-                     pa.array([both[x, 0].tobytes() for x in at], pa.binary()), pa.array([both[x, 1].tobytes() for x in at], pa.binary())],
-                    ["bucket", "block", "tokens", "comps"])
+                    [pa.array([k for k, _ in rows_], pa.int32()), pa.array([block] * len(rows_), pa.int64()), part(0, "<i8"), part(1, "<i4"), part(2, "<i8")],
+                    ["bucket", "block", "tokens", "sizes", "comps"])
 
     def several(table: pa.Table) -> pa.Table:
-        """Tokens that meet two components at least, back to their blocks."""
-        tokens = [np.frombuffer(x, "<i8") for x in table.column("tokens").to_pylist()]
-        comps_ = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("comps").to_pylist()])
-        token, at = np.unique(np.concatenate(tokens), return_inverse=True)
-        low, high = np.full(len(token), np.iinfo(np.int64).max), np.full(len(token), np.iinfo(np.int64).min)
-        np.minimum.at(low, at, comps_)
-        np.maximum.at(high, at, comps_)
-        hot = (low != high)[at]
-        cut = np.cumsum([0, *map(len, tokens)])
-        out = [np.unique(x[hot[a:b]]).tobytes() for x, a, b in zip(tokens, cut, cut[1:], strict=False)]
+        """Tokens and sizes that meet another component at a size within reach,
+        back to their blocks."""
+        get = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
+        parts = get("tokens", "<i8")
+        token, size, comp = np.concatenate(parts), np.concatenate(get("sizes", "<i4")).astype(np.int64), np.concatenate(get("comps", "<i8"))
+        _, place = np.unique(token, return_inverse=True)
+        order = np.lexsort((comp, size, place))
+        place, n, c = place[order], size[order], comp[order]
+        turn = np.concatenate([[0], np.cumsum((c[1:] != c[:-1]) & (place[1:] == place[:-1]))])  # changes of component so far
+        scale = int(n.max(initial=0)) * 2 + 2
+        key = place * scale + n
+        lo = np.searchsorted(key, place * scale + -(-percent * n // 100), "left")
+        hi = np.searchsorted(key, place * scale + np.minimum(100 * n // percent, scale - 1), "right") - 1
+        hot = np.zeros(len(order), bool)
+        hot[order] = turn[hi] > turn[lo]
+        cut = np.cumsum([0, *map(len, parts)])
+        # one number a token and size
+        name = mix(token.view(U), size.astype(U))
+        out = [np.unique(name[a:b][hot[a:b]]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
         keep = [i for i, x in enumerate(out) if x]
         return pa.table({"block": table.column("block").take(pa.array(keep, pa.int64())), "hot": pa.array([out[i] for i in keep], pa.binary())})
 
-    labelled = (sketch.where(F.col("doc").isNotNull()).select("block", "own", "n", "prefix_doc", "prefix", "vec")
+    labelled = (sketch.where(F.col("doc").isNotNull()).select("block", "own", "n", "prefix_doc", "prefix", "vec", "detail")
                 .join(of_block.withColumnRenamed("own", "had"), "block", "left"))
-    hot = (labelled.drop("vec").mapInArrow(contested, "bucket int, block long, tokens binary, comps binary").groupBy("bucket")
+    hot = (labelled.drop("vec", "detail").mapInArrow(contested, "bucket int, block long, tokens binary, sizes binary, comps binary").groupBy("bucket")
            .applyInArrow(several, "block long, hot binary").groupBy("block").agg(F.collect_list("hot").alias("hot")))
     hot = written(hot, "contested")
 
     def last_round(batches):
         for batch in batches:
             for i, block, ids, size, doc, token, comp in known(batch):
-                own = np.sort(np.concatenate([np.frombuffer(x, "<i8") for x in batch.column("hot")[i].as_py()]))
-                hit = own[np.minimum(np.searchsorted(own, token.view(np.int64)), len(own) - 1)] == token.view(np.int64)
-                vec = grown(batch.column("vec")[i].as_py(), len(ids), GROUPS)
-                yield entries(block, token[hit], doc[hit], ids, size, vec, comp, buckets)
+                own = np.sort(np.concatenate([np.frombuffer(x, U) for x in batch.column("hot")[i].as_py()]))
+                hit = member(mix(token, size[doc].astype(U)), own)
+                vec = grown(batch.column("vec")[i].as_py(), len(ids), COARSE)
+                yield entries(block, token[hit], doc[hit], ids, size, vec, comp, buckets, batch.column("detail")[i].as_py())
 
-    pairs = labelled.join(hot, "block").mapInArrow(last_round, ENTRY).groupBy("bucket").applyInArrow(meeting(percent, GROUPS, False), PAIR)
+    pairs = labelled.join(hot, "block").mapInArrow(last_round, ENTRY).groupBy("bucket").applyInArrow(meeting(percent, False), PAIR)
     comps = components(links.unionByName(written(verified(text, pairs, shingle, percent), "links")))
 
     rows_ = members.join(comps.withColumnRenamed("node", "own"), "own", "left").select(

@@ -95,6 +95,25 @@ def test_jaccard_join(spark, shingle, percent):
     assert {r.doc_id: r.text for r in one.collect()} == {i: t or "" for i, t in enumerate(texts) if expected[i] == i}
 
 
+def test_finer_counts_bound_the_overlap():
+    g = np.random.default_rng(6)
+    sets = [np.unique(g.integers(0, 1 << 62, 3000 if k % 7 == 0 else 200) if k % 3 else np.concatenate([base, g.integers(0, 1 << 62, 40)]))
+            for k in range(40) for base in [np.random.default_rng(k % 2).integers(0, 1 << 62, 150)]]
+    raw = []
+    for x in sets:
+        group = ((x.astype(U) >> U(20)) % U(jaccard_tree.FINE)).astype("<u2")
+        raw.append(np.sort(group).tobytes() if len(x) <= jaccard_tree.SPARSE
+                   else jaccard_tree.shrunk(np.bincount(group % jaccard_tree.GROUPS, minlength=jaccard_tree.GROUPS)))
+    for i in range(40):
+        for j in range(i):
+            most = jaccard_tree.overlap(raw[i], len(sets[i]), raw[j], len(sets[j]))
+            assert most >= len(np.intersect1d(sets[i], sets[j]))
+    small = [i for i in range(40) if len(sets[i]) <= jaccard_tree.SPARSE]
+    a, b = np.array([(i, j) for i in small for j in small if j < i]).T
+    many = jaccard_tree.overlaps(raw, a, b)
+    assert many.tolist() == [jaccard_tree.overlap(raw[i], len(sets[i]), raw[j], len(sets[j])) for i, j in zip(a, b)]
+
+
 def test_jaccard_edges(spark):
     t = "a b c d e f"
     got = jaccard_tree.join(frame(spark, [t, t, t, None, "", "x y", "X  Y"], ids=[3, 3, None, 1, 2, 8, 7])).collect()
