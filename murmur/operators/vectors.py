@@ -8,14 +8,12 @@
 * :func:`nearest_words`, :func:`cosmul` - similarity search of a few probe
   sets against a whole vocabulary (probe vectors inlined, top-k merged).
 * :func:`augment_with_neighbours` - each message's top-n nearest words
-  (brute force, vocabulary matrix broadcast after a size check, in chunks
-  beyond it).
+  (brute force, blocks of messages against blocks of the vocabulary).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +21,8 @@ from pyspark.sql import types as T
 
 from murmur.operators.topk import top_k_per_group
 
-# broadcast budget for vocabulary matrices (bytes); bigger ones go in chunks
-MAX_BROADCAST_BYTES = 256 << 20
+# words or messages in a block of the brute-force neighbour search
+BLOCK_ROWS = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -186,61 +184,52 @@ def augment_with_neighbours(token_words: DataFrame, words: DataFrame, topn: int
     words nearest the normalised mean of its known words' unit vectors,
     excluding its own words.
 
-    Brute force over the whole vocabulary (exact).  The vocabulary matrix is
-    a model-sized table: it is broadcast in chunks of at most
-    ``MAX_BROADCAST_BYTES``; each chunk yields a per-message top-n and the
-    final top-n per message merges at most ``topn * chunks`` candidates.
+    Brute force over the whole vocabulary (exact), in blocks of both sides:
+    blocks of messages meet every block of the vocabulary, each meeting yields a
+    top-n per message, and the last top-n merges those.  Neither side passes
+    through the driver.
     """
-    spark = words.sparkSession
-    known = token_words.join(words.select(word_col, vec_col), word_col)
-    per_doc = known.groupBy(id_col).agg(F.collect_list(word_col).alias("_w"),
-                                        F.collect_list(vec_col).alias("_v"))
-    n_words = words.count()
-    dim = len(words.select(vec_col).first()[0])
-    rows_per_chunk = max(1, MAX_BROADCAST_BYTES // (8 * dim + 64))
-    vocab = words.select(word_col, vec_col).orderBy(word_col)
-    out_schema = T.StructType([T.StructField(id_col, per_doc.schema[id_col].dataType),
-                               T.StructField("word", T.StringType()), T.StructField("sim", T.DoubleType())])
-    parts = []
-    for start in range(0, n_words, rows_per_chunk):
-        chunk = vocab.offset(start).limit(rows_per_chunk).collect() if n_words > rows_per_chunk \
-            else vocab.collect()
-        names = np.array([r[0] for r in chunk], dtype=object)
-        mat = np.array([r[1] for r in chunk], dtype=np.float64)
-        norms = np.linalg.norm(mat, axis=1, keepdims=True)
-        mat = np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0)
-        bc = spark.sparkContext.broadcast((names, mat))
-
-        def score(batches, bc=bc):
-            nm, mt = bc.value
-            index = {w: i for i, w in enumerate(nm)}
-            for pdf in batches:
+    u = unit(F.col(vec_col))
+    vocab = words.select(F.col(word_col).alias("w"), u.alias("u")).withColumn("r", F.struct("w", "u"))
+    n_blocks = max(1, -(-words.count() // BLOCK_ROWS))
+    vocab = (vocab.groupBy(F.pmod(F.xxhash64("w"), F.lit(n_blocks)).alias("_vb")).agg(F.collect_list("r").alias("r"))
+             .select("_vb", F.transform("r", lambda x: x["w"]).alias("_names"), F.flatten(F.transform("r", lambda x: x["u"])).alias("_mat"),
+                     F.size(F.col("r")[0]["u"]).alias("_dim")))
+    known = token_words.join(words.select(word_col, u.alias("_u")), word_col)
+    per_doc = known.groupBy(id_col).agg(F.collect_list(F.struct(F.col(word_col).alias("w"), F.col("_u").alias("u"))).alias("r"))
+    per_doc = per_doc.select(id_col, F.transform("r", lambda x: x["w"]).alias("_own"), F.transform("r", lambda x: x["u"]).alias("_vs"))
+    # messages are dealt to blocks that grow in number, not in size
+    n_messages = token_words.select(F.approx_count_distinct(id_col)).first()[0]
+    blocks = max(1, -(-n_messages // BLOCK_ROWS))
+    asked = (per_doc.withColumn("_mb", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
+             .groupBy("_mb").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "_own", "_vs")).alias("_q"))
+             .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+
+    def score(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names = np.array(batch.column("_names")[i].as_py(), dtype=object)
+                mat = batch.column("_mat")[i].values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+                index = {w: j for j, w in enumerate(names)}
                 ids, ws, ss = [], [], []
-                for doc, wl, vl in zip(pdf[id_col], pdf["_w"], pdf["_v"]):
-                    u = np.array([_unit_np(v) for v in vl])
-                    q = _unit_np(u.mean(axis=0))
-                    sims = mt @ q
-                    for w in wl:
-                        j = index.get(w)
-                        if j is not None:
-                            sims[j] = -np.inf
+                for row in batch.column("_q")[i].as_py():
+                    sims = mat @ _unit_np(np.array(row["_vs"]).mean(axis=0))
+                    for w in row["_own"]:
+                        if w in index:
+                            sims[index[w]] = -np.inf
                     k = min(topn, int(np.isfinite(sims).sum()))
-                    if k <= 0:
-                        continue
-                    cand = np.argpartition(-sims, k - 1)[:k] if k < len(sims) else np.arange(len(sims))
-                    for j in cand:
-                        if np.isfinite(sims[j]):
-                            ids.append(doc)
-                            ws.append(nm[j])
-                            ss.append(float(sims[j]))
-                yield pd.DataFrame({id_col: ids, "word": ws, "sim": ss})
-
-        parts.append(per_doc.mapInPandas(score, out_schema))
-        if n_words <= rows_per_chunk:
-            break
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+                    # the k-th value and its ties, so that ties go by word below
+                    cand = np.flatnonzero(np.isfinite(sims) & (sims >= np.partition(sims, -k)[-k])) if k else ()
+                    ids += [row["id"]] * len(cand)
+                    ws += [names[j] for j in cand]
+                    ss += [float(sims[j]) for j in cand]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(ws, pa.string()), pa.array(ss, pa.float64())], [id_col, "word", "sim"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    id_type = to_arrow_type(per_doc.schema[id_col].dataType)
+    schema = T.StructType([T.StructField(id_col, per_doc.schema[id_col].dataType),
+                           T.StructField("word", T.StringType()), T.StructField("sim", T.DoubleType())])
+    cand = asked.join(vocab, "_vb").select("_q", "_names", "_mat").mapInArrow(score, schema)
     return top_k_per_group(cand, [id_col], [F.col("sim").desc(), F.col("word")], topn, salt_cols=["word"])
 
 
