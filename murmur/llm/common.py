@@ -92,6 +92,7 @@ def map_slices(df: DataFrame, text: str, schema: str | T.StructType, fn: Callabl
                     yield out
                 else:
                     yield from out
+            pa.default_memory_pool().release_unused()  # a worker lives on; what it freed need not stay with it
 
     return df.mapInArrow(run, schema)
 

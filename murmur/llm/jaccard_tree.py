@@ -44,10 +44,11 @@ COARSE, LEAF, FANOUT = 64, 32, 8
 #: to SPARSE shingles are kept as the sorted groups of the shingles, others as a
 #: vector of counts.
 FINE, GROUPS, SPARSE = 1 << 16, 512, 512
-#: Pairs whose counts are compared at a time.
-STEP = 20_000
+#: Pairs whose counts are compared at a time, and documents whose finer counts
+#: are (in one matrix of at most DENSE times DENSE * SPARSE / 2 cells).
+STEP, DENSE = 20_000, 192
 #: Shingles of least hash that the first round looks at.
-FIRST = 6
+FIRST = 3
 #: A shingle counts as frequent from this share of documents on.  As there are
 #: no more shingles than places for them, at most (mean set size) / SHARE
 #: shingles are frequent, however large the corpus; they are broadcast.
@@ -145,10 +146,7 @@ def overlaps(detail: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     own = np.repeat(np.arange(len(docs)), [len(r) for r in rows])[keep]
     matrix = np.zeros((len(docs), int((count > 1).sum())), np.float32)
     matrix[own, number[column[keep]]] = 1
-    x, y = at[:len(a)], at[len(a):]
-    if len(docs) <= 512:
-        return (matrix @ matrix.T)[x, y].astype(np.int64)
-    return np.concatenate([np.einsum("ij,ij->i", matrix[x[k:k + 64]], matrix[y[k:k + 64]]) for k in range(0, len(x), 64)]).astype(np.int64)
+    return (matrix @ matrix.T)[at[:len(a)], at[len(a):]].astype(np.int64)
 
 
 def unlike(groups: np.ndarray) -> np.ndarray:
@@ -266,22 +264,22 @@ class Tree:
                 yield self.order[a[ok]], self.order[b[ok]]
 
 
-def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int, spanning: bool, detail: list[bytes] | None = None):
+def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int, spanning: bool, detail: list[bytes]):
     """Pairs of nodes that share a token, lie in different components and
-    survive the bound on ``vec`` and on the finer counts, if given; as arrays.
+    survive the bound on ``vec`` and on the finer counts; as arrays.
     ``spanning``: only a forest of them."""
     def closer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if detail is None:
-            return np.ones(len(a), bool)
         shared = np.empty(len(a), np.int64)
         small = (size[a] <= SPARSE) & (size[b] <= SPARSE)
-        for i in np.flatnonzero(~small):
-            x, y = a[i], b[i]
-            shared[i] = overlap(detail[x], size[x], detail[y], size[y])
-        at = np.flatnonzero(small)
-        for k in range(0, len(at), 2048):  # neighbouring pairs have few documents
-            part = at[k:k + 2048]
-            shared[part] = overlaps(detail, a[part], b[part])
+        for k in range(0, len(a), 2048):
+            part = np.arange(k, min(k + 2048, len(a)))
+            one = part[small[part]]
+            if len(one) > 64 and len(np.unique(np.concatenate([a[one], b[one]]))) <= DENSE:
+                shared[one] = overlaps(detail, a[one], b[one])
+                part = part[~small[part]]
+            for i in part.tolist():
+                x, y = a[i], b[i]
+                shared[i] = overlap(detail[x], size[x], detail[y], size[y])
         return (100 + percent) * shared >= percent * (size[a] + size[b])
 
     order = np.lexsort((node, token))
@@ -320,10 +318,10 @@ def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, vec:
         seen.add(hash(name))
         part = comp[own]
         for x, y in Tree(size[own], vec[own]).pairs(percent, part):
-            if detail is not None:  # pairs meet at many shingles and are looked at once
-                key = np.minimum(own[x], own[y]) * len(size) + np.maximum(own[x], own[y])
-                new = ~member(key, done)
-                x, y, done = x[new], y[new], np.union1d(done, key[new])
+            # pairs meet at many shingles and are looked at once
+            key = np.minimum(own[x], own[y]) * len(size) + np.maximum(own[x], own[y])
+            new = ~member(key, done)
+            x, y, done = x[new], y[new], np.union1d(done, key[new])
             ok = closer(own[x], own[y])
             take(own[x[ok]], own[y[ok]], forest, comp, lefts, rights)
             if spanning:
@@ -353,7 +351,7 @@ def take(a, b, forest, comp, lefts, rights) -> None:
     rights.append(b[keep])
 
 
-def local_groups(s: Sets, nodes: np.ndarray, vec: np.ndarray, percent: int) -> np.ndarray:
+def local_groups(s: Sets, nodes: np.ndarray, vec: np.ndarray, detail: list[bytes], percent: int) -> np.ndarray:
     """For each of ``nodes`` (documents of a block with different sets), the
     place in ``nodes`` of its group's first: links are found at the shingles of
     least hash and verified."""
@@ -361,7 +359,7 @@ def local_groups(s: Sets, nodes: np.ndarray, vec: np.ndarray, percent: int) -> n
     place = np.full(len(s.size), -1)
     place[nodes] = np.arange(len(nodes))
     verified = Forest(len(nodes))
-    a, b = candidate_pairs(token, place[doc], s.size[nodes], vec[nodes], np.arange(len(nodes)), percent, True)
+    a, b = candidate_pairs(token, place[doc], s.size[nodes], vec[nodes], np.arange(len(nodes)), percent, True, [detail[i] for i in nodes.tolist()])
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         if linked(s.row(nodes[x]), s.row(nodes[y]), percent):
             verified.join(x, y)
@@ -371,7 +369,7 @@ def local_groups(s: Sets, nodes: np.ndarray, vec: np.ndarray, percent: int) -> n
 ENTRY = "bucket int, block long, tokens binary, nodes binary, ids binary, sizes binary, vecs binary, comps binary, details array<binary>"
 
 
-def entries(block: int, token: np.ndarray, doc: np.ndarray, ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, buckets: int, detail: list[bytes] | None = None) -> pa.RecordBatch:
+def entries(block: int, token: np.ndarray, doc: np.ndarray, ids: np.ndarray, size: np.ndarray, vec: np.ndarray, comp: np.ndarray, buckets: int, detail: list[bytes]) -> pa.RecordBatch:
     """Entries by bucket of the shingle; a document's id, size, vector,
     component and finer counts travel once a bucket."""
     rows = packed(np.arange(len(token)), ((token >> U(12)) % U(buckets)).astype(np.int64), buckets)
@@ -382,7 +380,7 @@ def entries(block: int, token: np.ndarray, doc: np.ndarray, ids: np.ndarray, siz
         own, node = np.unique(doc[at], return_inverse=True)
         for col, x in zip(cols, (token[at], node.astype("<i4"), ids[own], size[own], shrunk(vec[own]), comp[own]), strict=True):
             col.append(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
-        more.append(None if detail is None else [detail[i] for i in own.tolist()])
+        more.append([detail[i] for i in own.tolist()])
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in cols), pa.array(more, pa.list_(pa.binary()))],
                                       ["bucket", "block", "tokens", "nodes", "ids", "sizes", "vecs", "comps", "details"])
 
@@ -404,8 +402,8 @@ def meeting(percent: int, spanning: bool):
         size = np.concatenate(get("sizes", "<i8"))[first]
         vec = np.concatenate([grown(x, len(n), COARSE) for x, n in zip(table.column("vecs").to_pylist(), ids, strict=True)])[first]
         _, comp = np.unique(np.concatenate(get("comps", "<i8"))[first], return_inverse=True)
-        detail = None if spanning else [y for x in table.column("details").to_pylist() for y in x]
-        a, b = candidate_pairs(token, node, size, vec, comp, percent, spanning, detail and [detail[i] for i in first.tolist()])
+        detail = [y for x in table.column("details").to_pylist() for y in x]
+        a, b = candidate_pairs(token, node, size, vec, comp, percent, spanning, [detail[i] for i in first.tolist()])
         where = block[first]
         return pa.table({"a": one[a], "b": one[b], "block_a": where[a], "block_b": where[b]})
     return meet
@@ -485,7 +483,8 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
         for batch in batches:
             for i, block, s, nodes in each(batch):
                 vec = s.vectors()
-                group = local_groups(s, nodes, vec, percent)
+                detail = s.details()
+                group = local_groups(s, nodes, vec, detail, percent)
                 ids = batch.column("doc_id")[i].as_py()
                 where = np.full(len(s.size), -1)
                 where[nodes] = np.arange(len(nodes))
@@ -493,13 +492,13 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
                 head = np.array([s.id[nodes[same[x]]] if n else -1 for x, n in zip(s.id.tolist(), s.size.tolist(), strict=True)], np.int64)
                 firsts = nodes[np.unique(group)] if len(nodes) else nodes
                 doc, token = s.lowest(firsts)
-                out = entries(block, token, doc, s.id, s.size, vec, s.id, buckets)
+                out = entries(block, token, doc, s.id, s.size, vec, s.id, buckets, detail)
                 yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(out.num_rows, t) for t in (*[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3, pa.list_(pa.binary())))],
                                                  [*out.schema.names, *kept_names])
                 doc, token = s.prefixes(nodes, percent)
                 lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, s.id.tolist(), head.tolist(), s.size.tolist())]
                 blobs = [pa.array([x.tobytes()], pa.binary()) for x in (doc.astype("<i4"), token)] + [pa.array([shrunk(vec)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([block]), *(pa.nulls(1, pa.binary()) for _ in range(6)), pa.nulls(1, pa.list_(pa.binary())), *lists, *blobs, pa.array([s.details()], pa.list_(pa.binary()))],
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([block]), *(pa.nulls(1, pa.binary()) for _ in range(6)), pa.nulls(1, pa.list_(pa.binary())), *lists, *blobs, pa.array([detail], pa.list_(pa.binary()))],
                                                  [*out.schema.names, *kept_names])
 
     kept_names = ["doc", "own", "head", "n", "prefix_doc", "prefix", "vec", "detail"]
@@ -531,20 +530,28 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
     def contested(batches):
         for batch in batches:
             for _, block, _, size, doc, token, comp in known(batch):
-                both = np.unique(np.stack([token.view(np.int64), size[doc], comp[doc]], 1), axis=0)
-                rows_ = packed(np.arange(len(both)), ((both[:, 0].copy().view(U) >> U(12)) % U(buckets)).astype(np.int64), buckets)
-                at = [np.frombuffer(x, np.int64) for _, x in rows_]
-                part = lambda k, t: pa.array([both[x, k].astype(t).tobytes() for x in at], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in rows_], pa.int32()), pa.array([block] * len(rows_), pa.int64()), part(0, "<i8"), part(1, "<i4"), part(2, "<i8")],
-                    ["bucket", "block", "tokens", "sizes", "comps"])
+                _, kind = np.unique(np.stack([size, comp], 1), axis=0, return_inverse=True)  # documents alike in both are one
+                both = np.unique(np.stack([kind[doc], token.view(np.int64)], 1), axis=0)
+                a_size, a_comp = np.empty(kind.max(initial=-1) + 1, np.int64), np.empty(kind.max(initial=-1) + 1, np.int64)
+                a_size[kind], a_comp[kind] = size, comp
+                rows_ = packed(np.arange(len(both)), ((both[:, 1].copy().view(U) >> U(12)) % U(buckets)).astype(np.int64), buckets)
+                cols: list[list] = [[] for _ in range(4)]
+                for _, raw in rows_:
+                    at = np.frombuffer(raw, np.int64)
+                    own, node = np.unique(both[at, 0], return_inverse=True)
+                    for col, x in zip(cols, (both[at, 1], node.astype("<i4"), a_size[own].astype("<i4"), a_comp[own]), strict=True):
+                        col.append(np.ascontiguousarray(x).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows_], pa.int32()), pa.array([block] * len(rows_), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)],
+                                                 ["bucket", "block", "tokens", "nodes", "sizes", "comps"])
 
     def several(table: pa.Table) -> pa.Table:
         """Tokens and sizes that meet another component at a size within reach,
         back to their blocks."""
         get = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
         parts = get("tokens", "<i8")
-        token, size, comp = np.concatenate(parts), np.concatenate(get("sizes", "<i4")).astype(np.int64), np.concatenate(get("comps", "<i8"))
+        token = np.concatenate(parts)
+        node = get("nodes", "<i4")
+        size, comp = (np.concatenate([x[n] for x, n in zip(get(c, t), node, strict=True)]).astype(np.int64) for c, t in (("sizes", "<i4"), ("comps", "<i8")))
         _, place = np.unique(token, return_inverse=True)
         order = np.lexsort((comp, size, place))
         place, n, c = place[order], size[order], comp[order]
@@ -564,7 +571,7 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
 
     labelled = (sketch.where(F.col("doc").isNotNull()).select("block", "own", "n", "prefix_doc", "prefix", "vec", "detail")
                 .join(of_block.withColumnRenamed("own", "had"), "block", "left"))
-    hot = (labelled.drop("vec", "detail").mapInArrow(contested, "bucket int, block long, tokens binary, sizes binary, comps binary").groupBy("bucket")
+    hot = (labelled.drop("vec", "detail").mapInArrow(contested, "bucket int, block long, tokens binary, nodes binary, sizes binary, comps binary").groupBy("bucket")
            .applyInArrow(several, "block long, hot binary").groupBy("block").agg(F.collect_list("hot").alias("hot")))
     hot = written(hot, "contested")
 

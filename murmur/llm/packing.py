@@ -213,8 +213,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     on_workers(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # larger slices hold fewer distinct words an input byte
-    return map_slices(docs, "text", f"rid long, doc_id {kind}, key long, n long, ids binary", task, 9 << 20)
+    return map_slices(docs, "text", f"rid long, doc_id {kind}, key long, n long, ids binary", task, 5 << 20)
 
 
 def placed(rows: DataFrame) -> DataFrame:
