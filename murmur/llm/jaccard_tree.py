@@ -17,8 +17,8 @@ copies are not compared pair by pair:
    to its few shingles of least hash, where a spanning forest of the surviving
    pairs, those that may be most alike first, is verified; components follow;
 2. every prefix shingle learns which components hold it, at which set sizes (one
-   entry a block, component and size); where none meets another component at a
-   size within reach, it is done;
+   entry a block, component and size) and how far down their sets; where none
+   meets another component at a size within reach, it is done;
 3. at the others, pairs of documents of different components that survive the
    tree and finer counts are verified, so no link is lost.  The finer counts
    are nearly exact for sets of common size, so hardly a pair leaves its task
@@ -531,37 +531,48 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
         for batch in batches:
             for _, block, _, size, doc, token, comp in known(batch):
                 _, kind = np.unique(np.stack([size, comp], 1), axis=0, return_inverse=True)  # documents alike in both are one
-                both = np.unique(np.stack([kind[doc], token.view(np.int64)], 1), axis=0)
+                # with i shingles before it, a first common shingle leaves n - i to share
+                at = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                reach = (100 + percent) * (size[doc] - at) // percent - size[doc]
+                order = np.lexsort((-reach, token, kind[doc]))
+                both = np.stack([kind[doc], token.view(np.int64), reach], 1)[order]
+                both = both[np.concatenate([[True], (both[1:, 0] != both[:-1, 0]) | (both[1:, 1] != both[:-1, 1])])] if len(both) else both
                 a_size, a_comp = np.empty(kind.max(initial=-1) + 1, np.int64), np.empty(kind.max(initial=-1) + 1, np.int64)
                 a_size[kind], a_comp[kind] = size, comp
                 rows_ = packed(np.arange(len(both)), ((both[:, 1].copy().view(U) >> U(12)) % U(buckets)).astype(np.int64), buckets)
-                cols: list[list] = [[] for _ in range(4)]
+                cols: list[list] = [[] for _ in range(5)]
                 for _, raw in rows_:
                     at = np.frombuffer(raw, np.int64)
                     own, node = np.unique(both[at, 0], return_inverse=True)
-                    for col, x in zip(cols, (both[at, 1], node.astype("<i4"), a_size[own].astype("<i4"), a_comp[own]), strict=True):
+                    for col, x in zip(cols, (both[at, 1], node.astype("<i4"), both[at, 2].astype("<i4"), a_size[own].astype("<i4"), a_comp[own]), strict=True):
                         col.append(np.ascontiguousarray(x).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows_], pa.int32()), pa.array([block] * len(rows_), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)],
-                                                 ["bucket", "block", "tokens", "nodes", "sizes", "comps"])
+                                                 ["bucket", "block", "tokens", "nodes", "reach", "sizes", "comps"])
 
     def several(table: pa.Table) -> pa.Table:
-        """Tokens and sizes that meet another component at a size within reach,
-        back to their blocks."""
+        """Tokens and sizes that meet another component at a size within reach
+        (given how many shingles stand before the token), back to their blocks."""
         get = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
         parts = get("tokens", "<i8")
         token = np.concatenate(parts)
         node = get("nodes", "<i4")
         size, comp = (np.concatenate([x[n] for x, n in zip(get(c, t), node, strict=True)]).astype(np.int64) for c, t in (("sizes", "<i4"), ("comps", "<i8")))
+        reach = np.concatenate(get("reach", "<i4")).astype(np.int64)
         _, place = np.unique(token, return_inverse=True)
-        order = np.lexsort((comp, size, place))
-        place, n, c = place[order], size[order], comp[order]
-        turn = np.concatenate([[0], np.cumsum((c[1:] != c[:-1]) & (place[1:] == place[:-1]))])  # changes of component so far
-        scale = int(n.max(initial=0)) * 2 + 2
-        key = place * scale + n
-        lo = np.searchsorted(key, place * scale + -(-percent * n // 100), "left")
-        hi = np.searchsorted(key, place * scale + np.minimum(100 * n // percent, scale - 1), "right") - 1
-        hot = np.zeros(len(order), bool)
-        hot[order] = turn[hi] > turn[lo]
+        hot = np.arange(len(token))
+        for _ in range(3):  # a partner must be within reach itself, so what is left is looked at again
+            order = hot[np.lexsort((comp[hot], size[hot], place[hot]))]
+            at, n, c = place[order], size[order], comp[order]
+            turn = np.concatenate([[0], np.cumsum((c[1:] != c[:-1]) & (at[1:] == at[:-1]))])  # changes of component so far
+            scale = int(n.max(initial=0)) * 2 + 2
+            key = at * scale + n
+            most = np.minimum(np.minimum(100 * n // percent, reach[order]), scale - 1)
+            lo = np.searchsorted(key, at * scale + -(-percent * n // 100), "left")
+            hi = np.searchsorted(key, at * scale + most, "right") - 1
+            hot = order[(hi > lo) & (turn[np.maximum(hi, 0)] > turn[np.minimum(lo, max(0, len(turn) - 1))])] if len(order) else order
+        mask = np.zeros(len(token), bool)
+        mask[hot] = True
+        hot = mask
         cut = np.cumsum([0, *map(len, parts)])
         # one number a token and size
         name = mix(token.view(U), size.astype(U))
@@ -571,7 +582,7 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
 
     labelled = (sketch.where(F.col("doc").isNotNull()).select("block", "own", "n", "prefix_doc", "prefix", "vec", "detail")
                 .join(of_block.withColumnRenamed("own", "had"), "block", "left"))
-    hot = (labelled.drop("vec", "detail").mapInArrow(contested, "bucket int, block long, tokens binary, nodes binary, sizes binary, comps binary").groupBy("bucket")
+    hot = (labelled.drop("vec", "detail").mapInArrow(contested, "bucket int, block long, tokens binary, nodes binary, reach binary, sizes binary, comps binary").groupBy("bucket")
            .applyInArrow(several, "block long, hot binary").groupBy("block").agg(F.collect_list("hot").alias("hot")))
     hot = written(hot, "contested")
 
