@@ -569,7 +569,9 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
             most = np.minimum(np.minimum(100 * n // percent, reach[order]), scale - 1)
             lo = np.searchsorted(key, at * scale + -(-percent * n // 100), "left")
             hi = np.searchsorted(key, at * scale + most, "right") - 1
-            hot = order[(hi > lo) & (turn[np.maximum(hi, 0)] > turn[np.minimum(lo, max(0, len(turn) - 1))])] if len(order) else order
+            if len(order):  # the window need not hold the entry itself: any component but its own will do
+                first = np.minimum(lo, len(order) - 1)
+                hot = order[(hi >= lo) & ((turn[np.maximum(hi, 0)] > turn[first]) | (c[first] != c))]
         mask = np.zeros(len(token), bool)
         mask[hot] = True
         hot = mask

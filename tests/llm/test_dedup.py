@@ -8,7 +8,7 @@ from cases import corpus, frame, linked_classes, shingles, windows_later, words
 
 from murmur.llm import adaptive_scan, grid_join, jaccard_tree, suffix_array, suffix_tree
 from murmur.llm.blocks import BlockWords, minimisers, sliding
-from murmur.llm.common import U
+from murmur.llm.common import U, hash64
 from murmur.llm.components import components
 
 import pyarrow as pa
@@ -95,6 +95,27 @@ def test_jaccard_join(spark, shingle, percent):
     assert {r.doc_id: r.text for r in one.collect()} == {i: t or "" for i, t in enumerate(texts) if expected[i] == i}
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_jaccard_subsets_that_lack_the_least_hashes(spark, parts):
+    # the first round sees none of these links, and a shingle's only other component is out of its holder's own size
+    texts, expected = [], {}
+    for k in range(3, 16):
+        own = [f"s{k}x{i}" for i in range(100)]
+        own = [own[i] for i in np.argsort(hash64(own))]
+        for t in (own, own[k:]) if k % 2 else (own[k:], own):
+            expected[len(texts)] = (len(t), len(texts) // 2 * 2)
+            texts.append(" ".join(t))
+    for k in (9, 10):  # a chain: x and z link through y only
+        own = [f"c{k}x{i}" for i in range(100)]
+        own = [own[i] for i in np.argsort(hash64(own))]
+        first = len(texts)
+        for t in (own, own[2 * k:], own[k:]):
+            expected[len(texts)] = (len(t), first)
+            texts.append(" ".join(t))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_tree.join(frame(spark, texts, parts=parts), 1, 85).collect()}
+    assert got == expected
+
+
 def test_finer_counts_bound_the_overlap():
     g = np.random.default_rng(6)
     sets = [np.unique(g.integers(0, 1 << 62, 3000 if k % 7 == 0 else 200) if k % 3 else np.concatenate([base, g.integers(0, 1 << 62, 40)]))
