@@ -13,9 +13,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import LDA, GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, Word2Vec
+from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from murmur.operators import metrics as M
 from murmur.operators.sampling import stratified_folds
 from murmur.operators.vectors import unit
-
-MAX_VOCAB = 1_000_000  # vocabularies handed to CountVectorizerModel are bounded
+from murmur.operators.vocab import doc2bow, tfidf
 
 
 def _fit_layout(data: DataFrame) -> tuple[DataFrame, int]:
@@ -58,22 +57,27 @@ def word_vectors(model) -> DataFrame:
 
 # ---- bag-of-words vectors -----------------------------------------------------
 
-def tfidf_vectors(docs: DataFrame, kept: DataFrame, n_docs: int, tokens_col: str = "tokens",
-                  out: str = "features") -> DataFrame:
-    """Sparse TF-IDF vectors (``tf * log2(N/df)``, L2-normalised) through
-    JVM transformers: counts with a fixed vocabulary, an element-wise idf
-    product and a normaliser.  The vocabulary (bounded by ``keep_n``) is the
-    model."""
-    rows = kept.orderBy("token_id").select("token", "df").limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError("vocabulary too large for a vector model; lower keep_n")
-    import math
-    vocab = [r["token"] for r in rows]
-    idf = Vectors.dense([math.log2(n_docs / r["df"]) for r in rows])
-    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=tokens_col, outputCol="_tf")
-    tf = cv.transform(docs)
-    w = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_w").transform(tf)
-    return Normalizer(p=2.0, inputCol="_w", outputCol=out).transform(w).drop("_tf", "_w")
+def sparse_vectors(docs: DataFrame, cells: DataFrame, size: int, value: str, id_col: str = "doc_id",
+                   out: str = "features") -> DataFrame:
+    """``(doc_id, features)`` of every row of ``docs`` from ``(doc_id, token_id,
+    value)`` rows: vectors of ``size`` entries, without entries where a document
+    has no row.  Only a document's own cells meet in a task; the vocabulary goes
+    nowhere as a whole."""
+    pack = F.udf(lambda ids, values: SparseVector(size, ids or [], values or []), VectorUDT())
+    packed = (cells.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("token_id", F.col(value).cast("double").alias("v")))).alias("_c"))
+              .select(id_col, F.col("_c.token_id").alias("_i"), F.col("_c.v").alias("_v")))
+    return docs.select(id_col).join(packed, id_col, "left").select(id_col, pack("_i", "_v").alias(out))
+
+
+def count_vectors(docs: DataFrame, bow: DataFrame, kept: DataFrame) -> DataFrame:
+    """Sparse vectors of token counts over the kept vocabulary."""
+    return sparse_vectors(docs, doc2bow(bow, kept), kept.count(), "tf")
+
+
+def tfidf_vectors(docs: DataFrame, bow: DataFrame, kept: DataFrame, n_docs: int) -> DataFrame:
+    """Sparse TF-IDF vectors (``tf * log2(N/df)``, L2-normalised) over the kept
+    vocabulary."""
+    return sparse_vectors(docs, tfidf(bow, kept, n_docs), kept.count(), "weight")
 
 
 # ---- topics ---------------------------------------------------------------------
@@ -94,7 +98,8 @@ def topic_definitions(model, vocab: DataFrame, n: int = 20) -> DataFrame:
     rows = d.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
     rows = rows.select("topic", (F.col("rank") + 1).cast("long").alias("rank"),
                        F.col("t.termIndices").cast("long").alias("token_id"), F.col("t.termWeights").alias("weight"))
-    return rows.join(F.broadcast(vocab.select("token_id", F.col("token").alias("word"))), "token_id") \
+    # the top words are the bounded side, the vocabulary is not
+    return vocab.select("token_id", F.col("token").alias("word")).join(F.broadcast(rows), "token_id") \
         .select("topic", "rank", "word", "weight")
 
 

@@ -21,11 +21,8 @@ T2024_US = 1704067200000000
 def _lda_inputs(spark, sf):
     docs = views.doc_tokens(spark, sf)
     bow = V.bag_of_words(docs)
-    kept = V.filter_extremes(V.vocabulary(bow), V.count_docs(docs), 10, 0.8, 100_000).checkpoint()
-    vocab = [r["token"] for r in kept.orderBy("token_id").select("token").collect()]  # bounded by keep_n
-    from pyspark.ml.feature import CountVectorizerModel
-    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="tokens", outputCol="features")
-    return cv.transform(docs).select("doc_id", "features"), kept
+    kept = V.filter_extremes(V.vocabulary(bow), V.count_docs(docs), 10, 0.8).checkpoint()
+    return ML.count_vectors(docs, bow, kept), kept
 
 
 def _lda(spark, sf):
@@ -125,8 +122,8 @@ def _bow_features(spark, sf):
     docs = views.doc_tokens(spark, sf)
     bow = V.bag_of_words(docs)
     n = views.documents(spark, sf).count()
-    kept = V.filter_extremes(V.vocabulary(bow), n, views.BOW_NO_BELOW, views.BOW_NO_ABOVE, views.BOW_KEEP_N)
-    feats = ML.tfidf_vectors(docs, kept, n)   # fitted on all rows, as the reference does
+    kept = V.filter_extremes(V.vocabulary(bow), n, views.BOW_NO_BELOW, views.BOW_NO_ABOVE).checkpoint()
+    feats = ML.tfidf_vectors(docs, bow, kept, n)   # fitted on all rows, as the reference does
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     return feats.join(lab, "doc_id").select("doc_id", "features", "label")
 

@@ -16,7 +16,7 @@ from murmur.session import spread, table
 # BOW settings of the reference transformer (no_below=2, no_above=0.9)
 BOW_NO_BELOW = 2
 BOW_NO_ABOVE = 0.9
-BOW_KEEP_N = 100_000  # the feature of vocab_filter_extremes and of vector models
+BOW_KEEP_N = 100_000  # the feature of vocab_filter_extremes only
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,3 +75,39 @@ def test_word_vectors_have_unit_length(spark):
     docs = spark.createDataFrame([(i, ["a", "b", "c", "d"]) for i in range(30)], "doc_id long, tokens array<string>")
     vectors = ML.word_vectors(ML.train_word2vec(docs, size=4, max_iter=2, min_count=1)).collect()
     assert len(vectors) == 4 and all(math.isclose(math.sqrt(sum(x * x for x in r.vector)), 1.0, rel_tol=1e-5) for r in vectors)
+
+
+def test_tfidf_vectors_by_hand(spark):
+    from murmur.operators import models as ML
+    from murmur.operators import vocab as V
+    texts = [["b", "a", "b"], ["a", "c"], [], ["c", "b", "zz"], ["zz", "a"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, tokens array<string>")
+    bow = V.bag_of_words(docs)
+    kept = V.filter_extremes(V.vocabulary(bow), 5, 2, 0.9).checkpoint()
+    ids = {r.token: r.token_id for r in kept.collect()}
+    idf = {w: math.log2(5 / sum(w in t for t in texts)) for w in ids}
+    got = {r.doc_id: r.features for r in ML.tfidf_vectors(docs, bow, kept, 5).collect()}
+    plain = {r.doc_id: r.features for r in ML.count_vectors(docs, bow, kept).collect()}
+    assert set(got) == set(plain) == set(range(5)) and sorted(ids.values()) == list(range(4))
+    for i, t in enumerate(texts):
+        want = np.zeros(4)
+        for w in t:
+            want[ids[w]] += 1
+        assert plain[i].toArray().tolist() == want.tolist()
+        want *= [idf[w] for w in sorted(ids, key=ids.get)]
+        assert np.allclose(got[i].toArray(), want / (np.linalg.norm(want) or 1), rtol=1e-12)
+
+
+def test_model_vocabularies_have_no_cap(spark, tmp_path):
+    from murmur.plans import q_models
+    from murmur.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: "w" + "".join(letters[i // 20 ** k % 20] for k in range(4))
+    n = 100_500
+    rows = [(r * 30 + k, " ".join(word(i) for i in range(k, n, 30)), "en", "s", 1) for r in range(10) for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[0] % 2, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for feats in (q_models._bow_features(spark, str(tmp_path)), q_models._lda_inputs(spark, str(tmp_path))[0]):
+        got = [(r.features.size, r.features.numNonzeros()) for r in feats.collect()]
+        assert len(got) == 300 and {g[0] for g in got} == {n} and sum(g[1] for g in got) == 10 * n
