@@ -104,7 +104,8 @@ def search(table: DataFrame, queries, k: int = 20, column: str = "embedding", pr
     Rows that :func:`usable` leaves out take no part on either side.  Rows with
     equal ids never find each other.  Fewer candidates than ``k`` are all
     returned.  Further columns are ignored, an empty table gives an empty result.
-    ``probe`` is the share of lists that a query scans (1: all).
+    ``probe`` is the share of lists that a query scans (1: all), or more where
+    those hold fewer than ``k`` candidates.
     """
     spark = table.sparkSession
     rows = written(usable(table, column), "vectors")
@@ -129,6 +130,9 @@ def search(table: DataFrame, queries, k: int = 20, column: str = "embedding", pr
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(at.astype(np.int32))], ["vec_id", "v", "list"])
 
     placed = written(rows.mapInArrow(home, "vec_id long, v array<double>, list int"), "lists")
+    held = np.zeros(lists, np.int64)
+    for r in placed.groupBy("list").count().collect():  # at most 4096 rows
+        held[r["list"]] = r["count"]
     sizes = placed.groupBy("list").count().select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"))  # at most 4096 rows
 
     def pack(t: pa.Table) -> pa.Table:
@@ -145,16 +149,21 @@ def search(table: DataFrame, queries, k: int = 20, column: str = "embedding", pr
             x = matrix(b.column("v"))
             if not len(x):
                 continue
-            to = nearest(np.hstack([x, np.zeros((len(x), 1))]) @ turn, centroids, probes)
+            to = nearest(np.hstack([x, np.zeros((len(x), 1))]) @ turn, centroids, lists)
+            # further lists until there are k candidates, or all
+            few = np.cumsum(held[to], axis=1) < k + b.column("same").to_numpy()[:, None]
+            probed = np.zeros(to.shape, bool)
+            np.put_along_axis(probed, to, np.arange(lists) < np.maximum(probes, few.sum(1) + 1)[:, None], 1)
             ids = b.column("vec_id").to_numpy()
             for i in range(lists):
-                own = np.flatnonzero((to == i).any(1))
+                own = np.flatnonzero(probed[:, i])
                 for k0 in range(0, len(own), TOGETHER):
                     at = own[k0:k0 + TOGETHER]
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([ids[at].tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())],
                                                      ["list", "q_ids", "q"])
 
-    asked = rows.where(queries).mapInArrow(route, "list int, q_ids binary, q binary")
+    same = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"))  # rows that a query can't find
+    asked = rows.where(queries).join(same, "vec_id").mapInArrow(route, "list int, q_ids binary, q binary")
 
     def meet(batches):
         for batch in batches:

@@ -221,3 +221,16 @@ def test_adaptive_scan_edges(spark):
     got = sorted(tuple(r) for r in adaptive_scan.search(few, F.col("vec_id") % 20 == 0, 20, probe=1.0).collect())
     assert [(g[1], g[2], g[3]) for g in got] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0), (5, 5, 1.0), (6, 6, 1.0)]
     assert adaptive_scan.search(few.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [7, 20, 24])
+def test_adaptive_scan_of_a_small_table_finds_all(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)]
+    rows += [(0, (-x[0]).tolist(), 1, "x")] * 3  # equal ids never find each other
+    got = {}
+    for r in adaptive_scan.search(spark.createDataFrame(rows[:n], SCHEMA), F.col("vec_id") >= 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got[q]) == min(20, n - 1) and q not in got[q] for q in range(n))
+    again = adaptive_scan.search(spark.createDataFrame(rows, SCHEMA), F.element_at("v", 1) == float(x[0, 0])).collect()
+    assert len({r.vec_id for r in again}) == len(again) == min(20, n - 1) and 0 not in [r.vec_id for r in again]
