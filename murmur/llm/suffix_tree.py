@@ -3,11 +3,12 @@
 A suffix is the sequence of words from one place of a document on.  Suffixes
 are dealt to groups by their first words: one word, or two, four or eight where
 a shorter prefix has more suffixes than a group may hold (and by a hash of the
-whole edge where even eight do), so a group fits in memory.  A group's subtree
-is built by sorting its suffixes; only its internal nodes at a depth of
-``window`` words or more matter, since the leaves below such a node are the
-places where the same ``window`` words start.  All leaves but the first, in
-document order, start a repeat, and overlapping repeats of a document join to
+whole edge where even eight do), so a group fits in memory.  Of a group's subtree
+only the nodes at a depth of ``window`` words are found, by sorting two 64-bit
+hashes of the first ``window`` words of its suffixes: the leaves below such a
+node are the places where the same ``window`` words start.  No suffixes are
+compared and no deeper nodes are made.  All leaves but the first, in document
+order, start a repeat, and overlapping repeats of a document join to
 maximal ones.
 
 Before suffixes are dealt, those that can't lie below a deep node are left out:
