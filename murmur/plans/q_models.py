@@ -175,7 +175,7 @@ def embedding_experiment(spark, sf):
     feats = Standardizer.fit(feats, "x").transform(feats, "x")
     names = [n for n, *_ in block_names(1, 5)]
     out = None
-    for i in (0, 1, len(names) - 1):  # the first block, the first two, all
+    for i in range(len(names)):  # set i holds the blocks up to i
         cut = feats.select("doc_id", "label", array_to_vector(F.slice("x", 1, 100 * (i + 1))).alias("features"))
         scores = ML.mean_scores(ML.cv_scores(cut, "lr", n_trials=10, n_cv=3)).withColumn("name", F.lit(names[i])).withColumn("i", F.lit(i))
         out = scores if out is None else out.unionByName(scores)

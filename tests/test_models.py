@@ -111,3 +111,21 @@ def test_model_vocabularies_have_no_cap(spark, tmp_path):
     for feats in (q_models._bow_features(spark, str(tmp_path)), q_models._lda_inputs(spark, str(tmp_path))[0]):
         got = [(r.features.size, r.features.numNonzeros()) for r in feats.collect()]
         assert len(got) == 300 and {g[0] for g in got} == {n} and sum(g[1] for g in got) == 10 * n
+
+
+def test_embedding_experiment_scores_every_nested_set(spark, tmp_path, monkeypatch):
+    from murmur.operators import models as ML
+    from murmur.operators.vectors import block_names
+    from murmur.plans import q_models
+    names = [n for n, *_ in block_names(1, 5)]
+    cells = [(i, b, d, float(i * b + d)) for i in range(4) for b in range(len(names)) for d in range(100)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(q_models, "_message_blocks", lambda *_: spark.createDataFrame(cells, "doc_id long, block long, dim long, value double"))
+    sizes = []
+
+    def scores(data, *_, **__):
+        sizes.append(data.first().features.size)
+        return spark.createDataFrame([(0, 0, 1.0, 1.0, 1.0, 1.0, 1.0)], "n_trial long, fold long, accuracy double, precision double, recall double, f1 double, roc_auc double")
+    monkeypatch.setattr(ML, "cv_scores", scores)
+    got = sorted((r.i, r.name) for r in q_models.embedding_experiment(spark, str(tmp_path)).collect())
+    assert got == list(enumerate(names)) and len(names) == 10 and sizes == [100 * (k + 1) for k in range(10)]
