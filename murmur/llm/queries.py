@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import adaptive_scan, grid_join, jaccard_tree, langid, packing, sp_bpe, suffix_array, suffix_tree, token_count, toxicity
+from murmur.llm import (adaptive_scan, fill_middle, grid_join, jaccard_tree, langid, packing, quality, sp_bpe, spelling, suffix_array, suffix_tree,
+                        token_count, toxicity)
 from murmur.llm.common import documents, on_workers
 from murmur.session import table
 
@@ -140,6 +141,75 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(documents(spark, sf_dir), 7, 100, 50)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (len(u) + 1) AS r1, CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (len(u) + 1) AS r2,
+         CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 < 50 AS spm, text = '' OR regexp_matches(text, '<[PSM]>') AS plain FROM d),
+c AS (
+  SELECT *, array_to_string(u[1:least(r1, r2)], '') AS p, array_to_string(u[least(r1, r2) + 1:greatest(r1, r2)], '') AS m,
+         array_to_string(u[greatest(r1, r2) + 1:], '') AS s FROM r)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), 7, 2, 10)
+
+
+OP12_SQL = """
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS g(b))),
+w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w
+  FROM documents),
+g AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+x AS (SELECT w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM g),
+crc AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_transform(range(CAST(length(x) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) AS h
+  FROM x, t),
+f AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM crc),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+cut AS (
+  SELECT DISTINCT word, i, substr(word, 1, CAST(i AS BIGINT)) || substr(word, CAST(i AS BIGINT) + 2) AS k FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, k FROM cut WHERE k IN (SELECT word FROM v)
+  UNION SELECT k, word FROM cut WHERE k IN (SELECT word FROM v)),
+top AS (
+  SELECT a, count(*) AS n_near, max(n) AS top_n, arg_min(b, (-n, b)) AS top FROM near JOIN v ON v.word = b GROUP BY a),
+form AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * n THEN top END AS form, CASE WHEN top_n >= 10 * n THEN top_n END AS form_n
+  FROM v LEFT JOIN top ON a = word),
+chain(word, tip) AS (
+  SELECT word, word FROM form UNION ALL SELECT chain.word, form.form FROM chain JOIN form ON form.word = chain.tip WHERE form.form IS NOT NULL)
+SELECT form.word, form.form, tip AS root, form.n, CAST(form.n_near AS BIGINT) AS n_near, form.form_n
+FROM form JOIN chain ON chain.word = form.word JOIN form last ON last.word = chain.tip AND last.form IS NULL
+"""
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs.where(remainder() != 0), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out(), "score", "predicted")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_array": op2_suffix_array,
@@ -151,10 +221,15 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_grid_join": op9_grid_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality": op13_quality,
 }
 ORACLE: dict[str, str] = {
     "op2_suffix_array": OP2_SQL,
     "op7_jaccard_tree": OP7_SQL,
     "op9_grid_join": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
