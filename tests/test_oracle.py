@@ -25,10 +25,16 @@ def con():
     return c
 
 
+def plain(v):
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
+        return None
+    v = v.item() if hasattr(v, "item") else v
+    return int(v) if isinstance(v, float) and v.is_integer() else v
+
+
 def canon(df: pd.DataFrame):
     df = df[sorted(df.columns)]
-    return sorted((tuple(None if (isinstance(v, float) and v != v) else v for v in r)
-                   for r in df.itertuples(index=False)), key=repr)
+    return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=repr)
 
 
 def test_entry(spark):
