@@ -28,21 +28,24 @@ def csv_roundtrip(spark, sf):
     return back
 
 
-_CSV_TEXT = "regexp_replace(text, '[^A-Za-z0-9]+', '_'{g})"
-_CSV_G = _CSV_TEXT.format(g=", 'g'")
+# Rows of these kinds, by doc_id % 10: a stray quote before an unquoted text
+# (3), an unquoted text whose own commas cut it (5), a row without its label (7).
+# All others are well formed: quoted, with commas, quotes and lines inside.
+_FLAT = "regexp_replace(text, '[\\r\\n\"]+', ' '{g})"
 
 
 @query("csv_repair", f"""SELECT doc_id::VARCHAR AS id_str,
-    {_CSV_G} AS text, CASE WHEN doc_id % 10 = 7 THEN NULL ELSE lang END AS label FROM documents""")
+    {st.norm_format("CASE WHEN doc_id % 10 IN (3, 5) THEN " + _FLAT.format(g=", 'g'") + " ELSE text END")} AS text,
+    CASE WHEN doc_id % 10 = 7 THEN NULL ELSE lang END AS label FROM documents""")
 def csv_repair(spark, sf):
-    """Messages written as raw lines, some with an unclosed quote (which glues
-    everything after it) and some too short, read back without a loss."""
+    """Messages written as raw lines, well-formed ones among broken ones (a
+    stray quote glues what follows), read back without losing a word."""
     path = scratch_path(spark, f"broken-{uuid.uuid4().hex}")
-    docs = table(spark, sf, "documents").select("doc_id", F.expr(_CSV_TEXT.format(g="")).alias("t"), "lang")
-    quote = F.when(F.col("doc_id") % 10 == 3, F.lit('"')).otherwise(F.lit(""))
-    label = F.when(F.col("doc_id") % 10 == 7, F.lit("")).otherwise(F.concat(F.lit(","), F.col("lang")))
-    line = F.concat(F.col("doc_id").cast("string"), F.lit(","), quote, "t", label)
-    docs.select(line.alias("value")).write.text(path)
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.expr(_FLAT.format(g="")).alias("flat"), "lang", (F.col("doc_id") % 10).alias("kind"))
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    body = (F.when(F.col("kind") == 3, F.concat(F.lit('"'), "flat")).when(F.col("kind") == 5, F.col("flat")).otherwise(quoted))
+    label = F.when(F.col("kind") == 7, F.lit("")).otherwise(F.concat(F.lit(","), F.col("lang")))
+    docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(","), body, label).alias("value")).write.text(path)
     return IO.read_messages(spark, path, ["id_str", "text", "label"], header_fields=["id_str", "text", "label"], header=False)
 
 

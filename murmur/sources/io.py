@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.functions.text import normalize_format
+from murmur.sources.records import read_records
 
 MESSAGE_FIELDS = ["id_str", "text", "created_at", "label"]
-CORRUPT = "_corrupt"
-ID_FIELDS = ("id_str", "id")
 
 # Score-log columns in the order the experiment writes them (fixed values).
 SCORE_LOG_SCHEMA = T.StructType([
@@ -39,54 +38,21 @@ def parse_created_at(x: Column) -> Column:
 
 
 def read_messages(spark: SparkSession, path: str, fields: list[str] | None = None,
-                  header_fields: list[str] | None = None, repair: bool = True,
-                  header: bool = True) -> DataFrame:
+                  header_fields: list[str] | None = None, header: bool = True) -> DataFrame:
     """CSV message scan with a header (UTF-8, bad bytes -> U+FFFD, doubled
     quotes, quoted line breaks).  Keeps the named fields (a missing one
     raises), trims ids, normalises line breaks in text and parses dates.
 
-    Rows whose cell count is wrong are repaired: their raw text is split on
-    line breaks and every piece is parsed again as a record (a stray quote can
-    glue any number of records, up to the end of the file), without a quote
-    that has no partner in its line; pieces still short keep NULLs.  In a file
-    whose first field is the id, a row with lines inside that start with an id
-    and hold enough cells is taken for glued records, too.
+    Files are read in splits, also where quoted cells hold line breaks, and
+    records that a stray quote glued together, or that have too many or too few
+    cells, are repaired (see :mod:`murmur.sources.records`); pieces still short keep NULLs.
     """
     fields = fields or MESSAGE_FIELDS
     head = header_fields or spark.read.option("header", True).csv(path).columns
     missing = [f for f in fields if f not in head]
     if missing:
         raise ValueError(f"fields {missing} not in header {head}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in head]
-                          + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(schema)
-           .options(header=header, multiLine=True, quote='"', escape='"', mode="PERMISSIVE",
-                    columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8")
-           .csv(path))
-    # A query may not reference the corrupt-record column alone (column
-    # pruning would leave only it, e.g. under count()); both branches also
-    # test the first field with a condition the optimizer cannot drop.
-    touch = F.length(F.coalesce(F.col(head[0]), F.lit(""))) >= 0
-    good = raw.filter(F.col(CORRUPT).isNull() & touch).drop(CORRUPT)
-    if repair:
-        bad = raw.filter(F.col(CORRUPT).isNotNull() & touch).select(F.col(CORRUPT).alias("_raw"))
-        if head[0] in ID_FIELDS:
-            # a stray quote closed by a later one gives a row of the right
-            # size; what it swallowed are lines that start with an id
-            whole = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in head])
-            lines = F.split(whole, "\r?\n")
-            swallowed = F.exists(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(2))),
-                                 lambda x: x.rlike(r'^\s*"?\d+"?,') & (F.size(F.split(x, ",")) >= len(head)))
-            bad = bad.unionByName(good.filter(swallowed).select(whole.alias("_raw")))
-            good = good.filter(~swallowed)
-        ddl = ", ".join(f"`{c}` STRING" for c in head)
-        pieces = bad.select(F.explode(F.split("_raw", "\r?\n")).alias("_l")).filter(F.length("_l") > 0)
-        # within one line an odd quote is a stray one
-        stray = F.length(F.regexp_replace("_l", '[^"]', "")) % 2 == 1
-        line = F.when(stray, F.regexp_replace("_l", '"', "")).otherwise(F.col("_l"))
-        fixed = pieces.select(F.from_csv(line, ddl, {"quote": '"', "escape": '"'}).alias("_r")).select("_r.*")
-        good = good.unionByName(fixed)
-    return clean_messages(good.select(*fields))
+    return clean_messages(read_records(spark, path, head, skip_header=header).select(*fields))
 
 
 def clean_messages(df: DataFrame) -> DataFrame:
