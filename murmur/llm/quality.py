@@ -32,6 +32,8 @@ from murmur.llm.common import map_slices, on_workers, texts, with_id, words, wri
 CUT = 0.3
 #: Bound of the training sample, good documents and bad ones; steps of the fit.
 SAMPLE, STEPS, RIDGE = 1200, 300, 1e-3
+#: Standard deviations from the mean that a feature counts at most.
+FAR = 2.0
 #: Quantiles among which the place of the decision is chosen.
 QUANTILES = 1000
 
@@ -94,6 +96,11 @@ def features(text: pa.Array) -> np.ndarray:
     return np.hstack([pairs, np.array(more, float).T])
 
 
+def standard(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features; what lies far out (very short texts) counts as ``FAR``."""
+    return np.clip((x - centre) / scale, -FAR, FAR)
+
+
 class Ranking:
     """Weights of the preference model, and the quantile that decides."""
 
@@ -101,7 +108,8 @@ class Ranking:
         self.weights, self.centre, self.scale, self.threshold, self.slope = weights, centre, scale, threshold, slope
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.centre) / self.scale @ self.weights
+        # row by row, so that a text scores alike whatever batch it is in
+        return (standard(x, self.centre, self.scale) * self.weights).sum(axis=1)
 
     def score(self, raw: np.ndarray) -> np.ndarray:
         z = np.clip(self.slope * (raw - self.threshold), -30, 30) + math.log(CUT / (1 - CUT))
@@ -129,16 +137,21 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, steps: int = STEPS, ridge: floa
     return best
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("_label"))
-    # labels are no input but of this join; the documents go on with their text alone
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
+def known_labels(labels: DataFrame, column: str) -> DataFrame:
+    """``(doc_id, _label)``, an id once (the higher of two labels)."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("_label"))
 
 
-def sampled_features(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample: at most ``limit`` distinct texts
-    of each label, those whose hash is least.  Only features reach the driver."""
-    schema = "_label int, h long, x array<double>"
+def sampled_features(docs: DataFrame, known: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a bounded sample: the distinct texts of ``limit``
+    labelled ids of each label, those whose hash is least (``limit`` texts at
+    most, if ids repeat).  Only ids and features travel."""
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(41))
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    pick = [there.where(F.col("_label") == k).orderBy(order, "doc_id").limit(limit) for k in (0, 1)]
+    chosen = F.broadcast(pick[0].unionByName(pick[1]))  # 2 * limit ids at most
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    rows = rows.select("_label", F.xxhash64("text").alias("h"), "text")
 
     def start():
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,38 +160,25 @@ def sampled_features(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarra
             return pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("h"), flat], ["_label", "h", "x"])
         return part
 
-    hashed = rows.select("_label", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    keys = hashed.groupBy("_label", "h").agg(F.count(F.lit(1)).alias("_n"))
-    edge = {}
-    for label in (0, 1):
-        least = keys.where(F.col("_label") == label).orderBy("h").select("h").limit(limit).collect()
-        edge[label] = least[-1].h if least else None
-    chosen = F.lit(False)
-    for label, last in edge.items():
-        if last is not None:
-            chosen = chosen | ((F.col("_label") == label) & (F.col("h") <= last))
-    got = (map_slices(hashed.where(chosen), "text", schema, start)
-           .groupBy("_label", "h").agg(F.first("x").alias("x")).orderBy("_label", "h").toPandas())
-    if not len(got):
-        return np.empty((0, WIDTH)), np.empty(0, int)
-    return np.vstack(got["x"].to_numpy()), got["_label"].to_numpy()
-
-
-def ranked(docs: DataFrame, model: Ranking, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, raw double)`` of every document and its columns ``keep``."""
+    each = (map_slices(rows, "text", "_label int, h long, x array<double>", start)
+            .groupBy("_label", "h").agg(F.first("x").alias("x")))
+    got = each.where("_label = 0").orderBy("h").limit(limit).unionByName(each.where("_label = 1").orderBy("h").limit(limit)).collect()
+    got = sorted(got, key=lambda r: (r["_label"], r.h))
+    return np.array([r.x for r in got]).reshape(-1, WIDTH), np.array([r["_label"] for r in got], int)
+
+
+def ranked(docs: DataFrame, model: Ranking) -> DataFrame:
+    """``(doc_id, raw double)`` of every document."""
     schema = with_id(docs, "raw double")
-    for c in keep:
-        schema.add(docs.schema[c])
     spark = on_workers(docs.sparkSession)
-    model = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def start():
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = model.value.raw(features(texts(batch)))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw), *[batch.column(c) for c in keep]], ["doc_id", "raw", *keep])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.raw(features(texts(batch))))], ["doc_id", "raw"])
         return part
 
-    return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep), "text", schema, start)
+    return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", schema, start)
 
 
 def threshold(raw: DataFrame, quantiles: int = QUANTILES) -> tuple[float, float]:
@@ -208,15 +208,15 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Rankin
     """Learn from the labelled rows of ``docs``: weights from a bounded sample,
     the threshold from the scores of all of them."""
     on_workers(docs.sparkSession)
-    rows = written(labelled(docs, labels, column), "labelled")
-    x, y = sampled_features(rows, SAMPLE)
+    known = known_labels(labels, column)
+    x, y = sampled_features(docs, known, SAMPLE)
     if not (y == 0).any() or not (y == 1).any():
         return Ranking(np.zeros(WIDTH), np.zeros(WIDTH), np.ones(WIDTH), -1.0 if (y == 1).any() else 1.0, 60.0)
     centre, scale = x.mean(0), x.std(0)
     scale[scale < 1e-6] = 1.0
-    z = (x - centre) / scale
+    z = standard(x, centre, scale)
     model = Ranking(fit_pairs(z[y == 1], z[y == 0]), centre, scale, 0.0, 1.0)
-    scores = written(ranked(rows, model, ("_label",)), "scores")
+    scores = written(ranked(docs, model).join(known, "doc_id").select("raw", "_label"), "scores")  # texts stay where they are
     model.threshold, gap = threshold(scores)
     model.slope = 8.0 / gap
     return model

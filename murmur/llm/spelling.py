@@ -243,7 +243,8 @@ def near_words(words: DataFrame) -> DataFrame:
     chars = words.agg(F.sum(F.length("word"))).first()[0] or 0
     buckets = group_count(2 * PARTS * chars, spark, BUCKET_CHARS)
     # lists too long for a task: no more of them than all code points can fill
-    long = (listed.groupBy("ends").agg(F.ceil(F.count(F.lit(1)) * F.max("longer") / LIST_CHARS).cast("int").alias("_k"))
+    size = F.count(F.lit(1))
+    long = (listed.groupBy("ends").agg(F.least(size, F.ceil(size * F.max("longer") / LIST_CHARS)).cast("int").alias("_k"))
             .where(F.col("_k") > 1))
     if 2 * PARTS * (chars + 1) // LIST_CHARS < LONG_LISTS:
         long = F.broadcast(long)
