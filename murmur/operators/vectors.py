@@ -57,16 +57,10 @@ class Standardizer:
 
 def block_names(d0: int = 1, d1: int = 5) -> list[tuple[str, str, str, int]]:
     """(name, kind, stat, shift) of every block, in feature order."""
-    names = [("00_avg", "base", "median", 0), ("01_std", "base", "std", 0)]
-    cnt = 2
-    for i in range(1, d0):
-        names.append((f"{cnt:02d}_diff0_std_{i}", "diff0", "std", i))
-        cnt += 1
-    for i in range(1, d1):
-        names.append((f"{cnt:02d}_diff1_{i}", "diff1", "median", i))
-        names.append((f"{cnt + 1:02d}_diff1_std_{i}", "diff1", "std", i))
-        cnt += 2
-    return names
+    blocks = [("avg", "base", "median", 0), ("std", "base", "std", 0)]
+    blocks += [(f"diff0_std_{i}", "diff0", "std", i) for i in range(1, d0)]
+    blocks += [(label.format(i), "diff1", stat, i) for i in range(1, d1) for label, stat in (("diff1_{}", "median"), ("diff1_std_{}", "std"))]
+    return [(f"{place:02d}_{label}", *rest) for place, (label, *rest) in enumerate(blocks)]
 
 
 def message_vector_blocks(token_vectors: DataFrame, messages: DataFrame | None = None,

@@ -90,19 +90,16 @@ def test_phrase_merge_random(spark):
         assert got.get(i, []) == greedy_merge(toks, ph)
 
 
-def sequential_groups(n, edges):
-    clusters, k = {}, 0
-    for i in range(n):
-        if i not in clusters:
-            clusters[i] = k
-            k += 1
-        for j in range(n):
-            if i != j and ((i, j) in edges or (j, i) in edges):
-                clusters[j] = clusters[i]
-    inv = {}
-    for t, c in clusters.items():
-        inv.setdefault(c, []).append(t)
-    return sorted(sorted(v) for v in inv.values())
+def by_largest_neighbour(n, edges):
+    """A topic opens the group of its chain of largest smaller neighbours, and
+    lies in the group that its largest neighbour opens."""
+    near = [[k for k in range(n) if (i, k) in edges or (k, i) in edges] for i in range(n)]
+
+    def opens(i):
+        smaller = [k for k in near[i] if k < i]
+        return opens(max(smaller)) if smaller else i
+    group = [opens(max(near[j], default=j)) for j in range(n)]
+    return sorted([j for j in range(n) if group[j] == g] for g in set(group))
 
 
 def groups_of(spark, n, edges):
@@ -116,9 +113,10 @@ def groups_of(spark, n, edges):
 
 
 def test_threshold_groups_case(spark):
-    edges = {(0, 2), (0, 3), (1, 2)}
-    assert sequential_groups(4, edges) == [[0, 3], [1, 2]]
-    assert groups_of(spark, 4, edges) == [[0, 3], [1, 2]]
+    cases = [({(0, 2), (0, 3), (1, 2)}, [[0, 3], [1, 2]]), (set(), [[0], [1], [2], [3]]),
+             ({(0, 1), (1, 2), (2, 3)}, [[0, 1, 2, 3]]), ({(0, 3), (1, 3)}, [[0, 1, 3], [2]])]
+    for edges, want in cases:
+        assert by_largest_neighbour(4, edges) == groups_of(spark, 4, edges) == want
 
 
 def test_threshold_groups_random(spark):
@@ -126,7 +124,7 @@ def test_threshold_groups_random(spark):
     for _ in range(4):
         n = 9
         edges = {(i, j) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.25}
-        assert groups_of(spark, n, edges) == sequential_groups(n, edges)
+        assert groups_of(spark, n, edges) == by_largest_neighbour(n, edges)
 
 
 def test_time_bins_do_not_depend_on_session_zone(spark):

@@ -7,21 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmur.operators.metrics import roc_auc
-from murmur.operators.vectors import message_vector_blocks
-
-
-def reference_vector(data, d0, d1):
-    data = np.asarray(data, dtype=float)
-    feats = [np.median(data, axis=0), np.std(data, axis=0)]
-    for i in range(1, d0):
-        if len(data) > i:
-            feats.append(np.std(np.diff(data - np.roll(data, i, axis=0), axis=0), axis=0))
-        else:
-            feats.append(np.zeros(data.shape[1]))
-    for i in range(1, d1):
-        dd = data - np.roll(data, i, axis=1)
-        feats += [np.median(dd, axis=0), np.std(dd, axis=0)]
-    return np.concatenate(feats)
+from murmur.operators.vectors import block_names, message_vector_blocks
 
 
 def blocks_as_vector(spark, rows, d0, d1, size):
@@ -32,15 +18,24 @@ def blocks_as_vector(spark, rows, d0, d1, size):
     return np.array([v for _, v in vals])
 
 
-@pytest.mark.parametrize("rows", [
-    [[1.0, 2.0, 3.0]],
-    [[1.0, 2.0, 4.0], [2.0, 0.5, 8.0], [0.0, 1.0, 1.0], [3.0, 3.0, 3.0]],
-    [[0.1, -0.2, 0.3], [0.5, 0.5, -0.5], [1.5, 0.0, 0.2]],
+# worked by hand: x[k] - x[(k - i) mod size] over the dimensions, and
+# x[t] - x[(t - i) mod n] over the words, then its steps
+@pytest.mark.parametrize("rows,d0,d1,want", [
+    ([[1.0, 2.0, 3.0]], 4, 3, {
+        "00_avg": [1, 2, 3], "01_std": [0, 0, 0],
+        "02_diff0_std_1": [0, 0, 0], "03_diff0_std_2": [0, 0, 0], "04_diff0_std_3": [0, 0, 0],
+        "05_diff1_1": [-2, 1, 1], "06_diff1_std_1": [0, 0, 0], "07_diff1_2": [-1, -1, 2], "08_diff1_std_2": [0, 0, 0]}),
+    ([[0.0, 0.0], [2.0, 4.0]], 2, 2, {
+        "00_avg": [1, 2], "01_std": [1, 2], "02_diff0_std_1": [0, 0], "03_diff1_1": [-1, 1], "04_diff1_std_1": [1, 1]}),
+    ([[0.0], [1.0], [5.0]], 3, 1, {
+        "00_avg": [1], "01_std": [(14 / 3) ** 0.5], "02_diff0_std_1": [1.5], "03_diff0_std_2": [6]}),
+    ([[4.0, 0.0], [0.0, 0.0], [2.0, 6.0], [2.0, 2.0]], 1, 2, {
+        "00_avg": [2, 1], "01_std": [2 ** 0.5, 6 ** 0.5], "02_diff1_1": [0, 0], "03_diff1_std_1": [2 * 2 ** 0.5, 2 * 2 ** 0.5]}),
 ])
-def test_message_vector_matches_numpy(spark, rows):
-    d0, d1 = 4, 3
-    got = blocks_as_vector(spark, rows, d0, d1, 3)
-    assert np.allclose(got, reference_vector(rows, d0, d1))
+def test_message_vector_by_hand(spark, rows, d0, d1, want):
+    got = blocks_as_vector(spark, rows, d0, d1, len(rows[0]))
+    assert [n for n, *_ in block_names(d0, d1)] == list(want)
+    assert np.allclose(got, np.concatenate(list(want.values())))
 
 
 def test_message_vector_no_known_word(spark):
