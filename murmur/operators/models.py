@@ -8,22 +8,27 @@ differ numerically from other libraries' solvers (see README).
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import LDA, GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from murmur.operators import experiments as EX
 from murmur.operators import metrics as M
 from murmur.operators.sampling import stratified_folds
 from murmur.operators.vectors import unit
 from murmur.operators.vocab import doc2bow, tfidf
+from murmur.session import scratch_path
 
 
 def _fit_layout(data: DataFrame) -> tuple[DataFrame, int]:
@@ -63,10 +68,19 @@ def sparse_vectors(docs: DataFrame, cells: DataFrame, size: int, value: str, id_
     value)`` rows: vectors of ``size`` entries, without entries where a document
     has no row.  Only a document's own cells meet in a task; the vocabulary goes
     nowhere as a whole."""
-    pack = F.udf(lambda ids, values: SparseVector(size, ids or [], values or []), VectorUDT())
-    packed = (cells.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("token_id", F.col(value).cast("double").alias("v")))).alias("_c"))
-              .select(id_col, F.col("_c.token_id").alias("_i"), F.col("_c.v").alias("_v")))
-    return docs.select(id_col).join(packed, id_col, "left").select(id_col, pack("_i", "_v").alias(out))
+    packed = (cells.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col("token_id").cast("int").alias("i"), F.col(value).cast("double").alias("v")))).alias("_c"))
+              .select(id_col, F.col("_c.i").alias("_i"), F.col("_c.v").alias("_v")))
+    rows = docs.select(id_col).join(packed, id_col, "left").select(id_col, F.coalesce("_i", F.array().cast("array<int>")).alias("_i"),
+                                                                   F.coalesce("_v", F.array().cast("array<double>")).alias("_v"))
+
+    def run(batches):
+        for b in batches:  # the columns as they are, under the vector type's names
+            n = b.num_rows
+            sparse = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), b.column("_i"), b.column("_v")],
+                                                ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([b.column(id_col), sparse], [id_col, out])
+
+    return rows.mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField(out, VectorUDT())]))
 
 
 def count_vectors(docs: DataFrame, bow: DataFrame, kept: DataFrame) -> DataFrame:
@@ -179,52 +193,35 @@ def _folded(data: DataFrame, label: str, id_col: str, k: int, seed: int) -> Data
     return data.join(folds.select(id_col, "fold"), id_col)
 
 
+def cv_predictions(data: DataFrame, clf_name: str = "lr", n_trials: int = 10, n_cv: int = 3, label: str = "label", id_col: str = "doc_id",
+                   c: float = 1.0, sets: dict | None = None, path: str | None = None) -> DataFrame:
+    """Out-of-fold predictions of repeated stratified k-fold fits, saved at
+    ``path`` (see :mod:`murmur.operators.experiments`)."""
+    path = path or scratch_path(data.sparkSession, f"experiments/{uuid.uuid4().hex}")
+    make = lambda n: classifier(clf_name, n, c).setLabelCol(label).setFeaturesCol("features")
+    return EX.predict_folds(data, make, path, n_trials, n_cv, sets, label, id_col)
+
+
 def cv_scores(data: DataFrame, clf_name: str = "lr", n_trials: int = 10, n_cv: int = 3,
-              label: str = "label", id_col: str = "doc_id", c: float = 1.0,
-              parallelism: int = 8) -> DataFrame:
+              label: str = "label", id_col: str = "doc_id", c: float = 1.0, direct: bool = False) -> DataFrame:
     """Repeated stratified k-fold: ``(n_trial, fold, accuracy, precision,
-    recall, f1, roc_auc)``.  Each fit is distributed; the folds of a trial run
-    at once.  The per-trial seed changes the fold assignment."""
-    spark = data.sparkSession
-    data, n = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
-
-    def run(trial, fold, folded):
-        train = folded.filter(F.col("fold") != fold)
-        test = folded.filter(F.col("fold") == fold)
-        est = classifier(clf_name, int(n * (n_cv - 1) / n_cv), c).setLabelCol(label).setFeaturesCol("features")
-        pred = est.fit(train).transform(test)
-        return {"n_trial": trial, "fold": fold, **_fold_scores(pred, label)}
-
-    rows = []
-    with ThreadPoolExecutor(max_workers=min(parallelism, n_cv)) as pool:
-        for trial in range(n_trials):
-            folded = _folded(data, label, id_col, n_cv, trial).persist()  # one trial's copy at a time
-            rows += pool.map(lambda fold: run(trial, fold, folded), range(n_cv))  # noqa: B023
-            folded.unpersist()
-    data.unpersist()
-    return spark.createDataFrame(rows, "n_trial long, fold long, accuracy double, precision double, "
-                                       "recall double, f1 double, roc_auc double")
+    recall, f1, roc_auc, iterations, converged)``, the last two telling how the
+    solver stopped.  ``direct`` takes the area from the hard predictions."""
+    p = cv_predictions(data, clf_name, n_trials, n_cv, label, id_col, c)
+    stopped = p.groupBy("n_trial", "fold").agg(F.max("iterations").alias("iterations"), F.max("converged").alias("converged"))
+    return EX.fold_scores(p, direct).select("n_trial", "fold", *EX.METRICS).join(stopped, ["n_trial", "fold"])
 
 
 def mean_scores(scores: DataFrame) -> DataFrame:
     """One row: each metric's mean over folds and trials, and how many there were."""
-    metrics = ["accuracy", "precision", "recall", "f1", "roc_auc"]
-    return scores.agg(F.countDistinct("n_trial").alias("n_trials"), F.count(F.lit(1)).alias("n_fits"), *[F.avg(m).alias(m) for m in metrics])
+    return EX.mean_over_fits(scores, [])
 
 
 def out_of_fold(data: DataFrame, clf_name: str = "lr", n_cv: int = 5, label: str = "label",
-                id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+                id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, label, prediction)`` where every row is predicted by the
     model of the fold that left it out."""
-    data, n = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
-    folded = _folded(data, label, id_col, n_cv, seed)
-    out = None
-    for fold in range(n_cv):
-        est = classifier(clf_name, int(n * (n_cv - 1) / n_cv)).setLabelCol(label).setFeaturesCol("features")
-        p = est.fit(folded.filter(F.col("fold") != fold)).transform(folded.filter(F.col("fold") == fold))
-        p = p.select(id_col, F.col(label).cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    return cv_predictions(data, clf_name, 1, n_cv, label, id_col).select(id_col, "label", "prediction")
 
 
 def grid_search(data: DataFrame, reg_params=(0.001, 0.01, 0.1, 1.0), n_cv: int = 2, label: str = "label",
@@ -232,13 +229,14 @@ def grid_search(data: DataFrame, reg_params=(0.001, 0.01, 0.1, 1.0), n_cv: int =
     """``(reg_param, accuracy, best)``: cross-validated accuracy per setting over
     stratified folds; ``best`` marks the setting that wins."""
     data, _ = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
-    folded = _folded(data, label, id_col, n_cv, seed).withColumn("fold", F.col("fold").cast("int"))
+    folded, _ = EX.laid_out(_folded(data, label, id_col, n_cv, seed).withColumn("fold", F.col("fold").cast("int")))
     lr = LogisticRegression(maxIter=100, standardization=False, labelCol=label, featuresCol="features")
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     cvm = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=n_cv,
                          seed=seed, parallelism=4, foldCol="fold").fit(folded)
     best = max(cvm.avgMetrics)
+    data.unpersist()
     won = next(i for i, m in enumerate(cvm.avgMetrics) if m == best)
     rows = [(float(g[lr.regParam]), float(m), i == won) for i, (g, m) in enumerate(zip(grid, cvm.avgMetrics))]
     return data.sparkSession.createDataFrame(rows, "reg_param double, accuracy double, best boolean")
@@ -256,6 +254,8 @@ def train_test_scores(data: DataFrame, clf_name: str = "lr", p: float = 0.8, see
     n = train.count()
     model = classifier(clf_name, n).setLabelCol(label).setFeaturesCol("features").fit(train)
     s = _fold_scores(model.transform(test), label)
+    split.unpersist()
+    data.unpersist()
     return data.sparkSession.createDataFrame([s], "accuracy double, precision double, recall double, "
                                                   "f1 double, roc_auc double")
 
@@ -282,16 +282,3 @@ def doc_mean_vectors(model, docs: DataFrame, id_col: str = "doc_id", tokens_col:
     m = model.copy()
     m.setInputCol(tokens_col).setOutputCol("_dv")
     return m.transform(docs).select(id_col, vector_to_array("_dv").alias("vector"))
-
-
-def sweep(grid: list[dict], run) -> DataFrame:
-    """Run ``run(params) -> DataFrame`` for every parameter combination and
-    stack the results with the parameters as columns: one long score table
-    (each run is itself distributed; the grid is a handful of settings)."""
-    out = None
-    for params in grid:
-        df = run(params)
-        for k, v in params.items():
-            df = df.withColumn(k, F.lit(v))
-        out = df if out is None else out.unionByName(df)
-    return out

@@ -63,6 +63,22 @@ def block_names(d0: int = 1, d1: int = 5) -> list[tuple[str, str, str, int]]:
     return [(f"{place:02d}_{label}", *rest) for place, (label, *rest) in enumerate(blocks)]
 
 
+def feature_slice(features: Column | str, start: int, stop: int) -> Column:
+    """Columns ``start`` to ``stop`` (exclusive) of a feature array."""
+    return F.slice(features, start + 1, stop - start)
+
+
+def block_coordinates(size: int, d0: int = 1, d1: int = 5) -> dict[str, tuple[int, int]]:
+    """Where each block lies in the feature array: name -> ``(start, stop)``."""
+    return {name: (k * size, (k + 1) * size) for k, (name, *_) in enumerate(block_names(d0, d1))}
+
+
+def feature_rows(blocks: DataFrame, id_col: str = "doc_id", out: str = "features") -> DataFrame:
+    """``(doc_id, features array<double>)``: a message's blocks side by side."""
+    rows = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("block", "dim", "value"))).alias("_c"))
+    return rows.select(id_col, F.transform("_c", lambda c: c["value"]).alias(out))
+
+
 def message_vector_blocks(token_vectors: DataFrame, messages: DataFrame | None = None,
                           d0: int = 1, d1: int = 5, size: int | None = None,
                           id_col: str = "doc_id", pos_col: str = "pos",

@@ -3,17 +3,25 @@ and topic vector sums)."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.clustering import LocalLDAModel
+from pyspark.ml.feature import Word2VecModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from murmur.operators import experiments as EX
+from murmur.operators import mixture as MX
 from murmur.operators import models as ML
+from murmur.operators import skipgram as SG
 from murmur.operators import timeline as TL
 from murmur.operators import vocab as V
-from murmur.operators.vectors import Standardizer, block_names, message_vector_blocks
+from murmur.operators.vectors import Standardizer, block_names, feature_rows, feature_slice, message_vector_blocks
 from murmur.plans import views
 from murmur.plans.registry import query
+from murmur.plans.sqlviews import TOKENS
 from murmur.session import scratch_path, table
-from murmur.sources import io as IO
+from murmur.sources.store import content_mark, stored
 
 T2024_US = 1704067200000000
 
@@ -28,18 +36,20 @@ def _lda_inputs(spark, sf):
 def _lda(spark, sf):
     feats, kept = _lda_inputs(spark, sf)
     feats = feats.persist()
-    return ML.fit_lda(feats, k=10, max_iter=5, seed=1), feats, kept
+    params = {"k": 10, "max_iter": 5, "seed": 1}
+    # the vectors' size and cells depend on the text rules and the vocabulary's bounds
+    mark = content_mark(views.doc_tokens(spark, sf), "doc_id", "tokens")
+    model = stored(spark, "lda", params | {"no_below": 10, "no_above": 0.8, "mark": mark}, LocalLDAModel.load, lambda: ML.fit_lda(feats, **params))
+    return model, feats, kept
 
 
 def _w2v(spark, sf):
     """Tokens and the word2vec model of the documents (size 100, window 10, 20
-    epochs), fitted once per content and loaded by every later query."""
-    from pyspark.ml.feature import Word2VecModel
+    epochs), fitted once for these tokens and parameters and loaded by every later query."""
     docs = views.doc_tokens(spark, sf)
-    mark = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id", "text")).alias("h")).first()
-    path = scratch_path(spark, f"w2v-100-20-{mark.n}-{(mark.h or 0) & (1 << 63) - 1:x}")
-    model = IO.load_or_fit(path, Word2VecModel.load, lambda: ML.train_word2vec(docs, size=100, window=10, min_count=2, max_iter=20))
-    return docs, model
+    params = {"size": 100, "window": 10, "min_count": 2, "max_iter": 20, "step": 0.05, "seed": 1}
+    key = params | {"mark": content_mark(docs, "doc_id", "tokens"), "partitions": spark.sparkContext.defaultParallelism}
+    return docs, stored(spark, "word2vec", key, Word2VecModel.load, lambda: ML.train_word2vec(docs, **params))
 
 
 @query("word2vec_fit")
@@ -170,16 +180,13 @@ def embedding_experiment(spark, sf):
     scores per feature set, as the score log holds it."""
     blocks = _message_blocks(spark, sf)
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    rows = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "dim", "value"))).alias("_c"))
-    feats = rows.select("doc_id", F.transform("_c", lambda c: c["value"]).alias("x")).join(lab, "doc_id").persist()
+    feats = feature_rows(blocks, out="x").join(lab, "doc_id").persist()
     feats = Standardizer.fit(feats, "x").transform(feats, "x")
     names = [n for n, *_ in block_names(1, 5)]
-    out = None
-    for i in range(len(names)):  # set i holds the blocks up to i
-        cut = feats.select("doc_id", "label", array_to_vector(F.slice("x", 1, 100 * (i + 1))).alias("features"))
-        scores = ML.mean_scores(ML.cv_scores(cut, "lr", n_trials=10, n_cv=3)).withColumn("name", F.lit(names[i])).withColumn("i", F.lit(i))
-        out = scores if out is None else out.unionByName(scores)
-    return out
+    # set i holds the blocks up to i; all sets share the folds
+    sets = {n: array_to_vector(feature_slice("x", 0, 100 * (i + 1))) for i, n in enumerate(names)}
+    means = EX.mean_over_fits(EX.fold_scores(ML.cv_predictions(feats, "lr", n_trials=10, n_cv=3, sets=sets)), ["name"])
+    return means.withColumn("i", F.substring("name", 1, 2).cast("int"))
 
 
 @query("train_test_scores")
@@ -191,9 +198,8 @@ def train_test_scores(spark, sf):
 def dpgmm_clusters(spark, sf):
     """Dirichlet-process mixture (diagonal, alpha 5, at most 30 components)
     on the standardised word vectors; cluster sizes and first words."""
-    from murmur.operators.mixture import DPGaussianMixture
     w = _scaled_words(spark, sf)
-    model = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=1000, tol=1e-4).fit(w)
+    model = MX.DPGaussianMixture(n_components=30, alpha=5.0, max_iter=1000, tol=1e-4).fit(w)
     return model.predict(w).select("word", "cluster")
 
 
@@ -210,21 +216,92 @@ def dpgmm_doc_cluster_counts(spark, sf):
     0.9, at most 9000 words, with a vector, no stop words), standardised,
     Dirichlet-process mixture, then cluster counts per message."""
     from murmur.functions.wordlists import DEFAULT_STOPWORDS
-    from murmur.operators.mixture import DPGaussianMixture
     docs, model = _w2v(spark, sf)
     bow = V.bag_of_words(docs)
     kept = V.filter_extremes(V.vocabulary(bow), V.count_docs(docs), 8, 0.9, 9000)
     words = ML.cluster_vocabulary(kept, ML.word_vectors(model), DEFAULT_STOPWORDS).checkpoint()
     scaled = Standardizer.fit(words, "vector").transform(words, "vector")
-    dp = DPGaussianMixture(n_components=30, alpha=5.0, max_iter=1000, tol=1e-4).fit(scaled)
+    dp = MX.DPGaussianMixture(n_components=30, alpha=5.0, max_iter=1000, tol=1e-4).fit(scaled)
     assigned = dp.predict(scaled)
     return ML.doc_cluster_counts(V.tokens_long(docs), assigned)
 
 
 @query("label_fraction_sweep")
 def label_fraction_sweep(spark, sf):
-    """Score table over labelled-data fractions and trials (train/test split
-    by the seeded exact split)."""
+    """Score log over shares of labelled rows, trials and classifiers: on each
+    labelled subset repeated stratified cross-validation of the bag of words."""
     feats = _bow_features(spark, sf).persist()
-    grid = [{"p": p, "n_trial": t, "clf_base": "lr"} for p in (0.3, 0.6) for t in range(5)]
-    return ML.sweep(grid, lambda g: ML.train_test_scores(feats, g["clf_base"], p=g["p"], seed=g["n_trial"]))
+
+    def run(g):
+        part = EX.label_split(feats, "doc_id", g["p"], g["thresh"], g["n_trial"]).where("part = 'labelled'").drop("part")
+        return EX.log_rows(EX.fold_scores(ML.cv_predictions(part, g["clf_base"], n_trials=1, n_cv=3)).withColumn("name", F.lit("BOW")), g, part.count())
+    grid = [{"p": p, "thresh": 0.0, "n_trial": t, "clf_base": c} for p in (0.3, 0.6) for t in range(5) for c in ("lr", "sgd")]
+    return EX.sweep(spark, grid, run, scratch_path(spark, f"sweep-{uuid.uuid4().hex}"))
+
+
+# ---- skip-gram over shuffled epochs ---------------------------------------------
+
+@query("subsampled_tokens", f"""WITH toks AS ({TOKENS}),
+t AS (SELECT doc_id, unnest(range(len(tokens)))::BIGINT AS pos, unnest(tokens) AS token FROM toks),
+c AS (SELECT token, count(*) AS n FROM t GROUP BY token HAVING count(*) >= 2),
+u AS (SELECT token, n, 1e-3 * CAST((SELECT sum(n) FROM c) AS DOUBLE) AS usual FROM c)
+SELECT doc_id, pos, token FROM t JOIN u USING (token)
+WHERE CAST('0x' || substr(md5('1:0:' || doc_id || ':' || pos), 1, 8) AS UBIGINT)::DOUBLE / 4294967296::DOUBLE < (sqrt(n / usual) + 1) * usual / n""")
+def subsampled_tokens(spark, sf):
+    """Occurrences that the first epoch keeps (frequent words are thinned)."""
+    return SG.subsampled(views.doc_tokens(spark, sf), 1e-3, 2, seed=1, epoch=0)
+
+
+@query("w2v_shuffled")
+def w2v_shuffled(spark, sf):
+    """Word vectors trained over 20 shuffled epochs, frequent words thinned."""
+    docs = views.doc_tokens(spark, sf)
+    trainer = SG.SkipGram(size=100, window=10, min_count=2, epochs=20, step=0.05, least_step=1e-4, sample=1e-3, seed=1, partitions=8)
+    model = stored(spark, "skipgram", vars(trainer) | {"mark": content_mark(docs, "doc_id", "tokens")},
+                   lambda p: SG.SkipGramModel.load(spark, p), lambda: trainer.fit(docs), lambda m, p: m.save(spark, p))
+    return model.table(spark).select("word", F.size("vector").cast("long").alias("dims"),
+                                     F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+# ---- clusters of clusters, forms of covariance ------------------------------------
+
+@query("covariance_forms")
+def covariance_forms(spark, sf):
+    """The words of large clusters, clustered anew with each form of covariance:
+    cluster sizes and the mean log-likelihood of each form."""
+    w = _scaled_words(spark, sf)
+    first = MX.DPGaussianMixture(n_components=30, alpha=5.0, max_iter=200, tol=1e-4).fit(w).predict(w)
+    some = MX.big_clusters(first, 25).select("word", "vector").persist()
+    out = None
+    for form in MX.FORMS:
+        model = MX.DPGaussianMixture(n_components=20, alpha=30.0, max_iter=200, tol=1e-3, reg=1e-2, form=form).fit(some)
+        sizes = model.predict(some).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+        sizes = sizes.select(F.lit(form).alias("form"), "cluster", "size", F.lit(model.log_likelihood).alias("log_likelihood"), F.lit(model.converged).alias("converged"))
+        out = sizes if out is None else out.unionByName(sizes)
+    return out
+
+
+# a saved assignment: the label is the cluster; clusters above 45 members have three sub-clusters
+_SAVED = """WITH e AS (SELECT 'w' || vec_id AS word, vec_id, label, count(*) OVER (PARTITION BY label) > 45 AS big FROM embeddings),
+place AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS place FROM (SELECT DISTINCT label FROM e WHERE big)),
+c AS (SELECT vec_id // 10 AS doc_id, label::BIGINT AS col FROM e
+      UNION ALL SELECT vec_id // 10, 10 + place * 5 + vec_id % 3 FROM e JOIN place USING (label) WHERE big)
+"""
+
+
+@query("two_level_counts", _SAVED + "SELECT doc_id, col AS \"column\", count(*) AS n FROM c GROUP BY ALL")
+def two_level_counts(spark, sf):
+    """Counts per message in the columns of clusters and sub-clusters, from a
+    saved assignment of words."""
+    emb = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.col("label").alias("cluster"))
+    inside = MX.big_clusters(emb, 45).select("word", (F.col("vec_id") % 3).cast("int").alias("subcluster"))
+    columns = MX.cluster_columns(emb.join(inside, "word", "left"), 10, 5)
+    return MX.column_counts(emb.select(F.expr("vec_id div 10").alias("doc_id"), F.col("word").alias("token")), columns)
+
+
+@query("two_level_clusters")
+def two_level_clusters(spark, sf):
+    """Words end to end: clusters, the large ones clustered again, and the
+    columns that each word counts in."""
+    model = MX.TwoLevelMixture(n_components=10, thresh=40, alpha=5.0, max_iter=200, tol=1e-4)
+    return MX.cluster_columns(model.fit_predict(views.word_vectors(spark, sf)), model.k, model.sub)

@@ -165,19 +165,6 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return there
 
 
-def load_or_fit(path: str, load, fit):
-    """The saved model at ``path`` (``load(path)``), or what ``fit()`` returns,
-    saved there.  Only a model that is absent is fitted: other errors of the
-    store are raised."""
-    spark = SparkSession.active()
-    if read_if_there(spark, f"{path}/_fitted") is None:
-        model = fit()
-        model.write().save(f"{path}/model")
-        # written last: a fit that was cut short leaves no mark and is done anew
-        spark.range(1).write.parquet(f"{path}/_fitted")
-    return load(f"{path}/model")
-
-
 def write_topic_artifacts(base: str, definitions: DataFrame, histogram: DataFrame,
                           labels: DataFrame | None = None) -> None:
     """Topic definitions ``(topic, rank, word, weight)``, the histogram long
