@@ -7,6 +7,8 @@ of what was found out about a block move only the findings, never the texts.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -55,8 +57,8 @@ def by_block(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder, bucketed by its column ``block``:
     joins on it need not move its rows."""
     spark = df.sparkSession
-    path = scratch(spark, "blocks")
-    name = "llm_blocks_" + path.rsplit("-", 1)[-1]
+    name = f"llm_blocks_{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "blocks", name)
     df.write.bucketBy(shuffle_partitions(spark), "block").option("path", path).option("compression", compression).saveAsTable(name)
     return spark.table(name)
 

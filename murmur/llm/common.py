@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(on_workers(spark), sf_dir, "documents")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``."""
-    return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
+#: Folders that operators of this process made, and the catalog tables over them.
+_MADE: dict[str, str | None] = {}
+
+
+def scratch(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A new folder under ``spark.checkpoint.dir`` (and the table that will lie
+    there)."""
+    path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
+    _MADE[path] = table
+    return path
+
+
+def release_all_but(docs: DataFrame) -> DataFrame:
+    """Drop the folders and tables that earlier steps of a chain left, except
+    those that ``docs`` still reads; returns ``docs``.  For steps that are
+    written before the next one starts."""
+    spark = docs.sparkSession
+    read = [unquote(f) for f in docs.inputFiles()]
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path, name in list(_MADE.items()):
+        if any(f"{path.split(':', 1)[-1].rstrip('/')}/" in f for f in read):
+            continue
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = hadoop.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        del _MADE[path]
+    return docs
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
