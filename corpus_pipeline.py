@@ -3,7 +3,8 @@
 ``STAGES`` lists the stages in order; each takes ``(spark, docs, sf_dir)``, works
 on all rows of ``docs`` and returns the rows that go on (the last one: pieces of
 packed sequences).  ``run`` writes what each stage returns to the shared folder
-and reads it as the next one's documents.
+and reads it as the next one's documents.  A stage starts once the one before is
+written, so it first drops the working tables that earlier ones left.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from murmur.llm import jaccard_tree, langid, packing, suffix_tree, toxicity
-from murmur.llm.common import documents, on_workers, written
+from murmur.llm.common import documents, on_workers, release_all_but, written
 from murmur.llm.queries import remainder
 from murmur.session import table
 
@@ -32,17 +33,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near copies (five words, 0.8)."""
-    return jaccard_tree.one_of_each(docs, 5, 80)
+    return jaccard_tree.one_of_each(release_all_but(docs), 5, 80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out words in windows of 20 words that also start earlier."""
-    return suffix_tree.without_repeats(docs, 20)
+    return suffix_tree.without_repeats(release_all_but(docs), 20)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 ids along the curve."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 1, with_ids=False)
+    return packing.pack(release_all_but(docs), public_tokenizers.path("word_bpe_49k.json"), 2048, 1, with_ids=False)
 
 
 STAGES = [
