@@ -41,7 +41,7 @@ def test_stages(spark):
 
 def test_registered():
     names = E.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in QUERIES} and "pipeline" in names
     assert set(ORACLE) <= set(QUERIES)
 
 
@@ -54,3 +54,20 @@ def test_oracle(spark, name):
     cols = sorted(got.columns)
     expected = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE[name]})").fetchall()
     assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_working_tables_of_finished_steps_are_dropped(spark):
+    import os
+    from murmur.llm import common
+    from murmur.llm.blocks import write_blocks
+    docs = documents(spark, SF).limit(20)
+    blocks = write_blocks(docs)
+    first, second = written(docs, "a"), written(docs, "b")
+    made = dict(common._MADE)
+    common.release_all_but(second)
+    there = {p for p in made if os.path.exists(p.replace("file:", ""))}
+    assert there == set(common._MADE) and len(there) == 1 and second.count() == 20
+    assert not any(spark.catalog.tableExists(t) for t in made.values() if t)
+    with pytest.raises(Exception):
+        blocks.count()
+    assert first.schema == second.schema
