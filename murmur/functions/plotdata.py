@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.ordered import ordered_scan
+
 
 def date_label(ts: Column | str) -> Column:
     """``MM-dd`` label of a bin edge."""
@@ -51,6 +53,22 @@ def one_series(df: DataFrame, name: str, x: str, y: str, name_col: str = "name")
     return df.filter(F.col(name_col) == name).select(F.col(x).alias("x"), F.col(y).alias("y"))
 
 
+def row_series(df: DataFrame, series: str, order: list[str], y: str) -> DataFrame:
+    """``(series, x, y)``: the rows of each series numbered from 0 in their order,
+    so that several series lie side by side on one axis.  One ordered scan over
+    all rows numbers all series, however long one of them is.  ``order`` must be
+    a total order within a series."""
+    scan = ordered_scan(df.select(*dict.fromkeys([series, *order, y])), [series, *order])
+    first = scan.groupBy(F.col(series).alias("_s")).agg(F.min("_i").alias("_f"))
+    # a null names a series, too
+    return scan.join(first, F.col(series).eqNullSafe(F.col("_s"))).select(series, (F.col("_i") - F.col("_f")).alias("x"), F.col(y).alias("y"))
+
+
+def series_means(rows: DataFrame, series: str) -> DataFrame:
+    """``(series, mean, std, n)`` over the rows of each series."""
+    return rows.groupBy(series).agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.count("y").alias("n"))
+
+
 def series_stats(df: DataFrame, series: str, x: str, y: str) -> DataFrame:
     """Mean, population std and count of ``y`` per ``(series, x)``."""
     return df.groupBy(series, x).agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"),

@@ -66,6 +66,8 @@ def latest_by_id_range(df: DataFrame, id_col: str, since_id: int | None = None,
     search returns at most ``page_size * max_pages`` rows); Spark plans it as
     a per-partition top-k with one bounded merge.
     """
+    if since_id is not None and max_id is not None and since_id >= max_id:
+        raise ValueError(f"since_id {since_id} must be below max_id {max_id}")
     cond = F.lit(True)
     if since_id is not None:
         cond = cond & (F.col(id_col) > since_id)

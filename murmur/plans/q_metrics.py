@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from murmur.functions import plotdata as P
 from murmur.operators import metrics as M
 from murmur.operators import sampling as S
 from murmur.plans import views
 from murmur.plans.registry import query
 from murmur.plans.sqlviews import LABELLED, PREDICTIONS, with_
+from murmur.session import table
 
 PRED = with_(("labelled", LABELLED), ("predictions", PREDICTIONS))
 _SAFE = "CASE WHEN {b} = 0 THEN 0.0 ELSE {a} / {b} END"
@@ -157,3 +159,35 @@ def score_log_scan(spark, sf):
         F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"))
     return out.select("name_id", _r("thresh"), F.round(corpus_share("p", "thresh"), 6).alias("share"), "n",
                       _r("f1_mean"), _r("f1_std"))
+
+
+@query("row_series", """SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS x, n_chars AS y FROM documents""")
+def row_series(spark, sf):
+    """The documents of each language, shortest first, numbered side by side."""
+    return P.row_series(table(spark, sf, "documents"), "lang", ["n_chars", "doc_id"], "n_chars")
+
+
+@query("series_means", """SELECT lang, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, count(*) AS n FROM documents GROUP BY lang""")
+def series_means(spark, sf):
+    m = P.series_means(P.row_series(table(spark, sf, "documents"), "lang", ["n_chars", "doc_id"], "n_chars"), "lang")
+    return m.select("lang", _r("mean"), _r("std"), "n")
+
+
+@query("chart_series", """SELECT n_chars AS x, doc_id AS y FROM documents WHERE lang IN ('en', 'de') AND source = 'src1'""")
+def chart_series(spark, sf):
+    """One named series of the rows that meet all conditions."""
+    return P.one_series(P.rows_where(table(spark, sf, "documents"), {"lang": ["en", "de"]}), "src1", "n_chars", "doc_id", "source")
+
+
+@query("date_labels", "SELECT strftime(ts, '%m-%d') AS label, event_type, count(*) AS n FROM events GROUP BY ALL")
+def date_labels(spark, sf):
+    return table(spark, sf, "events").groupBy(P.date_label("ts").alias("label"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("legend_lines", """WITH w AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source) AS o FROM (SELECT DISTINCT lang, source FROM documents)),
+l AS (SELECT *, coalesce(sum(length(source) + 1) OVER (PARTITION BY lang ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 30 AS line_no FROM w)
+SELECT lang, line_no::BIGINT AS line_no, string_agg(source, ' ' ORDER BY o) AS text FROM l GROUP BY ALL""")
+def legend_lines(spark, sf):
+    """The sources of each language wrapped into lines of about 30 characters."""
+    words = table(spark, sf, "documents").select("lang", "source").distinct()
+    return P.legend_lines(words.withColumn("o", F.col("source")), "lang", "o", "source", 30)

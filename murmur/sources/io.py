@@ -7,6 +7,8 @@ targets should be shared storage on a cluster (for scratch output use
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +116,60 @@ def na_projection(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(*cols)
 
 
+# The fields of a harvested message, in the order they are written, and where
+# each stands in the message (fixed values).
+HARVEST_FIELDS = {
+    "text": "text", "retweet_count": "retweet_count", "favorited": "favorited", "truncated": "truncated", "id_str": "id_str",
+    "in_reply_to_screen_name": "in_reply_to_screen_name", "source": "source", "retweeted": "retweeted", "created_at": "created_at",
+    "in_reply_to_status_id_str": "in_reply_to_status_id_str", "in_reply_to_user_id_str": "in_reply_to_user_id_str", "lang": "lang",
+    "listed_count": "user.listed_count", "verified": "user.verified", "location": "user.location", "user_id_str": "user.id_str",
+    "description": "user.description", "geo_enabled": "user.geo_enabled", "user_created_at": "user.created_at",
+    "statuses_count": "user.statuses_count", "followers_count": "user.followers_count", "favourites_count": "user.favourites_count",
+    "protected": "user.protected", "user_url": "user.url", "name": "user.name", "time_zone": "user.time_zone", "user_lang": "user.lang",
+    "utc_offset": "user.utc_offset", "friends_count": "user.friends_count", "screen_name": "user.screen_name",
+    "country_code": "place.country_code", "country": "place.country", "place_type": "place.place_type", "full_name": "place.full_name",
+    "place_name": "place.name", "place_id": "place.id", "place_lat": "place.bounding_box.coordinates[0][0][1]",
+    "place_lon": "place.bounding_box.coordinates[0][0][0]", "lat": "coordinates.coordinates[1]", "lon": "coordinates.coordinates[0]",
+    "expanded_url": "entities.urls[0].expanded_url", "url": "entities.urls[0].url",
+}
+
+
+def path_steps(path: str) -> list[str | int]:
+    """``a.b[0].c`` as ``["a", "b", 0, "c"]``."""
+    return [int(x) if x.isdigit() else x for x in re.findall(r"[^.\[\]]+", path)]
+
+
+def schema_of_paths(paths: list[str]) -> T.DataType:
+    """The JSON type that holds all paths; whatever stands at their ends is read as text."""
+    def build(steps: list[list]) -> T.DataType:
+        if any(not s for s in steps):
+            return T.StringType()
+        if all(isinstance(s[0], int) for s in steps):
+            return T.ArrayType(build([s[1:] for s in steps]))
+        names = dict.fromkeys(s[0] for s in steps)
+        return T.StructType([T.StructField(n, build([s[1:] for s in steps if s[0] == n])) for n in names])
+    return build([path_steps(p) for p in paths])
+
+
+def flattened(messages: DataFrame, json_col: str = "value", fields: dict[str, str] | None = None) -> DataFrame:
+    """One text column a field from a column of JSON messages, batch or stream;
+    what is missing or null is ``NA``.  A line that is no JSON has ``NA`` everywhere."""
+    fields = fields or HARVEST_FIELDS
+    parsed = messages.select(F.from_json(json_col, schema_of_paths(list(fields.values()))).alias("m"))
+
+    def at(path: str) -> Column:
+        c = F.col("m")
+        for step in path_steps(path):
+            c = F.get(c, F.lit(step)) if isinstance(step, int) else c.getField(step)
+        return F.coalesce(c, F.lit("NA"))
+    return parsed.select(*[at(p).alias(n) for n, p in fields.items()])
+
+
+def read_harvest(spark: SparkSession, path: str) -> DataFrame:
+    """Harvested messages (JSON lines) as the fixed list of fields."""
+    return flattened(spark.read.text(path))
+
+
 # ---- sinks -------------------------------------------------------------------
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", quote_all: bool = True) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from murmur.sources.io import na_projection
+from murmur.sources.io import flattened, na_projection
 
 
 def track_predicate(keywords: list[str], text_col: str = "text"):
@@ -33,6 +33,15 @@ def keyword_stream(spark: SparkSession, directory: str, schema: StructType, keyw
     return na_projection(s.filter(track_predicate(keywords, text_col)), fields)
 
 
+def harvest_stream(spark: SparkSession, directory: str, keywords: list[str], glob: str | None = None) -> DataFrame:
+    """JSON lines as they land in a directory, the ones that match a keyword, as
+    the fixed list of fields."""
+    reader = spark.readStream.format("text")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return flattened(reader.load(directory)).filter(track_predicate(keywords))
+
+
 def run_to_sink(stream: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
     """Append to parquet with a checkpoint; ``available_now`` processes what
     has landed and stops (a scheduled incremental run)."""
