@@ -3,13 +3,16 @@
 A suffix is the sequence of words from one place of a document on.  Suffixes
 are dealt to groups by their first words: one word, or two, four or eight where
 a shorter prefix has more suffixes than a group may hold (and by a hash of the
-whole edge where even eight do), so a group fits in memory.  Of a group's subtree
-only the nodes at a depth of ``window`` words are found, by sorting two 64-bit
-hashes of the first ``window`` words of its suffixes: the leaves below such a
-node are the places where the same ``window`` words start.  No suffixes are
-compared and no deeper nodes are made.  All leaves but the first, in document
-order, start a repeat, and overlapping repeats of a document join to
-maximal ones.
+whole edge where even eight do), so a group fits in memory.
+
+A suffix travels as its first ``window`` words in ``EDGES`` symbols, each a hash of
+a few words in a row.  In a group the suffixes are sorted by their symbols, the
+common prefixes of neighbours are measured, and the inner nodes of the subtree are
+read off them: a node is a run of suffixes with a longer common prefix than they
+have with the suffixes around.  The suffixes below a node at the full depth
+(``window`` words) start with the same words; all but the first of them, in
+document order, start a repeat, and overlapping repeats of a document join to
+maximal ones.  Nodes deeper than that could change nothing and are not made.
 
 Before suffixes are dealt, those that can't lie below a deep node are left out:
 a repeated window has a repeated least gram (minimiser).  Equal suffixes within
@@ -32,6 +35,40 @@ from murmur.llm.common import U, grams, runs, written
 #: suffixes that a group holds at most where prefixes allow.
 PREFIXES, BINS, CAPACITY = (1, 2, 4, 8), 1 << 12, 1_000_000
 GRAM = 6
+#: Symbols that a suffix is spelt with, down to the full depth.
+EDGES = 4
+
+
+def edge_words(window: int) -> list[tuple[int, int]]:
+    """First word and number of words of each symbol."""
+    cut = [k * window // EDGES for k in range(EDGES + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def symbols(b: BlockWords, places: np.ndarray, window: int) -> np.ndarray:
+    """The symbols of the suffixes at ``places``, a row each (64 bits a symbol)."""
+    out, made = np.empty((len(places), EDGES), U), {}
+    for k, (first, n) in enumerate(edge_words(window)):
+        if n not in made:
+            made[n] = grams(b.hash, n)
+        out[:, k] = made[n][places + first]
+    return out
+
+
+def inner_nodes(common: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Depth, first and last row of the inner nodes of a sorted group, down from
+    depth ``least``.  ``common[i]`` is what row ``i`` shares with row ``i + 1``;
+    rows that share ``d`` symbols throughout are one node if no more is shared by all."""
+    depth, first, last = [], [], []
+    for d in range(least, EDGES + 1):
+        deep = np.concatenate([[False], common >= d, [False]])
+        lo, hi = np.flatnonzero(~deep[:-1] & deep[1:]), np.flatnonzero(deep[:-1] & ~deep[1:])
+        here = np.concatenate([[0], np.cumsum(common == d)])
+        own = here[hi] > here[lo]
+        depth.append(np.full(int(own.sum()), d))
+        first.append(lo[own])
+        last.append(hi[own])
+    return np.concatenate(depth), np.concatenate(first), np.concatenate(last)
 
 
 def prefix_bins(b: BlockWords, window: int) -> np.ndarray:
@@ -117,32 +154,41 @@ def repeats(blocks: DataFrame, marks: DataFrame, deal: Prefixes, window: int) ->
                 b = BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()))
                 ids = as_ids(batch.column("doc_id")[i].as_py())
                 places = candidates(b, marks_of(batch.column("found")[i].as_py()), window)
-                one, two, first = firsts(b, ids, places, window)
+                one, _, first = firsts(b, ids, places, window)
                 own = first == np.arange(len(places))
                 group = sent.value.of(prefix_bins(b, window)[:, places[own]], one[own])
                 order = np.argsort(group, kind="stable")
                 at = runs(group[order])
-                leaf = [np.split(x[own][order], at[1:]) for x in (one, two, ids[b.doc[places]], places.astype("<i4"))]
+                leaf = [np.split(x[own][order], at[1:]) for x in (symbols(b, places, window), ids[b.doc[places]], places.astype("<i4"))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(group[order][at]), pa.array(np.full(len(at), batch.column("block")[i].as_py(), np.int64)),
                      *(pa.array([x.tobytes() for x in col][: len(at)], pa.binary()) for col in leaf)],
-                    ["bucket", "block", "one", "two", "ids", "places"])
+                    ["bucket", "block", "symbols", "ids", "places"])
 
     def subtree(table: pa.Table) -> pa.Table:
-        """Sort a group's suffixes; below each deep node all leaves but the first repeat."""
+        """The subtree of a group; below each node of the full depth all
+        suffixes but the first repeat."""
         get = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
-        size = [len(x) for x in get("one", U)]
-        one, two, ids, places = (np.concatenate(get(c, t)) for c, t in (("one", U), ("two", U), ("ids", "<i8"), ("places", "<i4")))
+        size = [len(x) for x in get("places", "<i4")]
+        spelt = np.concatenate(get("symbols", U)).reshape(-1, EDGES)
+        ids, places = (np.concatenate(get(c, t)) for c, t in (("ids", "<i8"), ("places", "<i4")))
         block = np.repeat(table.column("block").to_numpy(), size)
-        order = np.lexsort((places, block, ids, two, one))
+        order = np.lexsort((places, block, ids, *spelt.T[::-1]))  # by symbols, then in document order
+        spelt = spelt[order]
+        same = spelt[1:] == spelt[:-1]
+        common = np.where(same.all(axis=1), EDGES, same.argmin(axis=1))
+        _, first, last = inner_nodes(common, EDGES)
+        start = np.zeros(len(order) + 1, np.int64)
+        np.add.at(start, first + 1, 1)  # the first suffix below a node is no repeat
+        np.add.at(start, last + 1, -1)
         later = np.zeros(len(order), bool)
-        later[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        later[order] = np.cumsum(start)[:-1] > 0
         edge = np.concatenate([[0], np.cumsum(size)])
         out = [places[a:b][later[a:b]].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
         keep = [i for i, x in enumerate(out) if x]
         return pa.table({"block": table.column("block").take(pa.array(keep, pa.int64())), "later": pa.array([out[i] for i in keep], pa.binary())})
 
-    kind = "bucket long, block long, one binary, two binary, ids binary, places binary"
+    kind = "bucket long, block long, symbols binary, ids binary, places binary"
     # both sides are partitioned by block as the table is: only the marks move
     leaves = blocks.select("block", "doc_id", "size", "body").join(marks, "block").mapInArrow(send, kind)
     back = leaves.groupBy("bucket").applyInArrow(subtree, "block long, later binary")

@@ -234,3 +234,27 @@ def test_adaptive_scan_of_a_small_table_finds_all(spark, n):
     assert all(len(got[q]) == min(20, n - 1) and q not in got[q] for q in range(n))
     again = adaptive_scan.search(spark.createDataFrame(rows, SCHEMA), F.element_at("v", 1) == float(x[0, 0])).collect()
     assert len({r.vec_id for r in again}) == len(again) == min(20, n - 1) and 0 not in [r.vec_id for r in again]
+
+
+def test_inner_nodes_are_those_of_a_tree():
+    r = random.Random(8)
+    for n in (1, 2, 3, 40, 200):
+        words = sorted(tuple(r.randrange(3) for _ in range(suffix_tree.EDGES)) for _ in range(n))
+        common = np.array([next((k for k in range(suffix_tree.EDGES) if a[k] != b[k]), suffix_tree.EDGES) for a, b in zip(words, words[1:])], np.int64)
+        # by definition: prefixes of two rows at least, not all of which go on alike
+        want = set()
+        for d in range(1, suffix_tree.EDGES + 1):
+            for p in {w[:d] for w in words}:
+                at = [k for k, w in enumerate(words) if w[:d] == p]
+                if len(at) > 1 and (d == suffix_tree.EDGES or len({words[k][:d + 1] for k in at}) > 1):
+                    want.add((d, at[0], at[-1]))
+        assert set(zip(*(x.tolist() for x in suffix_tree.inner_nodes(common)))) == want
+        deep = set(zip(*(x.tolist() for x in suffix_tree.inner_nodes(common, suffix_tree.EDGES))))
+        assert deep == {w for w in want if w[0] == suffix_tree.EDGES}
+
+
+def test_symbols_spell_the_window():
+    b = BlockWords(pa.array(["a b c d e f g h i j k l m n o p q r s t u", "x b c d e f g h i j k l m n o p q r s t u v"]))
+    assert sum(n for _, n in suffix_tree.edge_words(20)) == 20 and suffix_tree.edge_words(7)[-1][0] + suffix_tree.edge_words(7)[-1][1] == 7
+    s = suffix_tree.symbols(b, np.array([0, 1, 21, 22]), 20)
+    assert (s[1] == s[3]).all() and s[0, 0] != s[2, 0] and (s[0, 1:] == s[2, 1:]).all()
