@@ -7,16 +7,16 @@ import uuid
 
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import Word2VecModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from murmur.operators import experiments as EX
+from murmur.operators import lockstep as LS
 from murmur.operators import mixture as MX
 from murmur.operators import models as ML
 from murmur.operators import skipgram as SG
 from murmur.operators import timeline as TL
 from murmur.operators import vocab as V
-from murmur.operators.vectors import Standardizer, block_names, feature_rows, feature_slice, message_vector_blocks
+from murmur.operators.vectors import Standardizer, block_coordinates, feature_rows, message_vector_blocks
 from murmur.plans import views
 from murmur.plans.registry import query
 from murmur.plans.sqlviews import TOKENS
@@ -182,11 +182,11 @@ def embedding_experiment(spark, sf):
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     feats = feature_rows(blocks, out="x").join(lab, "doc_id").persist()
     feats = Standardizer.fit(feats, "x").transform(feats, "x")
-    names = [n for n, *_ in block_names(1, 5)]
-    # set i holds the blocks up to i; all sets share the folds
-    sets = {n: array_to_vector(feature_slice("x", 0, 100 * (i + 1))) for i, n in enumerate(names)}
-    means = EX.mean_over_fits(EX.fold_scores(ML.cv_predictions(feats, "lr", n_trials=10, n_cv=3, sets=sets)), ["name"])
-    return means.withColumn("i", F.substring("name", 1, 2).cast("int"))
+    # set i holds the blocks up to i; all fits of all sets go on together
+    at = block_coordinates(100, 1, 5)
+    path = scratch_path(spark, f"experiments/{uuid.uuid4().hex}")
+    scores = EX.fold_scores(LS.predict_folds_together(feats, {n: stop for n, (_, stop) in at.items()}, path, n_trials=10, n_cv=3))
+    return EX.mean_over_fits(scores, ["name"]).withColumn("i", F.substring("name", 1, 2).cast("int"))
 
 
 @query("train_test_scores")

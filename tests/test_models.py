@@ -114,18 +114,51 @@ def test_model_vocabularies_have_no_cap(spark, tmp_path):
 
 
 def test_embedding_experiment_scores_every_nested_set(spark, tmp_path, monkeypatch):
-    from murmur.operators import models as ML
     from murmur.operators.vectors import block_names
     from murmur.plans import q_models
     names = [n for n, *_ in block_names(1, 5)]
-    cells = [(i, b, d, float(i * b + d)) for i in range(4) for b in range(len(names)) for d in range(100)]
-    spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    monkeypatch.setattr(q_models, "_message_blocks", lambda *_: spark.createDataFrame(cells, "doc_id long, block long, dim long, value double"))
-    sizes = []
-
-    def scores(data, *_, **__):
-        sizes.append(data.first().features.size)
-        return spark.createDataFrame([(0, 0, 1.0, 1.0, 1.0, 1.0, 1.0)], "n_trial long, fold long, accuracy double, precision double, recall double, f1 double, roc_auc double")
-    monkeypatch.setattr(ML, "cv_scores", scores)
-    got = sorted((r.i, r.name) for r in q_models.embedding_experiment(spark, str(tmp_path)).collect())
-    assert got == list(enumerate(names)) and len(names) == 10 and sizes == [100 * (k + 1) for k in range(10)]
+    rnd = np.random.default_rng(7)
+    # the class shows in the fourth block alone
+    cells = [(i, n, d, float(rnd.normal() + (3 * (i % 2) if b == 3 and d < 40 else 0))) for i in range(48) for b, n in enumerate(names) for d in range(100)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(48)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    blocks = spark.createDataFrame(cells, "doc_id long, block string, dim long, value double")
+    monkeypatch.setattr(q_models, "_message_blocks", lambda *_: blocks)
+    got = sorted((r.i, r.name, r.n_trials, r.n_fits, r.accuracy) for r in q_models.embedding_experiment(spark, str(tmp_path)).collect())
+    assert [g[:4] for g in got] == [(i, n, 10, 30) for i, n in enumerate(names)]
+    assert max(g[4] for g in got[:3]) < 0.75 < min(g[4] for g in got[3:5])
+
+
+def test_fits_in_lockstep_are_those_one_by_one(spark):
+    import tempfile
+    from pyspark.ml.functions import array_to_vector
+    from murmur.operators import lockstep as LS
+    from murmur.operators import models as ML
+    from murmur.operators.vectors import feature_slice
+    rnd = np.random.default_rng(5)
+    data = spark.createDataFrame([(k, int(k % 3 == 0), [float(v) for v in rnd.normal(size=4) + (k % 3 == 0)]) for k in range(90)],
+                                 "doc_id long, label int, x array<double>").repartition(3)
+    path = tempfile.mkdtemp(prefix="murmur-test-") + "/run"
+    got = LS.predict_folds_together(data, {"two": 2, "four": 4}, path, 2, 3, tol=1e-9)
+    one = ML.cv_predictions(data, "lr", 2, 3, sets={"two": array_to_vector(feature_slice("x", 0, 2)), "four": array_to_vector(feature_slice("x", 0, 4))})
+    key = lambda r: (r.name, r.n_trial, r.doc_id)
+    a, b = (sorted(df.collect(), key=key) for df in (got, one))
+    assert [key(r) for r in a] == [key(r) for r in b] and len(a) == 2 * 2 * 90
+    assert np.allclose([r.score for r in a], [r.score for r in b], atol=2e-3)
+    assert all(r.converged for r in a) and [r.fold for r in a] == [r.fold for r in b]
+    again = LS.predict_folds_together(data, {"two": 2, "four": 4}, path, 3, 3)
+    assert again.count() == 3 * 2 * 90 and got.exceptAll(again.where("n_trial < 2")).count() == 0
+
+
+def test_quasi_newton_finds_the_least_point():
+    from murmur.operators.lockstep import quasi_newton
+    r = np.random.default_rng(2)
+    a = r.normal(size=(6, 6))
+    a, b = a @ a.T + np.eye(6), r.normal(size=6)
+    w = quasi_newton(np.zeros(6), 100, 1e-12)
+    x = next(w)
+    try:
+        while True:
+            x = w.send((0.5 * x @ a @ x - b @ x, a @ x - b))
+    except StopIteration as end:
+        x, _, settled = end.value
+    assert settled and np.allclose(a @ x, b, atol=1e-5)
