@@ -83,6 +83,10 @@ WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for
             + "\u2028\u2029\u202f\u205f\u3000")
 
 
+# all patterns that the rules use: part of the key of what is stored
+RULES = [WS_CLASS, WS_CHARS, URL_PATTERN_JAVA, USER_PATTERN_JAVA, RT_PATTERN_JAVA, PUNCT_PATTERN, URL_TAG, USER_TAG, REPOST_TOKEN]
+
+
 def normalize_format(text: Column | str) -> Column:
     """Drop carriage returns, turn line feeds into spaces."""
     return F.translate(_c(text), "\n\r", " ")

@@ -82,12 +82,13 @@ def test_phrase_merge_random(spark):
     ph = {(a, b) for a in vocab for b in vocab if rnd.random() < 0.4}
     df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
     phr = spark.createDataFrame(sorted(ph), "a string, b string")
-    rows = merge_phrases(df, phr).collect()
-    got = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["pos"])):
-        got.setdefault(r["doc_id"], []).append(r["token"])
-    for i, toks in docs:
-        assert got.get(i, []) == greedy_merge(toks, ph)
+    for most in (None, 3):  # in the arrays, and by a join
+        got = {}
+        for r in sorted(merge_phrases(df, phr, most=most).collect(), key=lambda r: (r["doc_id"], r["pos"])):
+            got.setdefault(r["doc_id"], []).append(r["token"])
+            assert r["pos"] == len(got[r["doc_id"]]) - 1
+        for i, toks in docs:
+            assert got.get(i, []) == greedy_merge(toks, ph)
 
 
 def by_largest_neighbour(n, edges):
