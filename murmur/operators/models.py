@@ -124,9 +124,13 @@ def doc_topic_weights(model, features: DataFrame, id_col: str = "doc_id", min_pr
     return t.filter(F.col("weight") >= min_prob)
 
 
-def topic_labels(defs: DataFrame) -> DataFrame:
-    """``(topic, label)``: a topic's words sorted and space-joined."""
-    return defs.groupBy("topic").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("label"))
+def topic_labels(defs: DataFrame, by: str = "word") -> DataFrame:
+    """``(topic, label)``: a topic's words space-joined, in the order of the
+    words, or heaviest first (``by="weight"``, ties by word)."""
+    if by == "word":
+        return defs.groupBy("topic").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("label"))
+    cells = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "word")))
+    return defs.groupBy("topic").agg(F.array_join(F.transform(cells, lambda c: c["word"]), " ").alias("label"))
 
 
 # ---- clusters ---------------------------------------------------------------------

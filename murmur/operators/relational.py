@@ -115,6 +115,12 @@ def union_corpora(*frames: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
+def train_and_test(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Test rows under train rows, to be vectorised together; ``split`` tells
+    them apart again."""
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
 def label_encode(df: DataFrame, col: str, out: str = "label_id") -> DataFrame:
     """Index of the value among the sorted distinct values (0-based).
 

@@ -144,3 +144,10 @@ def common_words(labels: DataFrame, key: str = "grp", word: str = "word") -> tup
     common = cnt.filter(F.col("_n") == n).select(word)
     specific = labels.join(common, word, "left_anti")
     return common, specific
+
+
+def first_words(words: DataFrame, n: int = 10, group: str = "cluster") -> DataFrame:
+    """``(group, rank, word)``: the ``n`` words of each group in most messages
+    (``df``; ties by word)."""
+    top = top_k_per_group(words, [group], [F.col("df").desc(), F.col("word")], n, salt_cols=["word"])
+    return top.select(group, "rank", "word")

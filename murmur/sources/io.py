@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmur.functions.text import normalize_format
+from murmur.functions.text import normalize_format, normalize_punctuation, split_words
 from murmur.sources.records import read_records
 
 MESSAGE_FIELDS = ["id_str", "text", "created_at", "label"]
@@ -176,7 +176,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", quote_all: bool
     """Header CSV, inner quotes doubled (cleaned text, labelled rows,
     positives, keyword-filtered rows, score logs with ``mode='append'``)."""
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-     .option("quoteAll", quote_all).csv(path))
+     .option("quoteAll", quote_all).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def labelled_for_output(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -191,6 +191,48 @@ def write_libsvm(df: DataFrame, path: str, label_col: str = "label", features_co
     out.write.mode("overwrite").format("libsvm").save(path)
 
 
+def cleaned_name(base: str, fields: list[str], by: str | None = None) -> str:
+    """Name of a cleaned file: the base name, ``_short_``, ``sorted_`` if it is
+    sorted, and the fields."""
+    stem = re.sub(r"\.[^./]*$", "", base)
+    return f"{stem}_short_{'sorted_' if by else ''}{'_'.join(fields)}"
+
+
+def write_cleaned(messages: DataFrame, base: str, fields: list[str], by: str | None = None) -> str:
+    """The named fields and the normalised text (``normalized``) of messages as
+    CSV, sorted by a field if asked to; returns the path."""
+    rows = messages.select(*fields, normalize_punctuation(normalize_format("text")).alias("normalized"))
+    path = cleaned_name(base, fields, by)
+    write_csv(rows.orderBy(by) if by else rows, path)
+    return path
+
+
+def write_matching(messages: DataFrame, keywords: list[str], base: str, suffix: str = "political") -> str:
+    """Messages whose tokens contain a keyword, as CSV ``<base>_<suffix>``."""
+    from murmur.operators.relational import keyword_filter
+    tokens = messages.withColumn("_t", split_words(normalize_punctuation(normalize_format("text"))))
+    path = f"{base}_{suffix}"
+    write_csv(keyword_filter(tokens, keywords, "_t").drop("_t"), path)
+    return path
+
+
+def write_topic_lists(definitions: DataFrame, path: str) -> None:
+    """One line a topic: its number, a tab, then ``weight word`` pairs, heaviest
+    first, parted by commas."""
+    pair = F.struct((-F.col("weight")).alias("w"), "word")
+    line = F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat_ws(" ", (-p["w"]).cast("string"), p["word"]))
+    rows = definitions.groupBy("topic").agg(F.concat(F.col("topic").cast("string"), F.lit("\t"), F.array_join(line, ",")).alias("value"))
+    rows.select("value").write.mode("overwrite").text(path)
+
+
+def read_topic_lists(spark: SparkSession, path: str) -> DataFrame:
+    """``(topic, rank, word, weight)`` of the lines of :func:`write_topic_lists`."""
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).select(F.get(parts, 0).cast("long").alias("topic"), F.posexplode(F.split(F.get(parts, 1), ",")).alias("at", "pair"))
+    cells = F.split("pair", " ")
+    return rows.select("topic", (F.col("at") + 1).cast("long").alias("rank"), F.get(cells, 1).alias("word"), F.get(cells, 0).cast("double").alias("weight"))
+
+
 def write_lines(df: DataFrame, line_col: str, path: str) -> None:
     df.select(line_col).write.mode("overwrite").text(path)
 
