@@ -13,6 +13,7 @@ from murmur.operators import experiments as EX
 from murmur.operators import lockstep as LS
 from murmur.operators import mixture as MX
 from murmur.operators import models as ML
+from murmur.operators import phrases as P
 from murmur.operators import skipgram as SG
 from murmur.operators import timeline as TL
 from murmur.operators import vocab as V
@@ -26,20 +27,22 @@ from murmur.sources.store import content_mark, stored
 T2024_US = 1704067200000000
 
 
-def _lda_inputs(spark, sf):
+def _lda_inputs(spark, sf, phrases=False):
     docs = views.doc_tokens(spark, sf)
+    if phrases:
+        docs = P.process_text(docs).persist()
     bow = V.bag_of_words(docs)
     kept = V.filter_extremes(V.vocabulary(bow), V.count_docs(docs), 10, 0.8).checkpoint()
     return ML.count_vectors(docs, bow, kept), kept
 
 
-def _lda(spark, sf):
-    feats, kept = _lda_inputs(spark, sf)
+def _lda(spark, sf, phrases=False):
+    feats, kept = _lda_inputs(spark, sf, phrases)
     feats = feats.persist()
     params = {"k": 10, "max_iter": 5, "seed": 1}
     # the vectors' size and cells depend on the text rules and the vocabulary's bounds
     mark = content_mark(views.doc_tokens(spark, sf), "doc_id", "tokens")
-    model = stored(spark, "lda", params | {"no_below": 10, "no_above": 0.8, "mark": mark}, LocalLDAModel.load, lambda: ML.fit_lda(feats, **params))
+    model = stored(spark, "lda", params | {"no_below": 10, "no_above": 0.8, "phrases": phrases, "mark": mark}, LocalLDAModel.load, lambda: ML.fit_lda(feats, **params))
     return model, feats, kept
 
 
@@ -73,13 +76,15 @@ def doc_topics(spark, sf):
 
 @query("lda_timeline")
 def lda_timeline(spark, sf):
-    model, feats, _ = _lda(spark, sf)
+    """Topics over time end to end: tokens, phrases, vocabulary, topics, weights
+    of each message, time bins, and each topic's label."""
+    model, feats, kept = _lda(spark, sf, phrases=True)
     dt = ML.doc_topic_weights(model, feats)
     dated = views.documents(spark, sf).select(
         "doc_id", F.timestamp_micros(F.lit(T2024_US) + F.col("doc_id") * 60_000_000).alias("ts"))
     binned = TL.with_lagged_bins(dated, "ts", "doc_id")
-    rows = dt.join(binned, "doc_id")
-    return TL.topic_histogram(rows).select("topic", "bin", "bin_low_us", "weight")
+    hist = TL.topic_histogram(dt.join(binned, "doc_id")).select("topic", "bin", "bin_low_us", "weight")
+    return hist.join(ML.topic_labels(ML.topic_definitions(model, kept, 20)), "topic")
 
 
 def _scaled_words(spark, sf):

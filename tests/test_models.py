@@ -55,6 +55,8 @@ def test_cross_validation_beats_the_majority(spark):
     assert scores.count() == 6
     mean = ML.mean_scores(scores).first()
     assert mean.accuracy > 2 / 3 and mean.n_trials == 2 and mean.n_fits == 6 and 0.5 < mean.roc_auc <= 1
+    svc = ML.cv_scores(labelled(spark), "svc", n_trials=1, n_cv=3, direct=True)
+    assert svc.count() == 3 and svc.where("iterations > 0 AND converged IS NOT NULL AND accuracy > 0.6").count() == 3
     grid = ML.grid_search(labelled(spark), reg_params=(0.01, 100.0)).collect()
     assert [r.best for r in sorted(grid, key=lambda r: -r.accuracy)] == [True, False]
 
