@@ -102,13 +102,15 @@ def search(table: DataFrame, queries, k: int = 20, column: str = "embedding", pr
     double precision, ties to the smaller id.
 
     Rows that :func:`usable` leaves out take no part on either side.  Rows with
-    equal ids never find each other.  Fewer candidates than ``k`` are all
+    equal ids never find each other; query rows with equal ids each have a
+    ranking of their own, all under that id.  Fewer candidates than ``k`` are all
     returned.  Further columns are ignored, an empty table gives an empty result.
     ``probe`` is the share of lists that a query scans (1: all), or more where
     those hold fewer than ``k`` candidates.
     """
     spark = table.sparkSession
-    rows = written(usable(table, column), "vectors")
+    # written once, so the number of a row is settled
+    rows = written(usable(table, column).withColumn("row", F.monotonically_increasing_id()), "vectors")
     _, most = moments(rows, "v")
     n = rows.count()
     lists = int(np.clip(round(np.sqrt(n) / 8), 16, 4096))
@@ -154,30 +156,31 @@ def search(table: DataFrame, queries, k: int = 20, column: str = "embedding", pr
             few = np.cumsum(held[to], axis=1) < k + b.column("same").to_numpy()[:, None]
             probed = np.zeros(to.shape, bool)
             np.put_along_axis(probed, to, np.arange(lists) < np.maximum(probes, few.sum(1) + 1)[:, None], 1)
-            ids = b.column("vec_id").to_numpy()
+            ids, rows_ = b.column("vec_id").to_numpy(), b.column("row").to_numpy()
             for i in range(lists):
                 own = np.flatnonzero(probed[:, i])
                 for k0 in range(0, len(own), TOGETHER):
                     at = own[k0:k0 + TOGETHER]
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([ids[at].tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())],
-                                                     ["list", "q_ids", "q"])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([v[at].tobytes()], pa.binary()) for v in (rows_, ids, x))],
+                                                     ["list", "q_rows", "q_ids", "q"])
 
     same = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"))  # rows that a query can't find
-    asked = rows.where(queries).join(same, "vec_id").mapInArrow(route, "list int, q_ids binary, q binary")
+    asked = rows.where(queries).join(same, "vec_id").mapInArrow(route, "list int, q_rows binary, q_ids binary, q binary")
 
     def meet(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 raw = lambda c: batch.column(c)[r].as_py()  # noqa: E731, B023
-                ids, q_ids = np.frombuffer(raw("ids"), np.int64), np.frombuffer(raw("q_ids"), np.int64)
+                ids, q_ids, q_rows = (np.frombuffer(raw(c), np.int64) for c in ("ids", "q_ids", "q_rows"))
                 x, q = np.frombuffer(raw("x")).reshape(len(ids), -1), np.frombuffer(raw("q")).reshape(len(q_ids), -1)
                 turned = np.frombuffer(raw("turned")).reshape(len(ids), -1)
                 q_turned = np.hstack([q, np.zeros((len(q), 1))]) @ turn
                 for k0 in range(0, len(q), 256):
                     at = slice(k0, k0 + 256)
                     row, other, score = scan(q[at], q_turned[at], q_ids[at], x, turned, ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at][row]), pa.array(other), pa.array(score)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q_rows[at][row]), pa.array(q_ids[at][row]), pa.array(other), pa.array(score)],
+                                                     ["row", "query_id", "vec_id", "score"])
 
-    found = asked.join(parts, "list").mapInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asked.join(parts, "list").mapInArrow(meet, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -236,6 +236,16 @@ def test_adaptive_scan_of_a_small_table_finds_all(spark, n):
     assert len({r.vec_id for r in again}) == len(again) == min(20, n - 1) and 0 not in [r.vec_id for r in again]
 
 
+def test_queries_with_equal_ids_rank_by_themselves(spark):
+    x = np.random.default_rng(3).normal(size=(60, 8))
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)] + [(0, (-x[0]).tolist(), 1, "x")]
+    got = adaptive_scan.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0, 20, probe=1.0).collect()
+    both = np.float32(x).astype(float) if "float" in SCHEMA else x
+    score = both[1:] @ both[0]
+    want = sorted((0, r + 1, int(i) + 1) for s in (score, -score) for r, i in enumerate(np.lexsort((np.arange(59), -s))[:20]))
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == want
+
+
 def test_inner_nodes_are_those_of_a_tree():
     r = random.Random(8)
     for n in (1, 2, 3, 40, 200):
