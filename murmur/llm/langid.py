@@ -155,13 +155,14 @@ def as_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_spans(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``(lang, span binary)``: at most ``sample_docs`` documents a language
-    (by hash of the text) and SAMPLE_SPANS spans of each, spread over the text."""
+    """``(lang, span binary)``: at most ``sample_docs`` distinct texts a language
+    (by hash) and SAMPLE_SPANS spans of each, spread over the text."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
     counts = rows.groupBy("lang").count()  # one row a language
     draw = F.xxhash64("text", F.lit(11)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     some = rows.join(F.broadcast(counts), "lang").withColumn("draw", draw)
-    some = some.where(F.col("draw") < 1.5 * sample_docs / F.col("count")).select("lang", "text", "draw")
+    # a text counts once, however many rows repeat it (they are told apart by nothing)
+    some = some.where(F.col("draw") < 1.5 * sample_docs / F.col("count")).groupBy("lang", "text").agg(F.first("draw").alias("draw"))
 
     def cut(batches):
         for b in batches:

@@ -224,3 +224,10 @@ def test_toxicity_of_given_tables(spark):
     got = docs.where(remainder() == 0).select("doc_id").join(labels, "doc_id").join(toxicity.score(docs, machine), "doc_id").collect()
     pos, neg = ([r.score for r in got if r.toxic == k] for k in (1, 0))
     assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.8
+
+
+def test_a_repeated_text_is_sampled_once(spark):
+    texts = ["Ein Satz, der oft da ist.", *["One sentence that stands here."] * 200, "Another one."]
+    docs = frame(spark, texts, langs=["de", *["en"] * 201])
+    got = sorted((r.lang, bytes(r.span)) for r in langid.training_spans(docs, 500).collect())
+    assert got == sorted((lang, t.encode()) for lang, t in {("de", texts[0]), ("en", texts[1]), ("en", texts[-1])})
