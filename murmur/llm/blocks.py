@@ -145,11 +145,12 @@ def packed(values: np.ndarray, bucket: np.ndarray, buckets: int) -> list[tuple[i
     return [(k, values[edge[k]:edge[k + 1]].tobytes()) for k in range(buckets) if edge[k] < edge[k + 1]]
 
 
-def repeated_marks(blocks: DataFrame, marks, buckets: int) -> DataFrame:
+def repeated_marks(blocks: DataFrame, marks, buckets: int, lower: bool = False) -> DataFrame:
     """``(block, found array<binary>)``: which of the 64-bit marks of a block
     occur at two places of the corpus at least.
 
-    ``marks(words)`` gives a block's marks, one entry a place.  Each block sends
+    ``marks(words)`` gives a block's marks, one entry a place (``lower``: of
+    lower-cased words).  Each block sends
     a mark once (twice if it has it at two places), so a mark that stands
     everywhere costs one entry a block, and a bucket of marks is a bounded share
     of all.
@@ -157,7 +158,7 @@ def repeated_marks(blocks: DataFrame, marks, buckets: int) -> DataFrame:
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                b = BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()))
+                b = BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()), lower)
                 value, count = np.unique(marks(b), return_counts=True)
                 value = np.repeat(value, np.minimum(count, 2))
                 rows = packed(value, (value >> U(20)) % U(buckets), buckets)

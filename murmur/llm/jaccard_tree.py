@@ -9,7 +9,10 @@ pairs; those left are verified on the sets.
 
 Pairs that can link share one of the first few shingles of both sets in any
 common order (prefix filter), so a tree is built for the documents at each such
-shingle.  In that order shingles that many documents hold come last, which
+shingle.  In that order shingles that stand nowhere else come first: they are
+found by counting all shingles once, and need not be looked at again, so a
+document most of whose shingles are its own meets no other by chance.
+Shingles that many documents hold come last, which
 keeps frequent lines and passages out of the prefixes.  Large groups of near
 copies are not compared pair by pair:
 
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.blocks import BlockWords, by_block, member, packed, rows_of, unpack, write_blocks
+from murmur.llm.blocks import BlockWords, by_block, group_count, marks_of, member, packed, repeated_marks, rows_of, unpack, write_blocks
 from murmur.llm.common import U, grams, mix, shuffle_partitions, written
 from murmur.llm.components import components
 
@@ -53,12 +56,14 @@ FIRST = 3
 #: no more shingles than places for them, at most (mean set size) / SHARE
 #: shingles are frequent, however large the corpus; they are broadcast.
 SHARE = 0.002
+#: Shingles that meet in one group when all are counted.
+MARKS = 1_000_000
 
 
 class Sets:
     """Shingle sets of the texts of a block: sorted hashes, offsets, set ids."""
 
-    def __init__(self, b: BlockWords, shingle: int, frequent: np.ndarray | None = None):
+    def __init__(self, b: BlockWords, shingle: int, frequent: np.ndarray | None = None, repeated: np.ndarray | None = None):
         g = grams(b.hash, shingle)
         sets = []
         for lo, hi in zip(b.off.tolist(), b.off[1:].tolist(), strict=False):
@@ -73,7 +78,8 @@ class Sets:
         self.doc = np.repeat(np.arange(len(sets)), self.size)
         self.off = np.concatenate([[0], np.cumsum(self.size)])
         self.id = np.array([xxhash.xxh3_64_intdigest(self.value[a:b_].tobytes(), seed=1) >> 1 for a, b_ in zip(self.off, self.off[1:], strict=False)], np.int64)
-        self.frequent = frequent
+        self.frequent, self.repeated = frequent, repeated
+        self.whole = np.diff(b.off) < shingle  # sets of the one whole sequence
 
     def row(self, i: int) -> np.ndarray:
         return self.value[self.off[i]:self.off[i + 1]]
@@ -102,18 +108,27 @@ class Sets:
         return doc, self.value[self.off[doc] + at]
 
     def prefixes(self, use: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Document and shingle of the prefixes of the documents ``use``."""
-        last = np.zeros(len(self.value), np.int64)
+        """Document and shingle of the prefixes of the documents ``use``, without
+        the shingles that stand nowhere else (which come first)."""
+        elsewhere = self.whole[self.doc]
+        if self.repeated is not None:
+            elsewhere = elsewhere | member(self.value, self.repeated)
+        last = elsewhere.astype(np.int64)
         if self.frequent is not None and len(self.frequent):
-            last += self.frequent[np.minimum(np.searchsorted(self.frequent, self.value), len(self.frequent) - 1)] == self.value
-        order = np.argsort(2 * self.doc + last, kind="stable")
-        length = np.where(self.size > 0, self.size - -(-percent * self.size // 100) + 1, 0)
+            last += member(self.value, self.frequent)
+        order = np.argsort(3 * self.doc + last, kind="stable")
+        length = prefix_length(self.size, percent)
         mask = np.zeros(len(self.size), bool)
         mask[use] = True
-        keep = (np.arange(len(order)) - self.off[self.doc] < length[self.doc]) & mask[self.doc]
+        keep = (np.arange(len(order)) - self.off[self.doc] < length[self.doc]) & mask[self.doc] & elsewhere[order]
         return self.doc[keep], self.value[order][keep]
 
 
+def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of a set a partner must share one of."""
+    return np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+
+
 def shrunk(vec: np.ndarray) -> bytes:
     """Counts as bytes of the least width that holds them all."""
     most = int(vec.max(initial=0))
@@ -471,11 +486,15 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
     text = blocks.select("block", "doc_id", "size", "body")
     rows = blocks.select(F.size("doc_id").alias("n")).agg(F.sum("n")).first()[0] or 0
     sent = spark.sparkContext.broadcast(frequent_shingles(blocks, rows))
+    # a shingle takes some two bytes of a compressed text
+    places = (blocks.agg(F.sum(F.length("body"))).first()[0] or 0) // 2
+    shared = written(repeated_marks(blocks, lambda b: grams(b.hash, shingle)[: len(b.starts(shingle))][b.starts(shingle)],
+                                    group_count(places, spark, MARKS), lower=True), "shingles")
 
     def each(batch):
         for i in range(batch.num_rows):
             b = BlockWords(unpack(batch.column("size")[i].as_py(), batch.column("body")[i].as_py()), True)
-            s = Sets(b, shingle, sent.value)
+            s = Sets(b, shingle, sent.value, marks_of(batch.column("found")[i].as_py()))
             _, nodes = np.unique(np.where(s.size > 0, s.id, -1), return_index=True)
             yield i, batch.column("block")[i].as_py(), s, nodes[s.size[nodes] > 0]
 
@@ -502,7 +521,7 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
                                                  [*out.schema.names, *kept_names])
 
     kept_names = ["doc", "own", "head", "n", "prefix_doc", "prefix", "vec", "detail"]
-    sketch = by_block(text.mapInArrow(first_round, ENTRY + ", doc array<bigint>, own array<bigint>, head array<bigint>, n array<bigint>, prefix_doc binary, prefix binary, vec binary, detail array<binary>"))
+    sketch = by_block(text.join(shared, "block", "left").mapInArrow(first_round, ENTRY + ", doc array<bigint>, own array<bigint>, head array<bigint>, n array<bigint>, prefix_doc binary, prefix binary, vec binary, detail array<binary>"))
     members = (sketch.where(F.col("doc").isNotNull()).select("block", F.posexplode(F.arrays_zip("doc", "own", "head", "n")).alias("at", "r"))
                .select("block", "at", "r.doc", "r.own", "r.head", "r.n"))
     columns = [c.split()[0] for c in ENTRY.split(", ")]
@@ -533,6 +552,7 @@ def classes(docs: DataFrame, shingle: int, percent: int, carry: bool) -> tuple[D
                 _, kind = np.unique(np.stack([size, comp], 1), axis=0, return_inverse=True)  # documents alike in both are one
                 # with i shingles before it, a first common shingle leaves n - i to share
                 at = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                at += (prefix_length(size, percent) - np.bincount(doc, minlength=len(size)))[doc]  # those that stand nowhere else came before
                 reach = (100 + percent) * (size[doc] - at) // percent - size[doc]
                 order = np.lexsort((-reach, token, kind[doc]))
                 both = np.stack([kind[doc], token.view(np.int64), reach], 1)[order]
