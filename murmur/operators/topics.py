@@ -151,3 +151,10 @@ def first_words(words: DataFrame, n: int = 10, group: str = "cluster") -> DataFr
     (``df``; ties by word)."""
     top = top_k_per_group(words, [group], [F.col("df").desc(), F.col("word")], n, salt_cols=["word"])
     return top.select(group, "rank", "word")
+
+
+def topic_vectors(tw: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(topic, dim, value)``: the sum of the vectors of a topic's words
+    (words without a vector are skipped)."""
+    cells = tw.select("topic", "word").join(vectors.select("word", "vector"), "word").select("topic", F.posexplode("vector").alias("dim", "x"))
+    return cells.groupBy("topic", F.col("dim").cast("long").alias("dim")).agg(F.sum("x").alias("value"))

@@ -216,3 +216,26 @@ def train_and_test(spark, sf):
     bow = V.bag_of_words(rows)
     known = V.doc2bow(bow, V.filter_extremes(V.vocabulary(bow), V.count_docs(rows), 2, 1.0))
     return known.groupBy("doc_id").agg(F.sum("tf").alias("n_known"), F.count(F.lit(1)).alias("n_words")).select("doc_id.split", "doc_id.id", "n_known", "n_words")
+
+
+# a topic word takes the vector that a hash of it names
+_WORD_VEC = "CAST('0x' || substr(md5(word), 1, 8) AS UBIGINT) % (SELECT count(*) FROM embeddings)"
+
+
+@query("topic_centroids", q_topics.SQL + f""", ev AS (SELECT vec_id, unnest(range(len(embedding)))::BIGINT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+tv AS (SELECT topic, {_WORD_VEC} AS vec_id FROM tw)
+SELECT topic, dim, round(sum(x), 5) AS value FROM tv JOIN ev ON ev.vec_id = tv.vec_id GROUP BY ALL""")
+def topic_centroids(spark, sf):
+    """The sum of the vectors of each topic's words."""
+    emb, tw = table(spark, sf, "embeddings"), q_topics._tw(spark, sf)
+    n = emb.select(F.count(F.lit(1))).scalar()
+    named = tw.select("word").distinct().withColumn("vec_id", F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % n)
+    vectors = named.join(emb.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), "vec_id")
+    return TP.topic_vectors(tw, vectors).withColumn("value", F.round("value", 5))
+
+
+@query("topic_map")
+def topic_map(spark, sf):
+    """The topics' vectors in two dimensions."""
+    rows = topic_centroids(spark, sf).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_p"))
+    return ML.pca_2d(rows.select("topic", F.transform("_p", lambda x: x["value"]).alias("vector")), "vector")
