@@ -37,6 +37,9 @@ FAR = 2.0
 #: Quantiles among which the place of the decision is chosen.
 QUANTILES = 1000
 
+#: Bytes whose pairs are counted at a time.
+AT_ONCE = 1 << 21
+
 #: Character classes, each a string of ASCII characters; what follows are the
 #: classes of all other ASCII characters, and of the bytes of other characters.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\r\n", ".,;:", "!?", "'\"()[]-", "/@_=<>", "#$%&*+~^|\\"]
@@ -76,12 +79,14 @@ def features(text: pa.Array) -> np.ndarray:
     rows = len(text)
     size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
     raw = np.frombuffer(pc.binary_join(pa.array([text.cast(pa.binary()).to_pylist()], pa.list_(pa.binary())), b"")[0].as_py(), np.uint8)
-    kind, doc = TABLE[raw], np.repeat(np.arange(rows), size)
-    pairs = np.zeros((rows, KINDS * KINDS))
-    if len(raw) > 1:
-        inside = doc[1:] == doc[:-1]
-        code = doc[1:] * (KINDS * KINDS) + kind[:-1].astype(np.int64) * KINDS + kind[1:]
-        pairs = np.bincount(code[inside], minlength=rows * KINDS * KINDS).reshape(rows, -1).astype(float)
+    off = np.cumsum(size)
+    pairs = np.zeros(rows * KINDS * KINDS, np.int64)
+    for lo in range(0, len(raw) - 1, AT_ONCE):  # a text may be long
+        kind = TABLE[raw[lo:lo + AT_ONCE + 1]].astype(np.int64)
+        doc = np.searchsorted(off, np.arange(lo, lo + len(kind)), "right")
+        code = doc[1:] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
+        pairs += np.bincount(code[doc[1:] == doc[:-1]], minlength=len(pairs))
+    pairs = pairs.reshape(rows, -1).astype(float)
     pairs = np.sqrt(pairs / np.maximum(1, size - 1)[:, None])
     codes, distinct, off = words(text)
     n, kinds, same, top = runs_per(codes, off)

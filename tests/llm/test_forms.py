@@ -200,6 +200,14 @@ def test_features_of_a_text_do_not_depend_on_others():
         assert np.allclose(quality.features(pa.array([t]))[0], together[k])
 
 
+def test_features_of_a_long_text_are_counted_in_parts(monkeypatch):
+    texts = pa.array(["ab, cd. " * 50, "", "X!\nY?" * 30, "z"])
+    whole = quality.features(texts)
+    for n in (1, 7, 64):
+        monkeypatch.setattr(quality, "AT_ONCE", n)
+        assert np.array_equal(quality.features(texts), whole)
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = op13_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()
