@@ -61,8 +61,7 @@ def histogram_artifacts(spark, sf):
     from murmur.sources import io as IO
     h = _hist(spark, sf).select(F.col("topic").cast("long").alias("topic"), "bin", "bin_low_us", "weight")
     base = scratch_path(spark, f"topics-{uuid.uuid4().hex}")
-    defs = h.select("topic", F.lit(1).alias("rank"), F.lit("").alias("word"), F.lit(0.0).alias("weight")).limit(0)
-    IO.write_topic_artifacts(base, defs, h)
+    IO.write_topic_artifacts(base, histogram=h)
     back = IO.read_topic_artifacts(spark, base)["histogram"]
     wide = TL.histogram_wide(back, TL.N_BINS + 1)
     bins = [c for c in wide.columns if c != "topic"]

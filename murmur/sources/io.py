@@ -263,15 +263,14 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return there
 
 
-def write_topic_artifacts(base: str, definitions: DataFrame, histogram: DataFrame,
+def write_topic_artifacts(base: str, definitions: DataFrame | None = None, histogram: DataFrame | None = None,
                           labels: DataFrame | None = None) -> None:
     """Topic definitions ``(topic, rank, word, weight)``, the histogram long
-    table ``(topic, bin, bin_low_us, weight)`` and, optionally, topic labels
-    ``(topic, label)`` as parquet under ``base``."""
-    definitions.write.mode("overwrite").parquet(f"{base}/definitions")
-    histogram.write.mode("overwrite").parquet(f"{base}/histogram")
-    if labels is not None:
-        labels.write.mode("overwrite").parquet(f"{base}/labels")
+    table ``(topic, bin, bin_low_us, weight)`` and topic labels ``(topic,
+    label)``, whichever are given, as parquet under ``base``."""
+    for name, df in (("definitions", definitions), ("histogram", histogram), ("labels", labels)):
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
 
 
 def read_topic_artifacts(spark: SparkSession, base: str) -> dict[str, DataFrame]:

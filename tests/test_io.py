@@ -98,3 +98,36 @@ def test_written_but_unread_formats(spark):
     assert s.select(date_label(F.lit("2024-03-05").cast("timestamp")).alias("d")).first().d == "03-05"
     lines = legend_lines(spark.createDataFrame([("g", i, "w" * 40) for i in range(5)], "k string, o int, word string"), "k", "o")
     assert lines.count() == 2
+
+
+def test_names_of_cleaned_files():
+    from murmur.sources.io import cleaned_name
+    assert cleaned_name("/d/messages.csv", ["id_str", "text"]) == "/d/messages_short_id_str_text"
+    assert cleaned_name("/d.x/messages", ["text"], by="id_str") == "/d.x/messages_short_sorted_text"
+
+
+def test_blanks_at_the_ends_of_cells_are_kept(spark):
+    from murmur.sources.io import write_csv
+    path = os.path.join(tempfile.mkdtemp(prefix="murmur-test-"), "b")
+    rows = [("1", " a , b "), ("2", '"q" '), ("3", ""), ("4", "x\n\ny ")]
+    write_csv(spark.createDataFrame(rows, "id_str string, text string"), path)
+    got = {r.id_str: r.text for r in read_messages(spark, path, ["id_str", "text"]).collect()}
+    assert got == {"1": " a , b ", "2": '"q" ', "3": "", "4": "x  y "}
+
+
+def test_topic_lists_come_back(spark):
+    from murmur.sources.io import read_topic_lists, write_topic_lists
+    path = os.path.join(tempfile.mkdtemp(prefix="murmur-test-"), "t")
+    rows = [(0, "b", 0.25), (0, "a", 0.25), (0, "c", 0.5), (7, "é", 1e-7)]
+    write_topic_lists(spark.createDataFrame(rows, "topic long, word string, weight double"), path)
+    got = sorted(tuple(r) for r in read_topic_lists(spark, path).collect())
+    assert got == [(0, 1, "c", 0.5), (0, 2, "a", 0.25), (0, 3, "b", 0.25), (7, 1, "é", 1e-7)]
+
+
+def test_keywords_from_a_file_choose_messages(spark):
+    from murmur.sources.io import write_matching
+    base = os.path.join(tempfile.mkdtemp(prefix="murmur-test-"), "m")
+    rows = [("1", "Vote, now!"), ("2", "voted"), ("3", None), ("4", "no vote")]
+    path = write_matching(spark.createDataFrame(rows, "id_str string, text string"), ["vote"], base)
+    assert path == base + "_political"
+    assert {r.id_str for r in read_messages(spark, path, ["id_str", "text"]).collect()} == {"1", "4"}

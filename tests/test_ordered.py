@@ -179,3 +179,21 @@ def test_long_keyword_list_is_joined(spark, monkeypatch):
     monkeypatch.setattr(R, "MAX_INLINE_WORDS", 2)
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["z"]), (3, []), (4, None)], "doc_id long, tokens array<string>")
     assert [r.doc_id for r in R.keyword_filter(df, ["b", "c", "d"]).collect()] == [1]
+
+
+def test_topic_vectors_and_first_words(spark):
+    from murmur.operators.topics import first_words, topic_vectors
+    tw = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b"), (1, "none")], "topic long, word string")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [10.0, 20.0])], "word string, vector array<double>")
+    got = {(r.topic, r.dim): r.value for r in topic_vectors(tw, vectors).collect()}
+    assert got == {(0, 0): 11.0, (0, 1): 22.0, (1, 0): 10.0, (1, 1): 20.0}
+    words = spark.createDataFrame([(0, "x", 1), (0, "y", 3), (0, "w", 1), (1, "z", 2)], "cluster int, word string, df long")
+    assert sorted(tuple(r) for r in first_words(words, 2).collect()) == [(0, 1, "y"), (0, 2, "w"), (1, 1, "z")]
+
+
+def test_trigrams_are_phrases_of_merged_messages(spark):
+    from murmur.operators.phrases import process_text
+    docs = spark.createDataFrame([(k, ["new", "york", "city", f"w{k}"]) for k in range(30)] + [(99, [])], "doc_id long, tokens array<string>")
+    two = {r.doc_id: r.tokens for r in process_text(docs, 2, 1.0).collect()}
+    three = {r.doc_id: r.tokens for r in process_text(docs, 2, 1.0, 0.5).collect()}
+    assert two[0] == ["new_york", "city", "w0"] and three[0] == ["new_york_city", "w0"] and three[99] == []
