@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from murmur.operators.topk import top_k_per_group
 
 # words or messages in a block of the brute-force neighbour search
 BLOCK_ROWS = 2048
+#: Words of a block of the vocabulary, messages that meet it at once.
+VOCAB_ROWS, TOGETHER = 1 << 15, 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -196,12 +198,12 @@ def augment_with_neighbours(token_words: DataFrame, words: DataFrame, topn: int
 
     Brute force over the whole vocabulary (exact), in blocks of both sides:
     blocks of messages meet every block of the vocabulary, each meeting yields a
-    top-n per message, and the last top-n merges those.  Neither side passes
-    through the driver.
+    top-n per message, and the last top-n merges those.  A block of messages
+    travels once for every ``VOCAB_ROWS`` words.  Neither side passes through the driver.
     """
     u = unit(F.col(vec_col))
     vocab = words.select(F.col(word_col).alias("w"), u.alias("u")).withColumn("r", F.struct("w", "u"))
-    n_blocks = max(1, -(-words.count() // BLOCK_ROWS))
+    n_blocks = max(1, -(-words.count() // VOCAB_ROWS))
     vocab = (vocab.groupBy(F.pmod(F.xxhash64("w"), F.lit(n_blocks)).alias("_vb")).agg(F.collect_list("r").alias("r"))
              .select("_vb", F.transform("r", lambda x: x["w"]).alias("_names"), F.flatten(F.transform("r", lambda x: x["u"])).alias("_mat"),
                      F.size(F.col("r")[0]["u"]).alias("_dim")))
@@ -222,17 +224,19 @@ def augment_with_neighbours(token_words: DataFrame, words: DataFrame, topn: int
                 mat = batch.column("_mat")[i].values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
                 index = {w: j for j, w in enumerate(names)}
                 ids, ws, ss = [], [], []
-                for row in batch.column("_q")[i].as_py():
-                    sims = mat @ _unit_np(np.array(row["_vs"]).mean(axis=0))
-                    for w in row["_own"]:
-                        if w in index:
-                            sims[index[w]] = -np.inf
-                    k = min(topn, int(np.isfinite(sims).sum()))
-                    # the k-th value and its ties, so that ties go by word below
-                    cand = np.flatnonzero(np.isfinite(sims) & (sims >= np.partition(sims, -k)[-k])) if k else ()
-                    ids += [row["id"]] * len(cand)
-                    ws += [names[j] for j in cand]
-                    ss += [float(sims[j]) for j in cand]
+                asking = batch.column("_q")[i].as_py()
+                for lo in range(0, len(asking), TOGETHER):
+                    part = asking[lo:lo + TOGETHER]
+                    # equal vectors tie, wherever they lie in the matrix
+                    every = np.round(np.stack([_unit_np(np.array(row["_vs"]).mean(axis=0)) for row in part]) @ mat.T, 12)
+                    for row, sims in zip(part, every, strict=True):
+                        sims[[index[w] for w in row["_own"] if w in index]] = -np.inf
+                        k = min(topn, int(np.isfinite(sims).sum()))
+                        # the k-th value and its ties, so that ties go by word below
+                        cand = np.flatnonzero(np.isfinite(sims) & (sims >= np.partition(sims, -k)[-k])) if k else ()
+                        ids += [row["id"]] * len(cand)
+                        ws += [names[j] for j in cand]
+                        ss += [float(sims[j]) for j in cand]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(ws, pa.string()), pa.array(ss, pa.float64())], [id_col, "word", "sim"])
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -240,7 +244,9 @@ def augment_with_neighbours(token_words: DataFrame, words: DataFrame, topn: int
     schema = T.StructType([T.StructField(id_col, per_doc.schema[id_col].dataType),
                            T.StructField("word", T.StringType()), T.StructField("sim", T.DoubleType())])
     cand = asked.join(vocab, "_vb").select("_q", "_names", "_mat").mapInArrow(score, schema)
-    return top_k_per_group(cand, [id_col], [F.col("sim").desc(), F.col("word")], topn, salt_cols=["word"])
+    # a message has few candidates: topn a block of the vocabulary
+    w = Window.partitionBy(id_col).orderBy(F.col("sim").desc(), "word")
+    return cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= topn)
 
 
 def libsvm_line(label01: Column, features: Column) -> Column:
