@@ -62,7 +62,8 @@ def test_score_log_numbers_trimmed_names(spark):
 
 
 def test_materialize_keeps_what_is_there(spark):
-    from murmur.sources.io import load_or_fit, materialize
+    from murmur.sources.io import materialize
+    from murmur.sources.store import load_or_fit
     path = os.path.join(tempfile.mkdtemp(prefix="murmur-test-"), "t")
     assert materialize(spark.range(3), path).count() == 3
     assert materialize(spark.range(5), path).count() == 3
@@ -73,8 +74,11 @@ def test_materialize_keeps_what_is_there(spark):
     def fit():
         fits.append(1)
         return StandardScaler(inputCol="v", outputCol="z").fit(spark.createDataFrame([(Vectors.dense([1.0]),), (Vectors.dense([3.0]),)], ["v"]))
-    a, b = (load_or_fit(path + "-model", StandardScalerModel.load, fit) for _ in range(2))
+    a, b = (load_or_fit(spark, path + "-model", StandardScalerModel.load, fit) for _ in range(2))
     assert len(fits) == 1 and a.std == b.std
+    # a fit cut short left a model that was never published
+    StandardScaler(inputCol="v", outputCol="z").fit(spark.createDataFrame([(Vectors.dense([1.0]),), (Vectors.dense([3.0]),)], ["v"])).save(path + "-cut/model-x")
+    assert load_or_fit(spark, path + "-cut", StandardScalerModel.load, fit).std == a.std and len(fits) == 2
 
 
 def test_written_but_unread_formats(spark):
