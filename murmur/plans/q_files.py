@@ -109,6 +109,18 @@ def libsvm_file(spark, sf):
     return cells.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.sum("z"), 6).alias("z"))
 
 
+@query("text_corpus", "SELECT count(*) AS n_lines, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY doc_id % 64")
+def text_corpus(spark, sf):
+    """A corpus of text files, one document a file, chosen by the start of their
+    names: here the documents' ids, dealt to files."""
+    base = _place(spark, "corpus").removesuffix(".csv")
+    ids = table(spark, sf, "documents").select((F.col("doc_id") % 64).alias("part"), F.col("doc_id").cast("string").alias("value"))
+    ids.repartition("part").write.partitionBy("part").text(base)
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    texts = IO.read_text_corpus(spark, base, "part-").select(lines.alias("lines"))
+    return texts.select(F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("ids"))
+
+
 # ---- probe words ------------------------------------------------------------------
 
 _PROBES = [(["w1", "w2"], ["w3"]), (["w10"], []), (["w5", "unknown"], ["w7", "w8"])]
