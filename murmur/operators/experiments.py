@@ -13,6 +13,7 @@ A classifier is anything with ``fit(train)`` that returns something with
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmur.operators.ordered import ordered_scan
+from murmur.operators.ordered import ordered_scan, scans_released
 from murmur.operators.sampling import seeded_key
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
@@ -86,14 +87,25 @@ class NearestMean:
         return test.withColumn("score", score).withColumn("prediction", F.when(score >= 0, 1.0).otherwise(0.0))
 
 
-def laid_out(data: DataFrame) -> tuple[DataFrame, int]:
-    """The data cached in tasks of about ``TASK_BYTES``, and its rows.  A solver
+def laid_out(data: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """The data cached in tasks of about ``TASK_BYTES``, its rows, and what is to
+    be unpersisted in the end.  A solver
     passes over it up to a hundred times, so many small tasks cost more than
     they save; the rule is the same at every size."""
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     n = data.count()
     size = int(str(data._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # known exactly, as it is cached
-    return data.coalesce(max(1, -(-size // TASK_BYTES))), n
+    return data.coalesce(max(1, -(-size // TASK_BYTES))), n, data
+
+
+def saved_folds(rows: DataFrame, label: str, id_col: str, k: int, trials: int, path: str) -> DataFrame:
+    """:func:`trial_folds`, written: its scan is released, and a lost executor
+    reads them again."""
+    where = f"{path}/folds/{uuid.uuid4().hex}"
+    with scans_released():
+        folds = trial_folds(rows, label, id_col, k, trials)
+        folds.write.parquet(where)
+    return rows.sparkSession.read.schema(folds.schema).parquet(where)
 
 
 # ---- predictions -------------------------------------------------------------------------
@@ -143,8 +155,8 @@ def predict_folds(data: DataFrame, classifier: Callable[[int], object], path: st
     left = [w for w in wanted if w not in there]
     if left:
         data = data.withColumn(label, F.col(label).cast("double"))
-        folds = trial_folds(data.select(id_col, label), label, id_col, n_cv, n_trials)
-        rows, n = laid_out(data.join(folds, id_col))
+        folds = saved_folds(data.select(id_col, label), label, id_col, n_cv, n_trials, path)
+        rows, n, cached = laid_out(data.join(folds, id_col))
 
         def run(fit: Fit) -> None:
             fold = F.get("folds", F.lit(fit.n_trial))
@@ -167,8 +179,7 @@ def predict_folds(data: DataFrame, classifier: Callable[[int], object], path: st
 
         with ThreadPoolExecutor(max_workers=at_once) as pool:
             list(pool.map(run, left))
-        rows.unpersist()
-        data.unpersist()
+        cached.unpersist()
     schema = T.StructType([T.StructField(id_col, data.schema[id_col].dataType), *T.StructType.fromDDL(
         "label long, prediction long, score double, iterations long, converged boolean, name string, n_trial long, fold long").fields])
     table = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
@@ -266,7 +277,8 @@ def sweep(spark: SparkSession, grid: list[dict], run: Callable[[dict], DataFrame
     one = Lock()
 
     def add(setting: dict) -> None:
-        rows = run(setting).collect()  # a row a fit
+        with scans_released():
+            rows = run(setting).collect()  # a row a fit
         with one:  # committed whole or not at all
             spark.createDataFrame(rows, SCORE_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 

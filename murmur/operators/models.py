@@ -233,13 +233,14 @@ def grid_search(data: DataFrame, reg_params=(0.001, 0.01, 0.1, 1.0), n_cv: int =
     """``(reg_param, accuracy, best)``: cross-validated accuracy per setting over
     stratified folds; ``best`` marks the setting that wins."""
     data, _ = _fit_layout(data.withColumn(label, F.col(label).cast("double")))
-    folded, _ = EX.laid_out(_folded(data, label, id_col, n_cv, seed).withColumn("fold", F.col("fold").cast("int")))
+    folded, _, cached = EX.laid_out(_folded(data, label, id_col, n_cv, seed).withColumn("fold", F.col("fold").cast("int")))
     lr = LogisticRegression(maxIter=100, standardization=False, labelCol=label, featuresCol="features")
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     cvm = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=n_cv,
                          seed=seed, parallelism=4, foldCol="fold").fit(folded)
     best = max(cvm.avgMetrics)
+    cached.unpersist()
     data.unpersist()
     won = next(i for i, m in enumerate(cvm.avgMetrics) if m == best)
     rows = [(float(g[lr.regParam]), float(m), i == won) for i, (g, m) in enumerate(zip(grid, cvm.avgMetrics))]

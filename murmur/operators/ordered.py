@@ -18,11 +18,31 @@ lineage with the same shuffle dependency.
 
 from __future__ import annotations
 
+import threading
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_OPEN = threading.local()
+
+
+@contextmanager
+def scans_released():
+    """Scans made inside (by this thread) are released at the end: what is read
+    from them must be collected or written by then."""
+    mine: list[DataFrame] = []
+    _OPEN.scans = [*getattr(_OPEN, "scans", []), mine]
+    try:
+        yield
+    finally:
+        _OPEN.scans = _OPEN.scans[:-1]
+        for df in mine:
+            df.unpersist()
+
+
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
@@ -45,8 +65,10 @@ def ordered_scan(df: DataFrame, order_cols: list[str], value: str | None = None,
     p = _partitions(df, partitions)
     at = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols)
-    scanned = (ranged.withColumn("_at", at).persist(StorageLevel.MEMORY_AND_DISK)
-               .withColumn("_pid", F.shiftright("_at", 33))
+    kept = ranged.withColumn("_at", at).persist(StorageLevel.MEMORY_AND_DISK)
+    for open_scans in getattr(_OPEN, "scans", []):
+        open_scans.append(kept)
+    scanned = (kept.withColumn("_pid", F.shiftright("_at", 33))
                .withColumn("_j", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"))
     fold = F.min if op == "min" else F.sum
     aggs = [F.count(F.lit(1)).alias("_n")]

@@ -185,12 +185,14 @@ def embedding_experiment(spark, sf):
     scores per feature set, as the score log holds it."""
     blocks = _message_blocks(spark, sf)
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    feats = feature_rows(blocks, out="x").join(lab, "doc_id").persist()
-    feats = Standardizer.fit(feats, "x").transform(feats, "x")
+    rows = feature_rows(blocks, out="x").join(lab, "doc_id").persist()
+    feats = Standardizer.fit(rows, "x").transform(rows, "x")
     # set i holds the blocks up to i; all fits of all sets go on together
     at = block_coordinates(100, 1, 5)
     path = scratch_path(spark, f"experiments/{uuid.uuid4().hex}")
-    scores = EX.fold_scores(LS.predict_folds_together(feats, {n: stop for n, (_, stop) in at.items()}, path, n_trials=10, n_cv=3))
+    predictions = LS.predict_folds_together(feats, {n: stop for n, (_, stop) in at.items()}, path, n_trials=10, n_cv=3)
+    rows.unpersist()  # the predictions are written
+    scores = EX.fold_scores(predictions)
     return EX.mean_over_fits(scores, ["name"]).withColumn("i", F.substring("name", 1, 2).cast("int"))
 
 
@@ -241,7 +243,9 @@ def label_fraction_sweep(spark, sf):
         part = EX.label_split(feats, "doc_id", g["p"], g["thresh"], g["n_trial"]).where("part = 'labelled'").drop("part")
         return EX.log_rows(EX.fold_scores(ML.cv_predictions(part, g["clf_base"], n_trials=1, n_cv=3)).withColumn("name", F.lit("BOW")), g, part.count())
     grid = [{"p": p, "thresh": 0.0, "n_trial": t, "clf_base": c} for p in (0.3, 0.6) for t in range(5) for c in ("lr", "sgd")]
-    return EX.sweep(spark, grid, run, scratch_path(spark, f"sweep-{uuid.uuid4().hex}"))
+    log = EX.sweep(spark, grid, run, scratch_path(spark, f"sweep-{uuid.uuid4().hex}"))
+    feats.unpersist()
+    return log
 
 
 # ---- skip-gram over shuffled epochs ---------------------------------------------
