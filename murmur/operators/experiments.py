@@ -98,14 +98,15 @@ def laid_out(data: DataFrame) -> tuple[DataFrame, int, DataFrame]:
     return data.coalesce(max(1, -(-size // TASK_BYTES))), n, data
 
 
-def saved_folds(rows: DataFrame, label: str, id_col: str, k: int, trials: int, path: str) -> DataFrame:
-    """:func:`trial_folds`, written: its scan is released, and a lost executor
-    reads them again."""
-    where = f"{path}/folds/{uuid.uuid4().hex}"
+def saved_with_folds(data: DataFrame, label: str, id_col: str, k: int, trials: int, path: str) -> DataFrame:
+    """``data`` with its folds (see :func:`trial_folds`), written under ``path``
+    and read back: hundreds of fits then start from a short plan, the scan behind
+    the folds is released, and a lost executor reads rows again."""
+    where = f"{path}/data/{uuid.uuid4().hex}"
     with scans_released():
-        folds = trial_folds(rows, label, id_col, k, trials)
-        folds.write.parquet(where)
-    return rows.sparkSession.read.schema(folds.schema).parquet(where)
+        rows = data.join(trial_folds(data.select(id_col, label), label, id_col, k, trials), id_col)
+        rows.write.parquet(where)
+    return data.sparkSession.read.schema(rows.schema).parquet(where)
 
 
 # ---- predictions -------------------------------------------------------------------------
@@ -128,16 +129,20 @@ def summary_of(model) -> tuple[int | None, bool | None]:
     return done, done < model.getMaxIter()
 
 
-def finished(spark: SparkSession, path: str) -> set[Fit]:
-    """The fits whose predictions are at ``path``."""
+def finished(spark: SparkSession, path: str, wanted: list[Fit]) -> set[Fit]:
+    """Those of the fits whose predictions are at ``path``: written to the end
+    (the writer's mark is there), or published as a group."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    mark = lambda f: fs.Path(f"{folder(path, f)}/_SUCCESS")
+    there = {f for f in wanted if mark(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark(f))}
     try:
         rows = (spark.read.schema("name string, n_trial long, fold long").option("recursiveFileLookup", True).json(f"{path}/fits")
                 .distinct().collect())  # a row a fit
     except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return set()
-        raise
-    return {Fit(r.name, r.n_trial, r.fold) for r in rows}
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = []
+    return there | {Fit(r.name, r.n_trial, r.fold) for r in rows} & set(wanted)
 
 
 def predict_folds(data: DataFrame, classifier: Callable[[int], object], path: str, n_trials: int, n_cv: int, sets: dict[str, Column | None] | None = None,
@@ -151,12 +156,11 @@ def predict_folds(data: DataFrame, classifier: Callable[[int], object], path: st
     spark = data.sparkSession
     sets = sets or {"all": None}
     wanted = [Fit(s, t, f) for t in range(n_trials) for f in range(n_cv) for s in sets]
-    there = finished(spark, path)
+    there = finished(spark, path, wanted)
     left = [w for w in wanted if w not in there]
     if left:
         data = data.withColumn(label, F.col(label).cast("double"))
-        folds = saved_folds(data.select(id_col, label), label, id_col, n_cv, n_trials, path)
-        rows, n, cached = laid_out(data.join(folds, id_col))
+        rows, n, cached = laid_out(saved_with_folds(data, label, id_col, n_cv, n_trials, path))
 
         def run(fit: Fit) -> None:
             fold = F.get("folds", F.lit(fit.n_trial))
@@ -173,9 +177,6 @@ def predict_folds(data: DataFrame, classifier: Callable[[int], object], path: st
             (out.select(id_col, F.col(label).cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"), score.cast("double").alias("score"))
              .withColumn("iterations", F.lit(iterations).cast("long")).withColumn("converged", F.lit(converged).cast("boolean"))
              .write.mode("overwrite").parquet(folder(path, fit)))
-            # published last, each in a folder of its own: a fit that was cut short is made anew
-            mark = spark.createDataFrame([(fit.name, fit.n_trial, fit.fold)], "name string, n_trial long, fold long")
-            mark.coalesce(1).write.mode("overwrite").json(f"{path}/fits/{fit.name}-{fit.n_trial}-{fit.fold}")
 
         with ThreadPoolExecutor(max_workers=at_once) as pool:
             list(pool.map(run, left))

@@ -43,7 +43,7 @@ def _labelled(spark, sf):
 
 def _predictions(spark, sf, trials, k):
     path = scratch_path(spark, f"experiments/{uuid.uuid4().hex}")
-    return EX.predict_folds(_labelled(spark, sf), lambda _: EX.NearestMean("n_chars"), path, trials, k)
+    return EX.predict_folds(_labelled(spark, sf).drop("text"), lambda _: EX.NearestMean("n_chars"), path, trials, k)
 
 
 def _explored(spark, sf):
@@ -126,13 +126,21 @@ def label_sweep(spark, sf):
     three stratified folds."""
     data = _labelled(spark, sf).drop("text").persist()
 
+    done: dict = {}  # the scores do not depend on the share of the others
+
     def run(g):
-        part = EX.label_split(data, "doc_id", g["p"], g["thresh"], g["n_trial"]).where("part = 'labelled'").drop("part")
-        path = scratch_path(spark, f"experiments/{uuid.uuid4().hex}")
-        p = EX.predict_folds(part, lambda _: EX.NearestMean("n_chars"), path, 1, 3, {"length": None}, at_once=3)
-        return EX.log_rows(EX.fold_scores(p), g, p.count())
+        key = g["p"], g["n_trial"]
+        if key not in done:
+            part = EX.label_split(data, "doc_id", g["p"], 0, g["n_trial"]).where("part = 'labelled'").drop("part")
+            path = scratch_path(spark, f"experiments/{uuid.uuid4().hex}")
+            p = EX.predict_folds(part, lambda _: EX.NearestMean("n_chars"), path, 1, 3, {"length": None}, at_once=3)
+            scores = EX.fold_scores(p)
+            done[key] = scores.schema, scores.collect()  # a row a fold
+        schema, rows = done[key]
+        return EX.log_rows(spark.createDataFrame(rows, schema), g, sum(r.n for r in rows))
 
     grid = [{"p": p, "thresh": t, "n_trial": n, "clf_base": "mean"} for p in _P for t in _THRESH for n in _TRIALS]
+    grid.sort(key=lambda g: g["thresh"])
     log = EX.sweep(spark, grid, run, scratch_path(spark, f"sweep-{uuid.uuid4().hex}"))
     data.unpersist()
     return _rounded(log.withColumn("corpus_size", F.round("corpus_size", 6)))
