@@ -115,7 +115,7 @@ _TRACK = "(?i)(" + "|".join(KEYWORDS) + ")"
 def track_stream(spark, sf):
     docs = table(spark, sf, "documents")
     run = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    s = TR.keyword_stream(spark, sf, docs.schema, KEYWORDS, STREAM_FIELDS, glob="documents.parquet")
+    s = TR.keyword_stream(spark, TR.table_files(sf, "documents"), docs.schema, KEYWORDS, STREAM_FIELDS)
     TR.run_to_sink(s, f"{run}/out", f"{run}/ckpt")
     return spark.read.schema(", ".join(f"{c} string" for c in STREAM_FIELDS)).parquet(f"{run}/out")
 
@@ -155,6 +155,6 @@ def backfill_resumed(spark, sf):
 def stream_count(spark, sf):
     docs = table(spark, sf, "documents")
     run = scratch_path(spark, f"count-{uuid.uuid4().hex}")
-    s = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    s = spark.readStream.schema(docs.schema).parquet(TR.table_files(sf, "documents"))
     TR.running_count(s, f"{run}/out", f"{run}/ckpt")
     return spark.read.parquet(f"{run}/out")

@@ -135,3 +135,20 @@ def test_keywords_from_a_file_choose_messages(spark):
     path = write_matching(spark.createDataFrame(rows, "id_str string, text string"), ["vote"], base)
     assert path == base + "_political"
     assert {r.id_str for r in read_messages(spark, path, ["id_str", "text"]).collect()} == {"1", "4"}
+
+
+def test_streams_read_a_table_of_one_file_or_of_many(spark, tmp_path):
+    """``documents.parquet`` may be a file, or a folder of parts."""
+    import shutil
+
+    from __spark_entry__ import queries
+    docs = spark.createDataFrame([(i, "say thatin now" if i % 2 else "other", "en", "web", 5) for i in range(10)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "part").glob("part-*.parquet")), tmp_path / "one" / "documents.parquet")
+    for kind in ("many", "one"):
+        sf = str(tmp_path / kind)
+        assert queries()["stream_count"](spark, sf).first().n_messages == 10
+        assert queries()["track_stream"](spark, sf).count() == 5
