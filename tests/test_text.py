@@ -37,3 +37,26 @@ def test_rt_flag_and_validity(spark):
 def test_collapse_spaces(spark):
     df = spark.createDataFrame([("  A  b  ",)], "t string")
     assert df.select(normalize_punctuation("t").alias("x")).first()["x"] == "a b"
+
+
+def test_tokens_read_in_one_pass_equal_the_rules_one_by_one(spark):
+    """Kept tokens, read off the tagged text, are those of the rules and the split."""
+    import random
+
+    from murmur.functions import text as X
+    random.seed(5)
+    parts = list("abzABZ019 é\u0085　  \t\n\r\x0b\x1c#@_-.,:!?'\"‰aâÂ…‘’«»İßΣ𝒜😀\\[]^`~=*+/;()日本٣") + ["http", "http://", "@", "rt", "the", "‰a", "  ", "www.x"]
+    rows = [("".join(random.choice(parts) for _ in range(random.randint(0, 30))),) for _ in range(3000)] + [(None,), ("",)]
+    docs = spark.createDataFrame(rows, "text string")
+    stop = ["the", "ab"]
+    plain = X.valid_tokens(X.split_words(X.normalize_punctuation(F.translate("text", "\n\r", " "))), stop)
+    got = X.clean_and_tokenize(X.normalize_format("text"), stop)
+    assert docs.where(~plain.eqNullSafe(got)).count() == 0
+
+
+def test_a_rule_does_not_repeat_the_text_before_it(spark):
+    """Each rule that looks at the text first gets it computed once."""
+    from murmur.functions import text as X
+    docs = spark.range(1).select(F.col("id").cast("string").alias("text"))
+    for rule in (X.normalize_punctuation("text"), X.clean_and_tokenize("text", ["the"])):
+        assert str(docs.select(rule)._jdf.queryExecution().analyzed()).count("lower(text") <= 1
