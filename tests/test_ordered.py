@@ -197,3 +197,19 @@ def test_trigrams_are_phrases_of_merged_messages(spark):
     two = {r.doc_id: r.tokens for r in process_text(docs, 2, 1.0).collect()}
     three = {r.doc_id: r.tokens for r in process_text(docs, 2, 1.0, 0.5).collect()}
     assert two[0] == ["new_york", "city", "w0"] and three[0] == ["new_york_city", "w0"] and three[99] == []
+
+
+def test_phrases_are_counted_once(spark):
+    """Scores are read from counts that were made once; messages without words,
+    and no messages at all, have no phrases."""
+    from murmur.operators.phrases import merge_phrases, phrase_scores
+    docs = spark.createDataFrame([(i, ["new", "york", "x", f"w{i}"]) for i in range(12)] + [(99, [])], "doc_id long, tokens array<string>")
+    found = phrase_scores(docs, 10, 1.0)
+    # 15 words and 14 pairs; all but two pairs stand once
+    v = 3 + 12 + 2 + 12
+    assert {(r.a, r.b, r.n_ab, r.n_a, r.n_b) for r in phrase_scores(docs, 10, 0.0).collect()} == {("new", "york", 12, 12, 12), ("york", "x", 12, 12, 12)}
+    assert abs(phrase_scores(docs, 10, 0.0).first().score - 2 / 144 * v) < 1e-12 and found.count() == 0
+    plan = phrase_scores(docs, 10, 0.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "tokens" not in plan
+    for none in (docs.where("doc_id = 99"), docs.where("doc_id > 100")):
+        assert phrase_scores(none, 10, 0.0).count() == 0 and merge_phrases(none, phrase_scores(none, 10, 0.0)).count() == 0
