@@ -35,8 +35,9 @@ def topic_words(rows: DataFrame, topic_col: str = "topic", word_col: str = "toke
     counts = rows.groupBy(topic_col, word_col).agg(cnt.alias("cnt"))
     top = top_k_per_group(counts, [topic_col], [F.col("cnt").desc(), F.col(word_col)], n,
                           salt_cols=[word_col])
-    tot = top.groupBy(topic_col).agg(F.sum("cnt").alias("_tot"))
-    return (top.join(tot, topic_col)
+    # the few words of a topic are together already: their total needs no second pass
+    tot = F.sum("cnt").over(Window.partitionBy(topic_col))
+    return (top.withColumn("_tot", tot).where(F.col(topic_col).isNotNull())
             .select(F.col(topic_col).alias("topic"), F.col(word_col).alias("word"),
                     (F.col("cnt") / F.col("_tot")).alias("weight")))
 
