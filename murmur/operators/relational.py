@@ -57,15 +57,8 @@ def date_range_filter(df: DataFrame, ts_col: str, lo=None, hi=None) -> DataFrame
     return df.filter(cond & F.col(ts_col).isNotNull())
 
 
-def latest_by_id_range(df: DataFrame, id_col: str, since_id: int | None = None,
-                       max_id: int | None = None, match: Column | None = None,
-                       page_size: int = 100, max_pages: int = 101) -> DataFrame:
-    """Newest-first pages of rows with ``since_id < id <= max_id``.
-
-    Ids are compared as numbers.  ``limit`` is the feature here (the paged
-    search returns at most ``page_size * max_pages`` rows); Spark plans it as
-    a per-partition top-k with one bounded merge.
-    """
+def in_id_range(df: DataFrame, id_col: str, since_id: int | None = None, max_id: int | None = None, match: Column | None = None) -> DataFrame:
+    """Rows with ``since_id < id <= max_id`` that ``match``."""
     if since_id is not None and max_id is not None and since_id >= max_id:
         raise ValueError(f"since_id {since_id} must be below max_id {max_id}")
     cond = F.lit(True)
@@ -75,7 +68,19 @@ def latest_by_id_range(df: DataFrame, id_col: str, since_id: int | None = None,
         cond = cond & (F.col(id_col) <= max_id)
     if match is not None:
         cond = cond & match
-    top = df.filter(cond).orderBy(F.col(id_col).desc()).limit(page_size * max_pages)
+    return df.filter(cond)
+
+
+def latest_by_id_range(df: DataFrame, id_col: str, since_id: int | None = None,
+                       max_id: int | None = None, match: Column | None = None,
+                       page_size: int = 100, max_pages: int = 101) -> DataFrame:
+    """Newest-first pages of rows with ``since_id < id <= max_id``.
+
+    Ids are compared as numbers.  ``limit`` is the feature here (the paged
+    search returns at most ``page_size * max_pages`` rows); Spark plans it as
+    a per-partition top-k with one bounded merge.
+    """
+    top = in_id_range(df, id_col, since_id, max_id, match).orderBy(F.col(id_col).desc()).limit(page_size * max_pages)
     rn = F.row_number().over(Window.orderBy(F.col(id_col).desc())) - 1
     return top.withColumn("page", (rn / page_size).cast("long"))
 

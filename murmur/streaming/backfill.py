@@ -13,7 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.operators.relational import latest_by_id_range
+from murmur.operators.ordered import ordered_scan, scans_released
+from murmur.operators.relational import in_id_range, latest_by_id_range
 
 CURSOR = "batch long, oldest_id long, n_rows long"
 
@@ -60,8 +61,34 @@ class Backfill:
         row = self.spark.createDataFrame([(batch, oldest, n)], CURSOR)
         row.coalesce(1).write.mode("overwrite").json(f"{self.path}/cursor/{batch}")
 
+    def rest(self) -> None:
+        """All batches that hold a row, in one pass: an ordered scan numbers the rows,
+        each batch gets its folder, and their cursor rows are published together.
+        Rows of a repeated id are left to :meth:`step`, as what a batch takes then
+        depends on the one before."""
+        last = self.last()
+        if last is not None and (last.n_rows == 0 or self.since_id is not None and last.oldest_id - 1 <= self.since_id):
+            return
+        first, upto = (0, self.max_id) if last is None else (last.batch + 1, last.oldest_id - 1)
+        rows = in_id_range(self.source, self.id_col, self.since_id, upto, self.match)
+        size, place = self.page_size * self.max_pages, f"{self.path}/rows"
+        with scans_released():
+            scan = ordered_scan(rows.withColumn("_k", -F.col(self.id_col)), ["_k"])
+            n, ids = scan.agg(F.count(F.lit(1)), F.countDistinct(self.id_col)).first()
+            if n == 0 or ids < n:
+                return
+            numbered = scan.withColumn("page", F.floor(F.col("_i") % size / self.page_size)).withColumn("batch", F.floor(F.col("_i") / size) + first).drop("_k", "_i")
+            # batches that a killed run left are replaced
+            numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(place)
+        done = self.spark.read.schema(numbered.schema).option("basePath", place).parquet(place)
+        mine = done.where((F.col("batch") >= first) & (F.col("batch") < first + -(-n // size)))
+        cursors = mine.groupBy("batch").agg(F.min(self.id_col).alias("oldest_id"), F.count(F.lit(1)).alias("n_rows"))
+        cursors.coalesce(1).write.mode("overwrite").json(f"{self.path}/cursor/{first}")
+
     def run(self, batches: int | None = None) -> "Backfill":
         """Go on from the stored cursor to the end (or for so many batches)."""
+        if batches is None:
+            self.rest()
         while (batches is None or batches > 0) and self.step():
             batches = None if batches is None else batches - 1
         return self
