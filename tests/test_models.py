@@ -79,6 +79,23 @@ def test_word_vectors_have_unit_length(spark):
     assert len(vectors) == 4 and all(math.isclose(math.sqrt(sum(x * x for x in r.vector)), 1.0, rel_tol=1e-5) for r in vectors)
 
 
+def test_word_vectors_see_rows_whatever_their_ids(spark):
+    from murmur.operators import models as ML
+    rows = [(None if i % 3 else 7, ["a", "b", "c", "d"]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    one, two = (ML.train_word2vec(docs, size=4, max_iter=2, min_count=1, partitions=2) for _ in range(2))
+    assert sorted(one.words) == ["a", "b", "c", "d"] and np.array_equal(one.vectors, two.vectors)
+
+
+def test_message_means_by_hand(spark):
+    from murmur.operators import models as ML
+    from murmur.operators.skipgram import SkipGramModel
+    model = SkipGramModel(["a", "b"], np.array([[1, 2], [3, 5]], np.float32))
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["b", "zz"]), (None, ["zz"]), (2, [])], "doc_id long, tokens array<string>")
+    got = sorted((r.doc_id or 0, list(r.vector)) for r in ML.doc_mean_vectors(model, docs).collect())
+    assert got == [(0, [0.0, 0.0]), (1, [1.5, 2.5]), (1, [5 / 3, 3.0]), (2, [0.0, 0.0])]
+
+
 def test_tfidf_vectors_by_hand(spark):
     from murmur.operators import models as ML
     from murmur.operators import vocab as V
