@@ -25,7 +25,9 @@ def with_token_counts(docs: DataFrame, tokens_col: str = "tokens", out: str = "_
     first: a lambda that referenced ``array_sort(...)`` directly would re-sort
     the array for every element.
     """
-    d = docs.withColumn("_s", F.array_sort(tokens_col))
+    # sort_array compares natively, array_sort by a lambda; it puts nulls first, so they are put back
+    words = F.array_compact(tokens_col)
+    d = docs.withColumn("_s", F.concat(F.sort_array(words), F.array_repeat(F.lit(None).cast("string"), F.size(tokens_col) - F.size(words))))
     n = F.size("_s")
     s = F.col("_s")
     d = d.withColumn("_st", F.filter(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from murmur.plans.q_relational import KEYWORDS
 from murmur.plans.q_vectors import _STD_SQL, _U, TOPN, _cos_terms
 from murmur.plans.registry import query
 from murmur.plans.sqlviews import BOW, TOKENS, VOCAB, with_
-from murmur.session import scratch_path, table
+from murmur.session import scratch_path, spread, table
 from murmur.sources import io as IO
 
 
@@ -222,10 +223,11 @@ v AS (SELECT token FROM (SELECT DISTINCT * FROM t) GROUP BY token HAVING count(*
 SELECT split, id, count(*) AS n_known, count(DISTINCT token) AS n_words FROM t JOIN v USING (token) GROUP BY ALL""")
 def train_and_test(spark, sf):
     """A test corpus under a training corpus: one vocabulary, then told apart."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text")
     both = R.train_and_test(docs, table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
     rows = both.select(F.struct("split", "id").alias("doc_id"), clean_and_tokenize(normalize_format("text"), DEFAULT_STOPWORDS).alias("tokens"))
-    bow = V.bag_of_words(rows)
+    # the rules run and words are counted once: the vocabulary and the counts both read the bags
+    bow = V.bag_of_words(rows).persist(StorageLevel.MEMORY_AND_DISK)
     known = V.doc2bow(bow, V.filter_extremes(V.vocabulary(bow), V.count_docs(rows), 2, 1.0))
     return known.groupBy("doc_id").agg(F.sum("tf").alias("n_known"), F.count(F.lit(1)).alias("n_words")).select("doc_id.split", "doc_id.id", "n_known", "n_words")
 

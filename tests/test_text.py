@@ -60,3 +60,15 @@ def test_a_rule_does_not_repeat_the_text_before_it(spark):
     docs = spark.range(1).select(F.col("id").cast("string").alias("text"))
     for rule in (X.normalize_punctuation("text"), X.clean_and_tokenize("text", ["the"])):
         assert str(docs.select(rule.alias("t"))._jdf.queryExecution().analyzed()).count("lower(text") <= 1
+
+
+def test_bags_are_sorted_natively_and_read_once(spark):
+    from murmur.operators import vocab as V
+    from murmur.plans import q_files
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "\u00e4", "Z"]), (2, []), (3, None), (4, [None, "a", None])], "doc_id long, tokens array<string>")
+    bags = V.with_token_counts(docs)
+    got = {r.doc_id: [(c.token, c.tf) for c in r._bag or []] for r in bags.collect()}
+    assert got == {1: [("Z", 1), ("a", 1), ("b", 2), ("\u00e4", 1)], 2: [], 3: [], 4: [("a", 3)]}
+    plan = bags._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
+    assert "InMemoryRelation" in q_files.train_and_test(spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
