@@ -117,6 +117,21 @@ def test_tfidf_vectors_by_hand(spark):
         assert np.allclose(got[i].toArray(), want / (np.linalg.norm(want) or 1), rtol=1e-12)
 
 
+def test_features_number_the_words_of_labelled_rows_and_weigh_by_all(spark, tmp_path):
+    from murmur.plans import q_models
+    from murmur.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    texts = ["apple banana banana", "banana cherry", "cherry damson", "damson elder", "elder fig", "fig apple"]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long") \
+        .coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in q_models._bow_features(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1] and [got[k].label for k in (0, 1)] == [1, 0]
+    # apple, banana, cherry; each stands in two of six messages
+    assert got[0].features.size == 3
+    assert np.allclose(got[0].features.toArray(), np.array([1, 2, 0]) / math.sqrt(5)) and np.allclose(got[1].features.toArray(), np.array([0, 1, 1]) / math.sqrt(2))
+
+
 def test_model_vocabularies_have_no_cap(spark, tmp_path):
     from murmur.plans import q_models
     from murmur.session import ensure_checkpoint_dir
