@@ -8,7 +8,7 @@ from cases import corpus, frame, linked_classes, shingles, windows_later, words
 
 from murmur.llm import adaptive_scan, grid_join, jaccard_tree, suffix_array, suffix_tree
 from murmur.llm.blocks import BlockWords, minimisers, sliding
-from murmur.llm.common import U, hash64
+from murmur.llm.common import U, hash64, mix
 from murmur.llm.components import components
 
 import pyarrow as pa
@@ -135,6 +135,62 @@ def test_finer_counts_bound_the_overlap():
     assert many.tolist() == [jaccard_tree.overlap(raw[i], len(sets[i]), raw[j], len(sets[j])) for i, j in zip(a, b)]
 
 
+def test_parities_bound_the_difference():
+    g = np.random.default_rng(9)
+    sets = [np.unique(g.integers(0, 2**63, n).astype(U)) for n in (1, 3, 80, 97, 180, 300, 300, 2000, 2400, 120_000)]
+    sets += [x[len(x) // 10:] for x in sets] + [np.unique(np.concatenate([x, sets[5][:40]])) for x in sets]
+    s = object.__new__(jaccard_tree.Sets)
+    s.size = np.array([len(x) for x in sets])
+    s.value, s.doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), s.size)
+    width = jaccard_tree.parity_words(s.size, 85)
+    assert len(s.parities(85)) == width.sum() and width[:4].tolist() == [1, 1, 1, 2]
+    a, b = np.triu_indices(len(sets))
+    found = jaccard_tree.apart(s.parities(85), np.cumsum(width) - width, width, a, b)
+    true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert (found <= true).all() and (found[a == b] == 0).all()
+    assert found[(a == 5) & (b == 6)] > 100 and found[(a == 7) & (b == 8)] > 400  # far more than a link leaves room for
+
+
+@pytest.mark.parametrize("crowd", [0, 700])
+def test_documents_that_meet_by_chance_send_no_counts(crowd):
+    # two blocks; documents 0 link across them, all others share one shingle with a stranger of their size
+    g = np.random.default_rng(4)
+    own = [[np.unique(g.integers(0, 2**63, 200).astype(U)) for _ in range(40 + crowd)] for _ in range(2)]
+    own[1][0] = np.unique(np.concatenate([own[0][0][:190], own[1][0][:10]]))
+    token = np.concatenate([np.arange(1, 41, dtype=np.int64), np.full(crowd, 99)]).astype(U) << U(20)
+    parts = []
+    for block, sets in enumerate(own):
+        s = object.__new__(jaccard_tree.Sets)
+        s.size = np.array([len(x) for x in sets])
+        s.value, s.doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), s.size)
+        comp = np.arange(len(sets)) * 2 + block
+        parts.append(jaccard_tree.sketches(block, token, np.arange(len(sets)), s.size, comp, s.parities(85), 1, 85))
+    got = jaccard_tree.alike(85)(pa.Table.from_batches(parts))
+    stay = [0, *range(40, 40 + crowd)]  # a crowd at one shingle is left to the tree
+    assert got.column("block").to_pylist() == [0, 1]
+    for x in got.column("hot").to_pylist():
+        assert sorted(np.frombuffer(x, U).tolist()) == sorted(mix(jaccard_tree.short(token[stay]).astype(U), np.array(stay).astype(U)).tolist())
+
+
+@pytest.mark.parametrize("parts", [2, 11])
+def test_jaccard_among_chance_meetings(spark, parts):
+    # few words, so that unrelated texts share shingles; pairs on both sides of the limit
+    g = np.random.default_rng(12)
+    texts = []
+    for _ in range(60):
+        base = [f"w{i}" for i in g.integers(0, 12, g.integers(30, 400))]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.02, 0.04):
+            hit = g.random(len(base)) < share
+            texts.append(" ".join(f"w{g.integers(0, 12)}" if h else x for x, h in zip(base, hit)))
+    texts = [texts[i] for i in g.permutation(len(texts))]
+    sets = [shingles(t, 4) for t in texts]
+    expected = linked_classes(sets, lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
+    assert 60 < len(set(expected)) < 220
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_tree.join(frame(spark, texts, parts=parts), 4, 85).collect()}
+    assert got == {i: (len(s), expected[i]) for i, s in enumerate(sets)}
+
+
 def test_jaccard_edges(spark):
     t = "a b c d e f"
     got = jaccard_tree.join(frame(spark, [t, t, t, None, "", "x y", "X  Y"], ids=[3, 3, None, 1, 2, 8, 7])).collect()
