@@ -196,3 +196,12 @@ def test_quasi_newton_finds_the_least_point():
     except StopIteration as end:
         x, _, settled = end.value
     assert settled and np.allclose(a @ x, b, atol=1e-5)
+
+
+def test_models_travel_after_phrases_were_learned(spark):
+    """A fit's summary holds its session, which must stay one that can be sent."""
+    from murmur.operators import models as ML
+    from murmur.operators.phrases import phrase_scores
+    phrase_scores(spark.createDataFrame([(1, ["new", "york"] * 3)], "doc_id long, tokens array<string>"), 1, 0.0).collect()
+    out = ML.out_of_fold(labelled(spark), "lr", n_cv=2)
+    assert out.count() == 120
