@@ -205,3 +205,14 @@ def test_models_travel_after_phrases_were_learned(spark):
     phrase_scores(spark.createDataFrame([(1, ["new", "york"] * 3)], "doc_id long, tokens array<string>"), 1, 0.0).collect()
     out = ML.out_of_fold(labelled(spark), "lr", n_cv=2)
     assert out.count() == 120
+
+
+def test_message_vectors_are_what_the_query_returns(spark, monkeypatch):
+    """doc_vectors gives the vectors themselves, not only how long they are."""
+    from murmur.operators.skipgram import SkipGramModel
+    from murmur.plans import q_models
+    model = SkipGramModel(["a", "b"], np.array([[1, 2], [3, 5]], np.float32))
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, ["zz"])], "doc_id long, tokens array<string>")
+    monkeypatch.setattr(q_models, "_w2v", lambda *_: (docs, model))
+    got = {r.doc_id: (r.dims, list(r.vector)) for r in q_models.doc_vectors(spark, "").collect()}
+    assert got == {1: (2, [5 / 3, 3.0]), 2: (2, [3.0, 5.0]), 3: (2, [0.0, 0.0])}
