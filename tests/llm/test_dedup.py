@@ -346,3 +346,12 @@ def test_blocks_go_to_workers_in_small_batches(spark):
     spark.conf.unset(key)
     write_blocks(frame(spark, ["a b c"]))
     assert int(spark.conf.get(key)) == ARROW_BYTES
+
+
+def test_suffix_blocks_hold_a_bounded_text(spark, monkeypatch):
+    from murmur.llm import blocks
+    made, write = [], blocks.write_blocks
+    monkeypatch.setattr(suffix_array, "write_blocks", lambda *a: made.append(write(*a)) or made[-1])
+    texts = [" ".join(f"w{k}x{i % 977}" for i in range(60_000)) for k in range(9)]  # 0.5 MB each
+    assert suffix_array.repeated_spans(frame(spark, texts, parts=1), 50).count() >= 9
+    assert max(sum(np.frombuffer(r.size, "<i8")) for r in made[0].select("size").collect()) <= 2 << 20
