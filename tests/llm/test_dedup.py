@@ -341,11 +341,16 @@ def test_grid_join_holds_a_bounded_set_of_intervals(spark, monkeypatch, held):
 
 
 def test_blocks_go_to_workers_in_small_batches(spark):
-    from murmur.llm.blocks import ARROW_BYTES, write_blocks
+    from murmur.llm.blocks import write_blocks
+    from murmur.session import ARROW_BYTES
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.unset(key)
     write_blocks(frame(spark, ["a b c"]))
     assert int(spark.conf.get(key)) == ARROW_BYTES
+    spark.conf.set(key, "1000")  # a smaller one stays
+    write_blocks(frame(spark, ["a b c"]))
+    assert spark.conf.get(key) == "1000"
+    spark.conf.unset(key)
 
 
 def test_suffix_blocks_hold_a_bounded_text(spark, monkeypatch):

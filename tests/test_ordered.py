@@ -213,3 +213,13 @@ def test_phrases_are_counted_once(spark):
     assert "Generate" not in plan and "tokens" not in plan
     for none in (docs.where("doc_id = 99"), docs.where("doc_id > 100")):
         assert phrase_scores(none, 10, 0.0).count() == 0 and merge_phrases(none, phrase_scores(none, 10, 0.0)).count() == 0
+
+
+def test_messages_go_to_workers_in_small_batches(spark):
+    from murmur.operators.phrases import merged_arrays
+    from murmur.session import ARROW_BYTES
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.createDataFrame([(1, ["new", "york", "x"])], "doc_id long, tokens array<string>")
+    out = merged_arrays(docs, spark.createDataFrame([("new", "york")], "a string, b string"))
+    assert [r.tokens for r in out.collect()] == [["new_york", "x"]] and int(spark.conf.get(key)) == ARROW_BYTES
